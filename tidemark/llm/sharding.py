@@ -30,16 +30,15 @@ def div(x: Column, y: Column) -> Column:
 
 
 def feistel(x: Column, a: Column, b: Column, seed: int) -> Column:
-    """A permutation of 0..a*b-1."""
+    """A permutation of 0..a*b-1. The halves go through the rounds as a struct, so each round is evaluated once."""
 
-    def mixed(half: Column, k: int, n: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), F.lit(k), half), n)
+    def half_round(s: Column, k: Column) -> Column:
+        left = F.when(k % 2 == 0, F.pmod(s["l"] + F.pmod(F.xxhash64(F.lit(seed), k, s["r"]), a), a)).otherwise(s["l"])
+        right = F.when(k % 2 == 1, F.pmod(s["r"] + F.pmod(F.xxhash64(F.lit(seed), k, s["l"]), b), b)).otherwise(s["r"])
+        return F.struct(left.alias("l"), right.alias("r"))
 
-    left, right = div(x, b), F.pmod(x, b)
-    for k in range(ROUNDS):
-        left = F.pmod(left + mixed(right, 2 * k, a), a)
-        right = F.pmod(right + mixed(left, 2 * k + 1, b), b)
-    return left * b + right
+    halves = F.struct(div(x, b).alias("l"), F.pmod(x, b).alias("r"))
+    return F.aggregate(F.array(*map(F.lit, range(2 * ROUNDS))), halves, half_round, lambda s: s["l"] * b + s["r"])
 
 
 def permuted(row: Column, n: Column, seed: int) -> Column:
