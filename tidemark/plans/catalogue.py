@@ -5,7 +5,580 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import hashing, numbers, times
+from ..operators import bars, compare, dedup, diagnostics, events, history, intervals, reconcile, response, series, windows
+from ..sources import pages, registry
+from .tables import DAY_US, HOUR_US, event_bars, ntz, table, ticks
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 FLAGSHIP = "window_returns"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# SQL that several queries share: ticks, hourly bars, daily bars.
+_T = "t AS (SELECT event_id, ts, epoch_us(ts) AS t_us, user_id, event_type AS symbol, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)"
+
+
+def _bars(name: str, step: int, where: str = "true") -> str:
+    return f"""{name} AS (
+  SELECT symbol, t_us - t_us % {step} AS bar_us, arg_min(value, {{'a': t_us, 'b': event_id}}) AS open, max(value) AS high, min(value) AS low,
+    arg_max(value, {{'a': t_us, 'b': event_id}}) AS close, count(*)::DOUBLE AS volume
+  FROM t WHERE {where} GROUP BY ALL)"""
+
+
+@query(f"""WITH {_T}, s AS (
+  SELECT *, round_even(value - k, 10) AS raw, user_id % 10 <> 3 AS usable FROM t
+), w AS (
+  SELECT *, count(h) OVER e AS n, avg(h) OVER e AS m, stddev_samp(h) OVER e AS sd, max(abs(h)) OVER e AS mx
+  FROM (SELECT *, CASE WHEN usable THEN raw END AS h FROM s)
+  WINDOW e AS (PARTITION BY symbol ORDER BY t_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), o AS (
+  SELECT *, CASE WHEN raw IS NULL THEN 'missing_value' WHEN NOT usable THEN 'event_excluded' WHEN n < 12 THEN 'insufficient_history'
+    WHEN sd IS NULL OR sd <= 1e-9 * greatest(1.0, mx) THEN 'zero_historical_dispersion' ELSE 'ok' END AS status FROM w
+)
+SELECT event_id, symbol, round(raw, 9) AS surprise_raw, round(CASE WHEN status = 'ok' THEN (raw - m) / sd END, 9) AS surprise_std, status AS surprise_std_status,
+  CASE WHEN raw IS NOT NULL AND usable THEN n END AS n_history, round(CASE WHEN raw IS NOT NULL AND usable AND n >= 12 THEN m END, 9) AS hist_mean FROM o""")
+def causal_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standardised surprises from strictly earlier history."""
+    t = history.with_surprise(ticks(spark, sf_dir), "value", "k").withColumn("usable", F.col("user_id") % 10 != 3)
+    z = history.causal_zscore(t, ["symbol"], "t_us", "surprise_raw", F.col("usable"))
+    z = z.select("event_id", "symbol", "surprise_raw", "surprise_std", "surprise_std_status", F.col("surprise_std_n_history").alias("n_history"), F.col("surprise_std_hist_mean").alias("hist_mean"))
+    return rounded(z, "surprise_raw", "surprise_std", "hist_mean", digits=9)
+
+
+@query(f"""WITH {_T}, s AS (
+  SELECT event_id, symbol, t_us, CAST(sign(value - k) AS INT) AS sg, value / 100 AS ret, user_id % 7 <> 0 AS usable FROM t
+), w AS (
+  SELECT *, count(h) OVER e AS n, avg(h) OVER e AS m FROM (SELECT *, CASE WHEN usable THEN ret END AS h FROM s)
+  WINDOW e AS (PARTITION BY symbol, sg ORDER BY t_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)
+SELECT event_id, symbol, sg, n AS n_history, round(CASE WHEN n >= 8 THEN m END, 9) AS expected, round(CASE WHEN n >= 8 AND usable THEN ret - m END, 9) AS resid,
+  CASE WHEN n < 8 THEN 'insufficient_history' WHEN NOT usable OR ret IS NULL THEN 'no_observed_response' ELSE 'ok' END AS status
+FROM w""")
+def expanding_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expanding mean by symbol and surprise sign, and residuals."""
+    t = ticks(spark, sf_dir).withColumn("sg", F.signum(F.col("value") - F.col("k")).cast("int")).withColumn("ret", F.col("value") / 100)
+    b = history.expanding_baseline(t, ["symbol"], "t_us", "sg", [("ret", "ret", F.col("user_id") % 7 != 0)])
+    b = b.select("event_id", "symbol", "sg", F.col("baseline_ret_n_history").alias("n_history"), F.col("expected_ret").alias("expected"), F.col("resid_ret").alias("resid"), F.col("baseline_ret_status").alias("status"))
+    return rounded(b, "expected", "resid", digits=9)
+
+
+@query(f"WITH {_T}, {_bars('b', HOUR_US)} SELECT symbol, make_timestamp(bar_us) AS bar_ts, open, high, low, close, volume FROM b")
+def bars_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = event_bars(spark, sf_dir)
+    return b.select("symbol", ntz(F.col("bar_us")).alias("bar_ts"), "open", "high", "low", "close", "volume")
+
+
+@query(f"""WITH {_T}, {_bars('b', HOUR_US)}, m AS (SELECT symbol, median(volume) AS md FROM b WHERE volume > 0 GROUP BY symbol)
+SELECT symbol, count(*)::BIGINT AS total_rows, (count(*) - count(DISTINCT bar_us))::BIGINT AS duplicate_timestamp_count, count_if(bar_us % 300000000 <> 0)::BIGINT AS misaligned_timestamp_count,
+  count_if(open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL)::BIGINT AS null_or_nonfinite_count, count_if(high < low OR high < open OR high < close OR low > open OR low > close)::BIGINT AS invalid_ohlc_count,
+  count_if(open <= 0 OR high <= 0 OR low <= 0 OR close <= 0)::BIGINT AS non_positive_price_count, count_if(volume < 0)::BIGINT AS negative_volume_count, count_if(volume > md * 2)::BIGINT AS suspicious_volume_count
+FROM b JOIN m USING (symbol) GROUP BY symbol""")
+def bar_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.integrity(event_bars(spark, sf_dir), ["symbol"], minutes=5, volume_factor=2.0)
+
+
+@query(f"""WITH {_T}, {_bars('b', HOUR_US)}, d AS (
+  SELECT DISTINCT CAST(ts AS DATE) AS session FROM t
+), s AS (
+  SELECT session, epoch_us(session::TIMESTAMP) + {9 * HOUR_US} + 1800000000 AS o, epoch_us(session::TIMESTAMP) + {16 * HOUR_US} AS c FROM d
+), g AS (
+  SELECT symbol, session, o, slot, 7 AS n FROM (SELECT DISTINCT symbol FROM b), s, (SELECT unnest(range(0, 7)) AS slot)
+), h AS (
+  SELECT DISTINCT b.symbol, s.session, (b.bar_us - s.o) // {HOUR_US} AS slot FROM b JOIN s ON b.bar_us >= s.o AND b.bar_us < s.c
+), r AS (
+  SELECT g.symbol, g.session, g.slot, g.n, h.slot IS NOT NULL AS hit FROM g LEFT JOIN h USING (symbol, session, slot)
+), a AS (
+  SELECT symbol, session, 7 AS n_slots, count_if(hit)::BIGINT AS covered, bool_or(NOT hit AND slot = 0) AS missing_open_edge, bool_or(NOT hit AND slot = 6) AS missing_close_edge FROM r GROUP BY symbol, session
+)
+SELECT symbol, session, n_slots::BIGINT AS n_slots, covered, round(covered / n_slots, 6) AS completeness, missing_open_edge, missing_close_edge,
+  CASE WHEN covered = 0 THEN 'missing' WHEN covered / n_slots < 0.98 THEN 'incomplete' ELSE 'complete' END AS verdict FROM a""")
+def slot_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions 9:30 to 16:00 of each day in the data, hourly slots."""
+    b = event_bars(spark, sf_dir)
+    day = ticks(spark, sf_dir).select(F.to_date("ts").alias("session")).distinct().withColumn("d", F.unix_micros(F.col("session").cast("timestamp")))
+    s = day.select("session", (F.col("d") + 9 * HOUR_US + HOUR_US // 2).alias("open_us"), (F.col("d") + 16 * HOUR_US).alias("close_us"))
+    out = bars.slot_coverage(b, s, ["symbol"], HOUR_US)
+    return rounded(out.select("symbol", "session", "n_slots", "covered", "completeness", "missing_open_edge", "missing_close_edge", "verdict"), "completeness")
+
+
+@query(f"""WITH {_T}, {_bars('b', HOUR_US)}, l AS (SELECT symbol, bar_us, lag(bar_us) OVER (PARTITION BY symbol ORDER BY bar_us) AS p FROM b)
+SELECT symbol, make_timestamp(p) AS gap_start, make_timestamp(bar_us) AS gap_end, bar_us - p AS gap_us FROM l WHERE bar_us - p > {3 * HOUR_US}""")
+def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = bars.gaps(event_bars(spark, sf_dir), ["symbol"], 3 * HOUR_US)
+    return g.select("symbol", ntz(F.col("gap_start_us")).alias("gap_start"), ntz(F.col("gap_end_us")).alias("gap_end"), "gap_us")
+
+
+_SPEC = windows.WindowSpec(pre=(5, 1), post=(1, 2, 5), step_us=DAY_US)
+
+
+@query(f"""WITH {_T}, {_bars('b', DAY_US)}, g(win, first, last) AS (
+  VALUES ('pre5m', -5, -1), ('pre1m', -1, -1), ('post1m', 0, 0), ('post2m', 0, 1), ('post5m', 0, 4)
+), p AS (
+  SELECT t.event_id, t.symbol, g.win, o AS off, o < g.first AS anchor, t.t_us - t.t_us % {DAY_US} + o * {DAY_US} AS at
+  FROM t, g, (SELECT unnest(range(-6, 5)) AS o) WHERE o BETWEEN g.first - 1 AND g.last
+), j AS (
+  SELECT p.*, b.bar_us IS NOT NULL AS seen, b.high, b.low, b.close, b.volume,
+    CASE WHEN NOT anchor THEN ln(b.close / nullif(lag(b.close) OVER (PARTITION BY p.event_id, p.symbol, win ORDER BY off), 0)) END AS r
+  FROM p LEFT JOIN b ON p.symbol = b.symbol AND p.at = b.bar_us
+), a AS (
+  SELECT event_id, symbol, win, count(*)::BIGINT AS n, count_if(seen)::BIGINT AS seen, max(CASE WHEN anchor THEN close END) AS an, arg_max(CASE WHEN NOT anchor THEN close END, CASE WHEN NOT anchor THEN off END) AS cl,
+    max(CASE WHEN NOT anchor THEN high END) AS h, min(CASE WHEN NOT anchor THEN low END) AS l, sum(abs(r)) AS ra, sum(r * r) AS rs, sum(CASE WHEN NOT anchor THEN volume END) AS v FROM j GROUP BY ALL
+), m AS (
+  SELECT *, CASE WHEN n = seen THEN cl / nullif(an, 0) - 1 END AS ret, h / nullif(an, 0) - 1 AS hi, l / nullif(an, 0) - 1 AS lo FROM a
+)
+SELECT event_id, symbol, win AS "window", n AS n_expected_bars, seen AS n_observed_bars, CASE WHEN n = seen THEN 'ok' ELSE 'insufficient_market_window' END AS status,
+  round(ret, 6) AS ret, round(CASE WHEN n = seen THEN hi END, 6) AS high_exc, round(CASE WHEN n = seen THEN lo END, 6) AS low_exc,
+  round(CASE WHEN ret > 0 THEN hi WHEN ret < 0 THEN -lo END, 6) AS mfe, round(CASE WHEN ret > 0 THEN greatest(0, -lo) WHEN ret < 0 THEN greatest(0, hi) END, 6) AS mae,
+  round(CASE WHEN n = seen THEN (h - l) / nullif(an, 0) END, 6) AS "range", round(CASE WHEN n = seen THEN ra END, 5) AS rv_abs, round(CASE WHEN n = seen THEN rs END, 5) AS rv_sq, CASE WHEN n = seen THEN v END AS volume
+FROM m""")
+def window_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a release on its own symbol's daily bars."""
+    t = ticks(spark, sf_dir).select("event_id", "symbol", "t_us")
+    probes = windows.spelt_out(t, _SPEC).withColumn("due", F.lit(True))
+    m = windows.measured(probes, event_bars(spark, sf_dir, DAY_US), ["event_id", "symbol"])
+    m = m.withColumn("status", F.when(F.col("complete"), "ok").otherwise("insufficient_market_window"))
+    m = m.select("event_id", "symbol", "window", "n_expected_bars", "n_observed_bars", "status", "ret", "high_exc", "low_exc", "mfe", "mae", "range", "rv_abs", "rv_sq", "volume")
+    return rounded(rounded(m, "ret", "high_exc", "low_exc", "mfe", "mae", "range"), "rv_abs", "rv_sq", digits=5)
+
+
+@query(f"""WITH {_T}, {_bars('b', HOUR_US)}, p AS (
+  SELECT t.event_id, t.symbol, b.bar_us, b.close FROM t JOIN b ON t.symbol = b.symbol AND b.bar_us < t.t_us - t.t_us % {HOUR_US} AND b.bar_us >= t.t_us - t.t_us % {HOUR_US} - {5 * HOUR_US}
+), a AS (SELECT event_id, max(bar_us) AS bar_us, arg_max(close, bar_us) AS close FROM p GROUP BY event_id)
+SELECT t.event_id, t.symbol, make_timestamp(a.bar_us) AS baseline_ts, a.close AS baseline FROM t LEFT JOIN a USING (event_id)""")
+def asof_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest hourly bar before each event's hour, five hours back at most."""
+    t = ticks(spark, sf_dir).select("event_id", "symbol", "t_us")
+    a = response.asof_backward(t, event_bars(spark, sf_dir), ["symbol"], "t_us", "bar_us", 5, HOUR_US, ["close"])
+    return a.select("event_id", "symbol", ntz(F.col("bar_us")).alias("baseline_ts"), F.col("close").alias("baseline"))
+
+
+@query("""WITH v AS (SELECT l_orderkey AS k, CAST(l_shipdate AS DATE) AS d, l_quantity::DOUBLE AS x FROM lineitem WHERE l_quantity IS NOT NULL),
+o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS r FROM orders),
+f AS (SELECT o.k, o.r, v.d, v.x, min(CASE WHEN v.d BETWEEN o.r AND o.r + 30 THEN v.d END) OVER (PARTITION BY o.k) AS first FROM o LEFT JOIN v USING (k)),
+a AS (SELECT k, r, count(d) AS n, count(DISTINCT CASE WHEN d = first THEN x END) AS nv, max(CASE WHEN d = first THEN x END) AS x, max(first) AS d, coalesce(bool_or(d > r + 30), false) AS late FROM f GROUP BY k, r),
+c AS (SELECT *, CASE WHEN n = 0 OR r IS NULL THEN 'NONE' WHEN nv > 1 THEN 'AMBIGUOUS' WHEN nv = 1 THEN 'OK' WHEN late THEN 'LOOKAHEAD_REJECTED' ELSE 'PREDATES_RELEASE' END AS code FROM a)
+SELECT k AS o_orderkey, code AS vintage_code, CASE WHEN code = 'OK' THEN x END AS vintage_value, CASE WHEN code = 'OK' THEN d END AS vintage_date FROM c""")
+def vintage_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as releases, ship dates within 30 days as vintages."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("released"))
+    v = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.to_date("l_shipdate").alias("shipped"), F.col("l_quantity").cast("double").alias("qty"))
+    return reconcile.release_vintage(o, v, ["o_orderkey"], "released", "shipped", "qty", 30).drop("released")
+
+
+def _vendors(spark: SparkSession, sf_dir: str, step_us: int = HOUR_US) -> DataFrame:
+    """Users with even ids as one vendor's ticks, odd ones as the other's."""
+    even = F.col("user_id") % 2 == 0
+    return compare.matched(event_bars(spark, sf_dir, step_us, even), event_bars(spark, sf_dir, step_us, ~even))
+
+
+def _vendor_sql(step: int = HOUR_US) -> str:
+    fields = ", ".join(f"a.{f} AS a_{f}, b.{f} AS b_{f}" for f in ("open", "high", "low", "close", "volume"))
+    return f"""{_T}, {_bars('a', step, 'user_id % 2 = 0')}, {_bars('b', step, 'user_id % 2 <> 0')}, p AS (
+  SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.bar_us, b.bar_us) AS bar_us, {fields}, a.symbol IS NOT NULL AS in_a, b.symbol IS NOT NULL AS in_b
+  FROM a FULL JOIN b ON a.symbol = b.symbol AND a.bar_us = b.bar_us)"""
+
+
+@query(f"""WITH {_vendor_sql()} SELECT symbol, count_if(in_a)::BIGINT AS n_a, count_if(in_b)::BIGINT AS n_b, count_if(in_a AND in_b)::BIGINT AS n_both, count_if(in_a AND NOT in_b)::BIGINT AS n_only_a,
+  count_if(in_b AND NOT in_a)::BIGINT AS n_only_b, round(count_if(in_a AND in_b) / count(*), 6) AS overlap_over_union, round(count_if(in_a AND in_b) / nullif(count_if(in_a), 0), 6) AS overlap_over_a,
+  round(count_if(in_a AND in_b) / nullif(count_if(in_b), 0), 6) AS overlap_over_b FROM p GROUP BY symbol""")
+def cross_provider_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(compare.coverage(_vendors(spark, sf_dir)), "overlap_over_union", "overlap_over_a", "overlap_over_b")
+
+
+@query(f"""WITH {_vendor_sql()}, v AS (
+  SELECT symbol, f.field AS field, f.x AS x, f.y AS y FROM p, LATERAL (VALUES ('open', a_open, b_open), ('high', a_high, b_high), ('low', a_low, b_low), ('close', a_close, b_close)) f(field, x, y) WHERE in_a AND in_b
+), d AS (SELECT symbol, field, abs(x - y) AS ad, abs(x - y) / nullif((abs(x) + abs(y)) / 2, 0) AS rd FROM v)
+SELECT symbol, field, 'all' AS scope, count(ad)::BIGINT AS abs_diff_n, round(median(ad), 6) AS abs_diff_median, round(quantile_cont(ad, 0.95), 6) AS abs_diff_p95, round(max(ad), 6) AS abs_diff_max,
+  count(rd)::BIGINT AS rel_diff_n, round(median(rd), 6) AS rel_diff_median, round(quantile_cont(rd, 0.95), 6) AS rel_diff_p95, round(max(rd), 6) AS rel_diff_max, round(count_if(ad = 0) / count(*), 6) AS exact_equal_fraction
+FROM d GROUP BY symbol, field""")
+def cross_provider_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = compare.price_stats(_vendors(spark, sf_dir))
+    return rounded(s, *[c for c in s.columns if c.startswith(("abs_", "rel_", "exact")) and not c.endswith("_n")])
+
+
+@query(f"""WITH {_vendor_sql()}, d AS (SELECT symbol, abs(a_volume - b_volume) AS ad, CASE WHEN b_volume > 0 THEN a_volume / b_volume END AS r, a_volume AS a, b_volume AS b FROM p WHERE in_a AND in_b)
+SELECT symbol, count(ad)::BIGINT AS abs_diff_n, median(ad) AS abs_diff_median, quantile_cont(ad, 0.95) AS abs_diff_p95, max(ad) AS abs_diff_max, count(r)::BIGINT AS pct_diff_n, round(median(abs(r - 1)), 6) AS pct_diff_median,
+  round(quantile_cont(abs(r - 1), 0.95), 6) AS pct_diff_p95, round(max(abs(r - 1)), 6) AS pct_diff_max, count(r)::BIGINT AS ratio_n, round(median(r), 6) AS ratio_median, round(quantile_cont(r, 0.95), 6) AS ratio_p95,
+  round(max(r), 6) AS ratio_max, sum(a) AS total_a, sum(b) AS total_b FROM d GROUP BY symbol""")
+def cross_provider_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = compare.volume_stats(_vendors(spark, sf_dir))
+    return rounded(s, *[c for c in s.columns if c.startswith(("pct", "ratio")) and not c.endswith("_n")])
+
+
+@query(f"""WITH {_vendor_sql()}, l AS (
+  SELECT symbol, bar_us, lag(bar_us) OVER w AS pb, ln(a_close / lag(a_close) OVER w) AS ra, ln(b_close / lag(b_close) OVER w) AS rb
+  FROM p WHERE in_a AND in_b WINDOW w AS (PARTITION BY symbol, CAST(timezone('America/New_York', timezone('UTC', make_timestamp(bar_us))) AS DATE) ORDER BY bar_us)
+), r AS (SELECT * FROM l WHERE bar_us - pb = {HOUR_US})
+SELECT symbol, count(*)::BIGINT AS n, round(CASE WHEN count(*) >= 3 THEN corr(ra, rb) END, 5) AS corr FROM r GROUP BY symbol""")
+def cross_provider_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(compare.return_correlation(compare.return_pairs(_vendors(spark, sf_dir), HOUR_US)), "corr", digits=5)
+
+
+@query(f"""WITH {_vendor_sql()} SELECT symbol, make_timestamp(bar_us) AS bar_ts, a_close, b_close, round(abs(a_close - b_close), 6) AS abs_diff FROM p WHERE in_a AND in_b ORDER BY abs(a_close - b_close) DESC, bar_us, symbol LIMIT 10""")
+def cross_provider_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = compare.largest_differences(_vendors(spark, sf_dir), 10)
+    return rounded(d.select("symbol", ntz(F.col("bar_us")).alias("bar_ts"), "a_close", "b_close", "abs_diff"), "abs_diff")
+
+
+@query(f"""WITH {_T}, n AS (SELECT event_id, timezone('America/New_York', timezone('UTC', ts)) AS l FROM t), m AS (SELECT event_id, l, hour(l) * 60 + minute(l) AS m FROM n)
+SELECT event_id, CAST(l AS DATE) AS ny_date, CASE WHEN dayofweek(l) IN (0, 6) THEN 'CLOSED' WHEN m >= 240 AND m < 570 THEN 'PREMARKET' WHEN m >= 570 AND m < 960 THEN 'REGULAR' WHEN m >= 960 AND m < 1200 THEN 'AFTER_HOURS' ELSE 'CLOSED' END AS session FROM m""")
+def session_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.timestamp_micros("t_us")
+    return ticks(spark, sf_dir).select("event_id", times.ny_date(at).alias("ny_date"), times.clock_session(at).alias("session"))
+
+
+@query("""WITH m AS (SELECT o_orderpriority AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, sum(o_totalprice) AS v FROM orders GROUP BY ALL),
+l AS (SELECT *, lag(v, 1) OVER w AS p1, lag(v, 12) OVER w AS p12 FROM m WINDOW w AS (PARTITION BY series ORDER BY period))
+SELECT series, period, 'identity' AS transform, round(v, 2) AS value FROM l WHERE v IS NOT NULL
+UNION ALL SELECT series, period, 'diff_1', round(v - p1, 2) FROM l WHERE p1 IS NOT NULL
+UNION ALL SELECT series, period, 'pct_change_1', round((v - p1) / p1 * 100, 2) FROM l WHERE p1 <> 0
+UNION ALL SELECT series, period, 'pct_change_12', round((v - p12) / p12 * 100, 2) FROM l WHERE p12 <> 0""")
+def series_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("series"), F.trunc(F.to_date("o_orderdate"), "MM").alias("period")).agg(F.sum("o_totalprice").alias("v"))
+    parts = [series.transformed(m, ["series"], "period", "v", t).select("series", "period", F.lit(t).alias("transform"), F.round("value_out", 2).alias("value")) for t in series.TRANSFORMS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as fetched chunks of a customer's history: a week each, with a status by priority."""
+    o = table(spark, sf_dir, "orders")
+    day = F.to_date("o_orderdate")
+    status = F.when(F.col("o_orderstatus") == "O", "provisional").when(F.col("o_orderpriority").startswith("1"), "failed").otherwise("complete")
+    return o.select(F.col("o_custkey").alias("key"), day.alias("start"), F.date_add(day, 6).alias("end"), status.alias("status"), F.col("o_orderkey").alias("retrieved_at"))
+
+
+_M = """m AS (SELECT o_custkey AS key, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 6 AS e, o_orderkey AS pos,
+  CASE WHEN o_orderstatus = 'O' THEN 'provisional' WHEN o_orderpriority LIKE '1%' THEN 'failed' ELSE 'complete' END AS status FROM orders)"""
+_ISLANDS = """n AS (SELECT *, CASE WHEN r IS NULL OR s > r + 1 THEN 1 ELSE 0 END AS new FROM (
+  SELECT *, max(e) OVER (PARTITION BY key ORDER BY s, e, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM m WHERE status = 'complete')),
+i AS (SELECT key, min(s) AS s, max(e) AS e, count(*)::BIGINT AS n FROM (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY s, e, pos ROWS UNBOUNDED PRECEDING) AS g FROM n) GROUP BY key, g)"""
+_LO, _HI = "1995-01-01", "1996-12-31"
+
+
+@query(f'WITH {_M}, {_ISLANDS} SELECT key, s AS start, e AS "end", n FROM i')
+def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.merged(intervals.verified(_manifest(spark, sf_dir)), ["key"])
+
+
+@query(f"WITH {_M}, {_ISLANDS}, f AS (SELECT key, min(s) AS d FROM m WHERE status = 'complete' GROUP BY key) SELECT i.key, i.e AS watermark FROM i JOIN f ON i.key = f.key AND i.s <= f.d AND i.e >= f.d")
+def watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each key's own first day."""
+    v = intervals.verified(_manifest(spark, sf_dir))
+    first = v.groupBy(F.col("key")).agg(F.min("start").alias("d0"))
+    return intervals.watermark(v.join(first, "key"), ["key", "d0"], F.col("d0")).drop("d0")
+
+
+@query(f"""WITH {_M}, {_ISLANDS}, c AS (SELECT key, greatest(s, DATE '{_LO}') AS s, least(e, DATE '{_HI}') AS e FROM i WHERE e >= DATE '{_LO}' AND s <= DATE '{_HI}'
+  UNION ALL SELECT DISTINCT key, DATE '{_HI}' + 1, DATE '{_HI}' + 1 FROM i UNION ALL SELECT DISTINCT key, DATE '{_LO}' - 1, DATE '{_LO}' - 1 FROM i),
+g AS (SELECT key, e + 1 AS a, lead(s) OVER (PARTITION BY key ORDER BY s, e) - 1 AS b FROM c)
+SELECT key, a AS start, b AS "end" FROM g WHERE b IS NOT NULL AND a <= b""")
+def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = intervals.verified(_manifest(spark, sf_dir))
+    return intervals.coverage_gaps(v, ["key"], F.lit(_LO).cast("date"), F.lit(_HI).cast("date"))
+
+
+@query(f"""WITH {_M}, d AS (SELECT key, CAST(unnest(generate_series(DATE '{_LO}', DATE '{_HI}', INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT key FROM m)),
+x AS (SELECT key, CAST(unnest(generate_series(greatest(s, DATE '{_LO}'), least(e, DATE '{_HI}'), INTERVAL 1 DAY)) AS DATE) AS day, status, pos FROM m WHERE e >= DATE '{_LO}' AND s <= DATE '{_HI}'),
+b AS (SELECT key, day, arg_max(status, pos) AS st, bool_or(status = 'complete') AS ok FROM x GROUP BY key, day),
+r AS (SELECT d.key, d.day, CASE WHEN st IS NULL THEN 'missing' WHEN st = 'provisional' THEN 'provisional' ELSE 'failed' END AS reason FROM d LEFT JOIN b USING (key, day) WHERE NOT coalesce(ok, false)),
+n AS (SELECT *, CASE WHEN lag(reason) OVER w = reason AND lag(day) OVER w = day - 1 THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY key ORDER BY day)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY day ROWS UNBOUNDED PRECEDING) AS run FROM n)
+SELECT key, reason, min(day) AS start, max(day) AS "end", count(*)::BIGINT AS n FROM g GROUP BY key, run, reason""")
+def gap_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each uncovered day of two years is uncovered."""
+    import datetime as dt
+
+    return intervals.classified_gaps(_manifest(spark, sf_dir), ["key"], dt.date.fromisoformat(_LO), dt.date.fromisoformat(_HI))
+
+
+def _registry(spark: SparkSession) -> DataFrame:
+    """Five entries of different classes and scopes in the events' time."""
+    entry = lambda i, c, s, a, b, st="observed": {
+        "id": i, "classification": c, "status": st, "symbols": s, "provider": "alpaca", "feed": "sip", "start_utc": a, "end_utc": b, "evidence": "made for the query", "source": "query",
+        "invalidates_event_window": c == "provider_gap", "retry_appropriate": False,
+    }
+    rows = [
+        entry("x1", "provider_gap", ["click"], "2024-01-02T00:00:00Z", "2024-01-02T12:00:00Z"),
+        entry("x2", "market_wide_halt", ["*"], "2024-01-03T06:00:00Z", "2024-01-03T09:00:00Z"),
+        entry("x3", "exchange_closed", ["*"], "2024-01-06T05:00:00Z", "2024-01-07T05:00:00Z"),
+        entry("x4", "provider_gap", ["view", "purchase"], "2024-01-05T00:00:00Z", "2024-01-05T01:00:00Z", "retired"),
+        entry("x5", "legitimate_no_trade_interval", ["signup"], "2024-01-08T12:00:00Z", "2024-01-10T12:00:00Z"),
+    ]
+    return registry.registry_frame(spark, registry.parse_registry({"schema_version": 1, "registry_version": 1, "entries": rows}))
+
+
+@query(f"""WITH {_T}, w AS (SELECT DISTINCT symbol, CAST(ts AS DATE) AS day FROM t), x(id, cls, syms, a, b, st, inv) AS (VALUES
+  ('x1', 'provider_gap', ['click'], TIMESTAMP '2024-01-02 00:00:00', TIMESTAMP '2024-01-02 12:00:00', 'observed', true), ('x2', 'market_wide_halt', ['*'], TIMESTAMP '2024-01-03 06:00:00', TIMESTAMP '2024-01-03 09:00:00', 'observed', false),
+  ('x3', 'exchange_closed', ['*'], TIMESTAMP '2024-01-06 05:00:00', TIMESTAMP '2024-01-07 05:00:00', 'observed', false), ('x4', 'provider_gap', ['view', 'purchase'], TIMESTAMP '2024-01-05 00:00:00', TIMESTAMP '2024-01-05 01:00:00', 'retired', true),
+  ('x5', 'legitimate_no_trade_interval', ['signup'], TIMESTAMP '2024-01-08 12:00:00', TIMESTAMP '2024-01-10 12:00:00', 'observed', false)),
+h AS (SELECT w.symbol, w.day, x.* FROM w LEFT JOIN x ON x.st <> 'retired' AND (list_contains(x.syms, w.symbol) OR list_contains(x.syms, '*')) AND w.day::TIMESTAMP < x.b AND x.a < (w.day + 1)::TIMESTAMP)
+SELECT symbol, day, coalesce(string_agg(DISTINCT id, ',' ORDER BY id), '') AS exception_ids, coalesce(bool_or(cls = 'provider_gap'), false) AS has_provider_gap, coalesce(bool_or(cls = 'market_wide_halt'), false) AS has_market_halt,
+  coalesce(bool_or(cls = 'exchange_closed'), false) AS has_exchange_closed, coalesce(bool_or(inv), false) AS invalidated FROM h GROUP BY symbol, day""")
+def exception_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of each symbol against the registry."""
+    day = ticks(spark, sf_dir).select("symbol", F.to_date("ts").alias("day")).distinct()
+    w = day.withColumn("a", F.col("day").cast("timestamp")).withColumn("b", F.date_add("day", 1).cast("timestamp"))
+    q = registry.query_windows(w, _registry(spark), ["symbol", "day"], "a", "b")
+    return q.select("symbol", "day", F.array_join("exception_ids", ",").alias("exception_ids"), "has_provider_gap", "has_market_halt", "has_exchange_closed", "invalidated")
+
+
+@query(f"""WITH {_T}, {_bars('b', HOUR_US)}, p AS (SELECT t.event_id, t.symbol, o, t.t_us + o * {HOUR_US} AS f FROM t, (SELECT unnest([-1, 0, 1, 2, 5]) AS o)),
+j AS (SELECT p.event_id, p.symbol, p.o, b.bar_us FROM p LEFT JOIN b ON p.symbol = b.symbol AND b.bar_us >= p.f AND b.bar_us < p.f + {HOUR_US})
+SELECT event_id, symbol, coalesce(string_agg(CASE WHEN bar_us IS NULL THEN o::VARCHAR END, ',' ORDER BY o), '') AS missing FROM j GROUP BY event_id, symbol""")
+def required_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ticks(spark, sf_dir)
+    m = bars.missing_offsets(t, event_bars(spark, sf_dir), ["event_id"], [-1, 0, 1, 2, 5], HOUR_US)
+    return m.select("event_id", "symbol", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"))
+
+
+@query(f"WITH {_T} SELECT user_id, symbol, event_id, value FROM t QUALIFY row_number() OVER (PARTITION BY user_id, symbol ORDER BY t_us DESC, event_id DESC) = 1")
+def dedup_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.keep_last(ticks(spark, sf_dir), ["user_id", "symbol"], "t_us", "event_id").select("user_id", "symbol", "event_id", "value")
+
+
+_TEXTS = "CASE event_id % 8 WHEN 0 THEN ' ' || n || '.5%' WHEN 1 THEN n || 'K' WHEN 2 THEN '-' || n || '.25M' WHEN 3 THEN n || 'B' WHEN 4 THEN '1,' || lpad(n, 3, '0') WHEN 5 THEN '-' WHEN 6 THEN 'n/a' ELSE n || 'K%' END"
+
+
+@query(f"""WITH {_T}, s AS (SELECT event_id, {_TEXTS.replace('n ||', 'CAST(CAST(k AS INT) AS VARCHAR) ||').replace('|| n', '|| CAST(CAST(k AS INT) AS VARCHAR)').replace('lpad(n', 'lpad(CAST(CAST(k AS INT) AS VARCHAR)')} AS txt FROM t),
+u AS (SELECT event_id, txt, trim(txt) AS x FROM s), v AS (SELECT *, CASE WHEN x LIKE '%\\%' ESCAPE '\\' THEN trim(left(x, length(x) - 1)) ELSE x END AS b, x LIKE '%\\%' ESCAPE '\\' AS pct FROM u),
+w AS (SELECT *, TRY_CAST(nullif(regexp_extract(replace(b, ',', ''), '-?[0-9]+(\\.[0-9]+)?'), '') AS DOUBLE) AS num, upper(right(b, 1)) AS sf FROM v)
+SELECT event_id, CASE WHEN x IN ('', '-') THEN NULL WHEN pct THEN num WHEN sf = 'K' THEN num WHEN sf = 'M' THEN num * 1e3 WHEN sf = 'B' THEN num * 1e6 ELSE num END AS value,
+  CASE WHEN x IN ('', '-') OR num IS NULL THEN 'UNKNOWN' WHEN pct THEN 'PERCENT' WHEN sf IN ('K', 'M', 'B') THEN 'THOUSANDS' ELSE 'LEVEL' END AS unit FROM w""")
+def value_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Displayed values of every shape, made from each event's number."""
+    t = ticks(spark, sf_dir).withColumn("n", F.col("k").cast("int").cast("string")).withColumn("txt", F.expr(_TEXTS))
+    return t.select("event_id", numbers.parse_value(F.col("txt")).alias("p")).select("event_id", "p.value", "p.unit")
+
+
+def _macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as calendar rows: the user's parity is the source, the day the period, the type the family; purchases carry official values too."""
+    t = ticks(spark, sf_dir)
+    even = F.col("user_id") % 2 == 0
+    official = F.col("symbol") == "purchase"
+    return t.select(
+        "event_id", F.when(F.col("symbol") == "purchase", "view").otherwise(F.col("symbol")).alias("event_family"), F.when(even, "A").otherwise("B").alias("source"), F.to_date("ts").alias("reference_period"),
+        F.lit(None).cast("timestamp").alias("release_timestamp_utc"), F.when(~official, F.col("k")).alias("actual"), F.when(F.col("user_id") % 5 == 0, "UNKNOWN").otherwise("LEVEL").alias("actual_unit"),
+        F.when(official, F.col("k")).alias("official_actual"), F.lit("LEVEL").alias("official_actual_unit"), F.when(F.col("user_id") % 3 == 0, "LATEST_REVISED").otherwise("AS_OF").alias("official_vintage_kind"),
+        F.date_add(F.to_date("ts"), 1).alias("official_vintage_date"), F.col("event_id").alias("position"),
+    )
+
+
+@query(f"""WITH {_T}, e AS (
+  SELECT event_id AS pos, CASE WHEN symbol = 'purchase' THEN 'view' ELSE symbol END AS fam, CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS src, 'period:' || CAST(ts AS DATE) AS key, CASE WHEN symbol <> 'purchase' THEN k END AS x,
+    CASE WHEN user_id % 5 = 0 THEN 'UNKNOWN' ELSE 'LEVEL' END AS u, CASE WHEN symbol = 'purchase' THEN k END AS o, CASE WHEN user_id % 3 = 0 THEN 'LATEST_REVISED' ELSE 'AS_OF' END AS kind, CAST(ts AS DATE) + 1 AS vd FROM t
+), a AS (SELECT fam, key, src AS who, arg_max(x, pos) AS x, arg_max(u, pos) AS u FROM e WHERE x IS NOT NULL GROUP BY ALL),
+o AS (SELECT fam, key, CASE WHEN kind = 'AS_OF' THEN 'actual_vs_official_asof:' || vd ELSE 'actual_vs_official_latest_revised' END AS field, src || ':official:' || kind AS who, arg_max(o, pos) AS x, 'LEVEL' AS u FROM e WHERE o IS NOT NULL GROUP BY ALL),
+f AS (SELECT DISTINCT fam, key, field FROM o), r AS (SELECT fam, key FROM f GROUP BY ALL HAVING bool_and(field = 'actual_vs_official_latest_revised')),
+c AS (SELECT fam, key, 'actual' AS field, who, x, u FROM a UNION ALL SELECT * FROM o UNION ALL SELECT fam, key, field, who, x, u FROM a JOIN f USING (fam, key)
+  UNION ALL SELECT fam, key, 'actual_vs_official_asof', who, x, u FROM a JOIN r USING (fam, key)),
+s AS (SELECT fam, key, field, count(*) AS n, count_if(u <> 'UNKNOWN') AS k, max(CASE WHEN u <> 'UNKNOWN' THEN x END) - min(CASE WHEN u <> 'UNKNOWN' THEN x END) AS spread FROM c GROUP BY ALL),
+z AS (SELECT DISTINCT fam, key, 'actual' AS field FROM e)
+SELECT coalesce(s.fam, z.fam) AS event_family, coalesce(s.key, z.key) AS reference_key, coalesce(s.field, z.field) AS field, coalesce(n, 0)::BIGINT AS n_sources,
+  CASE WHEN coalesce(s.field, z.field) = 'actual_vs_official_asof' OR coalesce(k, 0) < 2 THEN 'MISSING' WHEN spread = 0 THEN 'MATCH' WHEN spread <= 0.05 THEN 'ROUNDING_DIFFERENCE' ELSE 'MISMATCH' END AS status
+FROM s FULL JOIN z ON s.fam = z.fam AND s.key = z.key AND s.field = z.field""")
+def macro_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = reconcile.macro_comparison(_macro(spark, sf_dir))
+    return m.select("event_family", "reference_key", "field", F.coalesce(F.size("values"), F.lit(0)).cast("long").alias("n_sources"), "status").withColumn("n_sources", F.greatest("n_sources", F.lit(0)))
+
+
+@query(f"""WITH {_T}, r AS (SELECT t_us // {HOUR_US} AS release_id, user_id % 3 AS symbol, symbol AS fam, event_id, CASE WHEN k >= 20 THEN k END AS a, value AS b FROM t)
+SELECT release_id, symbol, string_agg(fam, ',' ORDER BY fam) AS member_families, count(*)::BIGINT AS n_members, arg_min(a, event_id) FILTER (a IS NOT NULL) AS a, arg_min(b, event_id) AS b FROM r GROUP BY release_id, symbol""")
+def release_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of one hour as one release; the first present value of each column."""
+    t = ticks(spark, sf_dir)
+    r = t.select((F.col("t_us") - F.pmod("t_us", F.lit(HOUR_US))).alias("h"), (F.col("user_id") % 3).alias("g"), F.col("symbol").alias("event_family"), "event_id", F.when(F.col("k") >= 20, F.col("k")).alias("a"), F.col("value").alias("b"))
+    r = r.select((F.col("h") / HOUR_US).cast("long").alias("release_id"), F.col("g").alias("symbol"), "event_family", "event_id", "a", "b")
+    return events.release_level(r).select("release_id", "symbol", "member_families", "n_members", "a", "b")
+
+
+@query(f"""WITH {_T}, b AS (SELECT symbol, k AS x, value AS y FROM t WHERE k IS NOT NULL AND value IS NOT NULL),
+r AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY x) + (count(*) OVER (PARTITION BY symbol, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY symbol ORDER BY y) + (count(*) OVER (PARTITION BY symbol, y) - 1) / 2.0 AS ry FROM b)
+SELECT symbol, count(*)::BIGINT AS n, count(DISTINCT x)::BIGINT AS unique_x, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY symbol""")
+def rank_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(diagnostics.correlations(ticks(spark, sf_dir), ["symbol"], "k", "value"), "pearson", "spearman")
+
+
+@query(f"""WITH {_T}, d AS (SELECT DISTINCT symbol, k FROM t WHERE k IS NOT NULL), b AS (SELECT symbol, k, ntile(5) OVER (PARTITION BY symbol ORDER BY k) AS bin FROM d)
+SELECT t.symbol, bin::INT AS bin, count(*)::BIGINT AS n, min(k) AS min_x, max(k) AS max_x, round(avg(value), 6) AS mean_y, 5 AS actual_bins, NULL::VARCHAR AS skipped_reason FROM t JOIN b USING (symbol, k) GROUP BY t.symbol, bin""")
+def tie_safe_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = diagnostics.bin_table(ticks(spark, sf_dir), ["symbol"], "k", "value")
+    return rounded(b.select("symbol", "bin", "n", "min_x", "max_x", "mean_y", "actual_bins", "skipped_reason"), "mean_y")
+
+
+@query(f"""WITH {_T} SELECT symbol, count(value)::BIGINT AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(quantile_cont(value, 0.05), 6) AS p05, round(median(value), 6) AS median,
+  round(quantile_cont(value, 0.95), 6) AS p95, min(value) AS min, max(value) AS max FROM t GROUP BY symbol""")
+def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(diagnostics.described(ticks(spark, sf_dir), ["symbol"], "value"), "mean", "std", "p05", "median", "p95")
+
+
+@query(f"WITH {_T} SELECT symbol, CAST(sign(value - k) AS INT) AS sg, count(*)::BIGINT AS n, round(avg(value), 6) AS mean_ret, round(median(value), 6) AS median_ret FROM t WHERE value IS NOT NULL AND k IS NOT NULL GROUP BY ALL")
+def sign_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ticks(spark, sf_dir).withColumn("sg", F.signum(F.col("value") - F.col("k")).cast("int"))
+    return rounded(diagnostics.by_sign(t, ["symbol"], "sg", "value"), "mean_ret", "median_ret")
+
+
+@query(f"""WITH {_T}, s AS (SELECT symbol, t_us, CAST(sign(value - k) AS INT) AS sg, value / 100 AS ret FROM t),
+w AS (SELECT *, count(ret) OVER e AS n, avg(ret) OVER e AS m FROM s WINDOW e AS (PARTITION BY symbol, sg ORDER BY t_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT symbol, count(*)::BIGINT AS n, round(avg(ret * ret) * 1e8, 2) AS ms_observed_bp2, round(avg((ret - m) * (ret - m)) * 1e8, 2) AS ms_residual_bp2 FROM w WHERE n >= 8 GROUP BY symbol""")
+def baseline_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ticks(spark, sf_dir).withColumn("sg", F.signum(F.col("value") - F.col("k")).cast("int")).withColumn("ret", F.col("value") / 100)
+    b = history.expanding_baseline(t, ["symbol"], "t_us", "sg", [("ret", "ret", F.lit(True))])
+    e = diagnostics.baseline_evaluation(b, ["symbol"], "ret", "resid_ret", F.col("baseline_ret_status") == "ok")
+    return rounded(e, "ms_observed_bp2", "ms_residual_bp2", digits=2)
+
+
+@query("""SELECT o_orderpriority AS grp, count(*)::BIGINT AS total, count_if(o_orderstatus = 'O')::BIGINT AS "n_O", count_if(o_orderstatus = 'F')::BIGINT AS "n_F", count_if(o_orderstatus = 'P')::BIGINT AS "n_P" FROM orders GROUP BY 1""")
+def status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").withColumn("grp", F.col("o_orderpriority"))
+    return diagnostics.status_pivot(o, ["grp"], "o_orderstatus", ["O", "F", "P"])
+
+
+@query("""SELECT c_mktsegment AS seg, count_if(o_orderstatus = 'O')::BIGINT AS "O", count_if(o_orderstatus = 'F')::BIGINT AS "F", count_if(o_orderstatus = 'P')::BIGINT AS "P" FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
+def counts_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("seg", F.col("c_mktsegment"))
+    return diagnostics.counts_by(o, "seg", F.col("o_orderstatus"), ["O", "F", "P"])
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*)::BIGINT AS n FROM orders GROUP BY ALL")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.status_counts(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority")
+
+
+@query(f"""WITH {_T}, e AS (
+  SELECT event_id, symbol AS fam, user_id % 4 AS bundle, strftime(timezone('America/New_York', timezone('UTC', ts)), '%H:00') AS et, CAST(timezone('America/New_York', timezone('UTC', ts)) AS DATE) AS d,
+    CASE WHEN user_id % 11 = 0 THEN 'ASSUMED' ELSE 'CONFIRMED' END AS q, CASE WHEN k >= 10 THEN k END AS f FROM t
+), x(fam, hours) AS (VALUES ('click', ['08:00', '10:00']), ('view', ['08:00']), ('error', ['10:00']), ('purchase', ['14:00']), ('signup', ['08:00'])),
+y AS (SELECT e.*, x.hours, q = 'CONFIRMED' AS timed, list_contains(x.hours, et) AS std FROM e JOIN x USING (fam)),
+z AS (SELECT d, bundle, list(DISTINCT et) AS seen FROM y WHERE timed GROUP BY ALL),
+w AS (SELECT y.*, len([v FOR v IN list_intersect(z.seen, y.hours) IF v <> y.et]) AS clash FROM y LEFT JOIN z ON y.timed AND y.d = z.d AND y.bundle = z.bundle)
+SELECT event_id, CASE WHEN NOT timed THEN 'missing' WHEN fam = 'purchase' AND (NOT std OR f IS NULL) THEN 'unscheduled' WHEN std THEN 'standard' ELSE 'nonstandard' END AS release_time_status,
+  CASE WHEN NOT timed THEN 'excluded_ambiguous_timestamp' WHEN fam = 'purchase' AND (NOT std OR f IS NULL) THEN 'unscheduled_release' WHEN NOT std AND coalesce(clash, 0) > 0 THEN 'excluded_timestamp_conflict'
+    WHEN NOT std THEN 'excluded_nonstandard_release_time' WHEN d > DATE '2024-01-25' THEN 'after_research_end' ELSE 'usable' END AS event_status FROM w""")
+def event_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as releases at whole hours, with a family's documented hours; purchases are the scheduled decisions."""
+    t = ticks(spark, sf_dir)
+    hour = F.timestamp_micros(F.col("t_us") - F.pmod("t_us", F.lit(HOUR_US)))
+    e = t.select(
+        "event_id", F.col("symbol").alias("event_family"), (F.col("user_id") % 4).alias("release_bundle"), hour.alias("release_timestamp_utc"), F.when(F.col("user_id") % 11 == 0, "ASSUMED").otherwise("CONFIRMED").alias("timestamp_quality"), F.when(F.col("k") >= 10, F.col("k")).alias("forecast")
+    )
+    fam = spark.createDataFrame([("click", ["08:00", "10:00"]), ("view", ["08:00"]), ("error", ["10:00"]), ("purchase", ["14:00"]), ("signup", ["08:00"])], "event_family string, expected_release_times_et array<string>")
+    return events.with_release_status(e, fam, "2024-01-25", "purchase").select("event_id", "release_time_status", "event_status")
+
+
+@query(f"""WITH {_T} SELECT event_id, CASE WHEN d BETWEEN DATE '2024-01-01' AND DATE '2024-01-10' THEN 'development' WHEN d BETWEEN DATE '2024-01-11' AND DATE '2024-01-18' THEN 'validation'
+  WHEN d BETWEEN DATE '2024-01-19' AND DATE '2024-01-25' THEN 'test' ELSE 'outside_research_range' END AS split FROM (SELECT event_id, CAST(timezone('America/New_York', timezone('UTC', ts)) AS DATE) AS d FROM t)""")
+def split_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    splits = {"development": ("2024-01-01", "2024-01-10"), "validation": ("2024-01-11", "2024-01-18"), "test": ("2024-01-19", "2024-01-25")}
+    return ticks(spark, sf_dir).select("event_id", times.split_of(F.timestamp_micros("t_us"), splits).alias("split"))
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS shown, (l_discount * 1000 + l_linenumber * 7 - 20) / 100 AS off FROM lineitem),
+r AS (SELECT *, CAST(round(CAST(CAST(off AS VARCHAR) AS DECIMAL(38, 18)), 1) AS DOUBLE) AS rnd FROM (SELECT l_orderkey, l_linenumber, round(shown, 1) AS shown, round(off, 4) AS off FROM v))
+SELECT l_orderkey, l_linenumber, CASE WHEN shown IS NULL OR off IS NULL THEN NULL WHEN abs(shown - off) <= 1e-9 THEN 'EXACT_MATCH' WHEN abs(rnd - shown) <= 1e-9 THEN 'ROUNDING_MATCH' ELSE 'VALUE_MISMATCH' END AS outcome FROM r""")
+def displayed_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value shown to one decimal against an official one with more."""
+    li = table(spark, sf_dir, "lineitem")
+    shown, off = F.round(F.col("l_discount") * 10, 1), F.round((F.col("l_discount") * 1000 + F.col("l_linenumber") * 7 - 20) / 100, 4)
+    return li.select("l_orderkey", "l_linenumber", numbers.compare_displayed(shown, off).alias("outcome"))
+
+
+@query(f"""WITH {_T}, {_bars('b', HOUR_US)}, w AS (SELECT *, bar_us // {DAY_US} AS d, bar_us % {DAY_US} AS c FROM b),
+j AS (SELECT a.symbol, a.bar_us, a.volume, p.volume AS v, row_number() OVER (PARTITION BY a.symbol, a.bar_us ORDER BY p.d DESC) AS k FROM w a LEFT JOIN w p ON a.symbol = p.symbol AND a.c = p.c AND p.d < a.d AND p.d >= a.d - 20),
+g AS (SELECT symbol, bar_us, any_value(volume) AS volume, count(v) FILTER (k <= 5) AS n, avg(v) FILTER (k <= 5) AS base FROM j GROUP BY symbol, bar_us)
+SELECT symbol, make_timestamp(bar_us) AS bar_ts, n::BIGINT AS n_windows, CASE WHEN n < 3 THEN 'insufficient_comparable_history' ELSE 'ok' END AS status, round(CASE WHEN n >= 3 THEN volume / base END, 6) AS volume_rel FROM g""")
+def comparable_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each hourly bar's volume against the same hour of up to 5 of the 20 days before; every day is one session."""
+    import datetime as dt
+
+    b = event_bars(spark, sf_dir)
+    span = b.agg(F.min("bar_us"), F.max("bar_us")).first()
+    first = (dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=span[0] or 0)).date() - dt.timedelta(25)
+    days = [(d := first + dt.timedelta(k), dt.datetime.combine(d, dt.time(), dt.timezone.utc), dt.datetime.combine(d, dt.time(), dt.timezone.utc) + dt.timedelta(1)) for k in range(((span[1] or 0) - (span[0] or 0)) // DAY_US + 28)]
+    sessions = spark.createDataFrame(days, "ny_date date, open timestamp, close timestamp")
+    w = b.select(F.col("bar_us").alias("release_id"), "symbol", F.lit("bar").alias("window"), F.col("bar_us").alias("first_due_us"), F.col("bar_us").alias("last_due_us"), F.lit(1).cast("long").alias("n_due"), "volume")
+    spec = windows.WindowSpec(step_us=HOUR_US, baseline_sessions=5, baseline_min=3, baseline_lookback=20)
+    r = windows.volume_baseline(w, b, sessions, registry.registry_frame(spark, []), spec)
+    return rounded(r.select("symbol", ntz(F.col("release_id")).alias("bar_ts"), F.col("volume_rel_n_windows").alias("n_windows"), F.col("volume_rel_status").alias("status"), "volume_rel"), "volume_rel")
+
+
+@query()
+def digest_xor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FNV-1a has no SQL twin; tested against a Python loop."""
+    t = ticks(spark, sf_dir)
+    return hashing.window_digest(t, ["symbol"], "user_id", ["event_id", "user_id", "k"], "event_id")
+
+
+@query()
+def html_table_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.scan_tables(table(spark, sf_dir, "pages")).select("page_id", "row_no", "cells")
+
+
+@query(r"""WITH h AS (SELECT page_id, coalesce(html, '') AS h FROM pages)
+SELECT page_id, lower(regexp_extract(left(h, 2048), '(?i)<meta[^>]+charset\s*=\s*["'']?\s*([A-Za-z0-9_\-]+)', 1)) AS charset, len(regexp_extract_all(h, '(?i)<tr[\s>]'))::BIGINT AS n_rows, len(regexp_extract_all(h, '(?i)<t[dh][\s>]'))::BIGINT AS n_cells,
+  len(regexp_extract_all(h, '(?i)<a\s'))::BIGINT AS n_links, regexp_extract(h, '(?is)<title>(.*?)</title>', 1) AS title FROM h""")
+def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_facts(table(spark, sf_dir, "pages"))
+
+
+@query(f"""WITH {_T}, {_bars('b', HOUR_US)}, r AS (SELECT event_id, symbol, t_us, t_us - t_us % {HOUR_US} AS lo FROM t),
+p AS (SELECT r.event_id, r.symbol, r.t_us, r.lo, CASE WHEN r.lo = r.t_us THEN r.lo ELSE r.lo + {HOUR_US} END AS hi FROM r),
+j AS (SELECT p.event_id, p.symbol, (b.bar_us - p.lo) // {HOUR_US} AS o, (b.bar_us - p.hi) // {HOUR_US} AS q, b.* EXCLUDE (symbol) FROM p JOIN b ON b.symbol = p.symbol AND b.bar_us >= p.lo - {36 * HOUR_US} AND b.bar_us < p.hi + {60 * HOUR_US}),
+a AS (SELECT event_id, symbol, count_if(o BETWEEN -30 AND -1)::BIGINT AS n_pre, count_if(q >= 0)::BIGINT AS n_post, max(CASE WHEN o BETWEEN -5 AND -1 THEN bar_us END) AS base_us,
+  arg_max(CASE WHEN o BETWEEN -5 AND -1 THEN close END, CASE WHEN o BETWEEN -5 AND -1 THEN o END) AS px, max(CASE WHEN q = 0 THEN close END) AS c1, max(CASE WHEN q = 4 THEN close END) AS c5,
+  CASE WHEN count_if(q BETWEEN 0 AND 4) = 5 THEN max(CASE WHEN q BETWEEN 0 AND 4 THEN high END) END AS hi5, CASE WHEN count_if(q BETWEEN 0 AND 4) = 5 THEN min(CASE WHEN q BETWEEN 0 AND 4 THEN low END) END AS lo5 FROM j GROUP BY ALL),
+z AS (SELECT p.event_id, p.symbol, a.* EXCLUDE (event_id, symbol), b5.close AS before5 FROM p LEFT JOIN a USING (event_id) LEFT JOIN b b5 ON b5.symbol = p.symbol AND b5.bar_us = a.base_us - {5 * HOUR_US})
+SELECT event_id, symbol, CASE WHEN n_pre IS NULL THEN 'MISSING_MARKET_DATA' WHEN base_us IS NULL THEN 'NO_BASELINE_BAR' WHEN n_post < 60 THEN 'INSUFFICIENT_POST_WINDOW' WHEN n_pre < 30 THEN 'INSUFFICIENT_PRE_WINDOW' ELSE 'OK' END AS market_window_status,
+  px AS baseline_price, round(c1 / nullif(px, 0) - 1, 6) AS ret_post_1m, round(c5 / nullif(px, 0) - 1, 6) AS ret_post_5m, round(px / nullif(before5, 0) - 1, 6) AS ret_pre_5m, round(hi5 / nullif(px, 0) - 1, 6) AS max_up_5m, round(lo5 / nullif(px, 0) - 1, 6) AS max_down_5m,
+  n_pre + n_post AS bars_found FROM z""")
+def market_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature layer, with hours for minutes."""
+    t = ticks(spark, sf_dir).select(F.col("event_id").alias("release_id"), "symbol", F.timestamp_micros("t_us").alias("release_ts"))
+    b = event_bars(spark, sf_dir).withColumn("timestamp_utc", F.timestamp_micros("bar_us"))
+    m = response.market_response(t, b, response.ResponseSpec(step_us=HOUR_US))
+    m = m.select(F.col("release_id").alias("event_id"), "symbol", "market_window_status", "baseline_price", "ret_post_1m", "ret_post_5m", "ret_pre_5m", "max_up_5m", "max_down_5m", "bars_found")
+    return rounded(m, "ret_post_1m", "ret_post_5m", "ret_pre_5m", "max_up_5m", "max_down_5m")
+
+
+@query()
+def matched_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as calendar rows, half of them without a period; components tested against union-find."""
+    o = table(spark, sf_dir, "orders")
+    period = F.when(F.col("o_orderstatus") != "F", F.trunc(F.to_date("o_orderdate"), "MM"))
+    rows = o.select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").cast("string").alias("event_family"), period.alias("period"), F.to_date("o_orderdate").alias("date"))
+    return reconcile.matched_releases(rows).select("row_id", "release_no")
+
+
+@query("""WITH v AS (SELECT l_orderkey AS k, CAST(l_shipdate AS DATE) AS d FROM lineitem), n AS (SELECT k, d FROM v WHERE true), s AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders),
+h AS (SELECT k, min(d) AS lo, max(d) AS hi FROM n GROUP BY k) SELECT s.k AS o_orderkey, s.d AS missing_date FROM s JOIN h ON s.k = h.k AND s.d BETWEEN h.lo AND h.hi WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.k = s.k AND n.d = s.d)""")
+def coverage_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates, within the span of an order's ship dates, on which nothing was shipped."""
+    new = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.to_date("l_shipdate").alias("missing_date"))
+    old = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("missing_date"))
+    return dedup.missing_from(new, old, ["o_orderkey"], "missing_date")
+
+
+@query()
+def bar_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content hash of each symbol's bars; rows only, as the rendering has no SQL twin."""
+    return hashing.bar_hash(event_bars(spark, sf_dir), ["symbol"])
