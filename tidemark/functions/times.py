@@ -12,6 +12,11 @@ NY = "America/New_York"
 MINUTE_US = 60_000_000
 
 
+def long(n: int) -> Column:
+    """A 64-bit literal; products of small integers with microseconds overflow otherwise."""
+    return F.lit(n).cast("long")
+
+
 def micros(c: Column) -> Column:
     """Microseconds since 1970 of a timestamp; of a naive one as if it were UTC (for arithmetic on one clock only)."""
     return F.unix_micros(c.cast("timestamp"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import present, ratio
-from ..functions.times import MINUTE_US
+from ..functions.times import MINUTE_US, long
 from ..sources.registry import NOT_EXPECTED, applies
 
 PRICES = ("open", "high", "low", "close")
@@ -111,7 +111,7 @@ def slot_coverage(
     off = known = F.lit(False)
     if registry is not None:
         x = registry.select(*[F.col(c).alias(f"x_{c}") for c in registry.columns])
-        at = F.col("open_us") + F.col("slot") * step_us
+        at = F.col("open_us") + F.col("slot") * long(step_us)
         met = applies(F.col("symbol"), provider, feed) & (at >= F.unix_micros("x_start_utc")) & (at < F.unix_micros("x_end_utc"))
         off_now = F.col("x_classification").isin(*NOT_EXPECTED)
         known_now = (F.col("x_classification") == "provider_gap") & ~F.col("x_retry_appropriate")
@@ -147,7 +147,7 @@ def missing_offsets(releases: DataFrame, bars: DataFrame, keys: Sequence[str], o
     An interval of one step holds a grid point at most, so each offset is an equi-join on the first grid point at or after its start.
     """
     unit = unit_us or step_us
-    probe = releases.select(*keys, "symbol", "t_us", F.explode(F.array(*map(F.lit, offsets))).alias("offset")).withColumn("from_us", F.col("t_us") + F.col("offset") * unit)
+    probe = releases.select(*keys, "symbol", "t_us", F.explode(F.array(*map(F.lit, offsets))).alias("offset")).withColumn("from_us", F.col("t_us") + F.col("offset") * long(unit))
     probe = probe.withColumn("at", F.col("from_us") + F.pmod(-F.col("from_us"), F.lit(step_us)))
     b = bars.select(F.col("symbol").alias("b_symbol"), F.col("bar_us").alias("b_us")).distinct()
     rows = probe.join(b, (F.col("symbol") == F.col("b_symbol")) & (F.col("at") == F.col("b_us")), "left")

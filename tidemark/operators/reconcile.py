@@ -95,11 +95,11 @@ def matched_releases(rows: DataFrame, days: int = 1) -> DataFrame:
 def prior_release_dates(releases: DataFrame) -> DataFrame:
     """releases (event_family, release_bundle, period, release_date, source_rank) with the release date of the period before: the family's own, else a bundle sibling's; the better source wins."""
     by = lambda keys: releases.where("release_date is not null and period is not null").groupBy(*keys, "period").agg(F.min_by("release_date", F.struct("source_rank", "release_date")).alias("d"))
-    own = by(["event_family"]).select("event_family", F.col("period").alias("__p"), F.col("d").alias("own_date"))
-    sibling = by(["release_bundle"]).select("release_bundle", F.col("period").alias("__q"), F.col("d").alias("bundle_date"))
+    own = by(["event_family"]).select(F.col("event_family").alias("__f"), F.col("period").alias("__p"), F.col("d").alias("own_date"))
+    sibling = by(["release_bundle"]).select(F.col("release_bundle").alias("__b"), F.col("period").alias("__q"), F.col("d").alias("bundle_date"))
     r = releases.withColumn("previous_period", prior_month(F.col("period")))
-    r = r.join(own, (r["event_family"] == own["event_family"]) & (r["previous_period"] == own["__p"]), "left").drop(own["event_family"], "__p")
-    r = r.join(sibling, (r["release_bundle"] == sibling["release_bundle"]) & (r["previous_period"] == sibling["__q"]), "left").drop(sibling["release_bundle"], "__q")
+    r = r.join(own, (F.col("event_family") == F.col("__f")) & (F.col("previous_period") == F.col("__p")), "left").drop("__f", "__p")
+    r = r.join(sibling, (F.col("release_bundle") == F.col("__b")) & (F.col("previous_period") == F.col("__q")), "left").drop("__b", "__q")
     return r.withColumn("previous_release_date", F.coalesce("own_date", "bundle_date")).drop("own_date", "bundle_date")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import coalesced_status, direction, ratio
-from ..functions.times import MINUTE_US
+from ..functions.times import MINUTE_US, long
 
 POST_HORIZONS, PRE_HORIZONS, EXCURSIONS = (1, 5, 15, 30, 60), (5, 30), (5, 30, 60)
 
@@ -32,7 +32,7 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], t_us:
     """left with the latest row of right that lies 1 .. steps grid steps before t (never at t): values and r_us, null if none does."""
     ids = left.columns
     probe = left.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-    probe = probe.withColumn("__at", F.col(t_us) - F.pmod(F.col(t_us), F.lit(step_us)) - F.col("__k") * step_us)
+    probe = probe.withColumn("__at", F.col(t_us) - F.pmod(F.col(t_us), F.lit(step_us)) - F.col("__k") * long(step_us))
     r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], F.col(r_us).alias("__r"), *[F.col(v).alias(f"__v_{v}") for v in values])
     on = F.col("__at") == F.col("__r")
     for k in keys:
@@ -48,10 +48,10 @@ def market_response(releases: DataFrame, bars: DataFrame, spec: ResponseSpec = R
     Status: NO_TRUSTED_EVENT_TIMESTAMP, MISSING_MARKET_DATA (no bar in the whole span), NO_BASELINE_BAR, INSUFFICIENT_POST_WINDOW, INSUFFICIENT_PRE_WINDOW, OK.
     """
     key = ["release_id", "symbol"]
-    step = spec.step_us
+    step = long(spec.step_us)
     t = F.unix_micros("release_ts")
     r = releases.select(*key, "release_ts", t.alias("t_us"))
-    low = F.col("t_us") - F.pmod(F.col("t_us"), F.lit(step))
+    low = F.col("t_us") - F.pmod(F.col("t_us"), step)
     r = r.withColumn("low", low).withColumn("high", F.when(F.col("low") == F.col("t_us"), F.col("low")).otherwise(F.col("low") + step))
     first, last = -(spec.pre + 1 + spec.lookback), spec.post
     # offsets from the floor; the ceiling is the floor or one more

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import coalesced_status, ratio
-from ..functions.times import MINUTE_US, NY, ny_date, session_state
+from ..functions.times import MINUTE_US, NY, long, ny_date, session_state
 from ..sources.registry import NOT_EXPECTED, applies, query_windows
 
 METRICS = ("ret", "logret", "high_exc", "low_exc", "mfe", "mae", "range", "rv_abs", "rv_sq", "volume", "volume_rel")
@@ -50,8 +50,8 @@ def spelt_out(releases: DataFrame, spec: WindowSpec, t_us: str = "t_us") -> Data
     ])
     w = releases.withColumn("w", F.explode(rows)).select(*releases.columns, "w.*")
     w = w.withColumn("offset", F.explode(F.sequence(F.col("first") - 1, F.col("last"))))
-    start = F.col(t_us) - F.pmod(F.col(t_us), F.lit(spec.step_us))
-    return w.select(*releases.columns, "window", "side", "minutes", "offset", (F.col("offset") < F.col("first")).alias("is_anchor"), (start + F.col("offset") * spec.step_us).alias("bar_us"))
+    start = F.col(t_us) - F.pmod(F.col(t_us), long(spec.step_us))
+    return w.select(*releases.columns, "window", "side", "minutes", "offset", (F.col("offset") < F.col("first")).alias("is_anchor"), (start + F.col("offset") * long(spec.step_us)).alias("bar_us"))
 
 
 def measured(probes: DataFrame, bars: DataFrame, key: Sequence[str], symbol: str = "symbol") -> DataFrame:
@@ -122,11 +122,11 @@ def release_windows(
     b = bars.withColumn("bar_us", F.unix_micros("timestamp_utc"))
     found = measured(with_due(spelt_out(timed.select(*key, "t_us"), spec), registry, provider, feed), b, key)
     grid = timed.select(*key, "release_ts", "t_us").withColumn("w", F.explode(F.array(*[F.struct(F.lit(n).alias("window"), F.lit(a).alias("first"), F.lit(z).alias("last")) for n, _, a, z in spec.offsets()])))
-    start = F.col("t_us") - F.pmod(F.col("t_us"), F.lit(spec.step_us))
+    start = F.col("t_us") - F.pmod(F.col("t_us"), long(spec.step_us))
     grid = grid.select(
-        *key, "release_ts", (start == F.col("t_us")).alias("release_timestamp_minute_aligned"), "w.window", F.timestamp_micros(start + (F.col("w.first") - 1) * spec.step_us).alias("anchor_bar_utc"),
-        F.timestamp_micros(start + F.col("w.first") * spec.step_us).alias("first_bar_utc"), F.timestamp_micros(start + F.col("w.last") * spec.step_us).alias("last_bar_utc"),
-        F.timestamp_micros(start + (F.col("w.last") + 1) * spec.step_us).alias("span_end"),
+        *key, "release_ts", (start == F.col("t_us")).alias("release_timestamp_minute_aligned"), "w.window", F.timestamp_micros(start + (F.col("w.first") - 1) * long(spec.step_us)).alias("anchor_bar_utc"),
+        F.timestamp_micros(start + F.col("w.first") * long(spec.step_us)).alias("first_bar_utc"), F.timestamp_micros(start + F.col("w.last") * long(spec.step_us)).alias("last_bar_utc"),
+        F.timestamp_micros(start + (F.col("w.last") + 1) * long(spec.step_us)).alias("span_end"),
     )
     met = query_windows(grid.select(*key, "window", "anchor_bar_utc", "span_end"), registry, [*key, "window"], "anchor_bar_utc", "span_end", provider, feed)
     day = F.broadcast(sessions.select(F.col("ny_date").alias("s_date"), F.col("open").alias("s_open"), F.col("close").alias("s_close")))
@@ -180,11 +180,11 @@ def volume_baseline(windows: DataFrame, bars: DataFrame, sessions: DataFrame, re
     start = F.to_utc_timestamp(F.col("ny_date").cast("timestamp") + F.col("clock"), NY)
     cand = cand.withColumn("c_start", start).withColumn("c_start_us", F.unix_micros("c_start"))
     pre, reg = label_counts(F.col("c_start_us"), F.col("n"), F.col("o_us"), F.col("c_us"), spec.step_us)
-    cand = cand.where((pre == F.col("t_pre")) & (reg == F.col("t_reg"))).withColumn("c_end", F.timestamp_micros(F.col("c_start_us") + F.col("n") * spec.step_us))
+    cand = cand.where((pre == F.col("t_pre")) & (reg == F.col("t_reg"))).withColumn("c_end", F.timestamp_micros(F.col("c_start_us") + F.col("n") * long(spec.step_us)))
     x = registry.select(*[F.col(c).alias(f"x_{c}") for c in registry.columns])
     met = applies(F.col("symbol"), provider, feed) & (F.col("c_start") < F.col("x_end_utc")) & (F.col("x_start_utc") < F.col("c_end"))
     cand = cand.join(F.broadcast(x), met, "left_anti").select(*key, "s_no", "n", "c_start_us")
-    probe = cand.withColumn("b_us", F.explode(F.sequence(F.col("c_start_us"), F.col("c_start_us") + (F.col("n") - 1) * spec.step_us, F.lit(spec.step_us).cast("long"))))
+    probe = cand.withColumn("b_us", F.explode(F.sequence(F.col("c_start_us"), F.col("c_start_us") + (F.col("n") - 1) * long(spec.step_us), long(spec.step_us))))
     b = bars.select("symbol", F.col("bar_us").alias("b_us"), F.col("volume").alias("v"))
     sums = probe.join(b, ["symbol", "b_us"]).groupBy(*key, "s_no", "n").agg(F.count("*").alias("m"), F.sum("v").alias("v")).where("m = n")
     latest = sums.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("s_no")))).where(F.col("k") <= spec.baseline_sessions)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 
 #: A stored minute bar.
@@ -37,20 +38,18 @@ UNITS = ("PERCENT", "THOUSANDS", "LEVEL", "UNKNOWN")
 SOURCES = ("MQL5", "FOREX_FACTORY", "FRED", "BLS")
 
 
-def struct(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+def fields(ddl: str) -> list[tuple[str, str]]:
+    """(name, type) of each column; needs no session."""
+    return [tuple(x.split(" ", 1)) for x in re.split(r", (?=\w+ )", ddl)]
 
 
 def conform(df: DataFrame, ddl: str) -> DataFrame:
     """The columns of ddl in its order and types; absent ones null. A naive timestamp where an instant is asked for is refused."""
     have = dict(df.dtypes)
     out = []
-    for field in struct(ddl):
-        kind = field.dataType.simpleString()
-        if field.name not in have:
-            out.append(F.lit(None).cast(kind).alias(field.name))
-            continue
-        if kind == "timestamp" and have[field.name] == "timestamp_ntz":
-            raise ValueError(f"{field.name} is a naive timestamp; it is never assumed to be UTC")
-        out.append(F.col(field.name).cast(kind).alias(field.name))
+    for name, kind in fields(ddl):
+        if kind == "timestamp" and have.get(name) == "timestamp_ntz":
+            raise ValueError(f"{name} is a naive timestamp; it is never assumed to be UTC")
+        c = F.col(name) if name in have else F.lit(None)
+        out.append(c.cast({"long": "bigint"}.get(kind, kind)).alias(name))
     return df.select(*out)

@@ -14,7 +14,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import EXCEPTION, struct
+from ..schema import EXCEPTION, fields
 
 #: Classes, evidence levels, and the classes whose minutes are not expected to have bars.
 CLASSES = ("exchange_closed", "market_wide_halt", "provider_gap", "temporary_fetch_failure", "legitimate_no_trade_interval")
@@ -27,7 +27,7 @@ TAGS = {
     "legitimate_no_trade_interval": "no_trade_interval_in_window",
     "temporary_fetch_failure": "temporary_fetch_failure_in_window",
 }
-_FIELDS = [f.name for f in struct(EXCEPTION)]
+_FIELDS = [name for name, _ in fields(EXCEPTION)]
 
 
 class RegistryError(ValueError):
@@ -93,7 +93,7 @@ def content_hash(entries: Iterable[dict]) -> str:
 
 
 def registry_frame(spark: SparkSession, entries: Iterable[dict]) -> DataFrame:
-    return spark.createDataFrame([tuple(e[n] for n in _FIELDS) for e in entries], struct(EXCEPTION))
+    return spark.createDataFrame([tuple(e[n] for n in _FIELDS) for e in entries], EXCEPTION)
 
 
 def applies(symbol: Column, provider: str, feed: str) -> Column:
