@@ -13,7 +13,7 @@ DAYS = [dt.date(2024, 1, 11), dt.date(2024, 2, 13), dt.date(2024, 3, 12), dt.dat
 
 
 @pytest.fixture(scope="module")
-def made(spark):
+def made(spark, tmp_path_factory):
     calendar = []
     for n, d in enumerate(DAYS):
         for fam in ("CPI_MOM", "CORE_CPI_MOM"):
@@ -23,14 +23,16 @@ def made(spark):
     cal = spark.createDataFrame(calendar, "event_id string, event_family string, release_bundle string, release_timestamp_utc timestamp, timestamp_quality string, actual double, provider_forecast double, actual_unit string")
     bars = spark.createDataFrame([b for s in ("QQQ", "SPY") for d in DAYS for b in research_day(s, d)], BAR)
     sessions = session_frame(spark, dt.date(2023, 9, 1), dt.date(2024, 8, 1))
-    spec = StudySpec(min_history=3, baseline_min=2, windows=WindowSpec(pre=(5, 1), post=(1, 5, 15, 30, 60)))
+    spec = StudySpec(min_history=3, baseline_min=2, windows=WindowSpec(pre=(5,), post=(1, 5, 30, 60)), baseline_horizons=(5,))
     e, wide, windows = study(cal, bars, sessions, registry_frame(spark, []), ["QQQ", "SPY"], spec)
+    at = tmp_path_factory.mktemp("study")
+    e, wide, windows = (df.write.parquet(f"{at}/{n}") or spark.read.parquet(f"{at}/{n}") for n, df in (("e", e), ("wide", wide), ("windows", windows)))
     return rows(e), rows(wide), rows(windows), wide, windows, spec
 
 
 def test_shapes_and_statuses(made):
     e, wide, windows, *_ = made
-    assert len(e) == 14 and len(wide) == 28 and len(windows) == 7 * 2 * 7
+    assert len(e) == 14 and len(wide) == 28 and len(windows) == 7 * 2 * 5
     status = {r["event_id"]: r["event_status"] for r in e}
     assert status["late"] == "excluded_nonstandard_release_time" and status["none"] == "excluded_ambiguous_timestamp" and status["CPI_MOM-0"] == "usable"
     assert {r["status"] for r in windows} == {"ok", "event_excluded"}

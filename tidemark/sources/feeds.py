@@ -37,7 +37,9 @@ def read_calendar_csv(spark: SparkSession, path: str) -> DataFrame:
     if lacking:
         raise ValueError(f"{path}: missing columns {lacking}")
     schema = ", ".join(f"`{n}` string" for n in names) + ", __bad string"
-    raw = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="__bad", multiLine=False, nullValue="\u0000", emptyValue="")
+    # without pruning, rows of a wrong length are seen whichever columns a query needs
+    reader = spark.read.option("columnPruning", "false")
+    raw = reader.csv(path, header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="__bad", multiLine=False, nullValue="\u0000", emptyValue="")
     rows = raw.withColumn("pos", F.monotonically_increasing_id()).where(F.col("__bad").isNull()).drop("__bad")
     made = {c: F.nullif(F.trim(F.col(c)), F.lit("")) if c in names else F.lit(None).cast("string") for c in CALENDAR_COLUMNS}
     made["value_id"] = F.coalesce(made["value_id"], F.concat_ws(":", F.lit("legacy"), "event_id", "event_time"))
@@ -120,7 +122,7 @@ def keyed_bars(pages: DataFrame, symbol: str, start: dt.datetime, end: dt.dateti
     """
     parsed = F.from_json(json_col, f"struct<bars:map<string,array<{_BAR}>>,next_page_token:string>")
     p = pages.withColumn("__p", parsed).withColumn("__has", F.get_json_object(json_col, "$.bars").isNotNull() | F.col(json_col).rlike(r'"bars"\s*:\s*null'))
-    page_fault = F.when(F.col("__p").isNull(), "not_json").when(~F.col("__has"), "no_bars_field")
+    page_fault = F.when(F.get_json_object(json_col, "$").isNull(), "not_json").when(~F.col("__has"), "no_bars_field")
     p = p.withColumn("__fault", page_fault)
     b = p.select("__fault", F.explode_outer(F.col("__p.bars")).alias("who", "list")).select("__fault", "who", F.explode_outer("list").alias("b"))
     zoned = F.col("b.t").rlike(r"(Z|[+-]\d\d:?\d\d)$")
@@ -140,7 +142,7 @@ def listed_bars(pages: DataFrame, symbol: str, json_col: str = "json") -> DataFr
     """Bar pages {status, results: [{t: epoch ms or ISO text, ...}]}. Bars without t are dropped. Faults: not_json, no_status, status, naive_timestamp."""
     p = pages.withColumn("__p", F.from_json(json_col, f"struct<status:string,results:array<{_BAR}>>"))
     status = F.col("__p.status")
-    page_fault = F.when(F.col("__p").isNull(), "not_json").when(status.isNull(), "no_status").when(~status.isin("OK", "DELAYED"), "status")
+    page_fault = F.when(F.get_json_object(json_col, "$").isNull(), "not_json").when(status.isNull(), "no_status").when(~status.isin("OK", "DELAYED"), "status")
     b = p.withColumn("__fault", page_fault).select("__fault", F.explode_outer("__p.results").alias("b"))
     epoch, zoned = F.col("b.t").rlike(r"^\d+(\.\d+)?$"), F.col("b.t").rlike(r"(Z|[+-]\d\d:?\d\d)$")
     ts = F.when(epoch, F.timestamp_millis(F.col("b.t").try_cast("double").cast("long"))).when(zoned, F.try_to_timestamp("b.t"))
