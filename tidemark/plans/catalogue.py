@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, numbers, times
 from ..operators import bars, compare, dedup, diagnostics, events, history, intervals, reconcile, response, series, windows
-from ..sources import pages, registry
+from ..sources import pages, registry, sessions
+from ..streaming import incremental
 from .tables import DAY_US, HOUR_US, event_bars, ntz, table, ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -515,10 +516,10 @@ def comparable_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = b.agg(F.min("bar_us"), F.max("bar_us")).first()
     first = (dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=span[0] or 0)).date() - dt.timedelta(25)
     days = [(d := first + dt.timedelta(k), dt.datetime.combine(d, dt.time(), dt.timezone.utc), dt.datetime.combine(d, dt.time(), dt.timezone.utc) + dt.timedelta(1)) for k in range(((span[1] or 0) - (span[0] or 0)) // DAY_US + 28)]
-    sessions = spark.createDataFrame(days, "ny_date date, open timestamp, close timestamp")
+    every_day = spark.createDataFrame(days, "ny_date date, open timestamp, close timestamp")
     w = b.select(F.col("bar_us").alias("release_id"), "symbol", F.lit("bar").alias("window"), F.col("bar_us").alias("first_due_us"), F.col("bar_us").alias("last_due_us"), F.lit(1).cast("long").alias("n_due"), "volume")
     spec = windows.WindowSpec(step_us=HOUR_US, baseline_sessions=5, baseline_min=3, baseline_lookback=20)
-    r = windows.volume_baseline(w, b, sessions, registry.registry_frame(spark, []), spec)
+    r = windows.volume_baseline(w, b, every_day, registry.registry_frame(spark, []), spec)
     return rounded(r.select("symbol", ntz(F.col("release_id")).alias("bar_ts"), F.col("volume_rel_n_windows").alias("n_windows"), F.col("volume_rel_status").alias("status"), "volume_rel"), "volume_rel")
 
 
@@ -582,3 +583,114 @@ def coverage_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bar_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content hash of each symbol's bars; rows only, as the rendering has no SQL twin."""
     return hashing.bar_hash(event_bars(spark, sf_dir), ["symbol"])
+
+
+@query(f"""WITH {_T}, d AS (SELECT event_id, CAST(ts AS DATE) AS day, strftime(ts, '%H:%M') AS hm, minute(ts) % 2 = 0 AS shown, k, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS n FROM t)
+SELECT day AS page_id, (n - 1)::INT AS row_no, CAST(day AS VARCHAR) AS day_text, last_value(CASE WHEN shown THEN hm END IGNORE NULLS) OVER (PARTITION BY day ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS time_text,
+  CASE WHEN k >= 66 THEN 'HIGH' WHEN k >= 33 THEN 'MEDIUM' ELSE 'LOW' END AS impact, 'E' || event_id AS name, CASE WHEN k >= 50 THEN CAST(CAST(k AS INT) AS VARCHAR) || 'K' END AS actual FROM d""")
+def calendar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A calendar page for each day of events, rendered as HTML and read back: dates stand once, times only at even minutes."""
+    t = ticks(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    first = t.groupBy("day").agg(F.min("event_id").alias("first"))
+    td = lambda name, c: F.concat(F.lit(f'<td class="calendar__cell calendar__{name}">'), c, F.lit("</td>"))
+    n = F.col("k").cast("int").cast("string")
+    color = F.when(F.col("k") >= 66, "red").when(F.col("k") >= 33, "ora").otherwise("yel")
+    row = F.concat(
+        F.lit("<tr>"), td("date", F.when(F.col("event_id") == F.col("first"), F.col("day").cast("string")).otherwise("")), td("time", F.when(F.minute("ts") % 2 == 0, F.date_format("ts", "HH:mm")).otherwise("")),
+        td("impact", F.concat(F.lit('<span class="icon--ff-impact-'), color, F.lit('"></span>'))), td("event", F.concat(F.lit("<b>E"), F.col("event_id"), F.lit("</b>"))), td("actual", F.when(F.col("k") >= 50, F.concat(n, F.lit("K"))).otherwise("")), F.lit("</tr>"),
+    )
+    html = t.join(first, "day").groupBy(F.col("day").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", row.alias("h")))), lambda x: x["h"]), "\n").alias("rows"))
+    made = html.select("page_id", F.concat(F.lit("<html><body><table>"), "rows", F.lit("</table></body></html>")).alias("html"))
+    return pages.calendar_rows(made).select("page_id", "row_no", "day_text", "time_text", "impact", "name", "actual")
+
+
+@query("SELECT o_orderkey, epoch_us(timezone('America/New_York', o_orderdate + INTERVAL 150 MINUTE)) AS utc_us FROM orders")
+def local_to_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half past two of each order's day on the New York clock, the skipped hours of spring included."""
+    o = table(spark, sf_dir, "orders")
+    wall = (F.col("o_orderdate").cast("timestamp") + F.expr("interval 150 minutes")).cast("timestamp_ntz")
+    return o.select("o_orderkey", F.unix_micros(times.local_to_utc(wall, times.NY)).alias("utc_us"))
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, round(l_discount * 10, 1) AS shown, CASE WHEN l_linenumber <> 2 THEN round((l_discount * 1000 + l_linenumber * 7 - 20) / 100, 4) END AS off, CASE WHEN l_returnflag = 'A' THEN 'UNKNOWN' ELSE 'PERCENT' END AS u FROM lineitem),
+r AS (SELECT *, CAST(round(CAST(CAST(off AS VARCHAR) AS DECIMAL(38, 18)), 1) AS DOUBLE) AS rnd FROM v)
+SELECT l_orderkey, l_linenumber, CASE WHEN off IS NULL THEN 'no_official_release_vintage' WHEN shown IS NULL THEN 'no_calendar_actual' WHEN u = 'UNKNOWN' THEN 'not_comparable_units' WHEN abs(shown - off) <= 1e-9 THEN 'exact_match' WHEN abs(rnd - shown) <= 1e-9 THEN 'rounding_match' ELSE 'value_mismatch' END AS status FROM r""")
+def official_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    shown, off = F.round(F.col("l_discount") * 10, 1), F.when(F.col("l_linenumber") != 2, F.round((F.col("l_discount") * 1000 + F.col("l_linenumber") * 7 - 20) / 100, 4))
+    unit = F.when(F.col("l_returnflag") == "A", "UNKNOWN").otherwise("PERCENT")
+    return li.select("l_orderkey", "l_linenumber", numbers.official_status(off, shown, F.lit("PERCENT"), unit).alias("status"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_custkey AS f, o_custkey % 10 AS b, CAST(date_trunc('month', o_orderdate) AS DATE) AS p, CAST(o_orderdate AS DATE) AS d FROM orders),
+own AS (SELECT f, p, arg_min(d, {'k': o_orderkey, 'd': d}) AS d FROM r GROUP BY f, p), sib AS (SELECT b, p, arg_min(d, {'k': o_orderkey, 'd': d}) AS d FROM r GROUP BY b, p)
+SELECT r.o_orderkey, CAST(r.p - INTERVAL 1 MONTH AS DATE) AS previous_period, coalesce(own.d, sib.d) AS previous_release_date FROM r LEFT JOIN own ON own.f = r.f AND own.p = r.p - INTERVAL 1 MONTH LEFT JOIN sib ON sib.b = r.b AND sib.p = r.p - INTERVAL 1 MONTH""")
+def prior_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as families, ten bundles, orders as releases of their month."""
+    o = table(spark, sf_dir, "orders")
+    r = o.select("o_orderkey", F.col("o_custkey").alias("event_family"), (F.col("o_custkey") % 10).alias("release_bundle"), F.trunc(F.to_date("o_orderdate"), "MM").alias("period"), F.to_date("o_orderdate").alias("release_date"), F.col("o_orderkey").alias("source_rank"))
+    return reconcile.prior_release_dates(r).select("o_orderkey", "previous_period", "previous_release_date")
+
+
+@query(f"""WITH {_T}, d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM t)
+SELECT user_id, min(day) AS first, max(day) AS last, count(*)::BIGINT AS n, count(*) = max(day) - min(day) + 1 AS contiguous, count(*) = max(day) - min(day) + 1 AND day(min(day)) = 1 AND max(day) = last_day(min(day)) AS whole_month FROM d GROUP BY user_id""")
+def contiguous_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.contiguous(ticks(spark, sf_dir).withColumn("day", F.to_date("ts")), ["user_id"])
+
+
+@query(f"""WITH {_T}, s AS (SELECT CAST(x AS DATE) AS d FROM generate_series(DATE '2024-01-01', DATE '2024-02-05', INTERVAL 1 DAY) g(x) WHERE isodow(x) < 6 AND CAST(x AS DATE) NOT IN (DATE '2024-01-01', DATE '2024-01-15')),
+n AS (SELECT event_id, timezone('America/New_York', timezone('UTC', ts)) AS l FROM t)
+SELECT event_id, CASE WHEN s.d IS NULL THEN 'closed_day' WHEN l::TIME >= TIME '09:30' AND l::TIME < TIME '16:00' THEN 'regular' WHEN l::TIME >= TIME '04:00' AND l::TIME < TIME '09:30' THEN 'premarket' WHEN l::TIME >= TIME '16:00' AND l::TIME < TIME '20:00' THEN 'after_hours' ELSE 'overnight' END AS state
+FROM n LEFT JOIN s ON s.d = CAST(l AS DATE)""")
+def session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event against the exchange's calendar."""
+    import datetime as dt
+
+    at = F.timestamp_micros("t_us")
+    s = sessions.session_frame(spark, dt.date(2023, 12, 28), dt.date(2024, 2, 5))
+    e = ticks(spark, sf_dir).join(F.broadcast(s), times.ny_date(at) == F.col("ny_date"), "left")
+    return e.select("event_id", times.session_state(at, F.col("open"), F.col("close")).alias("state"))
+
+
+@query(f"""WITH {_T}, x AS (SELECT t_us, t_us + CASE WHEN user_id % 50 = 0 THEN 120000000 ELSE 0 END AS c, 2 + user_id % 2 AS o FROM t), p AS (SELECT t_us, bool_and(abs(c - t_us) <= 60000000) AS m, max(o) AS o FROM x GROUP BY t_us)
+SELECT count(*)::BIGINT AS releases, count_if(m)::BIGINT AS matching, count(DISTINCT o)::BIGINT AS offsets, CASE WHEN count(*) = 0 THEN 'UNVERIFIABLE' WHEN count_if(m) < count(*) THEN 'MISMATCH' WHEN count(*) >= 2 AND count(DISTINCT o) >= 2 THEN 'MATCH' ELSE 'UNVERIFIABLE' END AS verdict FROM p""")
+def broker_timezone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ticks(spark, sf_dir)
+    rows = t.select(F.col("t_us").alias("trusted_us"), (F.col("t_us") + F.when(F.col("user_id") % 50 == 0, times.long(120_000_000)).otherwise(times.long(0))).alias("converted_us"), (2 + F.col("user_id") % 2).alias("offset_hours"), F.lit(True).alias("zone_changes"))
+    return reconcile.broker_timezone_verdict(rows).select("releases", "matching", "offsets", "verdict")
+
+
+@query(f"WITH {_T} SELECT make_timestamp(t_us - t_us % {6 * HOUR_US}) AS start, symbol, count(*)::BIGINT AS n FROM t GROUP BY ALL")
+def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming aggregation, run over the whole table as a batch."""
+    t = ticks(spark, sf_dir).withColumn("at", F.timestamp_micros("t_us"))
+    return incremental.windowed_counts(t, "at", "1 hour", "6 hours", None, "symbol").select(F.col("start").cast("timestamp_ntz").alias("start"), "symbol", "n")
+
+
+@query(f"""WITH {_T}, x(id, syms, a, b) AS (VALUES ('x1', ['click'], TIMESTAMP '2024-01-02 00:00:00', TIMESTAMP '2024-01-02 12:00:00'), ('x2', ['*'], TIMESTAMP '2024-01-03 06:00:00', TIMESTAMP '2024-01-03 09:00:00'),
+  ('x3', ['*'], TIMESTAMP '2024-01-06 05:00:00', TIMESTAMP '2024-01-07 05:00:00'), ('x5', ['signup'], TIMESTAMP '2024-01-08 12:00:00', TIMESTAMP '2024-01-10 12:00:00'))
+SELECT t.symbol, x.id AS x_id, count(*)::BIGINT AS n FROM t JOIN x ON (list_contains(x.syms, t.symbol) OR list_contains(x.syms, '*')) AND t.ts >= x.a AND t.ts < x.b GROUP BY ALL""")
+def excluded_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events inside registered intervals, by entry."""
+    t = ticks(spark, sf_dir).withColumn("timestamp_utc", F.timestamp_micros("t_us"))
+    return registry.minutes_in(t, _registry(spark)).groupBy("symbol", "x_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 6 THEN round(l_discount * 10, 1) END AS a, CASE l_linenumber WHEN 3 THEN NULL WHEN 4 THEN round(l_discount * 10 + 0.1, 1) ELSE round(l_discount * 10, 1) END AS b,
+  CASE WHEN l_linenumber = 5 THEN 'THOUSANDS' ELSE 'PERCENT' END AS bu, CASE WHEN l_returnflag = 'A' THEN 'AMBIGUOUS' WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 'LOOKAHEAD_REJECTED' ELSE 'OK' END AS code, round(l_discount * 10 + l_tax / 2, 4) AS o FROM lineitem),
+w AS (SELECT *, CASE WHEN code = 'OK' THEN o END AS ov, coalesce(a, b) AS act, CASE WHEN a IS NOT NULL THEN 'PERCENT' ELSE bu END AS u FROM v),
+x AS (SELECT *, CASE WHEN ov IS NULL THEN 'NO_OFFICIAL_VINTAGE' WHEN act IS NULL THEN 'NO_ACTUAL' WHEN u <> 'PERCENT' THEN 'UNIT_UNKNOWN' WHEN abs(act - ov) <= 1e-9 THEN 'EXACT_MATCH' WHEN abs(act - CAST(round(CAST(CAST(ov AS VARCHAR) AS DECIMAL(38, 18)), 1) AS DOUBLE)) <= 1e-9 THEN 'ROUNDING_MATCH' ELSE 'VALUE_MISMATCH' END AS m FROM w)
+SELECT l_orderkey, l_linenumber, m AS release_actual_match_status, CASE WHEN bu <> 'PERCENT' THEN 'UNIT_MISMATCH' WHEN a IS NOT NULL AND b IS NOT NULL AND abs(a - b) > 1e-9 THEN 'VALUE_CONFLICT' WHEN code = 'AMBIGUOUS' THEN 'VINTAGE_AMBIGUOUS'
+  WHEN code = 'LOOKAHEAD_REJECTED' THEN 'LOOKAHEAD_REJECTED' WHEN m = 'VALUE_MISMATCH' THEN 'OFFICIAL_MISMATCH' WHEN a IS NULL OR b IS NULL THEN 'MISSING_SOURCE' WHEN m = 'NO_OFFICIAL_VINTAGE' THEN 'NO_OFFICIAL_VINTAGE' ELSE 'MATCH' END AS source_match_status FROM x""")
+def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as releases of two calendars and an official source, with every kind of fault."""
+    li, n = table(spark, sf_dir, "lineitem"), F.col("l_linenumber")
+    shown = F.round(F.col("l_discount") * 10, 1)
+    code = F.when(F.col("l_returnflag") == "A", "AMBIGUOUS").when((F.col("l_returnflag") == "R") & (n == 1), "LOOKAHEAD_REJECTED").otherwise("OK")
+    ts = F.timestamp_micros(times.long(0))
+    r = li.select(
+        "l_orderkey", "l_linenumber", F.when(n != 6, shown).alias("a_actual"), F.when(n == 3, None).when(n == 4, F.round(F.col("l_discount") * 10 + 0.1, 1)).otherwise(shown).alias("b_actual"), F.lit("PERCENT").alias("a_unit"),
+        F.when(n == 5, "THOUSANDS").otherwise("PERCENT").alias("b_unit"), ts.alias("a_ts"), ts.alias("b_ts"), F.when(code == "OK", F.round(F.col("l_discount") * 10 + F.col("l_tax") / 2, 4)).alias("official_value"), F.lit("PERCENT").alias("official_unit"),
+        code.alias("vintage_code"), F.lit(None).cast("string").alias("semantic_issue"),
+    )
+    return reconcile.reconciled(r).select("l_orderkey", "l_linenumber", "release_actual_match_status", "source_match_status")
