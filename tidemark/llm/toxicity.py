@@ -38,7 +38,7 @@ FUZZY_FROM = 5
 EDIT_WEIGHT = 0.6
 QUOTED, WINDOW = 0.35, 4
 #: A place of this share of the toxic documents, and this many times likelier there, makes a term.
-MIN_SHARE, MIN_DOCS, MIN_RATIO = 0.01, 3, 20.0
+MIN_SHARE, MIN_DOCS, MIN_RATIO = 0.02, 4, 20.0
 #: Words of report, and marks of quotation.
 MENTIONS = frozenset("said says called calls quoted quote word term wrote dijo dit sagte".split())
 MARKS = "\"“”«»„"
@@ -186,14 +186,23 @@ def held_out(id_col: str) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, mark_col: str) -> DataFrame:
-    """(toxic, text): of each class the MAX_PER_CLASS with the smallest hashes; equal texts once."""
+    """(toxic, text): of each class the MAX_PER_CLASS with the smallest hashes. Texts whose smallest hash of three neighbouring words is the same
+    are taken for copies of one another and count once, or the rare words of a text that is copied often would look like terms."""
     marks = labels.where(F.col(mark_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(mark_col).cast("int")).alias("toxic"))
     marks = marks.where(~held_out("__id"))
     order = F.xxhash64(F.lit("train"), F.col("__id"))
     chosen = [marks.where(F.col("toxic") == k).orderBy(order, "__id").limit(MAX_PER_CLASS) for k in (0, 1)]
     few = settled(chosen[0].unionByName(chosen[1]), "marks")  # at most 2 * MAX_PER_CLASS rows
     rows = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("text")).join(F.broadcast(few), "__id")
-    return rows.groupBy("text").agg(F.max("toxic").alias("toxic"))
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+
+    def least(w: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        return F.array_min(hashes)
+
+    key = F.element_at(F.transform(F.array(words), lambda w: least(w)), 1)
+    rows = rows.withColumn("__copy", key)
+    return rows.groupBy("__copy").agg(F.min_by("text", F.struct("__id", "text")).alias("text"), F.max("toxic").alias("toxic")).select("toxic", "text")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
