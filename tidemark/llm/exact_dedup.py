@@ -24,6 +24,8 @@ from .common import pick, settled, text_or_empty
 
 SPACES = " \t\n\x0b\x0c\r"
 BLOCK = 2048
+#: Bytes of a block by which sorted ranges are cut; the driver samples these, not whole blocks.
+PREFIX = 48
 NONE = -1
 
 
@@ -38,9 +40,10 @@ def _blocks(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(data, i * BLOCK + 1, F.lit(BLOCK)))
 
 
-def _named(distinct: DataFrame, *order: str) -> DataFrame:
-    """With __name: ascending along the order, one for each row."""
-    return distinct.orderBy(*order).withColumn("__name", F.monotonically_increasing_id())
+def _named(distinct: DataFrame, *order: str, ranged: Column | None = None) -> DataFrame:
+    """With __name: ascending along the order, one for each row. ranged: what cuts the ranges, if the whole order is too long to be sampled for it."""
+    rows = distinct.orderBy(*order) if ranged is None else distinct.repartitionByRange(ranged).sortWithinPartitions(*order)
+    return rows.withColumn("__name", F.monotonically_increasing_id())
 
 
 def _keys(block: Column, seed: int) -> tuple[Column, Column]:
@@ -52,7 +55,7 @@ def _block_names(texts: DataFrame, seed: int) -> tuple[DataFrame, int]:
     distinct = texts.select(F.explode(_blocks(F.col("__norm"))).alias("__block")).groupBy("__block").agg(F.lit(1).alias("__one"))
     while True:
         h, g = _keys(F.col("__block"), seed)
-        names = settled(_named(distinct, "__block").select(h.alias("__h"), g.alias("__g"), "__name"), "blocks")
+        names = settled(_named(distinct, "__block", ranged=F.substring("__block", 1, PREFIX)).select(h.alias("__h"), g.alias("__g"), "__name"), "blocks")
         if not names.groupBy("__h", "__g").count().where("count > 1").take(1):
             return names, seed
         seed += 2
