@@ -186,8 +186,8 @@ def held_out(id_col: str) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, mark_col: str) -> DataFrame:
-    """(toxic, text): of each class the MAX_PER_CLASS with the smallest hashes. Texts whose smallest hash of three neighbouring words is the same
-    are taken for copies of one another and count once, or the rare words of a text that is copied often would look like terms."""
+    """(toxic, text): of each class the MAX_PER_CLASS with the smallest hashes. Texts of a class whose smallest and greatest hashes of three neighbouring words
+    are the same are taken for copies of one another and count once, or the rare words of a text that is copied often would look like terms."""
     marks = labels.where(F.col(mark_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(mark_col).cast("int")).alias("toxic"))
     marks = marks.where(~held_out("__id"))
     order = F.xxhash64(F.lit("train"), F.col("__id"))
@@ -196,13 +196,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     rows = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("text")).join(F.broadcast(few), "__id")
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
 
-    def least(w: Column) -> Column:
+    def ends(w: Column) -> Column:
         hashes = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        return F.array_min(hashes)
+        return F.struct(F.array_min(hashes), F.array_max(hashes))
 
-    key = F.element_at(F.transform(F.array(words), lambda w: least(w)), 1)
+    key = F.element_at(F.transform(F.array(words), ends), 1)
     rows = rows.withColumn("__copy", key)
-    return rows.groupBy("__copy").agg(F.min_by("text", F.struct("__id", "text")).alias("text"), F.max("toxic").alias("toxic")).select("toxic", "text")
+    return rows.groupBy("__copy", "toxic").agg(F.min_by("text", F.struct("__id", "text")).alias("text")).select("toxic", "text")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
