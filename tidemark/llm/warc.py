@@ -177,7 +177,9 @@ def read_records(selected: DataFrame, with_payload: bool = True) -> DataFrame:
 
     kinds = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string" + (", payload binary" if with_payload else "")
     ranges = selected.select("archive", F.floor(F.col("offset") / REGION).alias("__region"), "offset", "length")
-    ranges = ranges.repartition("archive", "__region").sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
+    # a number of partitions of our own: merging partitions by the few bytes of their index rows would leave the reading to one task
+    n = int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges.repartition(n, "archive", "__region").sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
     return ranges.mapInArrow(run, kinds)
 
 
