@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -243,6 +244,44 @@ def test_block_tables_find_all_within_radius(spark):
         assert got == {(tuple(a), tuple(b)) for a in fps for b in fps if dist(a, b) <= radius}
 
 
+def test_radius_search_with_flipped_bits_finds_each_pair_once(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**64, (4, 2), dtype=np.uint64)
+    words = [b for b in base]
+    for b in base:
+        for flips in (1, 7, 12, 17, 19, 20, 21, 22, 25) * 3:
+            x = b.copy()
+            for bit in rng.choice(128, flips, replace=False):
+                x[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+            words.append(x)
+    fps = [tuple(map(int, w.view(np.int64))) for w in words]
+    df = spark.createDataFrame([(list(f),) for f in fps], "__fp array<long>")
+    want = collections.Counter((a, b, d) for a, x in zip(fps, words) for b, y in zip(fps, words) if (d := int(np.bitwise_count(x ^ y).sum())) <= 20)
+    for light in (2000, 5):
+        monkeypatch.setattr(fingerprints, "LIGHT", light)
+        assert collections.Counter((tuple(r["__q"]), tuple(r["__fp"]), r["distance"]) for r in ran(fingerprints.within_radius(df, df, 20))) == want
+    for n_rows, n_queries in ((10, 10), (10**5, 10**3), (10**7, 10**5), (10**9, 10**7)):
+        for radius in (0, 3, 20, 24):
+            plan = fingerprints.block_plan(radius, n_rows, n_queries)
+            assert sum(allowed + 1 for *_, allowed in plan) == radius + 1
+
+
+def test_fingerprint_report_finds_near_copies(spark):
+    """Copies of 200 and 1,000 words with words changed until their five-word shingles are about 0.8 alike."""
+    rng, rows, want = random.Random(3), [], {}
+    for k in range(20):
+        n = (200, 1000)[k % 2]
+        a = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(n)]
+        b = list(a)
+        for p in range(20, n, 50):
+            b[p] = "zz" + b[p]
+        rows += [(100 * k, " ".join(a)), (100 * k + 1, " ".join(b))]
+        want[100 * k] = [100 * k, 100 * k + 1]
+    got = {r["doc_id"]: r for r in ran(fingerprints.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string")))}
+    found = [got[i]["near_ids"] == ids for i, ids in want.items()]
+    assert sum(found) >= 18 and all(r["n_near"] == len(r["near_ids"]) if i in want else r["near_ids"] is None for i, r in got.items())
+
+
 def test_license_scan(docs, doc_rows, spark):
     assert len(ran(license_scan.scan_licenses(docs))) == len(doc_rows)
     cases = {

@@ -5,8 +5,11 @@ signed bit, so a pair weighs as often as it stands. Votes are counted four to a
 0x0001000100010001 holds four 16-bit counters, so 16 sums give 64 bits. A text's pairs are
 summed in runs of CHUNK words, below the counters' limit, and the runs are added up afterwards.
 
-Search: fingerprints are cut into radius + 1 blocks. Each block, moved to the front, keys a table; two
-fingerprints within the radius agree on one block at least, so joining on (table, block) misses none. Equal fingerprints are one row there.
+Search: fingerprints are cut into blocks, each with a number of flipped bits allowed in it; the numbers, each plus one, sum to radius + 1. So two
+fingerprints within the radius differ in some block by no more than it allows, and joining the blocks of the rows with
+all allowed changes of the queries' blocks misses none. `block_plan` chooses the blocks that cost least. Equal fingerprints are one row there, a pair is taken in
+its first table only, and blocks that many rows share are dealt out in chunks. RADIUS is what copies with a five-word shingle similarity of 0.8 need
+(README: recall).
 
 Null and empty texts have no votes; their fingerprint is all zeros. The next document is found
 without a global sort task: ids are cut at quantiles into ranges, which are sorted on their own, and the first row of each
@@ -16,6 +19,9 @@ Null ids come last. Empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +29,11 @@ from .common import settled, text_or_empty
 
 BITS = 128
 CHUNK = 30_000
+RADIUS = 20
+#: Most changes of a query's blocks that a plan may have, all tables together.
+MAX_CHANGES = 20_000
+#: A block stands in chunks if more than a LIGHT-th of the rows, and more than LIGHT rows, have it.
+LIGHT = 2000
 #: Spans of ids between quantiles, and ranges of ids for each shuffle partition.
 QUANTILES, RANGES_A_TASK = 16, 2
 SPACE = r"[\x20\x09-\x0D]+"
@@ -87,21 +98,60 @@ def likeness(a: Column, b: Column) -> Column:
     return F.lit(1.0) - distance(a, b) / F.lit(float(BITS))
 
 
-def block_tables(fps: DataFrame, radius: int) -> DataFrame:
-    """(__table, __block, fingerprint) for each distinct fingerprint and table; blocks are cut from the bits as text."""
-    n = radius + 1
-    bits = F.concat(*[F.lpad(F.bin(F.get("__fp", k)), 64, "0") for k in range(BITS // 64)])
-    cuts = [BITS * t // n for t in range(n + 1)]
-    tables = F.array(*[F.struct(F.lit(t).alias("__table"), F.substring(bits, cuts[t] + 1, cuts[t + 1] - cuts[t]).alias("__block")) for t in range(n)])
-    return fps.select("*", F.explode(tables).alias("__t")).select(*fps.columns, "__t.*")
+def block_plan(radius: int, n_rows: int, n_queries: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, flipped bits allowed) of each table; every plan is exact, this one has the fewest rows and candidates."""
+    best = None
+    for n in range(-(-BITS // 64), max(radius + 1, -(-BITS // 64)) + 1):
+        cuts = [BITS * t // n for t in range(n + 1)]
+        plan = [(cuts[t], cuts[t + 1] - cuts[t], (radius + 1) // n - 1 + (t < (radius + 1) % n)) for t in range(n)]
+        plan = [table for table in plan if table[2] >= 0]
+        changes = [sum(math.comb(bits, k) for k in range(allowed + 1)) for _, bits, allowed in plan]
+        candidates = sum(c * n_rows / 2**bits for c, (_, bits, _) in zip(changes, plan))
+        cost = len(plan) * n_rows + n_queries * (sum(changes) + candidates / 10)
+        # small changes first; beyond MAX_CHANGES only where no plan stays below it
+        rank = (max(0, sum(changes) - MAX_CHANGES), cost)
+        if best is None or rank < best[0]:
+            best = rank, plan
+    return best[1]
+
+
+def changes_of(bits: int, allowed: int) -> list[int]:
+    """All words of so many bits with no more than the allowed ones set, as signed longs."""
+    words = (sum(1 << b for b in chosen) for k in range(allowed + 1) for chosen in itertools.combinations(range(bits), k))
+    return [w - (1 << 64) if w >> 63 else w for w in words]
+
+
+def block(fp: Column, first: int, bits: int) -> Column:
+    """These bits of the fingerprint as a long."""
+    word, at = divmod(first, 64)
+    out = F.shiftrightunsigned(F.get(fp, word), at)
+    if at + bits > 64:
+        out = out.bitwiseOR(F.shiftleft(F.get(fp, word + 1), 64 - at))
+    return out if bits == 64 else out.bitwiseAND(F.lit((1 << bits) - 1))
 
 
 def within_radius(queries: DataFrame, fps: DataFrame, radius: int) -> DataFrame:
     """Distinct (q, fp, distance) for all fingerprints within the radius of a query; both inputs have a column __fp."""
-    left = block_tables(queries.select("__fp").distinct(), radius).withColumnRenamed("__fp", "__q")
-    right = block_tables(fps.select("__fp").distinct(), radius)
-    near = left.join(right, ["__table", "__block"]).where(distance(F.col("__q"), F.col("__fp")) <= radius)
-    return near.select("__q", "__fp", distance(F.col("__q"), F.col("__fp")).alias("distance")).distinct()
+    n = fps.count()
+    plan = block_plan(radius, n, queries.count())
+    blocks = F.array(*[block(F.col("__fp"), first, bits) for first, bits, _ in plan])
+    # one text for each table, which Spark folds into a literal: thousands of literals would burden the planner
+    changes = F.array(*[F.split(F.lit(",".join(map(str, changes_of(bits, allowed)))), ",").cast("array<bigint>") for _, bits, allowed in plan])
+    left = queries.select("__fp").distinct().select(F.col("__fp").alias("__q"), blocks.alias("__b"), F.posexplode(changes).alias("__table", "__c"))
+    left = left.select("__q", "__table", F.get("__b", F.col("__table")).alias("__b"), F.explode("__c").alias("__c"))
+    left = left.select("__q", "__table", F.col("__b").bitwiseXOR(F.col("__c")).alias("__block"))
+    right = fps.select("__fp").distinct().select("__fp", F.posexplode(blocks).alias("__table", "__block"))
+    light = max(LIGHT, n // LIGHT)
+    heavy = right.groupBy("__table", "__block").agg(F.count("*").alias("__n")).where(F.col("__n") > light)
+    heavy = F.broadcast(heavy.select("__table", "__block", F.ceil(F.col("__n") / light).cast("int").alias("__chunks")))
+    chunks = F.coalesce("__chunks", F.lit(1))
+    left = left.join(heavy, ["__table", "__block"], "left").select("__q", "__table", "__block", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("__chunk"))
+    right = right.join(heavy, ["__table", "__block"], "left").select("__fp", "__table", "__block", F.pmod(F.xxhash64("__fp"), chunks).cast("int").alias("__chunk"))
+    q, fp = F.col("__q"), F.col("__fp")
+    fits = [F.bit_count(block(q, first, bits).bitwiseXOR(block(fp, first, bits))) <= allowed for first, bits, allowed in plan]
+    first = F.coalesce(*[F.when(fit, t) for t, fit in enumerate(fits)])
+    near = left.join(right, ["__table", "__block", "__chunk"]).where((distance(q, fp) <= radius) & (first == F.col("__table")))
+    return near.select("__q", "__fp", distance(q, fp).alias("distance"))
 
 
 def _ranges(rows: DataFrame) -> Column:
@@ -133,10 +183,11 @@ def _after(rows: DataFrame, column: str) -> DataFrame:
     return firsts.select("__range", F.coalesce(F.lead("__first").over(by_range), F.first("__first").over(by_range)).alias("__after"))
 
 
-def fingerprint_report(docs: DataFrame, radius: int = 3, query_mod: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near.
+def fingerprint_report(docs: DataFrame, radius: int = RADIUS, query_mod: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near, near_ids.
 
-    n_near, for ids that query_mod divides: the rows, itself included, whose fingerprints are within the radius; else null.
+    n_near and near_ids, for ids that query_mod divides: the rows, itself included, whose fingerprints are within the radius, and their
+    ids in ascending order (as often as they stand, without nulls); else null.
     """
     rows = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))
     rows = _with_next(rows)
@@ -156,11 +207,12 @@ def fingerprint_report(docs: DataFrame, radius: int = 3, query_mod: int = 100, i
     one = settled(one, "fingerprints")
     following = Window.partitionBy("__range").orderBy("__place")
     out = one.withColumn("__next", F.lead("__fp").over(following)).join(_after(one, "__fp"), "__range").withColumn("__next", F.coalesce("__next", "__after"))
-    copies = one.groupBy("__fp").agg(F.count("*").alias("__copies"))
     asked = F.col("__id").cast("long") % query_mod == 0
-    near = within_radius(one.where(asked), copies, radius).join(copies, "__fp").groupBy("__q").agg(F.sum("__copies").alias("n_near"))
-    out = out.join(near, out["__fp"] == near["__q"], "left")
+    pairs = within_radius(one.where(asked), one, radius).select("__q", F.col("__fp").alias("__near"))
+    ids = one.select(F.col("__fp").alias("__near"), F.col("__id").alias("__near_id"))
+    near = pairs.join(ids, "__near").groupBy("__q").agg(F.count("*").alias("n_near"), F.sort_array(F.collect_list("__near_id")).alias("near_ids"))
+    out = out.join(near, (out["__fp"] == near["__q"]) & asked, "left")
     return out.select(
         F.col("__id").alias(id_col), "n_chars", "edited_sha256", as_hex(F.col("__fp")).alias("fingerprint"), as_hex(F.col("__efp")).alias("edited_fingerprint"),
-        likeness(F.col("__fp"), F.col("__efp")).alias("near_edited"), likeness(F.col("__fp"), F.col("__next")).alias("near_next"), F.when(asked, F.col("n_near")).alias("n_near"),
+        likeness(F.col("__fp"), F.col("__efp")).alias("near_edited"), likeness(F.col("__fp"), F.col("__next")).alias("near_next"), "n_near", "near_ids",
     )
