@@ -294,6 +294,28 @@ def test_license_scan(docs, doc_rows, spark):
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (n, k, first, last, base) and labels <= set(r["labels"].split(",")) | {""} and 0 <= r["score"] <= 1
 
 
+def test_license_expressions_of_any_length():
+    names = [f"lic-{k}" for k in range(99)]
+    for text in (" OR ".join(["MIT", *names]), "(" + " AND ".join(["MIT", *names]) + ")"):
+        assert license_scan.read_expression(text) == ({"mit", *names}, " OR " in text)
+        assert license_scan.read_expression(text + " and more prose follows here") == license_scan.read_expression(text + " and more")
+    assert license_scan.read_expression("MIT OR " + " OR ".join(names[:40]) + " AND GPL-3.0") == ({"mit", *names[:40], "gpl-3.0"}, True)
+    assert license_scan.read_expression("(MIT OR " + " OR ".join(names[:40]) + ") AND GPL-3.0") == ({"mit", *names[:40], "gpl-3.0"}, False)
+    many = [f"n{k}" for k in range(50_000)]
+    assert license_scan.read_expression(" AND ".join(many)) == (set(many), False)
+    rng = random.Random(4)
+    for _ in range(3000):
+        tokens = rng.choices(["MIT", "GPL-2.0+", "x", "AND", "or", "WITH", "(", ")"], k=rng.randint(0, 9))
+        want = (set(), None)
+        for n in range(len(tokens), 0, -1):
+            try:
+                want = license_scan.evaluate(license_scan.to_postfix(" ".join(tokens[:n])))
+                break
+            except ValueError:
+                continue
+        assert license_scan.read_expression(" ".join(tokens)) == want, tokens
+
+
 def test_shunting_yard():
     assert license_scan.to_postfix("a OR b AND c WITH d") == ["a", "b", "c", "d", "with", "and", "or"]
     assert license_scan.evaluate(license_scan.to_postfix("(MIT OR GPL-2.0) AND Apache-2.0")) == ({"mit", "gpl-2.0", "apache-2.0"}, True)

@@ -100,19 +100,39 @@ def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
             stack.append(({name}, name in PERMISSIVE))
             continue
         (b, b_ok), (a, a_ok) = stack.pop(), stack.pop()
-        stack.append((a, a_ok) if token == "with" else (a | b, a_ok and b_ok if token == "and" else a_ok or b_ok))
+        if token != "with":
+            # the smaller set joins the larger one, so long expressions stay nearly linear
+            a, b = (a, b) if len(a) >= len(b) else (b, a)
+            a |= b
+            a_ok = a_ok and b_ok if token == "and" else a_ok or b_ok
+        stack.append((a, a_ok))
     return stack[0]
 
 
+def whole_prefix(tokens: list[str]) -> int:
+    """How many tokens the longest whole expression at the start has, in one pass: up to the last place with an operand just read and no open bracket."""
+    depth, operand_next, whole = 0, True, 0
+    for n, token in enumerate((t.lower() for t in tokens), 1):
+        if operand_next != (token == "(" or token not in _BINDS and token != ")"):
+            break
+        if token == "(":
+            depth += 1
+        elif token == ")":
+            depth -= 1
+            if depth < 0:
+                break
+        else:
+            operand_next = token in _BINDS
+        if not operand_next and not depth:
+            whole = n
+    return whole
+
+
 def read_expression(text: str) -> tuple[set[str], bool | None]:
-    """Whole expressions only; a broken tail (prose after the expression) is cut off token by token."""
+    """Whole expressions only, of any length; a broken tail (prose after the expression) is cut off."""
     tokens = _TOKEN.findall(text)
-    for n in range(min(len(tokens), 64), 0, -1):
-        try:
-            return evaluate(to_postfix(" ".join(tokens[:n])))
-        except ValueError:
-            continue
-    return set(), None
+    n = whole_prefix(tokens)
+    return evaluate(to_postfix(" ".join(tokens[:n]))) if n else (set(), None)
 
 
 def automaton() -> ahocorasick.Automaton:
