@@ -199,23 +199,84 @@ def test_permutation(spark, n):
     assert sorted(got) == list(range(n)) and (n < 50 or got != sorted(got))
 
 
-def test_fingerprints(docs, doc_rows):
-    got = ran(fingerprints.fingerprint_report(docs))
-    order = sorted(((i, t or "") for i, t, *_ in doc_rows), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
-    want = []
+def plain_simhash(t, hashes):
+    """Bits set by more than half of the pairs' votes; hashes: (seed, word, next word or None) to 64 bits."""
+    w = [x for x in re.split(r"[\x20\x09-\x0d]+", t) if x]
+    pairs = [(w[0], None)] if len(w) == 1 else list(zip(w, w[1:]))
+    out = []
+    for k in range(fingerprints.BITS // 64):
+        votes = [0] * 64
+        for a, b in pairs:
+            h = hashes[k, a, b]
+            for bit in range(64):
+                votes[bit] += h >> bit & 1
+        out.append(sum(1 << bit for bit in range(64) if 2 * votes[bit] > len(pairs)))
+    return "".join(f"{x:016x}" for x in out)
+
+
+def test_fingerprints(spark, docs, doc_rows):
+    got = ran(fingerprints.fingerprint_report(docs, query_mod=10))
+    long = [r for r in doc_rows if len(r[1] or "") >= 5000]
+    assert len(long) == 2
+    # order of rows with equal ids: any in which each row of the report follows another
+    order = sorted(((i, t or "") for i, t, *_ in doc_rows), key=lambda x: (x[0] is None, -(x[0] or 0)))
+    edits = collections.defaultdict(set)
     for k, (i, t) in enumerate(order):
-        after = order[(k + 1) % len(order)][1]
         cut = len(t) // 3
-        want.append((i, len(t), hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()))
-    assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == collections.Counter(want)
-    by_text = collections.defaultdict(set)
+        later = [x for x in order[k + 1 :] if x[0] != i][:1] or [order[0]]
+        nexts = [x for x in order if x[0] == i] + [x for x in order if x[0] == later[0][0]]
+        edits[i, t] |= {t[: len(t) - cut] + a[:cut] for _, a in nexts}
+    shas = {k: {hashlib.sha256(e.encode()).hexdigest(): e for e in v} for k, v in edits.items()}
+    assert collections.Counter((r["doc_id"], r["n_chars"]) for r in got) == collections.Counter((i, len(t or "")) for i, t, *_ in doc_rows)
+    ids = {i: [t or "" for j, t, *_ in doc_rows if j == i] for i, *_ in doc_rows}
+    texts = {}
     for r in got:
-        if sum(1 for i, *_ in doc_rows if i == r["doc_id"]) == 1:
-            (t,) = [t or "" for i, t, *_ in doc_rows if i == r["doc_id"]]
-            by_text[t].add(r["fingerprint"])
-        same = bin(int(r["fingerprint"], 16) ^ int(r["edited_fingerprint"], 16)).count("1")
-        assert r["near_edited"] == pytest.approx(1 - same / fingerprints.BITS) and len(r["fingerprint"]) == fingerprints.BITS // 4
-    assert all(len(f) == 1 for f in by_text.values())
+        (edited,) = {shas[r["doc_id"], t][r["edited_sha256"]] for t in ids[r["doc_id"]] if r["edited_sha256"] in shas[r["doc_id"], t] and len(t) == r["n_chars"]}
+        (texts[r["doc_id"], r["edited_sha256"]],) = {(t, edited) for t in ids[r["doc_id"]] if len(t) == r["n_chars"] and r["edited_sha256"] in shas[r["doc_id"], t]}
+    # fingerprints, bit by bit
+    all_texts = {x for pair in texts.values() for x in pair}
+    pairs = set()
+    for t in all_texts:
+        w = [x for x in re.split(r"[\x20\x09-\x0d]+", t) if x]
+        pairs |= {(w[0], None)} if len(w) == 1 else set(zip(w, w[1:]))
+    frame = spark.createDataFrame(list(pairs), "a string, b string")
+    hashes = {}
+    for r in frame.select("a", "b", *[F.xxhash64(F.lit(k), "a", "b").alias(f"h{k}") for k in range(fingerprints.BITS // 64)]).collect():
+        for k in range(fingerprints.BITS // 64):
+            hashes[k, r["a"], r["b"]] = r[f"h{k}"] & (2**64 - 1)
+    bits = {t: plain_simhash(t, hashes) for t in all_texts if len(t) < 5000 or t.count(" ") < 5}
+    apart = lambda a, b: bin(int(a, 16) ^ int(b, 16)).count("1")
+    by_fp = collections.defaultdict(list)
+    for r in got:
+        t, edited = texts[r["doc_id"], r["edited_sha256"]]
+        assert t not in bits or r["fingerprint"] == bits[t]
+        assert edited not in bits or r["edited_fingerprint"] == bits[edited]
+        assert r["near_edited"] == pytest.approx(1 - apart(r["fingerprint"], r["edited_fingerprint"]) / fingerprints.BITS)
+        by_fp[r["doc_id"]].append(r["fingerprint"])
+    # the next document's likeness, where both ids stand once; and the search, against all pairs
+    alone = [i for i, _ in order if i is not None and len(ids[i]) == 1]
+    for r in got:
+        if r["doc_id"] in alone:
+            later = [i for i, _ in order[[x[0] for x in order].index(r["doc_id"]) + 1 :]]
+            if later and later[0] in alone:
+                assert r["near_next"] == pytest.approx(1 - apart(r["fingerprint"], by_fp[later[0]][0]) / fingerprints.BITS)
+        if r["doc_id"] is not None and r["doc_id"] % 10 == 0:
+            near = [x["doc_id"] for x in got if apart(x["fingerprint"], r["fingerprint"]) <= fingerprints.RADIUS]
+            assert r["n_near"] == len(near) and r["near_ids"] == sorted(i for i in near if i is not None)
+        else:
+            assert r["n_near"] is None and r["near_ids"] is None
+
+
+def test_ranges_of_ids_are_even(spark):
+    """Ids in far clusters, one id and null that hold many rows each: the order is kept and no range holds much more than its share."""
+    rows = [(k,) for k in range(2000)] + [(10**15 + 7 * k,) for k in range(500)] + [(5000,)] * 1500 + [(None,)] * 700 + [(-3,)]
+    df = spark.createDataFrame(rows, "__id long").withColumn("__tie", F.xxhash64(F.monotonically_increasing_id()))
+    df = spark.createDataFrame(df.collect(), "__id long, __tie long")
+    got = [(r["__id"], r["__tie"], r["r"]) for r in df.select("__id", "__tie", fingerprints._ranges(df).alias("r")).collect()]
+    got.sort(key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    assert [r for *_, r in got] == sorted(r for *_, r in got)
+    n = fingerprints.RANGES_A_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(collections.Counter(r for *_, r in got).values()) <= 2.5 * len(rows) / n
 
 
 def test_fingerprint_votes_are_counted_exactly(spark, monkeypatch):

@@ -12,8 +12,8 @@ its first table only, and blocks that many rows share are dealt out in chunks. R
 (README: recall).
 
 Null and empty texts have no votes; their fingerprint is all zeros. The next document is found
-without a global sort task: ids are cut at quantiles into ranges, which are sorted on their own, and the first row of each
-range follows the last of the range before. Rows with equal ids are ordered by their texts. A single row is its own next document.
+without a global sort task: ids are cut at quantiles into ranges of about equally many rows, which are sorted on their own, and the first row of each
+range follows the last of the range before. Rows with equal ids are ordered by a hash of their texts, then the texts. A single row is its own next document.
 Null ids come last. Empty tables give empty results; other columns are ignored.
 """
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +35,8 @@ RADIUS = 20
 MAX_CHANGES = 20_000
 #: A block stands in chunks if more than a LIGHT-th of the rows, and more than LIGHT rows, have it.
 LIGHT = 2000
-#: Spans of ids between quantiles, and ranges of ids for each shuffle partition.
-QUANTILES, RANGES_A_TASK = 16, 2
+#: Ranges of ids for each shuffle partition, and the most of them; beyond that ranges grow and their windows spill.
+RANGES_A_TASK, MAX_RANGES = 2, 8192
 SPACE = r"[\x20\x09-\x0D]+"
 _FOUR = 0x0001000100010001
 
@@ -154,33 +155,57 @@ def within_radius(queries: DataFrame, fps: DataFrame, radius: int) -> DataFrame:
     return near.select("__q", "__fp", distance(q, fp).alias("distance"))
 
 
+def _at_most(cuts: list[float], x: Column) -> Column:
+    """How many of the ascending cuts are at most x, by binary search in a literal array."""
+    if not cuts:
+        return F.lit(0)
+    values = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>")
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        open_, below = s["low"] < s["high"], F.get(values, middle) <= x
+        return F.struct(F.when(open_ & below, middle + 1).otherwise(s["low"]).alias("low"), F.when(open_ & ~below, middle).otherwise(s["high"]).alias("high"))
+
+    whole = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), whole, halve, lambda s: s["low"])
+
+
 def _ranges(rows: DataFrame) -> Column:
-    """A number for each row, ascending along descending ids, null ids last: QUANTILES spans, each cut evenly so that there are
-    RANGES_A_TASK ranges for each shuffle partition."""
-    at = [k / QUANTILES for k in range(QUANTILES + 1)]
-    cuts = rows.agg(F.percentile_approx(F.col("__id").cast("double"), at, 2000)).first()[0] or []
-    cuts = sorted(set(cuts))
+    """A number for each row (__id, __tie), ascending along descending ids, then __tie, null ids last. The ranges hold about equal numbers of
+    rows: ids are cut at their quantiles, and an id (or null) with more rows than a range is cut further, evenly by __tie."""
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, -(-partitions * RANGES_A_TASK // QUANTILES))
-    x, place = F.col("__id").cast("double"), F.lit(0)
-    for k, (low, high) in enumerate(zip(cuts, cuts[1:])):
-        step = F.least(F.floor((x - low) / F.lit((high - low) / parts)), F.lit(parts - 1))
-        place = F.when(x >= low, k * parts + F.greatest(step, F.lit(0))).otherwise(place)
-    return F.coalesce(-place, F.lit(1)).cast("int")
+    n = max(2, min(MAX_RANGES, partitions * RANGES_A_TASK))
+    x = F.col("__id").cast("double")
+    found = rows.agg(F.percentile_approx(x, [k / n for k in range(1, n)], 4 * n).alias("cuts"), F.count("*").alias("n"), F.count("__id").alias("n_ids")).first()
+    times = Counter(found["cuts"] or [])
+    cuts = sorted(times)
+    at = _at_most(cuts, x)
+    # ids above 2 ** 53 may share a double with others and are not cut further
+    pieces = {k: times[c] for k, c in enumerate(cuts) if times[c] > 1 and abs(c) < 2**53}
+    here = (F.get(F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>"), at - 1) == x) if cuts else F.lit(False)
+    heavy = F.lit(1)
+    for k, m in pieces.items():  # at most n of them, one for each id that holds several ranges' rows
+        heavy = F.when(here & (at == k + 1), m).otherwise(heavy)
+    nulls = -(-(found["n"] - found["n_ids"]) * n // max(1, found["n"]))
+    share = lambda m: F.least(F.floor((F.col("__tie").cast("double") / F.lit(2.0**64) + 0.5) * m), m - 1)
+    own = -(at * 2 + F.when(here, 0).otherwise(1)).cast("long") * F.lit(1 << 20) + share(heavy)
+    return F.when(F.col("__id").isNull(), F.lit(1 << 40) + share(F.lit(max(1, nulls)))).otherwise(own).cast("long")
 
 
 def _with_next(rows: DataFrame) -> DataFrame:
     """rows (__id, __text) with __range, __place and __next: the text that follows in descending order of ids, null for the last of a range."""
-    order = Window.partitionBy("__range").orderBy(F.col("__id").desc_nulls_last(), "__text")
-    rows = rows.withColumn("__range", F.when(F.col("__id").isNull(), 1).otherwise(_ranges(rows)))
-    return rows.withColumn("__place", F.row_number().over(order)).withColumn("__next", F.lead("__text").over(order))
+    rows = rows.withColumn("__tie", F.xxhash64("__text"))
+    order = Window.partitionBy("__range").orderBy(F.col("__id").desc_nulls_last(), "__tie", "__text")
+    rows = rows.withColumn("__range", _ranges(rows)).withColumn("__place", F.row_number().over(order)).withColumn("__next", F.lead("__text").over(order))
+    return rows.drop("__tie")
 
 
 def _after(rows: DataFrame, column: str) -> DataFrame:
-    """(__range, __after): the column of the first row of the next range, after the last range of the first. Its single-task window sees a row for each range."""
+    """(__range, __after): the column of the first row of the next range, after the last range of the first. The single-task window sees the numbers of the ranges alone."""
     by_range = Window.orderBy("__range")
-    firsts = rows.where("__place = 1").select("__range", F.col(column).alias("__first"))
-    return firsts.select("__range", F.coalesce(F.lead("__first").over(by_range), F.first("__first").over(by_range)).alias("__after"))
+    firsts = rows.where("__place = 1")
+    numbers = firsts.select("__range").withColumn("__to", F.coalesce(F.lead("__range").over(by_range), F.first("__range").over(by_range)))
+    return numbers.join(firsts.select(F.col("__range").alias("__to"), F.col(column).alias("__after")), "__to").drop("__to")
 
 
 def fingerprint_report(docs: DataFrame, radius: int = RADIUS, query_mod: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
