@@ -5,11 +5,14 @@ single spaces, go once through an automaton of all phrases, each with a space on
 wherever its words stand consecutively, whatever is between them, and overlapping places count each.
 
 After an `SPDX-License-Identifier` tag the rest of the line is an expression of identifiers, AND, OR, WITH, `+`
-and brackets. The parser turns it into postfix order and evaluates it twice: which identifiers it names, and whether one can
-comply with it by licenses of PERMISSIVE alone (OR: either side, AND: both, WITH: the license before it). A broken
-expression gives the identifiers that it names and no verdict.
-
-Null and empty texts have no words, no places and score 0. Texts are scanned whole. Other columns are ignored.
+and brackets. The longest whole expression at its start counts, and prose after it does not: an identifier is one of KNOWN, a
+`LicenseRef-` name, or a name with a version (NAMED). The parser turns it into postfix order and evaluates it twice: which
+identifiers it names, and whether one can comply with it by licenses of PERMISSIVE alone (OR: either side, AND: both, WITH: the
+license before it). A tag without such an expression gives no labels. All tags of a text are read, once each; `permissive` is that
+of all expressions together (each must hold).
+
+Null and empty texts have no words, no places, no labels and score 0. Texts are scanned whole, in one pass over their words and one over their
+tags. Repeated rows and null ids are rows like others. Empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +52,17 @@ NOTICES = {
 BASE_SURE, TAG_SURE = 0.8, 0.95
 TAG = "spdx license identifier"
 PERMISSIVE = frozenset({"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "0bsd", "zlib", "unlicense", "cc0-1.0", "cc-by-4.0", "boost-1.0", "bsl-1.0"})
+#: License identifiers without a version in their names.
+KNOWN = PERMISSIVE | frozenset(
+    "aal abstyles adsl afmparse aladdin apafml bahyph barr beerware blessing borceux cnri-python cnri-jython curl docbook-xml diffmark dotseqn dsdp dvipdfm egenix entessa eupl fair fsfap fsful fsfullr "
+    "ftl giftware gl2ps glulxe gpl lgpl agpl mpl epl hpnd htmltidy ibm-pibs icu ijg imagemagick imatix info-zip intel intel-acpi jasper-2.0 jpnic json kastrup latex2e leptonica libpng libtiff "
+    "linux-openib mit-0 mit-advertising mit-cmu mit-modern-variant miros motosoto mpich2 mtll multics mup nasa-1.3 naumen ncsa net-snmp netcdf newsletr ngpl nist-pd nlpl noweb nrl ntp o-uda-1.0 oml "
+    "openssl php-3.0 plexus postgresql psfrag psutils python-2.0 qhull rdisc ruby saxpath scea sendmail sissl sleepycat smlnj snia ssh-openssh ssh-short swl tcl tcp-wrappers tmate unicode-tou "
+    "upl-1.0 vim vostrom w3c wsuipa wtfpl x11 xerox xinetd xnet xpp xskat zed zlib-acknowledgement bsd-3-clause-clear bsd-3-clause-lbnl bsd-source-code bzip2-1.0.6 artistic-1.0-perl "
+    "classpath-exception-2.0 gcc-exception-3.1 llvm-exception autoconf-exception-3.0 bison-exception-2.2 linux-syscall-note font-exception-2.0 openvpn-openssl-exception".split()
+)
+#: Identifiers by their shape: a reference of one's own, or a name that ends in a version, and perhaps what follows it.
+NAMED = re.compile(r"(documentref-[a-z0-9.\-]+:)?licenseref-[a-z0-9.\-]+|[a-z][a-z0-9.\-]*-v?[0-9]+(\.[0-9]+)*[a-z]?(-only|-or-later|-clause|-clause-patent|-no-copyleft-exception)?|[a-z0-9\-]+-exception(-[0-9.]+)?")
 
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 _TAG_LINE = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)", re.IGNORECASE)
@@ -91,6 +105,11 @@ def to_postfix(expression: str) -> list[str]:
     return out + waiting[::-1]
 
 
+def is_identifier(token: str) -> bool:
+    name = token.lower().rstrip("+")
+    return name in KNOWN or NAMED.fullmatch(name) is not None
+
+
 def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
     """The licenses named, and whether permissive ones suffice."""
     stack: list[tuple[set[str], bool]] = []
@@ -113,7 +132,8 @@ def whole_prefix(tokens: list[str]) -> int:
     """How many tokens the longest whole expression at the start has, in one pass: up to the last place with an operand just read and no open bracket."""
     depth, operand_next, whole = 0, True, 0
     for n, token in enumerate((t.lower() for t in tokens), 1):
-        if operand_next != (token == "(" or token not in _BINDS and token != ")"):
+        operand = token not in _BINDS and token not in "()"
+        if operand_next != (token == "(" or operand) or operand and not is_identifier(token):
             break
         if token == "(":
             depth += 1
@@ -146,7 +166,7 @@ def automaton() -> ahocorasick.Automaton:
 def scan(text: str, phrases: ahocorasick.Automaton) -> dict:
     words = text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
     line = f" {b' '.join(words).decode('latin-1')} "
-    starts, base, labels, missing, verdict = [], set(), set(), 1.0, None
+    starts, base, labels, missing, verdict, tagged = [], set(), set(), 1.0, None, False
     for end, (phrase, size) in phrases.iter(line):
         if phrase in BASE:
             starts.append(end + 1 - size)
@@ -157,10 +177,13 @@ def scan(text: str, phrases: ahocorasick.Automaton) -> dict:
             labels.add(label)
             missing *= 1 - sure
         else:
-            for rest in _TAG_LINE.findall(text):
-                names, verdict = read_expression(rest)
-                labels |= names
-                missing *= 1 - TAG_SURE if names else 1
+            tagged = True
+    for rest in _TAG_LINE.findall(text) if tagged else ():
+        names, holds = read_expression(rest)
+        if names:
+            labels |= names
+            missing *= 1 - TAG_SURE
+            verdict = holds if verdict is None else verdict and holds
     first = line.count(" ", 0, min(starts)) if starts else None
     last = line.count(" ", 0, max(starts)) if starts else None
     return {
