@@ -453,6 +453,59 @@ def test_bpe_special_strings_and_odd_pieces():
         assert list(memoryview(b.encode(x)).cast("I")) == e and b.decode(b.encode(x)) == t.decode(e, skip_special_tokens=False)
 
 
+def small_bpe(path, rng, n_merges):
+    """A tokenizer file with random merges, many of which are never made or made in two ways."""
+    import json
+
+    vocab = {c: k for k, c in enumerate(sorted(bpe.byte_letters()))}
+    merges, tokens = [], list("abc")
+    while len(merges) < n_merges:
+        pair = rng.choice(tokens), rng.choice(tokens)
+        if pair not in merges and len(pair[0] + pair[1]) < 9:
+            merges.append(pair)
+            vocab.setdefault(pair[0] + pair[1], len(vocab))
+            tokens.append(pair[0] + pair[1])
+    pre = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    spec = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": pre, "post_processor": None, "decoder": pre, "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False, "vocab": vocab, "merges": [list(m) for m in merges]}}
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    return spec
+
+
+def test_bpe_of_random_merges(tmp_path):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    for k in range(40):
+        path = str(tmp_path / f"{k}.json")
+        small_bpe(path, rng, rng.randint(1, 40))
+        theirs, ours = Tokenizer.from_file(path), bpe.BytePairs(path)
+        for _ in range(60):
+            text = "".join(rng.choices("abc", k=rng.randint(1, 25)))
+            assert list(memoryview(ours.encode(text)).cast("I")) == theirs.encode(text, add_special_tokens=False).ids, (k, text)
+
+
+def test_suffix_automaton_lists_all_strings_that_end_at_a_place():
+    rng = random.Random(8)
+    for _ in range(100):
+        strings = {"".join(rng.choices("ab", k=rng.randint(1, 6))).encode() for _ in range(rng.randint(1, 12))}
+        a = bpe.SuffixAutomaton((s, k) for k, s in enumerate(sorted(strings)))
+        text = "".join(rng.choices("abc", k=40)).encode()
+        got = [(end, text[end - a.length[x] : end]) for end, x in a.ends(text)]
+        assert got == [(end, text[b:end]) for end in range(1, 41) for b in range(end) if text[b:end] in strings]
+
+
+def test_unsupported_tokenizers_are_refused(tmp_path):
+    import json
+
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": {"ignore_merges": True}}, {"model": {"unk_token": "a"}}):
+        spec = small_bpe(str(tmp_path / "x.json"), random.Random(1), 3)
+        model = spec["model"] | change.pop("model", {})
+        (tmp_path / "y.json").write_text(json.dumps(spec | change | {"model": model}))
+        with pytest.raises(ValueError):
+            bpe.BytePairs(str(tmp_path / "y.json"))
+
+
 def test_url_filters(spark):
     def plain(url):
         if url is None or "://" not in url:

@@ -2,23 +2,26 @@
 
 For each prefix of a piece there is exactly one token that can end its encoding: the token t, ending where the prefix
 does, such that t and the last token of what stands before it are compatible, that is, merging both
-together byte by byte gives the two tokens again. An Aho-Corasick automaton of all tokens gives the tokens that end at each place; the
-unique last token is stored for each prefix, and following it back gives the ids.
+together byte by byte gives the two tokens again. A suffix automaton of all tokens gives the tokens that end at each place: the longest
+match ending there, then its suffix links. The unique last token is stored for each prefix, and following it back gives the ids.
 
 Two tokens are compatible if no merge across their border happens before the tokens are complete: going back through the merges of
-both, latest first, no pair across the border may have a merge of its own that comes earlier than the merge just undone.
+both, latest first, no pair across the border may have a merge of its own that comes earlier than the merge just undone. Tokens that
+merging never makes (their own bytes merge into something else) are not in the automaton; the same test tells them, from the parts upwards.
 
-Pieces are cut as the tokenizer file says: strings of added tokens first, then the byte-level pattern. Encoded pieces are kept in
-a cache of bounded size, which changes no result. Null and empty texts have no ids. Texts are encoded whole.
+Pieces are cut as the tokenizer file says: strings of added tokens first, then the byte-level pattern. Files with settings that this
+module doesn't follow (normalizers, other pre-tokenizers, dropout, unknown tokens, affixes) are refused. Encoded pieces are kept in
+a cache of bounded size, which changes no result. Null and empty texts have no ids and the digests of empty strings. Texts are encoded whole; repeated rows and
+null ids are rows like others. Empty tables give empty results; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
-import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -38,39 +41,132 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class SuffixAutomaton:
+    """Of a set of byte strings: its states are the classes of their factors that end at the same places. A string of the set is the longest of its state.
+
+    Arrays hold a state's longest length and suffix link; one dictionary holds all transitions, by state * 256 + byte.
+    """
+
+    def __init__(self, strings: Iterable[tuple[bytes, int]]):
+        self.length, self.link = array("i", [0]), array("i", [-1])
+        self.go: dict[int, int] = {}
+        marks: dict[int, int] = {}
+        outs: dict[int, list[int]] = {}
+        for text, mark in strings:
+            at = 0
+            for c in text:
+                at = self._extend(at, c, outs)
+            marks[at] = mark
+        n = len(self.length)
+        #: The string that a state stands for, or -1; and the nearest state on the suffix links that stands for one, or 0.
+        self.mark, self.up = array("i", [-1]) * n, array("i", [0]) * n
+        for state, mark in marks.items():
+            self.mark[state] = mark
+        for state in sorted(range(1, n), key=self.length.__getitem__):
+            to = self.link[state]
+            self.up[state] = to if self.mark[to] >= 0 else self.up[to]
+
+    def _new(self, length: int, link: int) -> int:
+        self.length.append(length)
+        self.link.append(link)
+        return len(self.length) - 1
+
+    def _split(self, p: int, c: int, q: int, outs: dict[int, list[int]]) -> int:
+        """The part of state q that p reaches by c, as a state of its own."""
+        go = self.go
+        own = self._new(self.length[p] + 1, self.link[q])
+        for b in outs.get(q, ()):
+            go[own << 8 | b] = go[q << 8 | b]
+        outs[own] = list(outs.get(q, ()))
+        self.link[q] = own
+        while p >= 0 and go.get(p << 8 | c) == q:
+            go[p << 8 | c] = own
+            p = self.link[p]
+        return own
+
+    def _extend(self, last: int, c: int, outs: dict[int, list[int]]) -> int:
+        """The state of the current string's prefix, one byte longer."""
+        go = self.go
+        q = go.get(last << 8 | c)
+        if q is not None:
+            return q if self.length[q] == self.length[last] + 1 else self._split(last, c, q, outs)
+        new, p = self._new(self.length[last] + 1, 0), last
+        while p >= 0 and p << 8 | c not in go:
+            go[p << 8 | c] = new
+            outs.setdefault(p, []).append(c)
+            p = self.link[p]
+        if p >= 0:
+            q = go[p << 8 | c]
+            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q, outs)
+        return new
+
+    def ends(self, text: bytes) -> Iterator[tuple[int, int]]:
+        """(end, state) for each place, and each string of the set that ends there, longest first."""
+        go, length, link, mark, up = self.go, self.length, self.link, self.mark, self.up
+        state, size = 0, 0
+        for end, c in enumerate(text, 1):
+            to = go.get(state << 8 | c)
+            while to is None and state:
+                state = link[state]
+                size = length[state]
+                to = go.get(state << 8 | c)
+            if to is None:
+                continue
+            state, size = to, size + 1
+            here = state if size == length[state] and mark[state] >= 0 else up[state]
+            while here:
+                yield end, here
+                here = up[here]
+
+
+def refuse(spec: dict) -> None:
+    """Raises ValueError for what this module doesn't follow."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    faults = [f"model {k}" for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    faults += ["model type"] * (model.get("type", "BPE") != "BPE") + ["normalizer"] * bool(spec.get("normalizer"))
+    faults += ["pre_tokenizer"] * (pre.get("type") != "ByteLevel" or bool(pre.get("add_prefix_space")) or not pre.get("use_regex", True))
+    faults += ["decoder"] * ((spec.get("decoder") or {}).get("type") != "ByteLevel")
+    faults += ["added token"] * any(a.get(k) for a in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip"))
+    if faults:
+        raise ValueError(f"tokenizer settings that are not supported: {', '.join(faults)}")
+
+
 class BytePairs:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse(spec)
         letter = byte_letters()
         raw = lambda s: bytes(letter[c] for c in s)
         model = spec["model"]
-        self.id_of = {raw(s): i for s, i in model["vocab"].items()}
         self.added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
+        self.id_of = {raw(s): i for s, i in model["vocab"].items() if s not in self.added}
         self.bytes_of = {i: b for b, i in self.id_of.items()} | {i: s.encode() for s, i in self.added.items()}
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
-        for k, merge in enumerate(model["merges"]):
-            a, b = (raw(x) for x in (merge.split(" ") if isinstance(merge, str) else merge))
-            a_id, b_id = self.id_of[a], self.id_of[b]
-            self.rank[a_id, b_id] = k
-            self.parts.setdefault(self.id_of[a + b], (k, a_id, b_id))
-        self.find = ahocorasick.Automaton()
-        for b, i in self.id_of.items():
-            self.find.add_word(b.decode("latin-1"), (len(b), i))
-        self.find.make_automaton()
+        merges = [tuple(raw(x) for x in (m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+        for k, (a, b) in enumerate(merges):
+            self.rank.setdefault((self.id_of[a], self.id_of[b]), k)
+        # a token is made by the first of its merges whose parts are made and stay whole until then
+        made = {i for b, i in self.id_of.items() if len(b) == 1}
+        for k, (a, b) in enumerate(merges):
+            left, right, whole = self.id_of[a], self.id_of[b], self.id_of[a + b]
+            if whole not in made and left in made and right in made and self.compatible(left, right, k):
+                made.add(whole)
+                self.parts[whole] = k, left, right
+        self.find = SuffixAutomaton((b, i) for b, i in self.id_of.items() if i in made)
         self.split = regex.compile(PATTERN)
         self.split_added = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.fits: dict[int, bool] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def compatible(self, left: int, right: int) -> bool:
-        """Undoes the merges of both tokens, latest first; `undone` is the rank of the merge undone last."""
+    def compatible(self, left: int, right: int, own: int | None = None) -> bool:
+        """Undoes the merges of both tokens, latest first; `undone` is the rank of the merge undone last. own: the rank of the merge of both, which is no fault."""
         rank, parts, undone = self.rank, self.parts, _NEVER
         while True:
             across = rank.get((left, right))
-            if across is not None and across < undone:
+            if across is not None and across < undone and across != own:
                 return False
             l_part, r_part = parts.get(left), parts.get(right)
             l_rank, r_rank = l_part[0] if l_part else -1, r_part[0] if r_part else -1
@@ -83,23 +179,14 @@ class BytePairs:
                 undone, right = r_rank + 1, r_part[1]
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        if (whole := self.id_of.get(piece)) is not None and self._reachable(piece, whole):
-            return [whole]
-        return self._walk(piece)
-
-    def _reachable(self, piece: bytes, whole: int) -> bool:
-        return whole in self.parts or len(piece) == 1
-
-    def _walk(self, piece: bytes) -> list[int]:
         n = len(piece)
         last = [0] * (n + 1)
         size = [0] * (n + 1)
-        fits = self.fits
-        for end, (length, token) in self.find.iter(piece.decode("latin-1")):
-            end += 1
+        fits, length, mark = self.fits, self.find.length, self.find.mark
+        for end, state in self.find.ends(piece):
             if size[end]:
                 continue
-            before = end - length
+            before, token = end - length[state], mark[state]
             if before:
                 if not size[before]:
                     continue
@@ -112,7 +199,7 @@ class BytePairs:
                     fits[key] = ok
                 if not ok:
                     continue
-            last[end], size[end] = token, length
+            last[end], size[end] = token, length[state]
         ids = []
         while n:
             ids.append(last[n])
