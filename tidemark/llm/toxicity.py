@@ -1,13 +1,15 @@
 """Toxicity: a lexicon trie, intersected with Levenshtein automata, and scores of the context.
 
 Learning, on labelled rows only, MAX_PER_CLASS of each class at most (those with the smallest hashes of their ids): words
-and word stems whose share of toxic documents is far above their share of others go into the lexicon, with
-their log-odds as weight. Word counts are summed by Spark; the driver gets at most MAX_TERMS terms.
+and word stems that are surely likelier in toxic documents (the lower bound of their odds is above LEAST_ODDS) go into the lexicon, with
+that bound's logarithm as weight, whatever their length or number. Copies share one vote: texts whose smallest and greatest hashes of three
+neighbouring words agree count 1 together, or the rare words of a text that is copied often would look like terms; no row is left
+out. Word counts are summed by Spark; what the driver gets is bounded by the words of the labelled rows.
 
 Scoring: each distinct word runs through one deterministic automaton, the product of the lexicon's trie and the Levenshtein
 automata of its words (one edit for words of FUZZY_FROM letters or more, not in the first letter), whose states are made when first reached.
 A stem matches the start of a word, without edits. Words seen in harmless labelled documents don't match by
-edits. Each place of a match counts by its context, a window of WINDOW words on either side: in quotation marks or
+edits. Each place of a match counts by its context, a window of WINDOW words on either side: in quotation marks (on one line, of any length) or
 beside words of report (MENTIONS) it counts QUOTED, else 1. The sum of weights, edits and contexts, as its logarithm,
 goes through a logistic curve fitted to the same labelled rows.
 
@@ -32,13 +34,13 @@ from pyspark.sql import functions as F
 from .common import settled, text_or_empty
 
 MAX_PER_CLASS = 6000
-MAX_TERMS = 4000
-STEMS = (4, 5, 6)
+#: Words of fewer letters are no terms; lengths of stems.
+LEAST_LETTERS, STEMS = 3, (4, 5, 6)
 FUZZY_FROM = 5
 EDIT_WEIGHT = 0.6
 QUOTED, WINDOW = 0.35, 4
-#: A place of this share of the toxic documents, and this many times likelier there, makes a term.
-MIN_SHARE, MIN_DOCS, MIN_RATIO = 0.02, 4, 20.0
+#: A term stands in this many toxic documents at least (copies count once), is this many times likelier there by its estimate, and, with the deviations DEVIATIONS, by the lower bound.
+MIN_DOCS, MIN_RATIO, LEAST_ODDS, DEVIATIONS = 4.0, 20.0, 5.0, 1.64
 #: Words of report, and marks of quotation.
 MENTIONS = frozenset("said says called calls quoted quote word term wrote dijo dit sagte".split())
 MARKS = "\"“”«»„"
@@ -168,12 +170,12 @@ def raw_score(text: str, lexicon: Lexicon) -> float:
 
 
 def _quoted_spans(text: str) -> list[tuple[int, int]]:
-    """Spans between marks of quotation on one line, 200 characters at most."""
+    """Spans between marks of quotation on one line."""
     marks = [m.start() for m in re.finditer(f"[{MARKS}\n]", text)]
     spans, k = [], 0
     while k + 1 < len(marks):
         a, b = marks[k], marks[k + 1]
-        if text[a] != "\n" and text[b] != "\n" and b - a <= 200:
+        if text[a] != "\n" and text[b] != "\n":
             spans.append((a, b))
             k += 2
         else:
@@ -186,10 +188,10 @@ def held_out(id_col: str) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, mark_col: str) -> DataFrame:
-    """(toxic, text): of each class the MAX_PER_CLASS with the smallest hashes. Texts of a class whose smallest and greatest hashes of three neighbouring words
-    are the same are taken for copies of one another and count once, or the rare words of a text that is copied often would look like terms."""
+    """(toxic, text, weight): of each class the MAX_PER_CLASS with the smallest hashes. Texts of a class whose smallest and greatest hashes of three neighbouring words
+    are the same are taken for copies of one another and share the weight 1."""
     marks = labels.where(F.col(mark_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(mark_col).cast("int")).alias("toxic"))
-    marks = marks.where(~held_out("__id"))
+    marks = marks.where(~held_out("__id")).withColumn("toxic", (F.col("toxic") > 0).cast("int"))
     order = F.xxhash64(F.lit("train"), F.col("__id"))
     chosen = [marks.where(F.col("toxic") == k).orderBy(order, "__id").limit(MAX_PER_CLASS) for k in (0, 1)]
     few = settled(chosen[0].unionByName(chosen[1]), "marks")  # at most 2 * MAX_PER_CLASS rows
@@ -198,61 +200,66 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
     def ends(w: Column) -> Column:
         hashes = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        return F.struct(F.array_min(hashes), F.array_max(hashes))
+        return F.struct(F.array_min(hashes).alias("low"), F.array_max(hashes).alias("high"))
 
-    key = F.element_at(F.transform(F.array(words), ends), 1)
-    rows = rows.withColumn("__copy", key)
-    return rows.groupBy("__copy", "toxic").agg(F.min_by("text", F.struct("__id", "text")).alias("text")).select("toxic", "text")
+    rows = settled(rows.withColumn("__copy", F.element_at(F.transform(F.array(words), ends), 1)), "train")
+    classes = rows.groupBy("__copy", "toxic").agg((F.lit(1.0) / F.count("*")).alias("weight"))
+    return rows.join(classes, ["__copy", "toxic"]).select("toxic", "text", "weight")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each word and stem, by mark: sums of this task's rows, sent on whenever they are many."""
+    """Weights of documents with each word and stem, by mark: sums of this task's rows, sent on whenever they are many."""
 
     def send() -> pa.RecordBatch:
         keys = list(both[0].keys() | both[1].keys())
-        return pa.RecordBatch.from_pydict({"kind": [k[0] for k in keys], "term": [k[1] for k in keys], "neg": [both[0][k] for k in keys], "pos": [both[1][k] for k in keys]}, schema=_COUNTED)
+        return pa.RecordBatch.from_pydict({"kind": [k[0] for k in keys], "term": [k[1] for k in keys], "neg": [float(both[0][k]) for k in keys], "pos": [float(both[1][k]) for k in keys]}, schema=_COUNTED)
 
     both = Counter(), Counter()
     for batch in batches:
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            words = {w for w in words_of(text) if 3 <= len(w) <= 40}
+        for text, toxic, weight in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "weight"))):
+            words = {w for w in words_of(text) if len(w) >= LEAST_LETTERS}
             keys = {("word", w) for w in words} | {(f"stem{n}", w[:n]) for n in STEMS for w in words if len(w) > n}
-            both[1 if toxic else 0].update(keys)
+            counts = both[toxic]
+            for key in keys:
+                counts[key] += weight
         if len(both[0]) + len(both[1]) > 300_000:
             yield send()
             both = Counter(), Counter()
     yield send()
 
 
-_COUNTED = pa.schema([("kind", pa.string()), ("term", pa.string()), ("neg", pa.int64()), ("pos", pa.int64())])
+_COUNTED = pa.schema([("kind", pa.string()), ("term", pa.string()), ("neg", pa.float64()), ("pos", pa.float64())])
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark_col: str = "toxic") -> Model:
-    rows = settled(training_rows(docs, labels, id_col, text_col, mark_col), "train")
-    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    n_neg, n_pos = n.get(0, 0), sum(c for k, c in n.items() if k)
+    rows = settled(training_rows(docs, labels, id_col, text_col, mark_col), "weighed")
+    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.sum("weight").alias("n")).collect()}
+    n_neg, n_pos = n.get(0, 0.0), n.get(1, 0.0)
     share = n_pos / (n_neg + n_pos) if n_neg + n_pos else 0.5
     flat = Model({}, {}, frozenset(), 0.0, _logit(min(max(share, 0.01), 0.49)))
     if not n_pos or not n_neg:
         return flat
-    counts = rows.mapInArrow(_counts, "kind string, term string, neg long, pos long").groupBy("kind", "term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counts = rows.mapInArrow(_counts, "kind string, term string, neg double, pos double").groupBy("kind", "term").agg(F.round(F.sum("neg"), 6).alias("neg"), F.round(F.sum("pos"), 6).alias("pos"))
     odds = ((F.col("pos") + 0.5) / (n_pos + 1)) / ((F.col("neg") + 0.5) / (n_neg + 1))
+    doubt = F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     counts = settled(counts, "counts")
-    terms = counts.where((F.col("pos") >= max(MIN_DOCS, MIN_SHARE * n_pos)) & (odds >= MIN_RATIO)).withColumn("weight", F.least(F.ln(odds), F.lit(6.0)))
-    terms = terms.orderBy(F.desc("pos"), F.desc("weight"), "kind", "term").limit(MAX_TERMS).collect()
+    least = F.ln(odds) - DEVIATIONS * doubt
+    sure = (F.col("pos") >= MIN_DOCS) & (odds >= MIN_RATIO) & (least >= math.log(LEAST_ODDS))
+    terms = counts.where(sure).withColumn("weight", F.least(least, F.lit(6.0)))
+    terms = sorted(terms.collect(), key=lambda r: (-r["pos"], -r["weight"], r["kind"], r["term"]))  # words of the labelled rows, each in MIN_DOCS of them
     stems: dict[str, float] = {}
     for r in sorted((r for r in terms if r["kind"] != "word"), key=lambda r: len(r["term"])):
-        if not any(r["term"].startswith(s) for s in stems):
+        if not any(r["term"][:k] in stems for k in STEMS):
             stems[r["term"]] = r["weight"]
     words = {r["term"]: r["weight"] for r in terms if r["kind"] == "word"}
     # a stem that only stands for a single word of the lexicon adds nothing; the words of another stem do not either
     pos = {(r["kind"], r["term"]): r["pos"] for r in terms}
-    alone = {s for s in stems if any(w.startswith(s) and pos["word", w] >= 0.9 * pos[f"stem{len(s)}", s] for w in words)}
+    alone = {w[:k] for w in words for k in STEMS if w[:k] in stems and pos["word", w] >= 0.9 * pos[f"stem{k}", w[:k]]}
     stems = {s: w for s, w in stems.items() if s not in alone}
-    words = {t: w for t, w in words.items() if not any(t.startswith(s) for s in stems)}
+    words = {t: w for t, w in words.items() if not any(t[:k] in stems for k in STEMS)}
     model = Model(words, stems, frozenset(), 1.0, 0.0)
     near = counts.where("kind = 'word' and neg > 0").select("term").mapInPandas(_near(model), "term string")
-    model = Model(words, stems, frozenset(r["term"] for r in near.orderBy("term").limit(4 * MAX_TERMS).collect()), 1.0, 0.0)
+    model = Model(words, stems, frozenset(r["term"] for r in near.collect()), 1.0, 0.0)  # words of the labelled rows that are near a term
     seen = rows.select("toxic", scorer(model)("text").alias("x")).collect()  # two numbers for each training row
     slope, level = fit([math.log1p(_odds(r["x"])) for r in seen], [1 if r["toxic"] else 0 for r in seen])
     return Model(words, stems, model.harmless, slope, level)
@@ -264,7 +271,7 @@ def _near(model: Model):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(model)
         for frame in frames:
-            yield frame[[bool((h := lexicon.look_up(w)) and w != h[1] and not any(w.startswith(s) for s in model.stems)) for w in frame["term"]]]
+            yield frame[[bool((h := lexicon.look_up(w)) and w != h[1] and not any(w[:k] in model.stems for k in STEMS)) for w in frame["term"]]]
 
     return run
 
