@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +12,19 @@ from pyspark.sql import functions as F
 #: Most rows that `pick` sends to every executor; beyond it both sides are shuffled.
 BROADCAST_ROWS = 200_000
 
+#: `spread_join` deals out keys that more than a LIGHT-th of the rows have, and more than LIGHT rows.
+LIGHT = 1000
+
 _own_dir: list[str] = []
+_paths: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a temporary folder and any other an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="tidemark-"))
         path = _own_dir[0]
@@ -26,7 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nobody has used yet."""
-    return f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
+    _paths.append(folder)
+    return f"{folder}/{name}"
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Deletes the intermediate tables that this process has written so far; their number. Results that are still to be read from them must be written or collected before."""
+    n = len(_paths)
+    while _paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
@@ -47,6 +65,18 @@ def pick(df: DataFrame, ids: DataFrame, key: str, how: str, n_rows: int | None =
     return df.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, key, how)
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, n_rows: int, spread_by: Sequence[str]) -> DataFrame:
+    """rows joined with groups on keys (never null there). groups has one row for each key, settled, and in `size` how many of the n_rows rows have it.
+
+    Keys with many rows are dealt out over several tasks by a hash of spread_by; they are fewer than LIGHT, so their list is broadcast."""
+    light = max(LIGHT, n_rows // LIGHT)
+    deals = F.ceil(F.col(size) / light).cast("int")
+    heavy = groups.where(F.col(size) > light).select(*keys, deals.alias("__deals"))
+    own = rows.join(F.broadcast(heavy), list(keys), "left").withColumn("__deal", F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("__deals")).cast("int"), F.lit(0))).drop("__deals")
+    dealt = groups.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.when(F.col(size) > light, deals - 1).otherwise(0))))
+    return own.join(dealt, [*keys, "__deal"]).drop("__deal")
+
+
 def text_or_empty(column: str | Column) -> Column:
     c = F.col(column) if isinstance(column, str) else column
     return F.coalesce(c.cast("string"), F.lit(""))

@@ -7,7 +7,7 @@ summed in runs of CHUNK words, below the counters' limit, and the runs are added
 
 Search: fingerprints are cut into blocks, each with a number of flipped bits allowed in it; the numbers, each plus one, sum to radius + 1. So two
 fingerprints within the radius differ in some block by no more than it allows, and joining the blocks of the rows with
-all allowed changes of the queries' blocks misses none. `block_plan` chooses the blocks that cost least. Equal fingerprints are one row there, a pair is taken in
+all allowed changes of the queries' blocks misses none. `block_plan` cuts the blocks, the same way at every size. Equal fingerprints are one row there, a pair is taken in
 its first table only, and blocks that many rows share are dealt out in chunks. RADIUS is what copies with a five-word shingle similarity of 0.8 need
 (README: recall).
 
@@ -26,13 +26,13 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled, text_or_empty
+from .common import settled, spread_join, text_or_empty
 
 BITS = 128
 CHUNK = 30_000
 RADIUS = 20
-#: Most changes of a query's blocks that a plan may have, all tables together.
-MAX_CHANGES = 20_000
+#: Flipped bits that a table allows at most: more make fewer tables and fewer candidates, and more changes of a query's blocks.
+FLIPS = 2
 #: A block stands in chunks if more than a LIGHT-th of the rows, and more than LIGHT rows, have it.
 LIGHT = 2000
 #: Ranges of ids for each shuffle partition, and the most of them; beyond that ranges grow and their windows spill.
@@ -99,21 +99,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.lit(1.0) - distance(a, b) / F.lit(float(BITS))
 
 
-def block_plan(radius: int, n_rows: int, n_queries: int) -> list[tuple[int, int, int]]:
-    """(first bit, bits, flipped bits allowed) of each table; every plan is exact, this one has the fewest rows and candidates."""
-    best = None
-    for n in range(-(-BITS // 64), max(radius + 1, -(-BITS // 64)) + 1):
-        cuts = [BITS * t // n for t in range(n + 1)]
-        plan = [(cuts[t], cuts[t + 1] - cuts[t], (radius + 1) // n - 1 + (t < (radius + 1) % n)) for t in range(n)]
-        plan = [table for table in plan if table[2] >= 0]
-        changes = [sum(math.comb(bits, k) for k in range(allowed + 1)) for _, bits, allowed in plan]
-        candidates = sum(c * n_rows / 2**bits for c, (_, bits, _) in zip(changes, plan))
-        cost = len(plan) * n_rows + n_queries * (sum(changes) + candidates / 10)
-        # small changes first; beyond MAX_CHANGES only where no plan stays below it
-        rank = (max(0, sum(changes) - MAX_CHANGES), cost)
-        if best is None or rank < best[0]:
-            best = rank, plan
-    return best[1]
+def block_plan(radius: int, flips: int = FLIPS) -> list[tuple[int, int, int]]:
+    """(first bit, bits, flipped bits allowed) of each table. Any split of radius + 1 over the tables is exact; this one allows `flips` bits a table at most."""
+    n = max(-(-BITS // 64), -(-(radius + 1) // (flips + 1)))
+    cuts = [BITS * t // n for t in range(n + 1)]
+    plan = [(cuts[t], cuts[t + 1] - cuts[t], (radius + 1) // n - 1 + (t < (radius + 1) % n)) for t in range(n)]
+    return [table for table in plan if table[2] >= 0]
 
 
 def changes_of(bits: int, allowed: int) -> list[int]:
@@ -131,10 +122,9 @@ def block(fp: Column, first: int, bits: int) -> Column:
     return out if bits == 64 else out.bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def within_radius(queries: DataFrame, fps: DataFrame, radius: int) -> DataFrame:
-    """Distinct (q, fp, distance) for all fingerprints within the radius of a query; both inputs have a column __fp."""
-    n = fps.count()
-    plan = block_plan(radius, n, queries.count())
+def within_radius(queries: DataFrame, fps: DataFrame, radius: int, flips: int = FLIPS) -> DataFrame:
+    """Distinct (q, fp, distance) for all fingerprints within the radius of a query; both inputs have a column __fp. fps is read twice."""
+    plan = block_plan(radius, flips)
     blocks = F.array(*[block(F.col("__fp"), first, bits) for first, bits, _ in plan])
     # one text for each table, which Spark folds into a literal: thousands of literals would burden the planner
     changes = F.array(*[F.split(F.lit(",".join(map(str, changes_of(bits, allowed)))), ",").cast("array<bigint>") for _, bits, allowed in plan])
@@ -142,8 +132,9 @@ def within_radius(queries: DataFrame, fps: DataFrame, radius: int) -> DataFrame:
     left = left.select("__q", "__table", F.get("__b", F.col("__table")).alias("__b"), F.explode("__c").alias("__c"))
     left = left.select("__q", "__table", F.col("__b").bitwiseXOR(F.col("__c")).alias("__block"))
     right = fps.select("__fp").distinct().select("__fp", F.posexplode(blocks).alias("__table", "__block"))
-    light = max(LIGHT, n // LIGHT)
+    light = max(LIGHT, fps.count() // LIGHT)
     heavy = right.groupBy("__table", "__block").agg(F.count("*").alias("__n")).where(F.col("__n") > light)
+    # a table has fewer than LIGHT of them
     heavy = F.broadcast(heavy.select("__table", "__block", F.ceil(F.col("__n") / light).cast("int").alias("__chunks")))
     chunks = F.coalesce("__chunks", F.lit(1))
     left = left.join(heavy, ["__table", "__block"], "left").select("__q", "__table", "__block", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("__chunk"))
@@ -151,7 +142,7 @@ def within_radius(queries: DataFrame, fps: DataFrame, radius: int) -> DataFrame:
     q, fp = F.col("__q"), F.col("__fp")
     fits = [F.bit_count(block(q, first, bits).bitwiseXOR(block(fp, first, bits))) <= allowed for first, bits, allowed in plan]
     first = F.coalesce(*[F.when(fit, t) for t, fit in enumerate(fits)])
-    near = left.join(right, ["__table", "__block", "__chunk"]).where((distance(q, fp) <= radius) & (first == F.col("__table")))
+    near = left.join(right.hint("merge"), ["__table", "__block", "__chunk"]).where((distance(q, fp) <= radius) & (first == F.col("__table")))
     return near.select("__q", "__fp", distance(q, fp).alias("distance"))
 
 
@@ -209,10 +200,11 @@ def _after(rows: DataFrame, column: str) -> DataFrame:
 
 
 def fingerprint_report(docs: DataFrame, radius: int = RADIUS, query_mod: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near, near_ids.
+    """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id, n_near, near_ids.
 
-    n_near and near_ids, for ids that query_mod divides: the rows, itself included, whose fingerprints are within the radius, and their
-    ids in ascending order (as often as they stand, without nulls); else null.
+    class_id: the smallest id with this fingerprint (null if all of them are). For ids that query_mod divides, n_near: how many rows, itself
+    included, have fingerprints within the radius, and near_ids: the classes of these, ascending; else null. Copies are not spelt out: a
+    class's members have its class_id.
     """
     rows = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))
     rows = _with_next(rows)
@@ -231,13 +223,15 @@ def fingerprint_report(docs: DataFrame, radius: int = RADIUS, query_mod: int = 1
     one = one.withColumn("__fp", F.coalesce("__fp", no_votes())).withColumn("__efp", F.coalesce("__efp", no_votes()))
     one = settled(one, "fingerprints")
     following = Window.partitionBy("__range").orderBy("__place")
-    out = one.withColumn("__next", F.lead("__fp").over(following)).join(_after(one, "__fp"), "__range").withColumn("__next", F.coalesce("__next", "__after"))
-    asked = F.col("__id").cast("long") % query_mod == 0
-    pairs = within_radius(one.where(asked), one, radius).select("__q", F.col("__fp").alias("__near"))
-    ids = one.select(F.col("__fp").alias("__near"), F.col("__id").alias("__near_id"))
-    near = pairs.join(ids, "__near").groupBy("__q").agg(F.count("*").alias("n_near"), F.sort_array(F.collect_list("__near_id")).alias("near_ids"))
-    out = out.join(near, (out["__fp"] == near["__q"]) & asked, "left")
+    out = one.withColumn("__next", F.lead("__fp").over(following)).join(_after(one, "__fp"), "__range").withColumn("__next", F.coalesce("__next", "__after")).drop("__after")
+    asked = F.coalesce(F.col("__id").cast("long") % query_mod == 0, F.lit(False))
+    classes = settled(one.groupBy("__fp").agg(F.min("__id").alias("class_id"), F.count("*").alias("__rows"), F.bool_or(asked).alias("__asked")), "classes")
+    pairs = within_radius(classes.where("__asked"), classes, radius)
+    near = pairs.join(classes.select("__fp", "class_id", "__rows"), "__fp").groupBy("__q").agg(F.sum("__rows").alias("n_near"), F.sort_array(F.collect_list("class_id")).alias("near_ids"))
+    classes = settled(classes.join(near.withColumnRenamed("__q", "__fp"), "__fp", "left"), "near")
+    out = spread_join(out, classes, ["__fp"], "__rows", one.count(), ["__range", "__place"])
     return out.select(
         F.col("__id").alias(id_col), "n_chars", "edited_sha256", as_hex(F.col("__fp")).alias("fingerprint"), as_hex(F.col("__efp")).alias("edited_fingerprint"),
-        likeness(F.col("__fp"), F.col("__efp")).alias("near_edited"), likeness(F.col("__fp"), F.col("__next")).alias("near_next"), "n_near", "near_ids",
+        likeness(F.col("__fp"), F.col("__efp")).alias("near_edited"), likeness(F.col("__fp"), F.col("__next")).alias("near_next"), "class_id",
+        F.when(asked, F.col("n_near")).alias("n_near"), F.when(asked, F.col("near_ids")).alias("near_ids"),
     )
