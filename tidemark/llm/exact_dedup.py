@@ -1,31 +1,36 @@
 """Exact dedup by deterministic block naming.
 
-A document's text without white space is cut into blocks of BLOCK bytes. All distinct blocks are sorted
+A document's text without white space is cut into blocks of BLOCK bytes. All distinct blocks are sorted, byte by byte,
 and named by their places in that order. Then adjacent names are paired, distinct pairs are
 sorted and named in turn, and so on until each document is one name: with the number of rounds it took, its
-identity. Names are places in a sorted list of distinct values, so two documents have one identity
+identity. Names are places in a sorted list of distinct values, so they depend on the texts alone, and two documents have one identity
 exactly when their texts are equal; no hash decides.
 
-Distinct values are found by groupBy, which combines copies before the shuffle. A block's name travels to
-its documents by a pair of hashes; the table of names is checked for two blocks with the same pair, and other seeds are
-taken if there are any. Rounds are written to the shared folder.
+Distinct values are found by groupBy, which combines copies before the shuffle. They are sorted in ranges cut by whole values, so a head that
+many blocks share does no harm; the driver samples SAMPLES values for each range. A range's first place is the number of values in the ranges
+before it. A block's name travels to its documents by a pair of hashes; the table of names is checked for two blocks with the
+same pair, and other seeds are taken if there are any. Names that many rows have are dealt out over several tasks. Rounds are written to the shared folder.
 
 Null texts count as empty, and all empty texts are equal. Of equal texts the row with the most code
-points in the original stays, then the smallest id (null ids last), then one of the equal rows. Empty tables give empty results.
-Other columns of the input are ignored, or kept by `deduplicated`.
+points in the original stays, then the smallest id (null ids last), then one of the equal rows. Repeated rows are rows of their own. Empty tables give empty results.
+Other columns of the input are ignored, or kept by `deduplicated`; columns that begin with two underscores are not allowed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, settled, text_or_empty
+from .common import pick, settled, spread_join, text_or_empty
 
 SPACES = " \t\n\x0b\x0c\r"
 BLOCK = 2048
-#: Bytes of a block by which sorted ranges are cut; the driver samples these, not whole blocks.
-PREFIX = 48
+#: Values that the driver samples for each range of a sort (Spark takes three times as many): 60 KB of blocks a range.
+SAMPLES = 10
+_SAMPLES = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
 NONE = -1
 
 
@@ -40,10 +45,31 @@ def _blocks(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(data, i * BLOCK + 1, F.lit(BLOCK)))
 
 
-def _named(distinct: DataFrame, *order: str, ranged: Column | None = None) -> DataFrame:
-    """With __name: ascending along the order, one for each row. ranged: what cuts the ranges, if the whole order is too long to be sampled for it."""
-    rows = distinct.orderBy(*order) if ranged is None else distinct.repartitionByRange(ranged).sortWithinPartitions(*order)
-    return rows.withColumn("__name", F.monotonically_increasing_id())
+@contextmanager
+def _few_samples(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_SAMPLES)
+    spark.conf.set(_SAMPLES, str(SAMPLES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_SAMPLES, before)
+
+
+def _in_order(distinct: DataFrame, order: list[str], carry: list[Column], name: str) -> DataFrame:
+    """The columns in carry, __part and __at: the range of each row and its place in it."""
+    with _few_samples(distinct.sparkSession):
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        return settled(distinct.repartitionByRange(*order).sortWithinPartitions(*order).select(*carry, F.spark_partition_id().alias("__part"), place.alias("__at")), name)
+
+
+def _named(distinct: DataFrame, order: list[str], carry: list[Column], name: str) -> DataFrame:
+    """The columns in carry, and __name: each row's place in the order, from 0 without gaps."""
+    rows = _in_order(distinct, order, carry, name)
+    # a row for each range
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = sizes.select("__part", (F.sum("__n").over(upto) - F.col("__n")).alias("__before"))
+    return rows.join(F.broadcast(before), "__part").withColumn("__name", F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
 
 
 def _keys(block: Column, seed: int) -> tuple[Column, Column]:
@@ -51,11 +77,11 @@ def _keys(block: Column, seed: int) -> tuple[Column, Column]:
 
 
 def _block_names(texts: DataFrame, seed: int) -> tuple[DataFrame, int]:
-    """(__h, __g, __name) of each distinct block, and the seed of the hashes."""
-    distinct = texts.select(F.explode(_blocks(F.col("__norm"))).alias("__block")).groupBy("__block").agg(F.lit(1).alias("__one"))
+    """(__h, __g, __times, __name) of each distinct block, and the seed of the hashes."""
+    distinct = texts.select(F.explode(_blocks(F.col("__norm"))).alias("__block")).groupBy("__block").agg(F.count("*").alias("__times"))
     while True:
         h, g = _keys(F.col("__block"), seed)
-        names = settled(_named(distinct, "__block", ranged=F.substring("__block", 1, PREFIX)).select(h.alias("__h"), g.alias("__g"), "__name"), "blocks")
+        names = _named(distinct, ["__block"], [h.alias("__h"), g.alias("__g"), F.col("__times")], "blocks")
         if not names.groupBy("__h", "__g").count().where("count > 1").take(1):
             return names, seed
         seed += 2
@@ -76,7 +102,8 @@ def identities(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     )
     at = rows.select("__rid", F.size("__keys").alias("__n"), F.posexplode("__keys").alias("__pos", "__key"))
     at = at.select("__rid", "__n", "__pos", F.col("__key.h").alias("__h"), F.col("__key.g").alias("__g"))
-    now = settled(at.join(names, ["__h", "__g"]).select("__rid", "__n", "__pos", "__name"), "round")
+    n_places = names.agg(F.coalesce(F.sum("__times"), F.lit(0))).first()[0]
+    now = settled(spread_join(at, names, ["__h", "__g"], "__times", n_places, ["__rid", "__pos"]).select("__rid", "__n", "__pos", "__name"), "round")
     done = []
     for turn in range(64):
         done.append(now.where("__n = 1").select("__rid", F.lit(turn).alias("__round"), "__name"))
@@ -87,9 +114,11 @@ def identities(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
         pairs = left.groupBy("__rid", F.floor(F.col("__pos") / 2).cast("int").alias("__at")).agg(
             F.max("__n").alias("__n"), F.max(F.when(even, F.col("__name"))).alias("__a"), F.coalesce(F.max(F.when(~even, F.col("__name"))), F.lit(NONE)).alias("__b")
         )
-        pairs = settled(pairs, "pairs")
-        names = settled(_named(pairs.select("__a", "__b").distinct(), "__a", "__b"), "names")
-        now = settled(pairs.join(names, ["__a", "__b"]).select("__rid", F.ceil(F.col("__n") / 2).cast("int").alias("__n"), F.col("__at").alias("__pos"), "__name"), "round")
+        pairs = settled(pairs.withColumnRenamed("__at", "__pair"), "pairs")
+        distinct = pairs.groupBy("__a", "__b").agg(F.count("*").alias("__times"))
+        names = _named(distinct, ["__a", "__b"], [F.col(c) for c in ("__a", "__b", "__times")], "names")
+        named = spread_join(pairs, names, ["__a", "__b"], "__times", pairs.count(), ["__rid", "__pair"])
+        now = settled(named.select("__rid", F.ceil(F.col("__n") / 2).cast("int").alias("__n"), F.col("__pair").alias("__pos"), "__name"), "round")
     identity = done[0]
     for x in done[1:]:
         identity = identity.unionByName(x)
@@ -98,10 +127,10 @@ def identities(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
 
 def _grouped(rows: DataFrame, identity: DataFrame, id_col: str) -> DataFrame:
     """Each row with its group's best row and size."""
-    whole = rows.join(identity, "__rid")
+    whole = settled(rows.join(identity, "__rid"), "identities")
     order = F.struct((-F.col("__chars")).alias("c"), F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("__rid").alias("rid"))
-    groups = whole.groupBy("__round", "__name").agg(F.min(order).alias("__best"), F.count("*").alias("__size"))
-    return whole.join(groups, ["__round", "__name"])
+    groups = settled(whole.groupBy("__round", "__name").agg(F.min(order).alias("__best"), F.count("*").alias("__size")), "groups")
+    return spread_join(whole, groups, ["__round", "__name"], "__size", whole.count(), ["__rid"])
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
