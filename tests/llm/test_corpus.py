@@ -57,7 +57,7 @@ def test_jaccard(docs, doc_rows, n, per_cent):
     assert len(got) == len(doc_rows)
     for r in got:
         if r["doc_id"] is None:
-            assert r["component_id"] is None
+            assert r["component_id"] is None and r["n_shingles"] == 1 if n > 1 else 2
         else:
             assert r["component_id"] == want[r["doc_id"]] and r["n_shingles"] in {len(s) for s in sets[r["doc_id"]]}
 
@@ -80,12 +80,57 @@ def test_jaccard_random_edits(spark):
 
 def test_jaccard_large_blocks_are_split_exactly(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "MAX_BLOCK", 6)
+    monkeypatch.setattr(jaccard_join, "HUBS", 2)
     rows = [(k, " ".join([f"c{j}" for j in range(60)] + [f"u{k}"])) for k in range(40)] + [(100 + k, " ".join(f"d{j}" for j in range(30 + k))) for k in range(12)]
+    # a chain whose ends don't link; and sets with a common half that don't link at all
+    rows += [(200 + k, " ".join(f"e{j}" for j in range(2 * k, 2 * k + 50))) for k in range(25)] + [(300 + k, " ".join([f"f{j}" for j in range(40)] + [f"g{k}x{j}" for j in range(40)])) for k in range(15)]
     want = brute_components(rows, 3, 80)[1]
     got = {r["doc_id"]: r["component_id"] for r in ran(jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80))}
     assert got == want
 
 
+def test_jaccard_bounds_blocks_in_elements(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MAX_ELEMENTS", 300)
+    rows = [(k, " ".join([f"c{j}" for j in range(60)] + [f"u{k}"])) for k in range(30)] + [(50 + k, " ".join(f"d{j}" for j in range(100 + k))) for k in range(9)]
+    want = brute_components(rows, 3, 80)[1]
+    assert {r["doc_id"]: r["component_id"] for r in ran(jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80))} == want
+
+
+def test_words_that_collide_under_polynomials_stay_apart():
+    """A Thue-Morse word and its complement have one polynomial hash modulo any power of two."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+        if len(word) >= 64:
+            other = word.translate(str.maketrans("ab", "ba"))
+            assert jaccard_join.shingles(word, 1)[0] != jaccard_join.shingles(other, 1)[0]
+
+
+@pytest.mark.parametrize("per_cent", [85, 80, 50])
+def test_part_keys_meet_linked_sets_and_no_others(per_cent):
+    rng = np.random.default_rng(3)
+    draw = lambda k: np.unique(rng.integers(0, 2**64, k, dtype=np.uint64))
+    for size in (1, 2, 3, 5, 6, 7, 8, 11, 20, 33, 90):
+        for _ in range(150):
+            a = draw(size)
+            drop, more = int(rng.integers(0, size)), int(rng.integers(0, size))
+            while 100 * (size - drop) < per_cent * (size + more):
+                drop, more = drop * 2 // 3, more * 2 // 3
+            b = np.unique(np.concatenate([a[drop:], draw(more)]))
+            assert len(np.intersect1d(jaccard_join.part_keys(a, per_cent), jaccard_join.part_keys(b, per_cent))), (size, drop, more)
+        # unrelated sets don't share a key, however many there are
+        keys = collections.Counter(k for _ in range(600) for k in set(jaccard_join.part_keys(draw(size), per_cent).tolist()))
+        assert max(keys.values()) == 1
+
+
+def test_repeated_ids_with_different_texts_keep_all_links(spark):
+    """An id whose first row is a copy of a smaller id's text, and whose other text links elsewhere."""
+    t = lambda p, k: " ".join(f"{p}{j}" for j in range(k))
+    rows = [(1, t("a", 40)), (2, t("a", 40)), (2, t("b", 40)), (3, t("b", 40) + " x"), (4, t("b", 40)), (9, t("c", 30)), (None, t("c", 30))]
+    got = {r["doc_id"]: r["component_id"] for r in ran(jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80))}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9, None: None}
+
+
 def test_trie_prunes_nothing_that_links():
     rng = np.random.default_rng(7)
     for _ in range(60):
@@ -150,6 +195,29 @@ def test_block_names_tell_all_lengths_apart(spark):
     assert {r["doc_id"]: r["group_size"] for r in got} == {k: texts.count(t) for k, t in enumerate(texts)}
 
 
+def test_names_are_places_in_the_order(spark):
+    """The same for any partitioning, from 0 without gaps; and a head that all blocks share, or a block that many rows have, goes to no single task."""
+    rng = random.Random(9)
+    head = "<html>" * 20
+    texts = [head + "".join(rng.choices("abcd", k=12)) for _ in range(3000)] + [head + "same"] * 3000 + [""] * 500
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = []
+    for n in (2, 7):
+        rows, identity = exact_dedup.identities(df.repartition(n), keep=("doc_id",))
+        names.append({r["doc_id"]: (r["__round"], r["__name"]) for r in ran(rows.join(identity, "__rid").select("doc_id", "__round", "__name"))})
+    assert names[0] == names[1]
+    place = {t: k for k, t in enumerate(sorted(set(texts)))}
+    assert names[0] == {k: (0, place[t]) for k, t in enumerate(texts)}
+    blocks = df.select(F.encode("text", "utf-8").alias("__block")).distinct()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = exact_dedup._in_order(blocks, ["__block"], [F.col("__block")], "test").groupBy("__part").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = sorted(r["count"] for r in parts)
+    assert len(sizes) > 1 and sizes[-1] <= 4 * sizes[len(sizes) // 2]
+
+
 def test_mixing(docs, doc_rows):
     got = ran(mixing.mix_report(docs))
     assert len(got) == len(doc_rows)
@@ -253,6 +321,8 @@ def test_fingerprints(spark, docs, doc_rows):
         assert edited not in bits or r["edited_fingerprint"] == bits[edited]
         assert r["near_edited"] == pytest.approx(1 - apart(r["fingerprint"], r["edited_fingerprint"]) / fingerprints.BITS)
         by_fp[r["doc_id"]].append(r["fingerprint"])
+        same = [x["doc_id"] for x in got if x["fingerprint"] == r["fingerprint"]]
+        assert r["class_id"] == min((i for i in same if i is not None), default=None)
     # the next document's likeness, where both ids stand once; and the search, against all pairs
     alone = [i for i, _ in order if i is not None and len(ids[i]) == 1]
     for r in got:
@@ -262,7 +332,8 @@ def test_fingerprints(spark, docs, doc_rows):
                 assert r["near_next"] == pytest.approx(1 - apart(r["fingerprint"], by_fp[later[0]][0]) / fingerprints.BITS)
         if r["doc_id"] is not None and r["doc_id"] % 10 == 0:
             near = [x["doc_id"] for x in got if apart(x["fingerprint"], r["fingerprint"]) <= fingerprints.RADIUS]
-            assert r["n_near"] == len(near) and r["near_ids"] == sorted(i for i in near if i is not None)
+            heads = {x["class_id"] for x in got if apart(x["fingerprint"], r["fingerprint"]) <= fingerprints.RADIUS}
+            assert r["n_near"] == len(near) and r["near_ids"] == sorted(i for i in heads if i is not None)
         else:
             assert r["n_near"] is None and r["near_ids"] is None
 
@@ -321,9 +392,9 @@ def test_radius_search_with_flipped_bits_finds_each_pair_once(spark, monkeypatch
     for light in (2000, 5):
         monkeypatch.setattr(fingerprints, "LIGHT", light)
         assert collections.Counter((tuple(r["__q"]), tuple(r["__fp"]), r["distance"]) for r in ran(fingerprints.within_radius(df, df, 20))) == want
-    for n_rows, n_queries in ((10, 10), (10**5, 10**3), (10**7, 10**5), (10**9, 10**7)):
+    for flips in (0, 1, 2, 4):
         for radius in (0, 3, 20, 24):
-            plan = fingerprints.block_plan(radius, n_rows, n_queries)
+            plan = fingerprints.block_plan(radius, flips)
             assert sum(allowed + 1 for *_, allowed in plan) == radius + 1
 
 
