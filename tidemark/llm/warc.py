@@ -7,7 +7,7 @@ archives of lost or repeated tasks stand beside it unread.
 Reading: the index is filtered first. What is selected is dealt out by archive and region, sorted by offset, and neighbouring ranges
 (gaps up to GAP bytes) become one read of READ bytes at most, so a task holds READ bytes or one record.
 
-Of rows with equal payloads (equal SHA-1 and length) of at least min_bytes, those with the largest page id are responses; others are
+Of rows with equal payloads (equal length, SHA-1 and SHA-256) of at least min_bytes, those with the largest page id are responses; others are
 revisits, which have the HTTP header but no payload and refer to that id. Rows that repeat the largest id are responses too. Null html is an empty payload.
 Null ids sort below all others; a group of null ids only has responses. Null urls have no target line.
 Empty tables give empty results; other columns are ignored.
@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, fresh_path, settled, text_or_empty
+from .common import BROADCAST_ROWS, fresh_path, settled, spread_join, text_or_empty
 
 GAP, READ, ROLL = 64 * 1024, 8 << 20, 256 << 20
 #: Regions of an archive that reading tasks take as a whole.
@@ -99,14 +99,16 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")
     rows = pages.select(F.col(id_col).alias("__id"), F.col(url_col).cast("string").alias("__url"), text_or_empty(html_col).alias("__html"))
-    rows = rows.withColumn("__sha", F.sha1("__html"))
-    marks = rows.select("__id", "__sha", F.octet_length("__html").alias("__size"))
-    tops = marks.where(F.col("__size") >= min_bytes).groupBy("__sha").agg(F.max("__id").alias("__top"), F.count("*").alias("__c")).where("__c > 1")
-    revisits = marks.join(tops, "__sha").where("not (__id <=> __top)").select(F.col("__id").alias("__r"), F.col("__sha").alias("__rs"), "__top", F.lit(True).alias("__again")).distinct()
-    revisits = settled(revisits, "revisits")
+    rows = rows.withColumn("__sha", F.sha1("__html")).withColumn("__own", F.sha2("__html", 256))
+    marks = settled(rows.select("__id", F.octet_length("__html").alias("__size"), "__sha", "__own"), "marks")
+    same = ["__size", "__sha", "__own"]
+    # a payload's largest id: copies are combined before the shuffle, and payloads of many pages are dealt out
+    tops = settled(marks.where(F.col("__size") >= min_bytes).groupBy(*same).agg(F.max("__id").alias("__top"), F.count("*").alias("__c")).where("__c > 1"), "tops")
+    revisits = spread_join(marks, tops, same, "__c", marks.count(), ["__id"]).where("not (__id <=> __top)")
+    revisits = settled(revisits.select(F.col("__id").alias("__r"), F.col("__own").alias("__rs"), "__top", F.lit(True).alias("__again")).distinct(), "revisits")
     if revisits.count() <= BROADCAST_ROWS:
         revisits = F.broadcast(revisits)
-    rows = rows.join(revisits, F.col("__id").eqNullSafe(F.col("__r")) & (F.col("__sha") == F.col("__rs")), "left")
+    rows = rows.join(revisits, F.col("__id").eqNullSafe(F.col("__r")) & (F.col("__own") == F.col("__rs")), "left")
     rows = rows.select(F.col("__id").cast("string"), "__url", F.encode("__html", "utf-8").alias("__html"), F.col("__top").cast("string"), F.coalesce("__again", F.lit(False)).alias("__again"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
