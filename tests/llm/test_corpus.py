@@ -7,6 +7,7 @@ import random
 import re
 import struct
 import zlib
+from urllib.parse import unquote
 
 import numpy as np
 import pytest
@@ -589,15 +590,26 @@ def test_url_filters(spark):
         if fit:
             best = max(fit, key=lambda r: len(r.name))
             return host, path, best.name, best.verdict
-        return host, path, None, "block" if any(x in host for x in ("casino", "spam-", "-spam")) else "allow"
+        bare = re.sub(r":\d*$", "", unquote(host.split("@")[-1])).rstrip(".").lower()
+        steps = unquote(path).lower().split("/")
+        clean = "/".join([steps[0], *[x for x in steps[1:-1] if x not in ("", ".")], *["" if x == "." else x for x in steps[-1:]]])
+        return host, path, None, "block" if any(x in bare for x in ("casino", "spam-", "-spam")) or "/casino/" in clean else "allow"
 
     urls = [
         None, "", "no scheme", "http://", "http://a.COM/x", "http://com/", "http://com", "http://example.com/en/", "https://www.EXAMPLE.com/en/1?x#y", "http://m.example.com/en/", "http://x.net/es/1", "http://net/fr/", "http://xnet/fr/", "http://a.net/x.com/",
         "http://a.org?b=://c.com/", "http://spam-farm.org/", "http://big-casino.example.org/en/", "http://notexample.com/en/", "http://é.com/ü", "ftp://u@h.com:80/p", "http://example.com/" + "e" * 5000, "http://a.net/es", "http://x.com?/en/",
+        "http://spam-user@good.org/", "http://good.org:80/CASINO/x", "http://big%2Dcas%69no.org./", "http://a.org/./casino//b", "http://a.org/casino", "http://a.org/%63asino/", "http://a.org./x", "http://a.org:8080/casino/.", "http://@/", "http://a.org//casino/.",
     ]
     got = {r["page_id"]: r for r in ran(url_filters.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")))}
     for k, u in enumerate(urls):
         assert (got[k]["host"], got[k]["path"], got[k]["rule"], got[k]["verdict"]) == plain(u), u
+    # the same rules and globs as tables
+    table = lambda rules: spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    again = {r["page_id"]: r for r in ran(url_filters.judge_urls(df, table(url_filters.RULES), table(url_filters.GLOBS)))}
+    assert again == got
+    other = {r["page_id"]: r["verdict"] for r in ran(url_filters.judge_urls(df, [], [url_filters.Rule("block", "*", "*"), url_filters.Rule("allow", "?.org", "/b*")]))}
+    assert set(other.values()) == {"block"}
 
 
 def test_wildcards_over_many_words():

@@ -101,15 +101,19 @@ WITH a AS (
   SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM a
 ), c AS (
   SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b
+), e AS (
+  SELECT *, lower(CASE WHEN host LIKE '%@%' THEN regexp_extract(host, '[^@]*$') ELSE host END) AS h0, lower(path) AS p0 FROM c
+), k AS (
+  SELECT page_id, host, path, rtrim(regexp_replace(h0, ':[0-9]*$', ''), '.') AS kh, regexp_replace(regexp_replace(p0, '(/\.)+(/|$)', '/', 'g'), '/+', '/', 'g') AS kp FROM e
 ), r(verdict, h, p) AS (
   VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
 ), m AS (
-  SELECT c.page_id, c.host, c.path, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.verdict, length(r.h || r.p)) AS verdict
-  FROM c LEFT JOIN r ON (c.host = r.h OR ends_with(c.host, '.' || r.h)) AND starts_with(c.path, r.p)
+  SELECT k.page_id, k.host, k.path, kh, kp, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.verdict, length(r.h || r.p)) AS verdict
+  FROM k LEFT JOIN r ON (k.host = r.h OR ends_with(k.host, '.' || r.h)) AND starts_with(k.path, r.p)
   GROUP BY ALL
 )
 SELECT page_id, host, path, rule,
-  coalesce(verdict, CASE WHEN host LIKE '%casino%' OR host LIKE '%spam-%' OR host LIKE '%-spam%' THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(verdict, CASE WHEN kh LIKE '%casino%' OR kh LIKE '%spam-%' OR kh LIKE '%-spam%' OR kp LIKE '%/casino/%' THEN 'block' ELSE 'allow' END) AS verdict
 FROM m
 """
 

@@ -8,8 +8,13 @@ the Shift-And recurrence moves every position of every rule at once, for a whole
 `loops` has the positions before a `*`. A URL is read as `.` + host + SEPARATOR + path, where
 the separator is a symbol that no byte has, so a rule's host part can't match inside a path.
 
-Null urls and urls without `://` have an empty host and path, which no rule fits; the default verdict
-holds for them. Empty tables give empty results; other columns of the input are ignored.
+Two automata run: the rules', over host and path as they stand in the url, and the globs', over the canonical url: host without user, port and
+trailing dots; host and path with percent-encoded bytes decoded, in lower case (A-Z), empty and `.` path steps left out. Rules and
+globs come as objects or as a table of MAX_RULES rows at most (verdict, host, path).
+
+Null urls and urls without `://` have an empty host and path, which no rule fits; the globs' verdict
+holds for them (allow by default). Urls of any length are read whole; repeated rows and null ids are rows like others. Empty tables give
+empty results; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +44,9 @@ class Rule:
         return self.host + self.path
 
 
-#: The rules that the query applies, and globs on hosts for urls that no rule fits.
+#: Most rows of a table of rules or globs; more raise an error.
+MAX_RULES = 20_000
+#: The rules that the query applies, and globs for urls that no rule fits; the last one that fits decides.
 RULES = (
     Rule("allow", "com", "/"),
     Rule("block", "example.com", "/en/"),
@@ -46,7 +54,7 @@ RULES = (
     Rule("block", "net", "/es/"),
     Rule("block", "net", "/fr/"),
 )
-BLOCKED_HOSTS = ("*casino*", "*spam-*", "*-spam*")
+GLOBS = (Rule("block", "*casino*", "*"), Rule("block", "*spam-*", "*"), Rule("block", "*-spam*", "*"), Rule("block", "*", "*/casino/*"))
 
 
 def symbols_of_rule(rule: Rule) -> list[int]:
@@ -54,10 +62,21 @@ def symbols_of_rule(rule: Rule) -> list[int]:
     return [STAR, ord("."), *rule.host.encode(), SEPARATOR, *rule.path.encode(), STAR]
 
 
-def symbols_of_host_glob(glob: str) -> list[int]:
-    """`*` and `?` as in shells, over the whole host; any path."""
-    host = [STAR if c == ord("*") else ANY if c == ord("?") else c for c in glob.encode()]
-    return [ord("."), *host, SEPARATOR, STAR]
+def symbols_of_glob(glob: Rule) -> list[int]:
+    """`*` and `?` as in shells, over the whole host and the whole path."""
+    signs = {ord("*"): STAR, ord("?"): ANY}
+    host, path = ([signs.get(c, c) for c in part.encode()] for part in (glob.host, glob.path))
+    return [ord("."), *host, SEPARATOR, *path]
+
+
+def listed(rules: Sequence[Rule] | DataFrame) -> list[Rule]:
+    """Rules as they are, or from the rows (verdict, host, path) of a table; null parts are empty."""
+    if not isinstance(rules, DataFrame):
+        return list(rules)
+    rows = rules.select("verdict", "host", "path").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    return [Rule(r["verdict"], r["host"] or "", r["path"] or "") for r in rows]
 
 
 class WildcardAutomaton:
@@ -128,37 +147,56 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return rest[:cut].translate(_LOWER), path[: m.start()] if (m := _PATH_END.search(path)) else path
 
 
-def canonical(host: str, path: str) -> np.ndarray:
-    front = np.frombuffer(b"." + host.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int16)
-    back = np.frombuffer(path.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int16)
+def symbols(host: bytes, path: bytes) -> np.ndarray:
+    front, back = (np.frombuffer(x, np.uint8).astype(np.int16) for x in (b"." + host, path))
     return np.concatenate([front, np.array([SEPARATOR], np.int16), back])
 
 
+def as_bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+_PORT = re.compile(rb":[0-9]*$")
+_LOWER_BYTES = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
+
+
+def canonical(host: str, path: str) -> tuple[bytes, bytes]:
+    """Host and path as the globs see them."""
+    h = _PORT.sub(b"", unquote_to_bytes(as_bytes(host.rpartition("@")[2]))).rstrip(b".").translate(_LOWER_BYTES)
+    p = unquote_to_bytes(as_bytes(path)).translate(_LOWER_BYTES)
+    if b"//" in p or b"/." in p:
+        steps = p.split(b"/")
+        p = b"/".join([steps[0], *(s for s in steps[1:-1] if s not in (b"", b".")), *(b"" if s == b"." else s for s in steps[-1:])])
+    return h, p
+
+
 def judge_urls(
     pages: DataFrame,
-    rules: Sequence[Rule] = RULES,
-    blocked_hosts: Sequence[str] = BLOCKED_HOSTS,
+    rules: Sequence[Rule] | DataFrame = RULES,
+    globs: Sequence[Rule] | DataFrame = GLOBS,
     id_col: str = "page_id",
     url_col: str = "url",
 ) -> DataFrame:
     """id, host, path, rule (the longest that fits, else null), verdict.
 
-    Where no rule fits, a url is blocked if its host matches one of the globs, else allowed. One row
+    Where no rule fits, the last glob that fits decides, else the url is allowed. One row
     for each input row, repeated rows included.
     """
-    rules, globs = list(rules), list(blocked_hosts)
-    automaton = WildcardAutomaton([*map(symbols_of_rule, rules), *map(symbols_of_host_glob, globs)])
+    rules, globs = listed(rules), listed(globs)
     longest_first = sorted(range(len(rules)), key=lambda i: -len(rules[i].name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_rule, by_glob = WildcardAutomaton([*map(symbols_of_rule, rules)]), WildcardAutomaton([*map(symbols_of_glob, globs)])
         for batch in batches:
             parts = [host_and_path(u) for u in batch.column(1).to_pylist()]
-            hit = automaton.match([canonical(h, p) for h, p in parts])
-            names, verdicts = [], []
-            for row in hit:
-                best = next((i for i in longest_first if row[i]), None)
-                names.append(None if best is None else rules[best].name)
-                verdicts.append(rules[best].verdict if best is not None else "block" if row[len(rules) :].any() else "allow")
+            hit = by_rule.match([symbols(as_bytes(h), as_bytes(p)) for h, p in parts])
+            first = [next((i for i in longest_first if row[i]), None) if row.any() else None for row in hit]
+            names = [None if i is None else rules[i].name for i in first]
+            verdicts = [None if i is None else rules[i].verdict for i in first]
+            left = [k for k, i in enumerate(first) if i is None]
+            for k, row in zip(left, by_glob.match([symbols(*canonical(*parts[k])) for k in left])):
+                fits = np.flatnonzero(row)
+                verdicts[k] = globs[fits[-1]].verdict if len(fits) else "allow"
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()), pa.array(names, pa.string()), pa.array(verdicts, pa.string())],
                 names=[id_col, "host", "path", "rule", "verdict"],
