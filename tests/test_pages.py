@@ -2,15 +2,17 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import rows
 from tidemark.sources import pages, registry
 
 TABLE = """<html><head><meta charset="utf-8"></head><body><table>
-<tr><td class="calendar__event">before any date</td></tr>
-<tr><td class="calendar__date">Thu Sep 11</td><td class="calendar__time">8:30am</td><td class="calendar__currency">USD</td><td class="calendar__impact"><span class="icon--ff-impact-red"></span></td><td class="calendar__event">CPI m/m</td><td class="calendar__actual">0.4%</td><td class="calendar__forecast">0.3%</td><td class="calendar__previous">0.2%</td></tr>
-<tr><td class="calendar__date"></td><td class="calendar__time"></td><td class="calendar__currency">USD</td><td class="calendar__impact"><span class="icon--ff-impact-yel"></span></td><td class="calendar__event">Unemployment &amp; Claims</td><td class="calendar__actual"></td></tr>
-<tr><td class="calendar__date">Fri Sep 12</td><td class="calendar__time"></td><td class="calendar__event">Speech</td></tr>
+<tr><td class="calendar__event">ahead of all dates</td></tr>
+<tr><td class="calendar__date">Mon Feb 6</td><td class="calendar__time">7:45pm</td><td class="calendar__currency">NZD</td><td class="calendar__impact"><span class="icon icon--ff-impact-red"></span></td><td class="calendar__event">Milk Auction</td><td class="calendar__graph"><span class="red"></span></td><td class="calendar__actual">3.1%</td><td class="calendar__forecast">2.2%</td><td class="calendar__previous">-1.0%</td></tr>
+<tr><td class="calendar__date"></td><td class="calendar__time"></td><td class="calendar__currency">usd</td><td class="calendar__impact"><span class="icon--ff-impact-yel"></span></td><td class="calendar__event">Wheat &amp; Oats Stocks</td><td class="calendar__graph"></td><td class="calendar__actual"></td></tr>
+<tr><td class="calendar__date">Tue Feb 7</td><td class="calendar__time"></td><td class="calendar__event">Panel on Tides</td><td class="calendar__graph"><span class="ora"></span></td></tr>
+<tr><td class="calendar__time">All Day</td><td class="calendar__currency">USD</td><td class="calendar__impact red"><span class="icon--ff-impact-gra"></span></td><td class="calendar__event"> milk AUCTION </td></tr>
 </table></body></html>"""
 
 
@@ -20,19 +22,44 @@ def page(spark, *htmls):
 
 def test_table_carries_dates_and_times(spark):
     got = rows(pages.calendar_rows(page(spark, TABLE, None, "<p>no table")), "page_id", "row_no")
-    assert [(r["day_text"], r["time_text"], r["name"], r["impact"]) for r in got] == [("Thu Sep 11", "8:30am", "CPI m/m", "HIGH"), ("Thu Sep 11", "8:30am", "Unemployment & Claims", "LOW"), ("Fri Sep 12", None, "Speech", None)]
-    assert got[0]["actual"] == "0.4%" and got[1]["actual"] is None
+    assert [(r["day_text"], r["time_text"], r["name"], r["impact"]) for r in got] == [
+        ("Mon Feb 6", "7:45pm", "Milk Auction", "HIGH"), ("Mon Feb 6", "7:45pm", "Wheat & Oats Stocks", "LOW"), ("Tue Feb 7", None, "Panel on Tides", "NONE"), ("Tue Feb 7", "All Day", "milk AUCTION", "NONE"),
+    ]
+    assert got[0]["actual"] == "3.1%" and got[1]["actual"] is None
+
+
+def test_impact_is_of_the_first_class_with_a_mark(spark):
+    cases = {"icon red": "HIGH", "orange-x": "MEDIUM", "yellow": "LOW", "gray": "NONE", "x grey yel": "NONE", "yel red": "LOW", "plain": "NONE", "": "NONE", None: "NONE"}
+    df = spark.createDataFrame([(k,) for k in cases], "c string")
+    assert {r["c"]: r["i"] for r in df.select("c", pages.impact(F.col("c")).alias("i")).collect()} == cases
 
 
 def test_embedded_states(spark):
-    days = [{"date": "Sep 11", "dateline": 1757548800, "events": [{"id": "1", "name": "A", "dateline": 1757593800, "actual": "x"}, {"id": "2", "name": "B", "date": "Sep 12"}]}, {"date": "Sep 13", "dateline": 1757721600, "events": []}]
-    again = [{"date": "Sep 11", "dateline": 1757548800, "events": [{"id": "1", "name": "A", "actual": "y"}]}]
+    feb = 1_675_641_600  # 6 February 2023, 00:00
+    days = [{"date": "Feb 6", "dateline": feb, "events": [{"id": "31", "name": "A ] [ {", "dateline": feb + 71_100, "actual": "x"}, {"id": "32", "name": "B", "date": "Feb 7"}]}, {"date": "Feb 8", "dateline": feb + 172_800, "events": []}]
+    again = [{"date": "Feb 6", "dateline": feb, "events": [{"id": "31", "name": "A", "actual": "y"}]}]
     html = f"<script>calendarComponentStates[1] = {{ days: {json.dumps(days)}, x: 1}}; calendarComponentStates[2] = {{ days: [oops ]}}; calendarComponentStates[3] = {{days: {json.dumps(again)}}};</script>"
     got = rows(pages.calendar_states(page(spark, html, TABLE)), "id")
-    assert [(r["id"], r["actual"], r["day_text"]) for r in got] == [("1", "y", "Sep 11"), ("2", None, "Sep 12")]
+    assert [(r["id"], r["actual"], r["day_text"]) for r in got] == [("31", "y", "Feb 6"), ("32", None, "Feb 7")]
     both = rows(pages.calendar(page(spark, html, TABLE)), "page_id")
-    assert sum(r["page_id"] == 0 for r in both) == 2 and sum(r["page_id"] == 1 for r in both) == 3
-    assert [r["day"] for r in rows(pages.rendered_days(page(spark, html), "UTC"), "day")] == [dt.date(2025, 9, 11), dt.date(2025, 9, 13)]
+    assert sum(r["page_id"] == 0 for r in both) == 2 and sum(r["page_id"] == 1 for r in both) == 4
+    assert [r["day"] for r in rows(pages.rendered_days(page(spark, html), "UTC"), "day")] == [dt.date(2023, 2, 6), dt.date(2023, 2, 8)]
+
+
+def test_page_rows_become_events(spark):
+    mapping = spark.createDataFrame([("Milk Auction", "MILK", "milk price", "DAIRY"), ("wheat & oats stocks", "GRAIN", "stocks", "GRAINS")], "name string, event_family string, indicator string, release_bundle string")
+    table = pages.calendar(page(spark, TABLE))
+    got = rows(pages.event_rows(table, mapping, 2023, "USD", "America/New_York", attested=True), "event_id")
+    assert [(r["event_id"], r["event_family"], r["timestamp_quality"]) for r in got] == [("ff:2023-02-06:usd:7:45pm:Wheat & Oats Stocks", "GRAIN", "CONFIRMED"), ("ff:2023-02-07:USD:All Day:milk AUCTION", "MILK", "TENTATIVE")]
+    assert got[0]["release_timestamp_utc"].replace(tzinfo=dt.timezone.utc) == dt.datetime(2023, 2, 7, 0, 45, tzinfo=dt.timezone.utc) and got[1]["release_timestamp_utc"] is None
+    every = rows(pages.event_rows(table, mapping, 2023), "event_id")
+    milk = [r for r in every if r["actual"] is not None]
+    assert len(every) == 3 and [(r["actual"], r["actual_unit"], r["provider_forecast"], r["previous"], r["importance"], r["timestamp_quality"], r["reference_period"]) for r in milk] == [(3.1, "PERCENT", 2.2, -1.0, "HIGH", "UNRESOLVED", dt.date(2023, 1, 1))]
+    own = [{"date": "Feb 6", "dateline": 0, "events": [{"id": "31", "name": "Milk Auction", "dateline": 1_675_712_700, "currency": "NZD", "impactClass": "icon red", "actual": "1K", "revision": "2K"}]}]
+    state = page(spark, f"calendarComponentStates[1] = {{ days: {json.dumps(own)} }}")
+    (r,) = rows(pages.event_rows(pages.calendar(state), mapping, 2023))
+    assert (r["event_id"], r["timestamp_quality"], r["actual"], r["actual_unit"], r["revised_previous"], r["importance"]) == ("ff:31", "CONFIRMED", 1.0, "THOUSANDS", 2.0, "HIGH")
+    assert r["release_timestamp_utc"].replace(tzinfo=dt.timezone.utc) == dt.datetime(2023, 2, 6, 19, 45, tzinfo=dt.timezone.utc)
 
 
 def test_charset():
@@ -41,24 +68,41 @@ def test_charset():
 
 
 def entry(**more):
-    return {"id": "e", "classification": "provider_gap", "status": "observed", "symbols": ["QQQ"], "provider": "alpaca", "feed": "sip", "start_utc": "2018-05-02T13:31:00Z", "end_utc": "2018-05-02T20:00:00Z", "start_local": "09:31", "end_local": "16:00", "date": "2018-05-02", "evidence": "e", "source": "s"} | more
+    told = {
+        "id": "storm", "classification": "provider_gap", "status": "observed", "symbols": ["AAA"], "provider": "alpaca", "feed": "sip", "timezone": "America/New_York", "date": "2021-11-16", "start_local": "10:07", "end_local": "11:40",
+        "start_utc": "2021-11-16T15:07:00Z", "end_utc": "2021-11-16T16:40:00Z", "retry_appropriate": False, "invalidates_event_window": True, "evidence": "seen twice", "source": "test",
+    }
+    return {k: v for k, v in (told | more).items() if v is not ...}
 
 
 @pytest.mark.parametrize(
     "bad",
-    [{"id": ""}, {"classification": "x"}, {"status": "x"}, {"symbols": []}, {"start_utc": "2018-05-02T13:31:00"}, {"end_utc": "2018-05-02T13:31:00Z"}, {"start_local": "10:31"}, {"date": "2018-05-03"}, {"evidence": ""}, {"retry_appropriate": "no"}, {"start_utc": "2018-05-02T13:31:15Z"}],
-)
+    [
+        {"id": ""}, {"classification": "x"}, {"status": "x"}, {"symbols": []}, {"start_utc": "2021-11-16T15:07:00"}, {"end_utc": "2021-11-16T15:07:00Z"}, {"start_local": "11:07"}, {"date": "2021-11-17"}, {"date": ...}, {"evidence": " "}, {"source": ""},
+        {"retry_appropriate": "no"}, {"retry_appropriate": ...}, {"invalidates_event_window": ...}, {"start_utc": "2021-11-16T15:07:15Z"}, {"provider": "*"}, {"feed": "*"}, {"feed": ""}, {"timezone": ...}, {"timezone": "Mars/Olympus"}, {"start_local": ...},
+        {"end_local": "noon"}, {"classification": "temporary_fetch_failure"},
+    ],
+)
 def test_registry_refuses(bad):
+    assert registry.parse_entry(entry())["id"] == "storm"
     with pytest.raises(registry.RegistryError):
         registry.parse_entry(entry(**bad))
 
 
 def test_registry(spark):
-    entries = registry.parse_registry({"schema_version": 1, "registry_version": 1, "entries": [entry(), entry(id="f", status="retired"), entry(id="g", symbols="*", classification="market_wide_halt")]})
-    assert registry.content_hash(entries) == registry.content_hash(entries[::-1])
+    parsed = registry.parse_registry({"schema_version": 1, "registry_version": 1, "entries": [entry(), entry(id="old", status="retired"), entry(id="pause", symbols="*", provider="*", classification="market_wide_halt")]})
+    assert registry.content_hash(parsed) == registry.content_hash(parsed[::-1])
     with pytest.raises(registry.RegistryError):
         registry.parse_registry({"schema_version": 1, "registry_version": 1, "entries": [entry(), entry()]})
-    at = lambda h, m: dt.datetime(2018, 5, 2, h, m, tzinfo=dt.timezone.utc)
-    w = spark.createDataFrame([("in", "QQQ", at(14, 0), at(14, 5)), ("touch", "QQQ", at(13, 0), at(13, 31)), ("other", "SPY", at(14, 0), at(14, 5))], "id string, symbol string, a timestamp, b timestamp")
-    got = {r["id"]: r["exception_ids"] for r in rows(registry.query_windows(w, registry.registry_frame(spark, entries), ["id"], "a", "b"))}
-    assert got == {"in": ["e", "g"], "touch": [], "other": ["g"]}
+    at = lambda h, m: dt.datetime(2021, 11, 16, h, m, tzinfo=dt.timezone.utc)
+    w = spark.createDataFrame([("in", "AAA", at(16, 0), at(16, 5)), ("touch", "AAA", at(15, 0), at(15, 7)), ("other", "BBB", at(16, 0), at(16, 5))], "id string, symbol string, a timestamp, b timestamp")
+    frame = registry.registry_frame(spark, parsed)
+    got = {r["id"]: r["exception_ids"] for r in rows(registry.query_windows(w, frame, ["id"], "a", "b"))}
+    assert got == {"in": ["pause", "storm"], "touch": [], "other": ["pause"]}
+
+
+def test_long_registries_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(registry, "MAX_ENTRIES", 1)
+    frame = registry.registry_frame(spark, [registry.parse_entry(entry()), registry.parse_entry(entry(id="b"))])
+    with pytest.raises(registry.RegistryError):
+        registry.entries(frame)

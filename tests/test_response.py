@@ -11,7 +11,8 @@ T = dt.datetime(2025, 9, 5, 12, 30, tzinfo=UTC)
 
 
 def bars(close=lambda i: 100 + 0.5 * i, volume=lambda i: 1000.0 + i, drop=()):
-    return [("QQQ", T + dt.timedelta(minutes=i), close(i), close(i) + 0.1, close(i) - 0.1, close(i), float(volume(i))) for i in range(-45, 71) if i not in drop]
+    c = lambda i: float(close(i))
+    return [("QQQ", T + dt.timedelta(minutes=i), c(i), c(i) + 0.1, c(i) - 0.1, c(i), float(volume(i))) for i in range(-45, 71) if i not in drop]
 
 
 def run(spark, t=T, **more):

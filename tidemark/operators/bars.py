@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import present, ratio
 from ..functions.times import MINUTE_US, long
-from ..sources.registry import NOT_EXPECTED, applies
+from ..sources.registry import NOT_EXPECTED, applies, entries
 
 PRICES = ("open", "high", "low", "close")
+DAY_US = 24 * 60 * MINUTE_US
 PROVENANCE = ("source", "feed", "feed_scope", "adjustment", "timeframe")
 
 
@@ -97,20 +98,24 @@ def slot_coverage(
 
     sessions: session, open_us, close_us. Slot i is [open + i * step, open + (i + 1) * step); the elapsed ones up to as_of are due. Slots that start
     inside an interval without expected bars are excluded, missing ones inside a known gap are known. verdict: provisional, nothing_due, missing,
-    incomplete (covered / judged below min_ratio), complete. Bars meet slots by a join on the session and slot number.
+    incomplete (covered / judged below min_ratio), complete. Sessions don't overlap, and each lies within 24 hours of its opening. So a bar meets its
+    session by an equi-join on the UTC days that the session touches, two at most, and then its slot by number.
     """
     s = sessions if as_of_us is None else sessions.where(F.col("open_us") <= as_of_us)
     s = s.withColumn("end_us", F.col("close_us") if as_of_us is None else F.least("close_us", F.lit(as_of_us)))
     s = s.withColumn("in_progress", F.lit(False) if as_of_us is None else F.col("close_us") > as_of_us)
     s = s.withColumn("n_slots", F.greatest(F.lit(0), F.ceil((F.col("end_us") - F.col("open_us")) / step_us)).cast("long"))
     inside = (F.col("bar_us") >= F.col("open_us")) & (F.col("bar_us") < F.col("end_us"))
-    hit = bars.join(F.broadcast(s.select("session", "open_us", "end_us")), inside).groupBy(*by, "session", F.floor((F.col("bar_us") - F.col("open_us")) / step_us).alias("slot")).agg(F.lit(1).alias("hit"))
+    day = lambda c: F.floor(F.col(c) / long(DAY_US))
+    spans = s.where("end_us > open_us").select("session", "open_us", "end_us", F.explode(F.sequence(day("open_us"), F.floor((F.col("end_us") - 1) / long(DAY_US)))).alias("__day"))
+    hit = bars.withColumn("__day", day("bar_us")).join(spans, "__day").where(inside).groupBy(*by, "session", F.floor((F.col("bar_us") - F.col("open_us")) / step_us).alias("slot")).agg(F.lit(1).alias("hit"))
+    # the result has a row for each group and session: the product is the report itself
     groups = bars.select(*by).distinct()
-    grid = groups.join(F.broadcast(s), how="cross").withColumn("slot", F.explode_outer(F.when(F.col("n_slots") > 0, F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1))))
+    grid = groups.crossJoin(s).withColumn("slot", F.explode_outer(F.when(F.col("n_slots") > 0, F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1))))
     rows = grid.join(hit, [*by, "session", "slot"], "left").withColumn("covered", F.coalesce("hit", F.lit(0)) == 1)
     off = known = F.lit(False)
     if registry is not None:
-        x = registry.select(*[F.col(c).alias(f"x_{c}") for c in registry.columns])
+        x = entries(registry)
         at = F.col("open_us") + F.col("slot") * long(step_us)
         met = applies(F.col("symbol"), provider, feed) & (at >= F.unix_micros("x_start_utc")) & (at < F.unix_micros("x_end_utc"))
         off_now = F.col("x_classification").isin(*NOT_EXPECTED)

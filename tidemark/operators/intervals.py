@@ -52,22 +52,35 @@ def runs(days: DataFrame, keys: Sequence[str], day: str, reason: str) -> DataFra
 
 
 def classified_gaps(manifest: DataFrame, keys: Sequence[str], first: dt.date, last: dt.date, today: dt.date | None = None, artifact_ok: Column | None = None) -> DataFrame:
-    """Why each uncovered day is uncovered, as runs: provisional, future, failed or missing. The entry fetched last speaks for a day."""
-    lo, hi = F.lit(first), F.lit(last)
-    ok = F.lit(True) if artifact_ok is None else artifact_ok
-    gap_days = coverage_gaps(verified(manifest, artifact_ok), keys, lo, hi)
-    # keys without any verified entry are one whole gap
-    none = manifest.select(*keys).distinct().join(verified(manifest, artifact_ok).select(*keys).distinct(), list(keys), "left_anti")
-    gap_days = gap_days.select(*keys, "start", "end").unionByName(none.select(*keys, lo.alias("start"), hi.alias("end")))
-    gap_days = gap_days.select(*keys, F.explode(F.sequence("start", "end")).alias("day"))
-    near = manifest.withColumn("__ok", ok).where((F.col("end") >= lo) & (F.col("start") <= hi))
-    said = near.select(*keys, "status", "__ok", "retrieved_at", F.explode(F.sequence(F.greatest("start", lo), F.least("end", hi))).alias("day"))
-    newest = said.groupBy(*keys, "day").agg(F.max_by(F.struct("status", "__ok"), "retrieved_at").alias("x"))
-    day = gap_days.join(newest, [*keys, "day"], "left")
+    """Why each uncovered day is uncovered, as runs: provisional, future, failed or missing. The entry fetched last speaks for a day.
+
+    The range is cut where any entry begins or ends, so days between two cuts are all alike and no row stands for a day: work grows with
+    the entries, and with the cuts that an entry spans. Neighbouring cuts with equal reasons are joined up.
+    """
+    lo, after = F.lit(first), F.date_add(F.lit(last), 1)
+    ok = F.lit(True) if artifact_ok is None else F.coalesce(artifact_ok, F.lit(False))
+    near = manifest.withColumn("__ok", ok).where((F.col("end") >= F.lit(first)) & (F.col("start") <= F.lit(last)) & (F.col("start") <= F.col("end")))
+    near = near.select(*keys, F.greatest("start", lo).alias("__from"), F.least(F.date_add("end", 1), after).alias("__to"), "status", "__ok", "retrieved_at")
+    # one row for each key: its cuts, ascending, and from each cut the entries up to their own ends
+    split = [] if today is None else [F.least(F.greatest(F.date_add(F.lit(today), 1), lo), after)]
+    cuts = near.groupBy(*keys).agg(F.collect_set("__from").alias("__f"), F.collect_set("__to").alias("__t"))
+    everyone = manifest.select(*keys).distinct().join(cuts, list(keys), "left")
+    none = F.array().cast("array<date>")
+    all_cuts = F.array_sort(F.array_distinct(F.concat(F.coalesce("__f", none), F.coalesce("__t", none), F.array(lo, after, *split))))
+    cut = everyone.select(*keys, all_cuts.alias("__cuts"))
+    pieces = cut.select(*keys, F.posexplode("__cuts").alias("__p", "start"), F.col("__cuts")).select(*keys, "start", F.get("__cuts", F.col("__p") + 1).alias("__end")).where("__end is not null")
+    spanned = near.join(cut, list(keys)).withColumn("start", F.explode(F.filter("__cuts", lambda c: (c >= F.col("__from")) & (c < F.col("__to")))))
+    said = spanned.groupBy(*keys, "start").agg(F.max_by(F.struct("status", "__ok"), "retrieved_at").alias("x"), F.bool_or(F.col("status").isin(*VERIFIED) & F.col("__ok")).alias("__covered"))
+    rows = pieces.join(said, [*keys, "start"], "left").where(~F.coalesce("__covered", F.lit(False)))
     status = F.col("x.status")
-    unseen = F.lit("missing") if today is None else F.when(F.col("day") > F.lit(today), "future").otherwise("missing")
+    unseen = F.lit("missing") if today is None else F.when(F.col("start") > F.lit(today), "future").otherwise("missing")
     reason = F.when(status.isNull(), unseen).when((status == "provisional") & F.col("x.__ok"), "provisional").when(status.isin("provisional", "failed", *VERIFIED), "failed").otherwise("missing")
-    return runs(day.withColumn("reason", reason).select(*keys, "day", "reason"), keys, "day", "reason")
+    order = Window.partitionBy(*keys).orderBy("start")
+    rows = rows.withColumn("reason", reason)
+    new = F.when((F.lag("reason").over(order) == F.col("reason")) & (F.lag("__end").over(order) == F.col("start")), 0).otherwise(1)
+    rows = rows.withColumn("__new", new).withColumn("__run", F.sum("__new").over(order))
+    out = rows.groupBy(*keys, "__run", "reason").agg(F.min("start").alias("start"), F.max("__end").alias("__end"))
+    return out.select(*keys, "reason", "start", F.date_sub("__end", 1).alias("end"), F.datediff("__end", "start").cast("long").alias("n"))
 
 
 def contiguous(days: DataFrame, keys: Sequence[str], day: str = "day") -> DataFrame:

@@ -1,8 +1,9 @@
 """The feature layer's market response: an as-of baseline bar, post and pre returns, excursions, volatility, volumes.
 
-All bars that a release may need, from the earliest possible baseline to the last post bar, are spelt out and met by one equi-join; features
-are conditional aggregates over the offsets of what was found. The baseline is the latest bar within the lookback before the release
-(an as-of join that only looks back), and pre returns are measured from it, which takes a second equi-join.
+Time is cut into buckets as wide as the whole span that a release may need, from the earliest possible baseline to the last post bar. Each bucket's
+bars, with those of the next, are packed into one array, so a release meets all its bars by one equi-join on (symbol, bucket) and its features are
+array expressions: no row stands for an offset, and nothing is grouped by release. The baseline is the latest bar within the lookback before the release, and pre
+returns are measured from it.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import coalesced_status, direction, ratio
@@ -53,39 +54,52 @@ def market_response(releases: DataFrame, bars: DataFrame, spec: ResponseSpec = R
     r = releases.select(*key, "release_ts", t.alias("t_us"))
     low = F.col("t_us") - F.pmod(F.col("t_us"), step)
     r = r.withColumn("low", low).withColumn("high", F.when(F.col("low") == F.col("t_us"), F.col("low")).otherwise(F.col("low") + step))
-    first, last = -(spec.pre + 1 + spec.lookback), spec.post
+    reach = max(spec.pre, *PRE_HORIZONS) + 1 + spec.lookback
+    width = long((reach + spec.post + 2) * spec.step_us)
+    b = bars.select(F.col("symbol").alias("b_symbol"), F.struct(F.unix_micros("timestamp_utc").alias("us"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("volume").alias("v")).alias("bar"))
+    bucket = F.floor(F.col("bar.us") / width)
+    # a bucket has as many bars as fit in two widths
+    packs = b.withColumn("b_bucket", F.explode(F.array(bucket, bucket - 1))).groupBy("b_symbol", "b_bucket").agg(F.array_sort(F.collect_list("bar")).alias("bars"))
+    timed = r.where("t_us is not null").withColumn("bucket", F.floor((F.col("low") - long(reach * spec.step_us)) / width))
+    rows = timed.join(packs, (F.col("symbol") == F.col("b_symbol")) & (F.col("bucket") == F.col("b_bucket")), "left")
     # offsets from the floor; the ceiling is the floor or one more
-    probe = r.where("t_us is not null").withColumn("o", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("at", F.col("low") + F.col("o") * step)
-    probe = probe.withColumn("p", F.col("o") - F.when(F.col("low") == F.col("high"), 0).otherwise(1)).where(F.col("p") < spec.post)
-    b = bars.select(F.col("symbol").alias("b_symbol"), F.unix_micros("timestamp_utc").alias("b_us"), "high", "low", "close", "volume").withColumnsRenamed({"high": "b_high", "low": "b_low"})
-    rows = probe.join(b, (F.col("symbol") == F.col("b_symbol")) & (F.col("at") == F.col("b_us")))
-    previous = Window.partitionBy(*key).orderBy("o")
-    near = F.lag("o").over(previous) == F.col("o") - 1
-    rows = rows.withColumn("r", F.when(near, F.ln(ratio(F.col("close"), F.lag("close").over(previous)))))
-    o, p = F.col("o"), F.col("p")
-    post = lambda n: (p >= 0) & (p < n)
-    full = lambda where, n, c: F.when(F.count_if(where) == n, c)
-    base = o.between(-spec.lookback, -1)
-    agg = [
-        F.count("*").alias("n_any"),
-        F.count_if(o.between(-spec.pre, -1)).alias("n_pre"),
-        F.count_if(post(spec.post)).alias("n_post"),
-        F.max(F.when(base, F.col("b_us"))).alias("base_us"),
-        F.max_by(F.when(base, F.col("close")), F.when(base, o)).alias("baseline_price"),
-        *[F.max(F.when(p == k - 1, F.col("close"))).alias(f"c_{k}") for k in POST_HORIZONS],
-        *[full(post(h), h, F.max(F.when(post(h), F.col("b_high")))).alias(f"hi_{h}") for h in EXCURSIONS],
-        *[full(post(h), h, F.min(F.when(post(h), F.col("b_low")))).alias(f"lo_{h}") for h in EXCURSIONS],
-        F.when(F.count(F.when(o.between(-30, -1), F.col("r"))) == 30, F.sqrt(F.sum(F.when(o.between(-30, -1), F.col("r") * F.col("r"))))).alias("realized_vol_pre_30m"),
-        *[F.when(F.count(F.when(post(h), F.col("r"))) == h, F.sqrt(F.sum(F.when(post(h), F.col("r") * F.col("r"))))).alias(f"rv_{h}") for h in (30, 60)],
-        full(o.between(-30, -1), 30, F.sum(F.when(o.between(-30, -1), F.col("volume")))).alias("volume_pre_30m"),
-        *[full(post(h), h, F.sum(F.when(post(h), F.col("volume")))).alias(f"volume_post_{h}m") for h in (30, 60)],
-    ]
-    found = r.join(rows.groupBy(*key).agg(*agg), key, "left")
-    earlier = bars.select(F.col("symbol").alias("b_symbol"), F.unix_micros("timestamp_utc").alias("b_us"), F.col("close").alias("c"))
-    back = found.where("base_us is not null").select(*key, F.explode(F.array(*map(F.lit, PRE_HORIZONS))).alias("k"), "base_us")
-    back = back.join(earlier, (F.col("symbol") == F.col("b_symbol")) & (F.col("base_us") - F.col("k") * step == F.col("b_us")))
-    back = back.groupBy(*key).agg(*[F.max(F.when(F.col("k") == k, F.col("c"))).alias(f"before_{k}") for k in PRE_HORIZONS])
-    found = found.join(back, key, "left")
+    late = F.when(F.col("low") == F.col("high"), 0).otherwise(1)
+    offset = lambda x: (x["us"] - F.col("low")) / step
+    near = F.filter("bars", lambda x: (offset(x) == F.floor(offset(x))) & (offset(x) >= -reach) & (offset(x) - late < spec.post))
+    fields = lambda x: [offset(x).cast("int").alias("o"), (offset(x) - late).cast("int").alias("p"), *[x[f].alias(f) for f in ("us", "h", "l", "c", "v")]]
+    rows = rows.select(*r.columns, F.coalesce(F.transform(near, lambda x: F.struct(*fields(x))), F.array()).alias("w"))
+    steps = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(F.get("w", i)["o"].alias("o"), F.get("w", i)["p"].alias("p"), F.when(F.get("w", i - 1)["o"] == F.get("w", i)["o"] - 1, F.ln(ratio(F.get("w", i)["c"], F.get("w", i - 1)["c"]))).alias("r")))
+    before = F.filter("w", lambda x: x["o"].between(-spec.lookback, -1))
+    rows = rows.withColumn("steps", F.when(F.size("w") > 0, steps)).withColumn("base", F.element_at(F.when(F.size(before) > 0, before), -1))
+    post = lambda n: F.filter("w", lambda x: (x["p"] >= 0) & (x["p"] < n))
+    rows = rows.withColumns({f"post_{n}": post(n) for n in sorted({spec.post, *EXCURSIONS})} | {"pre_30": F.filter("w", lambda x: x["o"].between(-30, -1))})
+    total = lambda c, field: F.aggregate(c, F.lit(0.0), lambda s, x: s + x[field])
+    full = lambda name, n, c: F.when(F.size(name) == n, c)
+
+    def volatility(n: int, inside) -> Column:
+        known = F.filter("steps", lambda x: inside(x) & x["r"].isNotNull())
+        return F.when(F.size(known) == n, F.sqrt(F.aggregate(known, F.lit(0.0), lambda s, x: s + x["r"] * x["r"])))
+
+    pick = lambda field, where: F.get(F.filter("w", where), 0)[field]
+    made = {
+        "n_any": F.size(F.filter("w", lambda x: x["o"] >= -(spec.pre + 1 + spec.lookback))),
+        "n_pre": F.size(F.filter("w", lambda x: x["o"].between(-spec.pre, -1))),
+        "n_post": F.size(f"post_{spec.post}"),
+        "base_us": F.col("base.us"),
+        "baseline_price": F.col("base.c"),
+        "realized_vol_pre_30m": volatility(30, lambda x: x["o"].between(-30, -1)),
+        "volume_pre_30m": full("pre_30", 30, total("pre_30", "v")),
+    }
+    # a lambda's second parameter would be the index, so numbers are bound by functions
+    close_at = lambda field, at: pick("c", lambda x: x[field] == at)
+    made |= {f"c_{k}": close_at("p", F.lit(k - 1)) for k in POST_HORIZONS}
+    made |= {f"before_{k}": close_at("o", F.col("base.o") - k) for k in PRE_HORIZONS}
+    made |= {f"hi_{h}": full(f"post_{h}", h, F.array_max(F.transform(f"post_{h}", lambda x: x["h"]))) for h in EXCURSIONS}
+    made |= {f"lo_{h}": full(f"post_{h}", h, F.array_min(F.transform(f"post_{h}", lambda x: x["l"]))) for h in EXCURSIONS}
+    after = lambda h: lambda x: (x["p"] >= 0) & (x["p"] < h)
+    made |= {f"rv_{h}": volatility(h, after(h)) for h in (30, 60)}
+    made |= {f"volume_post_{h}m": full(f"post_{h}", h, total(f"post_{h}", "v")) for h in (30, 60)}
+    found = rows.select(*r.columns, *[c.alias(n) for n, c in made.items()]).unionByName(r.where("t_us is null"), allowMissingColumns=True)
     has = F.col("base_us").isNotNull()
     with_base = lambda c: F.when(has, c)
     seen = F.coalesce(F.col("n_any"), F.lit(0)) > 0

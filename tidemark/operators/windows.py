@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import coalesced_status, ratio
 from ..functions.times import MINUTE_US, NY, long, ny_date, session_state
-from ..sources.registry import NOT_EXPECTED, applies, query_windows
+from ..sources.registry import NOT_EXPECTED, applies, entries, query_windows
 
 METRICS = ("ret", "logret", "high_exc", "low_exc", "mfe", "mae", "range", "rv_abs", "rv_sq", "volume", "volume_rel")
 
@@ -102,8 +102,7 @@ def with_due(probes: DataFrame, registry: DataFrame | None, provider: str, feed:
     """due: false for bars inside intervals in which none is expected."""
     if registry is None:
         return probes.withColumn("due", F.lit(True))
-    x = registry.where(F.col("classification").isin(*NOT_EXPECTED))
-    x = x.select(*[F.col(c).alias(f"x_{c}") for c in registry.columns])
+    x = entries(registry.where(F.col("classification").isin(*NOT_EXPECTED)))
     inside = applies(F.col("symbol"), provider, feed) & (F.col("bar_us") >= F.unix_micros("x_start_utc")) & (F.col("bar_us") < F.unix_micros("x_end_utc"))
     hit = probes.select("symbol", "bar_us").distinct().join(F.broadcast(x), inside, "left_semi").withColumn("off", F.lit(True))
     return probes.join(hit, ["symbol", "bar_us"], "left").withColumn("due", ~F.coalesce("off", F.lit(False))).drop("off")
@@ -129,7 +128,7 @@ def release_windows(
         F.timestamp_micros(start + (F.col("w.last") + 1) * long(spec.step_us)).alias("span_end"),
     )
     met = query_windows(grid.select(*key, "window", "anchor_bar_utc", "span_end"), registry, [*key, "window"], "anchor_bar_utc", "span_end", provider, feed)
-    day = F.broadcast(sessions.select(F.col("ny_date").alias("s_date"), F.col("open").alias("s_open"), F.col("close").alias("s_close")))
+    day = sessions.select(F.col("ny_date").alias("s_date"), F.col("open").alias("s_open"), F.col("close").alias("s_close"))
     rows = grid.join(day, ny_date(F.col("release_ts")) == F.col("s_date"), "left").join(met, [*key, "window"]).join(found, [*key, "window"], "left")
     state = session_state(F.col("release_ts"), F.col("s_open"), F.col("s_close"))
     complete = F.coalesce("complete", F.lit(False))
@@ -170,18 +169,18 @@ def volume_baseline(windows: DataFrame, bars: DataFrame, sessions: DataFrame, re
     span = F.floor((F.col("last_due_us") - F.col("first_due_us")) / spec.step_us).cast("long") + 1
     w = windows.withColumn("n", span).withColumn("start", F.timestamp_micros("first_due_us"))
     w = w.withColumn("t_date", ny_date(F.col("start"))).withColumn("clock", F.from_utc_timestamp("start", NY) - F.to_date(F.from_utc_timestamp("start", NY)).cast("timestamp"))
-    own = F.broadcast(day.select(F.col("ny_date").alias("t_date"), F.col("s_no").alias("t_no"), F.col("o_us").alias("t_o"), F.col("c_us").alias("t_c")))
+    own = day.select(F.col("ny_date").alias("t_date"), F.col("s_no").alias("t_no"), F.col("o_us").alias("t_o"), F.col("c_us").alias("t_c"))
     w = w.join(own, "t_date", "left")
     even = (F.col("n") == F.col("n_due")) & F.col("t_no").isNotNull()
     pre, reg = label_counts(F.col("first_due_us"), F.col("n"), F.col("t_o"), F.col("t_c"), spec.step_us)
     asked = w.where(even).select(*key, "n", "clock", "t_no", pre.alias("t_pre"), reg.alias("t_reg"))
     asked = asked.withColumn("s_no", F.explode(F.sequence(F.col("t_no") - spec.baseline_lookback, F.col("t_no") - 1)))
-    cand = asked.join(F.broadcast(day), "s_no")
+    cand = asked.join(day, "s_no")
     start = F.to_utc_timestamp(F.col("ny_date").cast("timestamp") + F.col("clock"), NY)
     cand = cand.withColumn("c_start", start).withColumn("c_start_us", F.unix_micros("c_start"))
     pre, reg = label_counts(F.col("c_start_us"), F.col("n"), F.col("o_us"), F.col("c_us"), spec.step_us)
     cand = cand.where((pre == F.col("t_pre")) & (reg == F.col("t_reg"))).withColumn("c_end", F.timestamp_micros(F.col("c_start_us") + F.col("n") * long(spec.step_us)))
-    x = registry.select(*[F.col(c).alias(f"x_{c}") for c in registry.columns])
+    x = entries(registry)
     met = applies(F.col("symbol"), provider, feed) & (F.col("c_start") < F.col("x_end_utc")) & (F.col("x_start_utc") < F.col("c_end"))
     cand = cand.join(F.broadcast(x), met, "left_anti").select(*key, "s_no", "n", "c_start_us")
     probe = cand.withColumn("b_us", F.explode(F.sequence(F.col("c_start_us"), F.col("c_start_us") + (F.col("n") - 1) * long(spec.step_us), long(spec.step_us))))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
+from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, numbers, times
@@ -121,9 +123,9 @@ def slot_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_T}, {_bars('b', HOUR_US)}, l AS (SELECT symbol, bar_us, lag(bar_us) OVER (PARTITION BY symbol ORDER BY bar_us) AS p FROM b)
-SELECT symbol, make_timestamp(p) AS gap_start, make_timestamp(bar_us) AS gap_end, bar_us - p AS gap_us FROM l WHERE bar_us - p > {3 * HOUR_US}""")
+SELECT symbol, make_timestamp(p) AS gap_start, make_timestamp(bar_us) AS gap_end, bar_us - p AS gap_us FROM l WHERE bar_us - p > {HOUR_US}""")
 def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = bars.gaps(event_bars(spark, sf_dir), ["symbol"], 3 * HOUR_US)
+    g = bars.gaps(event_bars(spark, sf_dir), ["symbol"], HOUR_US)
     return g.select("symbol", ntz(F.col("gap_start_us")).alias("gap_start"), ntz(F.col("gap_end_us")).alias("gap_end"), "gap_us")
 
 
@@ -308,31 +310,32 @@ g AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY day ROWS UNBOUNDED PREC
 SELECT key, reason, min(day) AS start, max(day) AS "end", count(*)::BIGINT AS n FROM g GROUP BY key, run, reason""")
 def gap_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why each uncovered day of two years is uncovered."""
-    import datetime as dt
-
     return intervals.classified_gaps(_manifest(spark, sf_dir), ["key"], dt.date.fromisoformat(_LO), dt.date.fromisoformat(_HI))
 
 
 def _registry(spark: SparkSession) -> DataFrame:
     """Five entries of different classes and scopes in the events' time."""
-    entry = lambda i, c, s, a, b, st="observed": {
-        "id": i, "classification": c, "status": st, "symbols": s, "provider": "alpaca", "feed": "sip", "start_utc": a, "end_utc": b, "evidence": "made for the query", "source": "query",
-        "invalidates_event_window": c == "provider_gap", "retry_appropriate": False,
-    }
+    def entry(i: str, cls: str, symbols: list[str], day: str, start: str, end: str, status: str = "observed") -> dict:
+        at = lambda clock: dt.datetime.fromisoformat(f"{day}T{clock}").replace(tzinfo=ZoneInfo(times.NY)).astimezone(dt.timezone.utc)
+        return {
+            "id": i, "classification": cls, "status": status, "symbols": symbols, "provider": "alpaca", "feed": "sip", "date": day, "timezone": times.NY, "start_local": start, "end_local": end, "start_utc": at(start), "end_utc": at(end),
+            "evidence": "made for the query", "source": "query", "invalidates_event_window": cls == "provider_gap", "retry_appropriate": False,
+        }
+
     rows = [
-        entry("x1", "provider_gap", ["click"], "2024-01-02T00:00:00Z", "2024-01-02T12:00:00Z"),
-        entry("x2", "market_wide_halt", ["*"], "2024-01-03T06:00:00Z", "2024-01-03T09:00:00Z"),
-        entry("x3", "exchange_closed", ["*"], "2024-01-06T05:00:00Z", "2024-01-07T05:00:00Z"),
-        entry("x4", "provider_gap", ["view", "purchase"], "2024-01-05T00:00:00Z", "2024-01-05T01:00:00Z", "retired"),
-        entry("x5", "legitimate_no_trade_interval", ["signup"], "2024-01-08T12:00:00Z", "2024-01-10T12:00:00Z"),
+        entry("x1", "provider_gap", ["click"], "2024-01-02", "00:00", "07:00"),
+        entry("x2", "market_wide_halt", ["*"], "2024-01-03", "01:00", "04:00"),
+        entry("x3", "exchange_closed", ["*"], "2024-01-06", "00:00", "23:59"),
+        entry("x4", "provider_gap", ["view", "purchase"], "2024-01-04", "19:00", "20:00", "retired"),
+        entry("x5", "legitimate_no_trade_interval", ["signup"], "2024-01-08", "07:00", "21:30"),
     ]
     return registry.registry_frame(spark, registry.parse_registry({"schema_version": 1, "registry_version": 1, "entries": rows}))
 
 
 @query(f"""WITH {_T}, w AS (SELECT DISTINCT symbol, CAST(ts AS DATE) AS day FROM t), x(id, cls, syms, a, b, st, inv) AS (VALUES
-  ('x1', 'provider_gap', ['click'], TIMESTAMP '2024-01-02 00:00:00', TIMESTAMP '2024-01-02 12:00:00', 'observed', true), ('x2', 'market_wide_halt', ['*'], TIMESTAMP '2024-01-03 06:00:00', TIMESTAMP '2024-01-03 09:00:00', 'observed', false),
-  ('x3', 'exchange_closed', ['*'], TIMESTAMP '2024-01-06 05:00:00', TIMESTAMP '2024-01-07 05:00:00', 'observed', false), ('x4', 'provider_gap', ['view', 'purchase'], TIMESTAMP '2024-01-05 00:00:00', TIMESTAMP '2024-01-05 01:00:00', 'retired', true),
-  ('x5', 'legitimate_no_trade_interval', ['signup'], TIMESTAMP '2024-01-08 12:00:00', TIMESTAMP '2024-01-10 12:00:00', 'observed', false)),
+  ('x1', 'provider_gap', ['click'], TIMESTAMP '2024-01-02 05:00:00', TIMESTAMP '2024-01-02 12:00:00', 'observed', true), ('x2', 'market_wide_halt', ['*'], TIMESTAMP '2024-01-03 06:00:00', TIMESTAMP '2024-01-03 09:00:00', 'observed', false),
+  ('x3', 'exchange_closed', ['*'], TIMESTAMP '2024-01-06 05:00:00', TIMESTAMP '2024-01-07 04:59:00', 'observed', false), ('x4', 'provider_gap', ['view', 'purchase'], TIMESTAMP '2024-01-05 00:00:00', TIMESTAMP '2024-01-05 01:00:00', 'retired', true),
+  ('x5', 'legitimate_no_trade_interval', ['signup'], TIMESTAMP '2024-01-08 12:00:00', TIMESTAMP '2024-01-09 02:30:00', 'observed', false)),
 h AS (SELECT w.symbol, w.day, x.* FROM w LEFT JOIN x ON x.st <> 'retired' AND (list_contains(x.syms, w.symbol) OR list_contains(x.syms, '*')) AND w.day::TIMESTAMP < x.b AND x.a < (w.day + 1)::TIMESTAMP)
 SELECT symbol, day, coalesce(string_agg(DISTINCT id, ',' ORDER BY id), '') AS exception_ids, coalesce(bool_or(cls = 'provider_gap'), false) AS has_provider_gap, coalesce(bool_or(cls = 'market_wide_halt'), false) AS has_market_halt,
   coalesce(bool_or(cls = 'exchange_closed'), false) AS has_exchange_closed, coalesce(bool_or(inv), false) AS invalidated FROM h GROUP BY symbol, day""")
@@ -510,8 +513,6 @@ g AS (SELECT symbol, bar_us, any_value(volume) AS volume, count(v) FILTER (k <=
 SELECT symbol, make_timestamp(bar_us) AS bar_ts, n::BIGINT AS n_windows, CASE WHEN n < 3 THEN 'insufficient_comparable_history' ELSE 'ok' END AS status, round(CASE WHEN n >= 3 THEN volume / base END, 6) AS volume_rel FROM g""")
 def comparable_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each hourly bar's volume against the same hour of up to 5 of the 20 days before; every day is one session."""
-    import datetime as dt
-
     b = event_bars(spark, sf_dir)
     span = b.agg(F.min("bar_us"), F.max("bar_us")).first()
     first = (dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=span[0] or 0)).date() - dt.timedelta(25)
@@ -587,17 +588,18 @@ def bar_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_T}, d AS (SELECT event_id, CAST(ts AS DATE) AS day, strftime(ts, '%H:%M') AS hm, minute(ts) % 2 = 0 AS shown, k, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS n FROM t)
 SELECT day AS page_id, (n - 1)::INT AS row_no, CAST(day AS VARCHAR) AS day_text, last_value(CASE WHEN shown THEN hm END IGNORE NULLS) OVER (PARTITION BY day ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS time_text,
-  CASE WHEN k >= 66 THEN 'HIGH' WHEN k >= 33 THEN 'MEDIUM' ELSE 'LOW' END AS impact, 'E' || event_id AS name, CASE WHEN k >= 50 THEN CAST(CAST(k AS INT) AS VARCHAR) || 'K' END AS actual FROM d""")
+  CASE WHEN k >= 66 THEN 'HIGH' WHEN k >= 33 THEN 'MEDIUM' WHEN k >= 20 THEN 'LOW' ELSE 'NONE' END AS impact, 'E' || event_id AS name, CASE WHEN k >= 50 THEN CAST(CAST(k AS INT) AS VARCHAR) || 'K' END AS actual FROM d""")
 def calendar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A calendar page for each day of events, rendered as HTML and read back: dates stand once, times only at even minutes."""
     t = ticks(spark, sf_dir).withColumn("day", F.to_date("ts"))
     first = t.groupBy("day").agg(F.min("event_id").alias("first"))
     td = lambda name, c: F.concat(F.lit(f'<td class="calendar__cell calendar__{name}">'), c, F.lit("</td>"))
     n = F.col("k").cast("int").cast("string")
-    color = F.when(F.col("k") >= 66, "red").when(F.col("k") >= 33, "ora").otherwise("yel")
+    color = F.when(F.col("k") >= 66, "red").when(F.col("k") >= 33, "ora").when(F.col("k") >= 20, "yel").when(F.col("k") >= 10, "gra")
+    mark = F.coalesce(F.concat(F.lit('<span class="icon icon--ff-impact-'), color, F.lit('"></span>')), F.lit(""))
     row = F.concat(
         F.lit("<tr>"), td("date", F.when(F.col("event_id") == F.col("first"), F.col("day").cast("string")).otherwise("")), td("time", F.when(F.minute("ts") % 2 == 0, F.date_format("ts", "HH:mm")).otherwise("")),
-        td("impact", F.concat(F.lit('<span class="icon--ff-impact-'), color, F.lit('"></span>'))), td("event", F.concat(F.lit("<b>E"), F.col("event_id"), F.lit("</b>"))), td("actual", F.when(F.col("k") >= 50, F.concat(n, F.lit("K"))).otherwise("")), F.lit("</tr>"),
+        td("impact", mark), td("event", F.concat(F.lit("<b>E"), F.col("event_id"), F.lit("</b>"))), td("graph", F.lit('<span class="red"></span>')), td("actual", F.when(F.col("k") >= 50, F.concat(n, F.lit("K"))).otherwise("")), F.lit("</tr>"),
     )
     html = t.join(first, "day").groupBy(F.col("day").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", row.alias("h")))), lambda x: x["h"]), "\n").alias("rows"))
     made = html.select("page_id", F.concat(F.lit("<html><body><table>"), "rows", F.lit("</table></body></html>")).alias("html"))
@@ -644,11 +646,11 @@ SELECT event_id, CASE WHEN s.d IS NULL THEN 'closed_day' WHEN l::TIME >= TIME '0
 FROM n LEFT JOIN s ON s.d = CAST(l AS DATE)""")
 def session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event against the exchange's calendar."""
-    import datetime as dt
-
     at = F.timestamp_micros("t_us")
-    s = sessions.session_frame(spark, dt.date(2023, 12, 28), dt.date(2024, 2, 5))
-    e = ticks(spark, sf_dir).join(F.broadcast(s), times.ny_date(at) == F.col("ny_date"), "left")
+    t = ticks(spark, sf_dir)
+    span = t.agg(F.min(times.ny_date(at)), F.max(times.ny_date(at))).first()
+    s = sessions.session_frame(spark, span[0] or dt.date(2024, 1, 1), span[1] or dt.date(2024, 1, 1))
+    e = t.join(s, times.ny_date(at) == F.col("ny_date"), "left")
     return e.select("event_id", times.session_state(at, F.col("open"), F.col("close")).alias("state"))
 
 
@@ -667,8 +669,8 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.windowed_counts(t, "at", "1 hour", "6 hours", None, "symbol").select(F.col("start").cast("timestamp_ntz").alias("start"), "symbol", "n")
 
 
-@query(f"""WITH {_T}, x(id, syms, a, b) AS (VALUES ('x1', ['click'], TIMESTAMP '2024-01-02 00:00:00', TIMESTAMP '2024-01-02 12:00:00'), ('x2', ['*'], TIMESTAMP '2024-01-03 06:00:00', TIMESTAMP '2024-01-03 09:00:00'),
-  ('x3', ['*'], TIMESTAMP '2024-01-06 05:00:00', TIMESTAMP '2024-01-07 05:00:00'), ('x5', ['signup'], TIMESTAMP '2024-01-08 12:00:00', TIMESTAMP '2024-01-10 12:00:00'))
+@query(f"""WITH {_T}, x(id, syms, a, b) AS (VALUES ('x1', ['click'], TIMESTAMP '2024-01-02 05:00:00', TIMESTAMP '2024-01-02 12:00:00'), ('x2', ['*'], TIMESTAMP '2024-01-03 06:00:00', TIMESTAMP '2024-01-03 09:00:00'),
+  ('x3', ['*'], TIMESTAMP '2024-01-06 05:00:00', TIMESTAMP '2024-01-07 04:59:00'), ('x5', ['signup'], TIMESTAMP '2024-01-08 12:00:00', TIMESTAMP '2024-01-09 02:30:00'))
 SELECT t.symbol, x.id AS x_id, count(*)::BIGINT AS n FROM t JOIN x ON (list_contains(x.syms, t.symbol) OR list_contains(x.syms, '*')) AND t.ts >= x.a AND t.ts < x.b GROUP BY ALL""")
 def excluded_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events inside registered intervals, by entry."""

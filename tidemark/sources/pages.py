@@ -15,18 +15,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.times import time_of_day
+from ..functions.numbers import parse_value
+from ..functions.times import long, prior_month, time_of_day
 
-_META = re.compile(rb"<meta[^>]+charset\s*=\s*[\"']?\s*([A-Za-z0-9_\-]+)", re.IGNORECASE)
-#: Impact classes, in the order in which they are looked for.
-IMPACTS = (("high", "HIGH"), ("red", "HIGH"), ("medium", "MEDIUM"), ("ora", "MEDIUM"), ("low", "LOW"), ("yel", "LOW"), ("holiday", "HOLIDAY"), ("gra", "HOLIDAY"))
-_STATES = re.compile(r"calendarComponentStates\[\s*\d+\s*\]\s*=\s*\{\s*days\s*:\s*\[")
+#: Marks in the classes of an impact's span, in the order in which they are looked for, and what they say.
+IMPACTS = (("red", "HIGH"), ("ora", "MEDIUM"), ("yel", "LOW"), ("gra", "NONE"), ("grey", "NONE"))
+_STATES = re.compile(r"calendarComponentStates\[\s*\d+\s*\]\s*=\s*\{\s*days\s*:\s*(?=\[)")
 _ZONE = re.compile(r"timezone_?name[\"']?\s*[:=]\s*[\"']([A-Za-z_]+/[A-Za-z_/+\-0-9]+)[\"']", re.IGNORECASE)
+#: Bytes of a page in which its charset is declared.
+HEAD = 2048
+
+
+class _Charset(HTMLParser):
+    """The charset of the first meta tag that declares one, by attribute or in its content."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.found: str | None = None
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "meta" and not self.found:
+            told = dict(attrs)
+            content = (told.get("content") or "").lower().partition("charset=")[2]
+            self.found = (told.get("charset") or content.partition(";")[0]).strip("\"' ") or None
 
 
 def declared_charset(data: bytes) -> str | None:
-    m = _META.search(data[:2048])
-    return m[1].decode("ascii", "replace") if m else None
+    parser = _Charset()
+    parser.feed(data[:HEAD].decode("latin-1"))
+    return parser.found
 
 
 def decode(data: bytes) -> str:
@@ -41,14 +58,15 @@ def decode(data: bytes) -> str:
 
 
 class _Rows(HTMLParser):
-    """Cells of table rows, with their classes; nested markup only adds text and classes."""
+    """Cells of table rows: text, own classes, and the classes of the spans inside."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[list[tuple[str, str]]] = []
+        self.rows: list[list[tuple[str, str, str]]] = []
         self.attrs: list[str] = []
         self._text: list[str] | None = None
         self._class = ""
+        self._spans: list[str] = []
         self._skip = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -62,9 +80,9 @@ class _Rows(HTMLParser):
         elif tag in ("td", "th"):
             self._close()
             if self.rows:
-                self._text, self._class = [], classes
-        elif self._text is not None and classes:
-            self._class += " " + classes
+                self._text, self._class, self._spans = [], classes, []
+        elif tag == "span" and classes:
+            self._spans.append(classes)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
@@ -78,31 +96,31 @@ class _Rows(HTMLParser):
 
     def _close(self) -> None:
         if self._text is not None:
-            self.rows[-1].append((" ".join("".join(self._text).split()), self._class))
+            self.rows[-1].append((" ".join("".join(self._text).split()), self._class, " ".join(self._spans)))
             self._text = None
 
 
-def table_rows(html: str) -> list[tuple[list[str], list[str], str]]:
-    """(texts, classes, row attributes) of each table row that has cells."""
+def table_rows(html: str) -> list[tuple[list[str], list[str], list[str], str]]:
+    """(texts, classes, span classes, row attributes) of each table row that has cells."""
     p = _Rows()
     p.feed(html)
     p.close()
-    return [([t for t, _ in r], [c for _, c in r], a) for r, a in zip(p.rows, p.attrs) if r]
+    return [(*map(list, zip(*r)), a) for r, a in zip(p.rows, p.attrs) if r]
 
 
 def scan_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """id, row_no, cells, classes, attrs of every table row of every page."""
+    """id, row_no, cells, classes, spans, attrs of every table row of every page."""
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for key, html in zip(frame["__id"], frame["__html"]):
-                out += [(key, n, c, k, a) for n, (c, k, a) in enumerate(table_rows(html or ""))]
-            yield pd.DataFrame(out, columns=[id_col, "row_no", "cells", "classes", "attrs"])
+                out += [(key, n, *row) for n, row in enumerate(table_rows(html or ""))]
+            yield pd.DataFrame(out, columns=[id_col, "row_no", "cells", "classes", "spans", "attrs"])
 
     rows = pages.select(F.col(id_col).alias("__id"), F.col(html_col).alias("__html"))
-    return rows.mapInPandas(run, f"`{id_col}` {kind}, row_no int, cells array<string>, classes array<string>, attrs string")
+    return rows.mapInPandas(run, f"`{id_col}` {kind}, row_no int, cells array<string>, classes array<string>, spans array<string>, attrs string")
 
 
 def page_facts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -115,17 +133,26 @@ def page_facts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
 
 
 def impact(classes: Column) -> Column:
-    """The first impact whose mark stands in the class text."""
+    """What the first class with a known mark says, by the order of marks within it; NONE without any."""
+    told = F.transform(F.split(F.coalesce(classes, F.lit("")), r"\s+"), _mark)
+    return F.coalesce(F.get(F.filter(told, lambda t: t.isNotNull()), 0), F.lit("NONE"))
+
+
+def _mark(name: Column) -> Column:
     out = F.lit(None).cast("string")
-    for mark, name in reversed(IMPACTS):
-        out = F.when(F.lower(classes).contains(mark), name).otherwise(out)
+    for mark, said in reversed(IMPACTS):
+        out = F.when(name.contains(mark), said).otherwise(out)
     return out
 
 
+def _place(name: str) -> Column:
+    """The index of the first cell whose class names the field, or null."""
+    at = F.array_position(F.transform("classes", lambda c: F.array_contains(F.split(c, r"\s+"), f"calendar__{name}")), True)
+    return F.when(at > 0, at.cast("int") - 1)
+
+
 def _cell(name: str) -> Column:
-    """The text of the first cell whose class names the field."""
-    at = F.array_position(F.transform("classes", lambda c: c.contains(f"calendar__{name}")), True)
-    return F.when(at > 0, F.get("cells", at.cast("int") - 1))
+    return F.get("cells", _place(name))
 
 
 def calendar_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -135,7 +162,7 @@ def calendar_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     """
     rows = scan_tables(pages, id_col, html_col)
     texts = {n: F.nullif(F.trim(_cell(c)), F.lit("")) for n, c in (("day_text", "date"), ("time_text", "time"), ("currency", "currency"), ("name", "event"), ("actual", "actual"), ("forecast", "forecast"), ("previous", "previous"))}
-    rows = rows.withColumns(texts).withColumn("impact", impact(F.array_join("classes", " ")))
+    rows = rows.withColumns(texts).withColumn("impact", impact(F.get("spans", _place("impact"))))
     before = Window.partitionBy(id_col).orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     day = F.last("day_text", ignorenulls=True).over(before)
     rows = rows.withColumn("__day", day)
@@ -145,20 +172,13 @@ def calendar_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
 
 
 def state_arrays(html: str) -> list[str]:
-    """Each embedded `days: [...]`, by counting brackets; broken ones are left out."""
-    out = []
+    """Each embedded `days: [...]` as JSON text; what the decoder can't read is left out."""
+    decoder, out = json.JSONDecoder(), []
     for m in _STATES.finditer(html):
-        depth, start = 1, m.end() - 1
-        for at in range(m.end(), len(html)):
-            depth += {"[": 1, "]": -1}.get(html[at], 0)
-            if not depth:
-                text = html[start : at + 1]
-                try:
-                    json.loads(text)
-                    out.append(text)
-                except ValueError:
-                    pass
-                break
+        try:
+            out.append(html[m.end() : decoder.raw_decode(html, m.end())[1]])
+        except ValueError:
+            continue
     return out
 
 
@@ -221,3 +241,36 @@ def timestamp_quality(epoch: Column, masked: Column, time_text: Column, zone: st
     known = F.lit("UNRESOLVED") if zone is None else F.lit("CONFIRMED" if attested else "ASSUMED")
     return F.when(epoch.isNotNull() & ~F.coalesce(masked, F.lit(False)), "CONFIRMED").when(time_of_day(time_text).isNull(), "TENTATIVE").otherwise(known)
 
+
+def event_rows(rows: DataFrame, mapping: DataFrame, year: int, currency: str | None = None, zone: str | None = None, attested: bool = False, id_col: str = "page_id") -> DataFrame:
+    """Rows of `calendar` as events of the event schema.
+
+    event_id is `ff:` with the page's own id, or with day, currency, time and name where it has none. Rows of another currency go (rows without
+    one stay), and rows whose name, in lower case and without outer blanks, mapping (name, event_family, indicator, release_bundle) doesn't know. Days without a year
+    are of `year`. The time is the page's own instant, or day and time on the clock of zone; without either it is null.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    for c, kind in (("id", "string"), ("epoch", "long"), ("masked", "boolean"), ("revision", "string")):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast(kind))
+    if currency:
+        rows = rows.where((text("currency") == "") | (F.upper(text("currency")) == currency.upper()))
+    known = mapping.select(F.lower(F.trim("name")).alias("__name"), "event_family", "indicator", "release_bundle")
+    e = rows.withColumn("__name", F.lower(text("name"))).join(known, "__name")
+    day = F.coalesce(*[F.try_to_timestamp(F.concat_ws(" ", F.regexp_replace(text("day_text"), r"^[A-Za-z]{3} (?=[A-Za-z])", ""), F.lit(str(year))), F.lit(f)) for f in ("MMM d yyyy", "MMMM d yyyy")], F.try_to_timestamp("day_text", F.lit("yyyy-MM-dd"))).cast("date")
+    minutes = time_of_day(F.col("time_text"))
+    instant = F.when(F.col("epoch").isNotNull() & ~F.coalesce("masked", F.lit(False)), F.timestamp_seconds("epoch"))
+    if zone is not None:
+        instant = F.coalesce(instant, F.to_utc_timestamp(F.timestamp_micros(F.unix_micros(day.cast("timestamp")) + minutes * long(60_000_000)), zone))
+    made = F.concat_ws(":", day.cast("string"), text("currency"), text("time_text"), text("name"))
+    numbers = {}
+    for field, shown in (("actual", "actual"), ("provider_forecast", "forecast"), ("previous", "previous"), ("revised_previous", "revision")):
+        parsed = parse_value(F.col(shown))
+        numbers[field] = parsed["value"]
+        if field != "revised_previous":
+            numbers[f"{field}_unit"], numbers[f"{field}_raw_text"] = parsed["unit"], F.col(shown)
+    return e.select(
+        id_col, F.concat(F.lit("ff:"), F.coalesce(F.nullif(text("id"), F.lit("")), made)).alias("event_id"), "event_family", "indicator", "release_bundle", day.alias("release_date"),
+        prior_month(day).alias("reference_period"), instant.alias("release_timestamp_utc"), timestamp_quality(F.col("epoch"), F.col("masked"), F.col("time_text"), zone, attested).alias("timestamp_quality"),
+        *[c.alias(n) for n, c in numbers.items()], F.coalesce("impact", F.lit("NONE")).alias("importance"), F.lit("FOREX_FACTORY").alias("source"),
+    )

@@ -27,6 +27,8 @@ TAGS = {
     "legitimate_no_trade_interval": "no_trade_interval_in_window",
     "temporary_fetch_failure": "temporary_fetch_failure_in_window",
 }
+#: Most entries that are sent to every task.
+MAX_ENTRIES = 20_000
 _FIELDS = [name for name, _ in fields(EXCEPTION)]
 
 
@@ -53,47 +55,62 @@ def parse_entry(raw: dict) -> dict:
         raise RegistryError(f"{key}: unknown classification {raw['classification']}")
     if raw["status"] not in STATUSES:
         raise RegistryError(f"{key}: unknown status {raw['status']}")
+    if raw["classification"] == "provider_gap" and "*" in (raw["provider"], raw["feed"]):
+        raise RegistryError(f"{key}: a gap is of one provider and feed")
+    for name in ("retry_appropriate", "invalidates_event_window"):
+        if not isinstance(raw.get(name), bool):
+            raise RegistryError(f"{key}: {name} is not a boolean")
+    if raw["classification"] == "temporary_fetch_failure" and not raw["retry_appropriate"]:
+        raise RegistryError(f"{key}: a temporary failure is worth a retry")
+    for name in ("evidence", "source"):
+        if not str(raw[name]).strip():
+            raise RegistryError(f"{key}: {name} is blank")
     symbols = [raw["symbols"]] if isinstance(raw["symbols"], str) else [str(s) for s in raw["symbols"]]
     start, end = _instant(raw["start_utc"], "start_utc", key), _instant(raw["end_utc"], "end_utc", key)
     if end <= start:
         raise RegistryError(f"{key}: end is not after start")
-    if any(t.second or t.microsecond for t in (start, end)):
-        raise RegistryError(f"{key}: bounds are not whole minutes")
-    for name in ("retry_appropriate", "invalidates_event_window"):
-        if not isinstance(raw.get(name, False), bool):
-            raise RegistryError(f"{key}: {name} is not a boolean")
-    zone = ZoneInfo(str(raw.get("timezone") or "America/New_York"))
-    day = raw.get("date") or start.astimezone(zone).date()
-    day = day if isinstance(day, dt.date) else dt.date.fromisoformat(str(day))
-    for name, at in (("start_local", start), ("end_local", end)):
-        told = raw.get(name)
-        if told is not None and str(told)[:5] not in (at.astimezone(zone).strftime("%H:%M"), at.astimezone(zone).strftime("%H:%M").lstrip("0")):
-            raise RegistryError(f"{key}: {name} {told} is not {at.isoformat()} in {zone.key}")
-    if start.astimezone(zone).date() != day:
-        raise RegistryError(f"{key}: date {day} is not the local date of its start")
+    try:
+        zone = ZoneInfo(str(raw.get("timezone") or ""))
+        day = raw.get("date")
+        day = day if isinstance(day, dt.date) else dt.date.fromisoformat(str(day))
+        clocks = [dt.time.fromisoformat(str(raw.get(name))) for name in ("start_local", "end_local")]
+    except (ValueError, KeyError, OSError) as fault:
+        raise RegistryError(f"{key}: {fault}") from None
+    # both bounds, told twice, must be the same instants
+    for clock, at in zip(clocks, (start, end)):
+        if dt.datetime.combine(day, clock, zone).astimezone(dt.timezone.utc) != at:
+            raise RegistryError(f"{key}: {day} {clock} {zone.key} is not {at.isoformat()}")
     return {
         **{n: raw.get(n) for n in _FIELDS}, "id": key, "symbols": symbols, "date": day, "start_utc": start, "end_utc": end, "timezone": zone.key,
-        "retry_appropriate": raw.get("retry_appropriate", False), "invalidates_event_window": raw.get("invalidates_event_window", False), "notes": raw.get("notes") or "",
+        "evidence": str(raw["evidence"]).strip(), "source": str(raw["source"]).strip(), "notes": str(raw.get("notes") or "").strip(),
     }
 
 
 def parse_registry(raw: dict) -> list[dict]:
     if raw.get("schema_version") != 1 or not isinstance(raw.get("registry_version"), int):
         raise RegistryError("schema_version must be 1 and registry_version an integer")
-    entries = [parse_entry(e) for e in raw.get("entries") or []]
-    if len({e["id"] for e in entries}) != len(entries):
+    found = [parse_entry(e) for e in raw.get("entries") or []]
+    if len({e["id"] for e in found}) != len(found):
         raise RegistryError("two entries have the same id")
-    return entries
+    return found
 
 
-def content_hash(entries: Iterable[dict]) -> str:
+def content_hash(parsed: Iterable[dict]) -> str:
     """The same for any order and file format."""
-    rows = sorted(json.dumps(e, sort_keys=True, default=lambda v: v.isoformat()) for e in entries)
+    rows = sorted(json.dumps(e, sort_keys=True, default=lambda v: v.isoformat()) for e in parsed)
     return hashlib.sha256("\n".join(rows).encode()).hexdigest()
 
 
-def registry_frame(spark: SparkSession, entries: Iterable[dict]) -> DataFrame:
-    return spark.createDataFrame([tuple(e[n] for n in _FIELDS) for e in entries], EXCEPTION)
+def registry_frame(spark: SparkSession, parsed: Iterable[dict]) -> DataFrame:
+    return spark.createDataFrame([tuple(e[n] for n in _FIELDS) for e in parsed], EXCEPTION)
+
+
+def entries(registry: DataFrame) -> DataFrame:
+    """The registry with its columns prefixed x_, for broadcasts: raises beyond MAX_ENTRIES rows."""
+    rows = registry.select(*[F.col(c).alias(f"x_{c}") for c in registry.columns])
+    if len(rows.limit(MAX_ENTRIES + 1).select("x_id").collect()) > MAX_ENTRIES:
+        raise RegistryError(f"more than {MAX_ENTRIES} entries")
+    return rows
 
 
 def applies(symbol: Column, provider: str, feed: str) -> Column:
@@ -114,9 +131,9 @@ def overlaps(start_a: Column, end_a: Column, start_b: Column, end_b: Column) ->
 def query_windows(windows: DataFrame, registry: DataFrame, key: list[str], start: str, end: str, provider: str = "alpaca", feed: str = "sip", symbol: str = "symbol") -> DataFrame:
     """For each window: exception_ids, exception_tags (sorted arrays), has_provider_gap, has_market_halt, has_exchange_closed, invalidated.
 
-    The registry has tens of entries, so the interval condition runs against its broadcast rows.
+    The registry has tens of entries, MAX_ENTRIES at most, so the interval condition runs against its broadcast rows.
     """
-    x = registry.select(*[F.col(c).alias(f"x_{c}") for c in registry.columns])
+    x = entries(registry)
     hit = windows.join(F.broadcast(x), applies(F.col(symbol), provider, feed) & overlaps(F.col(start), F.col(end), F.col("x_start_utc"), F.col("x_end_utc")), "left")
     tag = F.lit(None).cast("string")
     for name, said in TAGS.items():
@@ -134,6 +151,6 @@ def query_windows(windows: DataFrame, registry: DataFrame, key: list[str], start
 
 def minutes_in(bars: DataFrame, registry: DataFrame, ts: str = "timestamp_utc", provider: str = "alpaca", feed: str = "sip", symbol: str = "symbol") -> DataFrame:
     """The bars that start inside an entry, once for each entry that covers them, with x_id and x_classification."""
-    x = registry.select(*[F.col(c).alias(f"x_{c}") for c in registry.columns])
+    x = entries(registry)
     inside = applies(F.col(symbol), provider, feed) & (F.col(ts) >= F.col("x_start_utc")) & (F.col(ts) < F.col("x_end_utc"))
     return bars.join(F.broadcast(x), inside).select(*[bars[c] for c in bars.columns], "x_id", "x_classification")
