@@ -159,19 +159,44 @@ def missing_offsets(releases: DataFrame, bars: DataFrame, keys: Sequence[str], o
     return rows.groupBy(*keys, "symbol").agg(F.array_sort(F.collect_list(F.when(F.col("b_us").isNull(), F.col("offset")))).alias("missing"))
 
 
-def validation_report(integrity_rows: DataFrame, session_rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One row for each dataset: defect counts, session counts, minutes, coverage ratio, is_clean, is_hard_failure."""
+def out_of_order(bars: DataFrame, by: Sequence[str], pos: str, us: str = "bar_us") -> DataFrame:
+    """by, unsorted_rows: rows that start before the row just before them in the file (pos)."""
+    before = F.lag(us).over(Window.partitionBy(*by).orderBy(pos))
+    return bars.withColumn("__late", F.col(us) < before).groupBy(*by).agg(F.count_if("__late").alias("unsorted_rows"))
+
+
+def session_gaps(bars: DataFrame, sessions: DataFrame, by: Sequence[str], threshold_us: int) -> DataFrame:
+    """by, gaps_in_sessions, longest_gap_us: steps above the threshold between bars of one session."""
+    day = lambda c: F.floor(F.col(c) / long(DAY_US))
+    spans = sessions.select("session", "open_us", "close_us", F.explode(F.sequence(day("open_us"), F.floor((F.col("close_us") - 1) / long(DAY_US)))).alias("__day"))
+    inside = bars.withColumn("__day", day("bar_us")).join(spans, "__day").where((F.col("bar_us") >= F.col("open_us")) & (F.col("bar_us") < F.col("close_us")))
+    found = gaps(inside.select(*by, "session", "bar_us"), [*by, "session"], threshold_us)
+    return found.groupBy(*by).agg(F.count("*").alias("gaps_in_sessions"), F.max("gap_us").alias("longest_gap_us"))
+
+
+def validation_report(integrity_rows: DataFrame, session_rows: DataFrame, by: Sequence[str], sparse: bool = False) -> DataFrame:
+    """One row for each dataset: defect counts, session counts and dates, minutes, coverage ratio, is_clean, is_hard_failure.
+
+    A hard failure is a structural defect, a session without bars or, unless the feed is sparse (a single venue), an incomplete session or a missing edge. integrity_rows may
+    have unsorted_rows and naive_timestamp_count too. A known gap is never clean; a session in progress is no failure.
+    """
     v = F.col("verdict")
+    dates = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("session"))))  # noqa: E731  sessions of a year or of a symbol
     s = session_rows.groupBy(*by).agg(
-        F.count("*").alias("expected_trading_sessions"), F.count_if(v == "complete").alias("sessions_complete"), F.count_if(v == "missing").alias("sessions_missing"), F.count_if(v == "incomplete").alias("sessions_incomplete"),
-        F.count_if(v == "provisional").alias("sessions_provisional"), F.sum("tradable").alias("expected_regular_minutes"), F.sum("excluded").alias("excluded_regular_minutes"), F.sum("known_missing").alias("known_gap_minutes"),
-        F.sum("unexplained").alias("unexplained_missing_minutes"), F.sum("covered").alias("covered_minutes"), F.count_if("missing_open_edge").alias("open_edges"), F.count_if("missing_close_edge").alias("close_edges"),
+        F.count("*").alias("expected_trading_sessions"), F.count_if(F.col("covered") > 0).alias("sessions_present"), F.count_if(v == "complete").alias("sessions_complete"), F.count_if(v == "missing").alias("sessions_missing"),
+        F.count_if(v == "incomplete").alias("sessions_incomplete"), F.count_if(v == "provisional").alias("sessions_provisional"), F.count_if(v == "nothing_due").alias("sessions_nothing_due"), F.sum("tradable").alias("expected_regular_minutes"),
+        F.sum("excluded").alias("excluded_regular_minutes"), F.sum("known_missing").alias("known_gap_minutes"), F.sum("unexplained").alias("unexplained_missing_minutes"), F.sum("covered").alias("covered_minutes"),
+        F.count_if("missing_open_edge").alias("open_edges"), F.count_if("missing_close_edge").alias("close_edges"), F.min("completeness").alias("least_completeness"), dates(v == "missing").alias("missing_sessions"),
+        dates(v == "incomplete").alias("incomplete_sessions"), dates(F.col("missing_open_edge")).alias("sessions_missing_open_edge"), dates(F.col("missing_close_edge")).alias("sessions_missing_close_edge"), F.min("session").alias("first_session"),
+        F.max("session").alias("last_session"),
     )
     out = integrity_rows.join(s, list(by), "left")
-    structural = sum((F.col(c) for c in ("duplicate_timestamp_count", "misaligned_timestamp_count", "null_or_nonfinite_count", "invalid_ohlc_count", "non_positive_price_count", "negative_volume_count")), F.lit(0))
-    sessions_bad = F.col("sessions_missing") + F.col("sessions_incomplete")
+    counts = ["duplicate_timestamp_count", "misaligned_timestamp_count", "null_or_nonfinite_count", "invalid_ohlc_count", "non_positive_price_count", "negative_volume_count", "unsorted_rows", "naive_timestamp_count"]
+    structural = sum((F.coalesce(F.col(c), F.lit(0)) for c in counts if c in out.columns), F.lit(0))
+    n = lambda *names: sum((F.coalesce(F.col(c), F.lit(0)) for c in names), F.lit(0))
+    soft = n("sessions_incomplete", "open_edges", "close_edges")
     return out.withColumns({
-        "coverage_ratio": ratio(F.col("covered_minutes"), F.col("expected_regular_minutes")),
-        "is_hard_failure": (structural > 0) | (F.coalesce(sessions_bad, F.lit(0)) > 0),
-        "is_clean": (structural == 0) & (F.coalesce(sessions_bad + F.col("known_gap_minutes") + F.col("open_edges") + F.col("close_edges"), F.lit(0)) == 0),
+        "coverage_ratio": ratio(F.col("covered_minutes"), F.col("expected_regular_minutes")), "bar_density": F.lit("sparse" if sparse else "dense"),
+        "is_hard_failure": (structural > 0) | (n("sessions_missing") > 0) | (F.lit(False) if sparse else soft > 0),
+        "is_clean": (structural == 0) & (n("sessions_missing", "known_gap_minutes") + soft == 0),
     })

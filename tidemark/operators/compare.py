@@ -47,7 +47,7 @@ def matched(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("symbol", "bar_
 
 def with_regular(rows: DataFrame, sessions: DataFrame, us: str = "bar_us") -> DataFrame:
     """regular: the bar starts inside its New York date's session."""
-    s = F.broadcast(sessions.select(F.col("ny_date").alias("s_d"), F.unix_micros("open").alias("s_o"), F.unix_micros("close").alias("s_c")))
+    s = sessions.select(F.col("ny_date").alias("s_d"), F.unix_micros("open").alias("s_o"), F.unix_micros("close").alias("s_c"))
     out = rows.join(s, ny_date(F.timestamp_micros(us)) == F.col("s_d"), "left")
     return out.withColumn("regular", F.coalesce((F.col(us) >= F.col("s_o")) & (F.col(us) < F.col("s_c")), F.lit(False))).drop("s_d", "s_o", "s_c")
 

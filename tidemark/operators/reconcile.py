@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import coalesced_status, compare_displayed, decimals, half_up
-from ..functions.times import prior_month
+from ..functions.times import NY, prior_month
+from ..store import smallest_reached
 
 
 def release_vintage(rows: DataFrame, vintages: DataFrame, keys: Sequence[str], release: str, vintage: str, value: str, max_lag_days: int = 3) -> DataFrame:
@@ -66,30 +66,9 @@ def compatibility_edges(rows: DataFrame, days: int = 1) -> DataFrame:
 
 
 def matched_releases(rows: DataFrame, days: int = 1) -> DataFrame:
-    """rows (row_id, event_family, period, date, ...) with release_no: the smallest row_id of its component.
-
-    A family has some hundred rows over decades, so components are found family by family, from the edges, in one pass each.
-    """
-    edges = compatibility_edges(rows.select("row_id", "event_family", "period", "date"), days)
-    family = rows.select(F.col("row_id").alias("a"), "event_family")
-    e = edges.join(family, "a").select("event_family", "a", "b").unionByName(rows.select("event_family", F.col("row_id").alias("a"), F.col("row_id").alias("b")))
-
-    def united(frame: pd.DataFrame) -> pd.DataFrame:
-        up: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        for a, b in zip(frame["a"], frame["b"]):
-            x, y = top(a), top(b)
-            up[max(x, y)] = min(x, y)
-        return pd.DataFrame({"row_id": list(up), "release_no": [top(x) for x in up]})
-
-    found = e.groupBy("event_family").applyInPandas(united, "row_id long, release_no long")
-    return rows.join(found, "row_id")
+    """rows (row_id, event_family, period, date, ...) with release_no: the smallest row_id of its component of compatible rows."""
+    reached = smallest_reached(compatibility_edges(rows.select("row_id", "event_family", "period", "date"), days))
+    return rows.join(reached.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("release_no", F.coalesce("root", "row_id")).drop("root")
 
 
 def prior_release_dates(releases: DataFrame) -> DataFrame:
@@ -218,9 +197,9 @@ def macro_comparison(events: DataFrame, tolerance: float = 0.05) -> DataFrame:
 def semantic_issue(events: DataFrame, families: DataFrame, series: DataFrame) -> DataFrame:
     """events (event_family, indicator, series_id) with semantic_issue: the label is another family's, or the official series has another adjustment, measure or scope than the family.
 
-    families: event_family, label, adjustment, measure, scope. series: series_id, event_family, s_adjustment, s_measure, s_scope. Both have tens of rows.
+    families: event_family, label, adjustment, measure, scope. series: series_id, event_family, s_adjustment, s_measure, s_scope; both unique by their keys.
     """
-    e = events.join(F.broadcast(families), "event_family", "left").join(F.broadcast(series), ["series_id", "event_family"], "left")
+    e = events.join(families, "event_family", "left").join(series, ["series_id", "event_family"], "left")
     faults = F.array(
         F.when(F.col("indicator") != F.col("label"), "label"),
         F.when(F.col("series_id").isNotNull() & F.col("s_adjustment").isNull(), "no_profile"),
@@ -230,3 +209,63 @@ def semantic_issue(events: DataFrame, families: DataFrame, series: DataFrame) ->
     )
     found = F.array_join(F.filter(faults, lambda x: x.isNotNull()), ",")
     return e.withColumn("semantic_issue", F.when(found != "", found)).drop("label", "adjustment", "measure", "scope", "s_adjustment", "s_measure", "s_scope")
+
+
+def release_table(calendars: DataFrame, official: DataFrame, start: str, end: str, max_lag_days: int = 3, timezone_trusted: bool = False, days: int = 1) -> DataFrame:
+    """The reconciliation: a row for each release that the calendars A and B know in [start, end], in time order.
+
+    calendars: row_id (long, unique), source (A has instants, B server times), event_family, release_bundle, reference_period, release_timestamp_utc, converted_utc (B's
+    server time by the candidate zone), actual, actual_unit, previous, revised_previous, semantic_issue. official: event_family, period, vintage_date, value, unit; it enriches
+    releases by (family, period) and never makes one. Components with two rows of a source are AMBIGUOUS_CANDIDATES and compared with nothing.
+    trusted_release_timestamp_utc is A's instant, else B's converted one if the zone is trusted.
+    """
+    day = F.to_date(F.from_utc_timestamp(F.coalesce("release_timestamp_utc", "converted_utc"), NY))
+    dated = calendars.withColumn("date", day)
+    inside = dated.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    m = matched_releases(inside.withColumnRenamed("reference_period", "period"), days)
+    is_a = F.col("source") == "A"
+    fields = ("actual", "actual_unit", "release_timestamp_utc", "converted_utc", "previous", "revised_previous")
+    sides = [F.max_by(f, F.when(c, F.lit(1))).alias(f"{s}_{f}") for s, c in (("a", is_a), ("b", ~is_a)) for f in fields]
+    r = m.groupBy("release_no", "event_family").agg(
+        F.count_if(is_a).alias("n_a"), F.count_if(~is_a).alias("n_b"), F.max("period").alias("period"), F.min("date").alias("release_date"), F.max("release_bundle").alias("release_bundle"), F.max("semantic_issue").alias("semantic_issue"), *sides,
+    )
+    ambiguous = (F.col("n_a") > 1) | (F.col("n_b") > 1)
+    r = r.withColumns({f"{s}_{f}": F.when(~ambiguous, F.col(f"{s}_{f}")) for s in "ab" for f in fields})
+    r = r.withColumnsRenamed({"a_release_timestamp_utc": "a_ts", "b_converted_utc": "b_ts", "a_actual_unit": "a_unit", "b_actual_unit": "b_unit"}).drop("a_converted_utc", "b_release_timestamp_utc")
+    # release dates of all periods, outside the window too; A's count before B's
+    known = dated.where("reference_period is not null").select("event_family", "release_bundle", F.col("reference_period").alias("period"), F.col("date").alias("release_date"), F.when(is_a, 0).otherwise(1).alias("source_rank"), F.lit(None).cast("long").alias("release_no"))
+    ranked = r.select("event_family", "release_bundle", "period", F.lit(None).cast("date").alias("release_date"), F.lit(2).alias("source_rank"), "release_no")
+    prior = prior_release_dates(known.unionByName(ranked)).where("release_no is not null").select("release_no", "event_family", "previous_period", "previous_release_date")
+    r = r.join(prior, ["release_no", "event_family"], "left")
+    v = official.select("event_family", "period", "vintage_date", "value")
+    r = release_vintage(r, v, ["event_family", "period"], "release_date", "vintage_date", "value", max_lag_days)
+    r = r.withColumnsRenamed({"vintage_code": "release_vintage_code", "vintage_value": "official_value", "vintage_date": "official_vintage_date"})
+    units = official.groupBy("event_family").agg(F.max("unit").alias("official_unit"))
+    r = r.join(units, "event_family", "left").withColumn("previous", F.coalesce("a_previous", "b_previous")).withColumn("revised_previous", F.coalesce("a_revised_previous", "b_revised_previous"))
+    r = reconciled(prior_validation(r, v, max_lag_days).withColumnRenamed("release_vintage_code", "vintage_code"))
+    status = F.when(ambiguous, "AMBIGUOUS_CANDIDATES").otherwise(F.col("source_match_status"))
+    trusted = F.coalesce("a_ts", "b_ts") if timezone_trusted else F.col("a_ts")
+    basis = F.when(F.col("a_ts").isNotNull(), "CALENDAR_A").when(trusted.isNotNull(), "CALENDAR_B_VALIDATED_ZONE")
+    key = F.concat_ws(":", "event_family", F.coalesce(F.date_format("period", "yyyy-MM"), F.lit("unknown-period")))
+    out = r.withColumns({"source_match_status": status, "trusted_release_timestamp_utc": trusted, "trusted_release_timestamp_basis": basis, "canonical_event_id": key})
+    return out.orderBy(F.coalesce(F.date_format("trusted_release_timestamp_utc", "yyyy-MM-dd'T'HH:mm:ss"), F.col("release_date").cast("string"), F.lit("9999")), "event_family", "release_no")
+
+
+def undated(calendars: DataFrame, start: str, end: str, months: int = 2) -> DataFrame:
+    """(source, n): rows without any release date that may belong to [start, end], as their period is unknown or about then. They are in no release."""
+    lost = calendars.where("release_timestamp_utc is null and converted_utc is null")
+    near = F.col("reference_period").isNull() | F.col("reference_period").between(F.date_sub(F.lit(start).cast("date"), 31 * months), F.lit(end).cast("date"))
+    return lost.where(near).groupBy("source").agg(F.count("*").alias("n"))
+
+
+def official_summary(events: DataFrame) -> DataFrame:
+    """(event_family, status, n) of the comparisons with official release vintages."""
+    return events.groupBy("event_family", F.col("actual_vs_official_release_vintage").alias("status")).agg(F.count("*").alias("n"))
+
+
+def require_single_family(events: DataFrame) -> str:
+    """The one family of the rows; raises if there are several or none."""
+    found = [r[0] for r in events.select("event_family").distinct().limit(2).collect()]
+    if len(found) != 1:
+        raise ValueError(f"rows of one family are needed, not of {found}")
+    return found[0]

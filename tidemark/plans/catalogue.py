@@ -524,16 +524,28 @@ def comparable_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(r.select("symbol", ntz(F.col("release_id")).alias("bar_ts"), F.col("volume_rel_n_windows").alias("n_windows"), F.col("volume_rel_status").alias("status"), "volume_rel"), "volume_rel")
 
 
-@query()
+_LINE = "concat_ws(chr(31), event_id::VARCHAR, user_id::VARCHAR, coalesce(k::VARCHAR, ''))"
+
+
+@query(f"""WITH {_T}, r AS (SELECT symbol, user_id, arg_max({_LINE}, event_id) AS line FROM t GROUP BY ALL),
+h AS (SELECT symbol, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(line, ''), lambda c: ord(c)::UHUGEINT)), lambda a, b: (xor(a, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS h FROM r)
+SELECT symbol, lower(lpad(printf('%x', bit_xor(h)::UBIGINT), 16, '0')) AS digest, count(*)::BIGINT AS n FROM h GROUP BY symbol""")
 def digest_xor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FNV-1a has no SQL twin; tested against a Python loop."""
+    """FNV-1a of each user's last row of a type, by exclusive or."""
     t = ticks(spark, sf_dir)
     return hashing.window_digest(t, ["symbol"], "user_id", ["event_id", "user_id", "k"], "event_id")
 
 
-@query()
+@query("""SELECT n_regionkey AS page_id, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::INT AS row_no, n_nationkey::VARCHAR || '|' || n_name || '|' AS cells FROM nation
+UNION ALL SELECT DISTINCT n_regionkey, 0, 'key|name|' FROM nation""")
 def html_table_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.scan_tables(table(spark, sf_dir, "pages")).select("page_id", "row_no", "cells")
+    """A page for each region, with a table of its nations: entities, nested markup, scripts and an empty cell."""
+    n = table(spark, sf_dir, "nation")
+    name = F.concat(F.lit("<td class='x'><b>"), F.substring("n_name", 1, 1), F.lit("</b>"), F.regexp_replace(F.expr("substring(n_name, 2)"), " ", " &#32;\n"), F.lit("<script>no()</script></td>"))
+    row = F.concat(F.lit("<tr><td>"), F.col("n_nationkey").cast("string"), F.lit("</td>"), name, F.lit("<td></td></tr>"))
+    html = n.groupBy(F.col("n_regionkey").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("h")))), lambda x: x["h"]), "").alias("rows"))
+    made = html.select("page_id", F.concat(F.lit("<table><tr><th>key<th>name<th></tr>"), "rows", F.lit("</table>")).alias("html"))
+    return pages.scan_tables(made).select("page_id", "row_no", F.array_join("cells", "|").alias("cells"))
 
 
 @query(r"""WITH h AS (SELECT page_id, coalesce(html, '') AS h FROM pages)
@@ -562,9 +574,12 @@ def market_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(m, "ret_post_1m", "ret_post_5m", "ret_pre_5m", "max_up_5m", "max_down_5m")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT o_orderkey AS id, o_custkey AS f, CASE WHEN o_orderstatus <> 'F' THEN CAST(date_trunc('month', o_orderdate) AS DATE) END AS p, CAST(o_orderdate AS DATE) AS d FROM orders),
+e AS (SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.f = b.f AND a.id <> b.id AND CASE WHEN a.p IS NOT NULL AND b.p IS NOT NULL THEN a.p = b.p ELSE abs(a.d - b.d) <= 1 END),
+c(id, root) AS (SELECT id, id FROM r UNION SELECT e.b, c.root FROM c JOIN e ON c.id = e.a WHERE c.root < e.b)
+SELECT id AS row_id, min(root) AS release_no FROM c GROUP BY id""")
 def matched_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of a customer as calendar rows, half of them without a period; components tested against union-find."""
+    """Orders of a customer as calendar rows, half of them without a period."""
     o = table(spark, sf_dir, "orders")
     period = F.when(F.col("o_orderstatus") != "F", F.trunc(F.to_date("o_orderdate"), "MM"))
     rows = o.select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").cast("string").alias("event_family"), period.alias("period"), F.to_date("o_orderdate").alias("date"))
@@ -696,3 +711,79 @@ def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
         code.alias("vintage_code"), F.lit(None).cast("string").alias("semantic_issue"),
     )
     return reconcile.reconciled(r).select("l_orderkey", "l_linenumber", "release_actual_match_status", "source_match_status")
+
+
+_AS_OF = "2024-01-20 12:30:00"
+
+
+@query(f"""WITH {_T}, {_bars('b', HOUR_US)}, d AS (SELECT DISTINCT CAST(ts AS DATE) AS session FROM t), z AS (SELECT epoch_us(TIMESTAMP '{_AS_OF}') AS now),
+s AS (SELECT session, o, least(c, now) AS e, c > now AS open_now, greatest(0, ceil((least(c, now) - o) / {HOUR_US}))::BIGINT AS n FROM (SELECT session, epoch_us(session::TIMESTAMP) + {9 * HOUR_US} + 1800000000 AS o, epoch_us(session::TIMESTAMP) + {16 * HOUR_US} AS c FROM d), z WHERE o <= now),
+x(cls, syms, a, b) AS (VALUES ('provider_gap', ['click'], TIMESTAMP '2024-01-02 05:00:00', TIMESTAMP '2024-01-02 12:00:00'), ('market_wide_halt', ['*'], TIMESTAMP '2024-01-03 06:00:00', TIMESTAMP '2024-01-03 09:00:00'),
+  ('exchange_closed', ['*'], TIMESTAMP '2024-01-06 05:00:00', TIMESTAMP '2024-01-07 04:59:00'), ('legitimate_no_trade_interval', ['signup'], TIMESTAMP '2024-01-08 12:00:00', TIMESTAMP '2024-01-09 02:30:00')),
+g AS (SELECT y.symbol, s.*, k FROM (SELECT DISTINCT symbol FROM b) y, s, LATERAL (SELECT unnest(range(0, s.n)) AS k)),
+r AS (SELECT g.*, EXISTS (SELECT 1 FROM b WHERE b.symbol = g.symbol AND b.bar_us >= g.o AND b.bar_us < g.e AND (b.bar_us - g.o) // {HOUR_US} = g.k) AS hit,
+  EXISTS (SELECT 1 FROM x WHERE (list_contains(syms, g.symbol) OR list_contains(syms, '*')) AND cls <> 'provider_gap' AND make_timestamp(g.o + g.k * {HOUR_US}) >= x.a AND make_timestamp(g.o + g.k * {HOUR_US}) < x.b) AS off,
+  EXISTS (SELECT 1 FROM x WHERE (list_contains(syms, g.symbol) OR list_contains(syms, '*')) AND cls = 'provider_gap' AND make_timestamp(g.o + g.k * {HOUR_US}) >= x.a AND make_timestamp(g.o + g.k * {HOUR_US}) < x.b) AS known FROM g)
+SELECT symbol, session, max(n) AS n_slots, count_if(off)::BIGINT AS excluded, count_if(hit AND NOT off)::BIGINT AS covered, count_if(NOT hit AND NOT off AND known)::BIGINT AS known_missing, count_if(NOT hit AND NOT off AND NOT known)::BIGINT AS unexplained,
+  bool_or(open_now) AS in_progress, CASE WHEN bool_or(open_now) THEN 'provisional' WHEN count_if(NOT off) = 0 THEN 'nothing_due' WHEN count_if(hit AND NOT off) = 0 AND count_if(NOT hit AND NOT off AND NOT known) = count_if(NOT off) THEN 'missing'
+    WHEN count_if(hit AND NOT off) / nullif(count_if(NOT off) - count_if(NOT hit AND NOT off AND known), 0) < 0.98 THEN 'incomplete' ELSE 'complete' END AS verdict FROM r GROUP BY symbol, session""")
+def slot_coverage_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions begun by an instant, judged by the slots due until then, with the registry's closures, halts and gaps."""
+    now = int(dt.datetime.fromisoformat(_AS_OF).replace(tzinfo=dt.timezone.utc).timestamp()) * 1_000_000
+    day = ticks(spark, sf_dir).select(F.to_date("ts").alias("session")).distinct().withColumn("d", F.unix_micros(F.col("session").cast("timestamp")))
+    s = day.select("session", (F.col("d") + 9 * HOUR_US + HOUR_US // 2).alias("open_us"), (F.col("d") + 16 * HOUR_US).alias("close_us"))
+    out = bars.slot_coverage(event_bars(spark, sf_dir), s, ["symbol"], HOUR_US, now, registry=_registry(spark))
+    return out.select("symbol", "session", "n_slots", "excluded", "covered", "known_missing", "unexplained", "in_progress", "verdict")
+
+
+_RELEASE_SPEC = windows.WindowSpec(pre=(3, 1), post=(1, 4), step_us=HOUR_US, baseline_sessions=4, baseline_min=2, baseline_lookback=6)
+
+
+@query(f"""WITH {_T}, {_bars('b', HOUR_US)}, g(win, side, first, last) AS (VALUES ('pre3m', 'pre', -3, -1), ('pre1m', 'pre', -1, -1), ('post1m', 'post', 0, 0), ('post4m', 'post', 0, 3)),
+x(id, cls, syms, a, b) AS (VALUES ('x1', 'provider_gap', ['click'], TIMESTAMP '2024-01-02 05:00:00', TIMESTAMP '2024-01-02 12:00:00'), ('x2', 'market_wide_halt', ['*'], TIMESTAMP '2024-01-03 06:00:00', TIMESTAMP '2024-01-03 09:00:00'),
+  ('x3', 'exchange_closed', ['*'], TIMESTAMP '2024-01-06 05:00:00', TIMESTAMP '2024-01-07 04:59:00'), ('x5', 'legitimate_no_trade_interval', ['signup'], TIMESTAMP '2024-01-08 12:00:00', TIMESTAMP '2024-01-09 02:30:00')),
+s AS (SELECT CAST(d AS DATE) AS d FROM generate_series(DATE '2023-12-01', DATE '2024-03-01', INTERVAL 1 DAY) q(d) WHERE isodow(d) < 6 AND CAST(d AS DATE) NOT IN (DATE '2023-12-25', DATE '2024-01-01', DATE '2024-01-15', DATE '2024-02-19')),
+r AS (SELECT event_id, symbol, t_us, ts, t_us - t_us % {HOUR_US} AS f, CAST(timezone('America/New_York', timezone('UTC', ts)) AS DATE) AS nd FROM t WHERE user_id % 5 = 0),
+w AS (SELECT r.*, g.*, make_timestamp(f + (g.first - 1) * {HOUR_US}) AS wa, make_timestamp(f + (g.last + 1) * {HOUR_US}) AS wz FROM r, g),
+m AS (SELECT w.event_id, win, coalesce(string_agg(id, ',' ORDER BY id), '') AS ids, coalesce(bool_or(cls = 'provider_gap'), false) AS gap, coalesce(bool_or(cls = 'market_wide_halt'), false) AS halt, coalesce(bool_or(cls = 'exchange_closed'), false) AS shut
+  FROM w LEFT JOIN x ON (list_contains(syms, w.symbol) OR list_contains(syms, '*')) AND w.wa < x.b AND x.a < w.wz GROUP BY ALL),
+p AS (SELECT w.*, o, w.f + o * {HOUR_US} AS at FROM w, LATERAL (SELECT unnest(range(w.first - 1, w.last + 1)) AS o)),
+q AS (SELECT p.*, o < p.first AS anchor, b.close, b.high, b.low, b.volume, b.bar_us IS NOT NULL AS seen,
+  NOT EXISTS (SELECT 1 FROM x WHERE cls <> 'provider_gap' AND (list_contains(syms, p.symbol) OR list_contains(syms, '*')) AND make_timestamp(p.at) >= x.a AND make_timestamp(p.at) < x.b) AS due FROM p LEFT JOIN b ON b.symbol = p.symbol AND b.bar_us = p.at),
+a AS (SELECT event_id, symbol, win, side, nd, wz, count(*)::BIGINT AS n, count_if(seen)::BIGINT AS k, count_if(NOT anchor) AS nb, max(CASE WHEN anchor THEN close END) AS px, arg_max(CASE WHEN NOT anchor THEN close END, CASE WHEN NOT anchor THEN o END) AS cl,
+  max(CASE WHEN NOT anchor THEN high END) AS h, min(CASE WHEN NOT anchor THEN low END) AS l, sum(CASE WHEN NOT anchor THEN volume END) AS v FROM q WHERE due OR anchor GROUP BY ALL),
+z AS (SELECT a.*, m.ids, m.halt, CASE WHEN m.gap THEN 'provider_gap_in_window' WHEN s.d IS NULL OR m.shut THEN 'exchange_closed' WHEN CAST(timezone('America/New_York', timezone('UTC', wz - INTERVAL 1 HOUR)) AS DATE) > DATE '2024-01-25' THEN 'provisional_market_data'
+  WHEN NOT (n = k AND nb > 0) THEN 'insufficient_market_window' WHEN m.halt THEN 'ok_market_halt' ELSE 'ok' END AS status FROM a JOIN m USING (event_id, win) LEFT JOIN s ON s.d = a.nd)
+SELECT event_id, symbol, win AS "window", status, ids AS exception_ids, n AS n_expected_bars, k AS n_observed_bars, round(CASE WHEN status LIKE 'ok%' THEN cl / nullif(px, 0) - 1 END, 6) AS ret, round(CASE WHEN status LIKE 'ok%' THEN (h - l) / nullif(px, 0) END, 6) AS "range",
+  CASE WHEN status LIKE 'ok%' THEN v END AS volume FROM z""")
+def release_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth user's events as releases on hourly bars, against the exchange's sessions and the registry: status, counts and metrics of each window."""
+    t = ticks(spark, sf_dir).where("user_id % 5 = 0").select(F.col("event_id").alias("release_id"), "symbol", F.timestamp_micros("t_us").alias("release_ts"))
+    b = event_bars(spark, sf_dir).withColumn("timestamp_utc", F.timestamp_micros("bar_us")).drop("bar_us")
+    s = sessions.session_frame(spark, dt.date(2023, 12, 1), dt.date(2024, 3, 1))
+    w = windows.release_windows(t, b, s, _registry(spark), _RELEASE_SPEC, "2024-01-25")
+    w = w.select(F.col("release_id").alias("event_id"), "symbol", "window", "status", F.array_join("exception_ids", ",").alias("exception_ids"), "n_expected_bars", "n_observed_bars", "ret", "range", "volume")
+    return rounded(w, "ret", "range")
+
+
+@query("""SELECT o_orderkey, CASE WHEN month(o_orderdate) <= 2 AND m >= 11 THEN year(o_orderdate) - 1 WHEN month(o_orderdate) >= 11 AND m <= 2 THEN year(o_orderdate) + 1 ELSE year(o_orderdate) END::INT AS year_of_day
+FROM (SELECT *, (o_orderkey % 12 + 1) AS m FROM orders)""")
+def nearest_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The year of a month and day without one, on a page of the order's month."""
+    o = table(spark, sf_dir, "orders")
+    month = (F.col("o_orderkey") % 12 + 1).cast("int")
+    return o.select("o_orderkey", times.nearest_year(month, F.lit(1), F.year("o_orderdate"), F.month("o_orderdate")).alias("year_of_day"))
+
+
+@query("""WITH e AS (SELECT p_partkey, p_brand AS f, p_type AS i, CASE WHEN p_size % 4 > 0 THEN (p_size % 8)::VARCHAR END AS s FROM part), f AS (SELECT p_brand AS f, min(p_type) AS label FROM part GROUP BY 1),
+s AS (SELECT (p_size % 8)::VARCHAR AS s, p_brand AS f, CASE WHEN min(p_size) > 1 THEN CASE WHEN min(p_size) % 2 = 0 THEN 'SA' ELSE 'NSA' END END AS adj FROM part GROUP BY ALL)
+SELECT p_partkey, nullif(concat_ws(',', CASE WHEN i <> label THEN 'label' END, CASE WHEN e.s IS NOT NULL AND adj IS NULL THEN 'no_profile' END, CASE WHEN adj <> 'SA' THEN 'adjustment' END), '') AS semantic_issue FROM e LEFT JOIN f USING (f) LEFT JOIN s ON s.s = e.s AND s.f = e.f""")
+def semantic_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as events, brands as families, remainders of sizes as official series."""
+    p = table(spark, sf_dir, "part")
+    e = p.select("p_partkey", F.col("p_brand").alias("event_family"), F.col("p_type").alias("indicator"), F.when(F.col("p_size") % 4 > 0, (F.col("p_size") % 8).cast("string")).alias("series_id"))
+    same = [F.lit("x").alias(c) for c in ("measure", "scope")]
+    families = p.groupBy(F.col("p_brand").alias("event_family")).agg(F.min("p_type").alias("label")).select("*", F.lit("SA").alias("adjustment"), *same)
+    size = F.min("p_size")
+    profile = p.groupBy((F.col("p_size") % 8).cast("string").alias("series_id"), F.col("p_brand").alias("event_family")).agg(F.when(size > 1, F.when(size % 2 == 0, "SA").otherwise("NSA")).alias("s_adjustment"))
+    return reconcile.semantic_issue(e, families, profile.select("*", *[c.alias(f"s_{n}") for c, n in zip((F.lit("x"), F.lit("x")), ("measure", "scope"))])).select("p_partkey", "semantic_issue")

@@ -48,6 +48,23 @@ def read_calendar_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[c.alias(n) for n, c in made.items()], "pos")
 
 
+def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All fields as they stand, blanks and all, by the file's own header, with `pos`: what digests are taken of."""
+    head = [r["value"] for r in spark.read.text(path).limit(1).collect()]
+    names = head[0].lstrip("\ufeff").strip().split(",") if head else []
+    rows = spark.read.text(path).withColumn("pos", F.monotonically_increasing_id()).where(F.regexp_replace("value", "\ufeff", "") != F.lit(head[0].lstrip("\ufeff") if head else ""))
+    cells = F.split(F.regexp_replace("value", "\r$", ""), ",", -1)
+    return rows.where(F.size(cells) == len(names)).select(*[cells[k].alias(n) for k, n in enumerate(names)], "pos")
+
+
+def import_counts(rows: DataFrame, mapping: DataFrame, fields: Sequence[str] = ("actual", "forecast", "previous")) -> DataFrame:
+    """One row: rows, mapped and unmapped by name, and for each field the rows that are not blank."""
+    known = mapping.select(F.lower(F.trim("name")).alias("__name")).distinct().withColumn("__known", F.lit(True))
+    named = rows.withColumn("__name", F.lower(F.trim("name"))).join(known, "__name", "left")
+    filled = [F.count_if(F.trim(F.coalesce(F.col(f), F.lit(""))) != "").alias(f"with_{f}") for f in fields]
+    return named.agg(F.count("*").alias("rows"), F.count_if("__known").alias("mapped"), F.count_if(F.col("__known").isNull()).alias("unmapped"), *filled)
+
+
 def calendar_values(rows: DataFrame) -> DataFrame:
     """The export's numbers as numbers; a text that is none is an error, as the export only writes numbers or nothing."""
     doubles = {c: F.col(c).cast("double") for c in ("actual_value", "forecast_value", "prev_value", "revised_prev_value")}
@@ -57,10 +74,10 @@ def calendar_values(rows: DataFrame) -> DataFrame:
 def normalised_calendar(rows: DataFrame, mapping: DataFrame, zone: str | None, checksum: str | None = None, retrieved: dt.datetime | None = None) -> DataFrame:
     """Calendar rows as events. Rows with unmapped names or unreadable times are dropped; without a confirmed server zone the instant stays null and UNRESOLVED.
 
-    mapping (tens of rows): label_key, event_family, indicator, release_bundle, value_unit, rule_unit, rule_multiplier.
+    mapping: label_key, event_family, indicator, release_bundle, value_unit, rule_unit, rule_multiplier.
     """
     key = F.lower(F.regexp_replace(F.trim("event_name"), r"\s+", " "))
-    r = calendar_values(rows).withColumn("label_key", key).join(F.broadcast(mapping), "label_key")
+    r = calendar_values(rows).withColumn("label_key", key).join(mapping, "label_key")
     at = F.try_to_timestamp("event_time", F.lit("yyyy.MM.dd HH:mm:ss")).cast("timestamp_ntz")
     r = r.withColumn("__at", at).where("__at is not null")
     known = (F.upper("unit") == "PERCENT") & (F.col("value_unit") == "PERCENT")
@@ -195,9 +212,12 @@ def normalised_bars(raw: DataFrame, symbol: str, identity: dict[str, str], retri
 
 
 def known_datasets(spark: SparkSession, root: str, known: Sequence[str]) -> tuple[list[str], list[str]]:
-    """Stored symbols by partition discovery, and directories that no known feed explains."""
-    found = [r[0] for r in spark.read.parquet(root).select("feed").distinct().collect()]
-    return sorted(set(found) & set(known)), sorted(set(found) - set(known))
+    """Feeds stored below root (folders feed=...), and folders that no known feed explains. Only the folder is listed; no data is read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [f.getPath().getName() for f in listed if f.isDirectory()]
+    found = {n.removeprefix("feed=") for n in names if not n.startswith(("_", "."))}
+    return sorted(found & set(known)), sorted(found - set(known))
 
 
 def fetched(pages: Callable[[str | None], tuple[object, str | None]], most: int = 10_000) -> list[object]:

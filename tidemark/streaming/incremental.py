@@ -55,7 +55,7 @@ def upsert_partitions(batch: DataFrame, path: str, keys: Sequence[str], partitio
         stored = None
     if stored is not None:
         touched = batch.select(*partitions).distinct()
-        stored = stored.join(F.broadcast(touched), list(partitions), "left_semi").select(*batch.columns)
+        stored = stored.join(touched, list(partitions), "left_semi").select(*batch.columns)
     upsert(stored, batch, keys).write.mode("overwrite").parquet(staging)
     write_partitions(spark.read.parquet(staging), path, partitions)
 
