@@ -1,7 +1,7 @@
 """Mixing sources to target weights.
 
 Documents get hash-random keys, md5 of the seed and the id. Within a source they are ordered by key: the
-first hex digits of the key cut each source into BUCKETS ranges, range sums give each range its offset, and
+first hex digits of the key (more for larger tables) cut each source into ranges, range sums give each range its offset, and
 running sums are only taken within a range, so no task holds a whole source. A source's target
 is cut exactly, to the word; a target above the source's size repeats whole passes, three at most.
 
@@ -24,8 +24,8 @@ from .common import text_or_empty
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-#: Leading hex digits of the key that make a range: 16 ** 3 ranges a source.
-BUCKET_DIGITS = 3
+#: About as many rows of a source make a range; ranges are cut by leading hex digits of the key, MIN_DIGITS at least.
+RANGE_ROWS, MIN_DIGITS = 200_000, 3
 
 
 def n_words(text: str | Column) -> Column:
@@ -55,7 +55,11 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS) -> Data
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """All columns of docs, with __size, __source_size, __target, __taken."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.withColumn("__size", n_words(text_col)).withColumn("__key", key).withColumn("__range", F.substring("__key", 1, BUCKET_DIGITS))
+    digits = MIN_DIGITS
+    n = docs.count()
+    while n > RANGE_ROWS * 16**digits:
+        digits += 1
+    rows = docs.withColumn("__size", n_words(text_col)).withColumn("__key", key).withColumn("__range", F.substring("__key", 1, digits))
     rows = rows.withColumn("__source", F.col(source_col))
     ranges = rows.groupBy("__source", "__range").agg(F.sum("__size").alias("__sum"))
     upto = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -79,7 +83,7 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: rows of docs as often as they are taken; a part of a pass counts if it is at least half of the document."""
-    times = F.when(F.col("__size") > 0, F.floor((F.col("__taken") + F.col("__size") / 2) / F.col("__size"))).otherwise(0).cast("int")
+    """The mix itself: rows of docs as often as they are taken; a part of a pass counts if it is at least half of the document. Documents without words cost no budget and stay once."""
+    times = F.when(F.col("__size") > 0, F.floor((F.col("__taken") + F.col("__size") / 2) / F.col("__size"))).otherwise(1).cast("int")
     rows = mixed(docs, **options).withColumn("__times", times).where("__times > 0")
     return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__pass")).drop("__pass")
