@@ -1,8 +1,8 @@
 """Sharding: a Feistel permutation with cycle walking over global row numbers.
 
-Rows get gapless global numbers: a hash of the row's key picks one of BUCKETS buckets, a row's number is the
-count of all earlier buckets plus its place within its bucket. Only the bucket counts, at most BUCKETS rows, are
-broadcast. The permutation works on pairs (left, right) from a * b >= n numbers, a being about the
+Rows get gapless global numbers: a hash of the row's key picks one of many buckets, a row's number is the
+count of all earlier buckets plus its place within its bucket. Equal rows are counted before that and spelt out after it, so that they
+make no bucket large. Only the bucket counts, at most MOST_BUCKETS rows, are broadcast. The permutation works on pairs (left, right) from a * b >= n numbers, a being about the
 square root of n; a number that leaves 0..n-1 is permuted again until it returns. So the place of row number r
 follows from (n, seed, r) alone: shard = place mod shards, slot = place div shards.
 
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-BUCKETS = 4096
+#: Rows of a bucket; there are LEAST_BUCKETS at least and, broadcast as one row each, MOST_BUCKETS at most.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 200_000, 4096, 1_000_000
 ROUNDS = 4
 #: A walk only visits distinct numbers outside 0..n-1, fewer than a of them; for a > WALKS the
 #: chance of a longer walk is below (1 / WALKS) ** WALKS, and such a row raises an error.
@@ -54,14 +55,21 @@ def permuted(row: Column, n: Column, seed: int) -> Column:
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with __row (0..n-1, gapless) and __n (their count); __row follows (bucket, *order) and no task sees more than a bucket."""
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(BUCKETS)).cast("int"))
-    counts = rows.groupBy("__bucket").agg(F.count("*").alias("__c"))
+    """The columns in order, with __row (0..n-1, gapless) and __n (their count); __row follows (bucket, *order) and no task sees more than a bucket of distinct rows."""
+    n_buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, rows.count() // BUCKET_ROWS))
+    distinct = rows.groupBy(*order).agg(F.count("*").alias("__times")).withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(n_buckets)).cast("int"))
+    counts = distinct.groupBy("__bucket").agg(F.sum("__times").alias("__c"))
     upto = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = counts.select("__bucket", (F.sum("__c").over(upto) - F.col("__c")).alias("__before"), F.sum("__c").over(everything).alias("__n"))
-    place = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)).cast("long")
-    return rows.withColumn("__place", place).join(F.broadcast(offsets), "__bucket").withColumn("__row", F.col("__before") + F.col("__place") - 1).drop("__bucket", "__place", "__before")
+    within = Window.partitionBy("__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = distinct.withColumn("__upto", F.sum("__times").over(within)).join(F.broadcast(offsets), "__bucket")
+    first = F.col("__before") + F.col("__upto") - F.col("__times")
+    # runs of equal rows, a million at a time
+    run, last = F.lit(1_000_000).cast("long"), F.col("__times") - 1
+    runs = placed.select(*order, "__n", "__times", first.alias("__first"), F.explode(F.sequence(F.lit(0).cast("long"), last, run)).alias("__from"))
+    spelt = F.sequence(F.col("__from"), F.least(F.col("__from") + run - 1, last))
+    return runs.withColumn("__k", F.explode(spelt)).select(*order, "__n", (F.col("__first") + F.col("__k")).alias("__row"))
 
 
 def shard_rows(docs: DataFrame, n_shards: int = 8, seed: int = 20_240, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
