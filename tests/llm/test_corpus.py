@@ -19,6 +19,10 @@ from tidemark.llm.components import components
 SPACE = re.compile(rb"[\x20\x09-\x0d]+")
 
 
+def words(rng, n):
+    return ["".join(rng.choices("abcdefghij", k=rng.randint(2, 6))) for _ in range(n)]
+
+
 def ran(df):
     return [r.asDict() for r in df.collect()]
 
@@ -685,6 +689,81 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in flat} == {0} and len(flat) == len(rows + extra)
 
 
+def plain_match(word, model):
+    """The best weight of a word: terms and stems as they are, and terms one edit behind the first letter away."""
+
+    def apart(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        return len(b) - len(a) == 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+    found = [w for s, w in model.stems.items() if word.startswith(s)] + [w for t, w in model.words.items() if t == word]
+    if word not in model.harmless:
+        edits = [(t, w) for t, w in model.words.items() if len(t) >= toxicity.FUZZY_FROM and t[0] == word[0] and apart(t[1:], word[1:])]
+        # a term's prefix that is a term of its own is not taken for the longer one
+        found += [w * toxicity.EDIT_WEIGHT for t, w in edits if not (word in model.words and t[:-1] == word)]
+    return max(found, default=None)
+
+
+def plain_score(text, model):
+    lower, total = text.lower(), 0.0
+    places = [(m.start(), m[0]) for m in re.finditer(r"[^\W\d_]+", lower)]
+    quoted, start = set(), 0
+    for line in lower.split("\n"):
+        marks = [start + k for k, c in enumerate(line) if c in toxicity.MARKS]
+        for a, b in zip(marks[::2], marks[1::2]):
+            quoted |= set(range(a + 1, b))
+        start += len(line) + 1
+    for k, (at, word) in enumerate(places):
+        weight = plain_match(word, model)
+        if weight is not None:
+            near = any(w in toxicity.MENTIONS for _, w in places[max(0, k - toxicity.WINDOW) : k + toxicity.WINDOW + 1])
+            total += weight * (toxicity.QUOTED if near or at in quoted else 1)
+    for m in toxicity._LEET_WORD.finditer(lower):
+        total += (plain_match(m[0].translate(toxicity._LEET), model) or 0) * toxicity.EDIT_WEIGHT
+    return total
+
+
+def test_toxicity_scores_against_plain_distances():
+    rng = random.Random(12)
+    word = lambda low, high: "".join(rng.choices("abc", k=rng.randint(low, high)))
+    for _ in range(40):
+        terms = {word(3, 9): rng.uniform(2, 6) for _ in range(rng.randint(1, 12))}
+        stems = {word(4, 5): rng.uniform(2, 6) for _ in range(rng.randint(0, 2))}
+        model = toxicity.Model(terms, stems, frozenset(word(5, 8) for _ in range(20)))
+        lexicon = toxicity.Lexicon(model)
+        near = [t[:k] + rng.choice("abc") + t[k + rng.randint(0, 1) :] for t in terms for k in range(len(t))] + [t[:k] + t[k + 1 :] for t in terms for k in range(len(t))]
+        for w in [*near, *(word(1, 10) for _ in range(200)), *terms, *model.harmless]:
+            got = lexicon.look_up(w) if w else None
+            assert (got and got[0]) == (plain_match(w, model) if w else None), (w, terms, stems)
+        for _ in range(15):
+            parts = rng.choices([*near, *terms, "said", "quote", "x", "b4bab", "@bcab", "c0ab"], k=30)
+            text = "".join(x + rng.choice([" ", " ", '" ', ' "', "\n", "” ", " “", ", "]) for x in parts)
+            assert toxicity.raw_score(text, lexicon) == pytest.approx(plain_score(text, model)), text
+    long = "“" + "x " * 500 + "babac ” babac"
+    model = toxicity.Model({"babac": 3.0}, {}, frozenset())
+    assert toxicity.raw_score(long, toxicity.Lexicon(model)) == pytest.approx(3.0 * toxicity.QUOTED + 3.0)
+
+
+def test_toxicity_lexicon_has_no_caps(spark):
+    """Thousands of terms, of any length, and the last of the alphabet's harmless words."""
+    rng = random.Random(13)
+    rows, labels = [], []
+    terms = [f"zz{'pqrstuvw'[k % 8]}{'abcdefgh'[k // 8 % 8]}{'ijklmno'[k // 64 % 7]}{'abcdef'[k // 448 % 6]}{'xy'[k // 2688 % 2]}" + "e" * (60 if k == 0 else 1) for k in range(5000)]
+    for k in range(1200):
+        bad = k % 2 == 0
+        text = ["plain", "zebraic"] + rng.choices(["alpha", "bravo", "carrot"], k=5)
+        if bad:
+            text += terms[k * 25 // 6 % 5000 :][:400] + [terms[0]]
+        rows.append((k, " ".join(text)))
+        labels.append((k, int(bad)))
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    lexicon = toxicity.Lexicon(model)
+    assert all(lexicon.look_up(t) for t in terms) and not lexicon.look_up("zebraic")
+
+
 def test_labels_of_held_out_rows_are_not_used(spark):
     rows = [(k, f"w{k % 5} common {'vile' if k % 3 == 0 else 'kind'}") for k in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

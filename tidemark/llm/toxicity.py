@@ -13,8 +13,8 @@ edits. Each place of a match counts by its context, a window of WINDOW words on
 beside words of report (MENTIONS) it counts QUOTED, else 1. The sum of weights, edits and contexts, as its logarithm,
 goes through a logistic curve fitted to the same labelled rows.
 
-Null and empty texts have no matches and the curve's value there. Null ids count as id '' (held out, hash remainder 0). Labels with null
-id or mark are ignored; of repeated labels the higher mark holds. Without a labelled row of each kind the lexicon is empty and all
+Null and empty texts have no matches and the curve's value there, which is below 0.5 always. Null ids count as id '' (held out, hash remainder 0). Labels with null
+id or mark are ignored; of repeated labels the higher mark holds. Without a labelled row of each kind, or without terms, the lexicon is empty and all
 scores are the share of toxic rows (0.5 without rows), cut to 0.01 .. 0.49. Texts are scored whole.
 """
 
@@ -257,12 +257,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     alone = {w[:k] for w in words for k in STEMS if w[:k] in stems and pos["word", w] >= 0.9 * pos[f"stem{k}", w[:k]]}
     stems = {s: w for s, w in stems.items() if s not in alone}
     words = {t: w for t, w in words.items() if not any(t[:k] in stems for k in STEMS)}
+    if not words and not stems:
+        return flat
     model = Model(words, stems, frozenset(), 1.0, 0.0)
     near = counts.where("kind = 'word' and neg > 0").select("term").mapInPandas(_near(model), "term string")
     model = Model(words, stems, frozenset(r["term"] for r in near.collect()), 1.0, 0.0)  # words of the labelled rows that are near a term
     seen = rows.select("toxic", scorer(model)("text").alias("x")).collect()  # two numbers for each training row
     slope, level = fit([math.log1p(_odds(r["x"])) for r in seen], [1 if r["toxic"] else 0 for r in seen])
-    return Model(words, stems, model.harmless, slope, level)
+    # without any match no text is taken for toxic, however many toxic ones the lexicon misses
+    return Model(words, stems, model.harmless, slope, min(level, _logit(0.49)))
 
 
 def _near(model: Model):
