@@ -56,48 +56,49 @@ def market_response(releases: DataFrame, bars: DataFrame, spec: ResponseSpec = R
     r = r.withColumn("low", low).withColumn("high", F.when(F.col("low") == F.col("t_us"), F.col("low")).otherwise(F.col("low") + step))
     reach = max(spec.pre, *PRE_HORIZONS) + 1 + spec.lookback
     width = long((reach + spec.post + 2) * spec.step_us)
-    b = bars.select(F.col("symbol").alias("b_symbol"), F.struct(F.unix_micros("timestamp_utc").alias("us"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("volume").alias("v")).alias("bar"))
-    bucket = F.floor(F.col("bar.us") / width)
+    # bars by their place on the grid; others meet no release
+    us = F.unix_micros("timestamp_utc")
+    bar = F.struct(F.call_function("div", us, step).alias("g"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("volume").alias("v"))
+    b = bars.where(F.pmod(us, step) == 0).select(F.col("symbol").alias("b_symbol"), bar.alias("bar"), F.floor(us / width).alias("bucket"))
     # a bucket has as many bars as fit in two widths
-    packs = b.withColumn("b_bucket", F.explode(F.array(bucket, bucket - 1))).groupBy("b_symbol", "b_bucket").agg(F.array_sort(F.collect_list("bar")).alias("bars"))
+    packs = b.withColumn("b_bucket", F.explode(F.array("bucket", F.col("bucket") - 1))).groupBy("b_symbol", "b_bucket").agg(F.array_sort(F.collect_list("bar")).alias("bars"))
     timed = r.where("t_us is not null").withColumn("bucket", F.floor((F.col("low") - long(reach * spec.step_us)) / width))
+    # the arrays cost more than the releases' few bytes: spread over as many tasks as shuffles have, whatever files they come from
+    timed = timed.repartition(int(releases.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
     rows = timed.join(packs, (F.col("symbol") == F.col("b_symbol")) & (F.col("bucket") == F.col("b_bucket")), "left")
-    # offsets from the floor; the ceiling is the floor or one more
-    late = F.when(F.col("low") == F.col("high"), 0).otherwise(1)
-    offset = lambda x: (x["us"] - F.col("low")) / step
-    near = F.filter("bars", lambda x: (offset(x) == F.floor(offset(x))) & (offset(x) >= -reach) & (offset(x) - late < spec.post))
-    fields = lambda x: [offset(x).cast("int").alias("o"), (offset(x) - late).cast("int").alias("p"), *[x[f].alias(f) for f in ("us", "h", "l", "c", "v")]]
-    rows = rows.select(*r.columns, F.coalesce(F.transform(near, lambda x: F.struct(*fields(x))), F.array()).alias("w"))
-    steps = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(F.get("w", i)["o"].alias("o"), F.get("w", i)["p"].alias("p"), F.when(F.get("w", i - 1)["o"] == F.get("w", i)["o"] - 1, F.ln(ratio(F.get("w", i)["c"], F.get("w", i - 1)["c"]))).alias("r")))
-    before = F.filter("w", lambda x: x["o"].between(-spec.lookback, -1))
+    # the floor's place, and the ceiling's, which is the same or the next
+    rows = rows.withColumn("g0", F.call_function("div", F.col("low"), step)).withColumn("g1", F.call_function("div", F.col("high"), step))
+    near = F.filter("bars", lambda x: (x["g"] >= F.col("g0") - reach) & (x["g"] < F.col("g1") + spec.post))
+    rows = rows.select(*r.columns, "g0", "g1", F.coalesce(near, F.array()).alias("w"))
+    from_floor = lambda first, last: lambda x: x["g"].between(F.col("g0") + first, F.col("g0") + last)
+    from_ceiling = lambda n: lambda x: (x["g"] >= F.col("g1")) & (x["g"] < F.col("g1") + n)
+    at = lambda i: F.get("w", i)
+    steps = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(at(i)["g"].alias("g"), F.when(at(i - 1)["g"] == at(i)["g"] - 1, F.ln(ratio(at(i)["c"], at(i - 1)["c"]))).alias("r")))
+    before = F.filter("w", from_floor(-spec.lookback, -1))
     rows = rows.withColumn("steps", F.when(F.size("w") > 0, steps)).withColumn("base", F.element_at(F.when(F.size(before) > 0, before), -1))
-    post = lambda n: F.filter("w", lambda x: (x["p"] >= 0) & (x["p"] < n))
-    rows = rows.withColumns({f"post_{n}": post(n) for n in sorted({spec.post, *EXCURSIONS})} | {"pre_30": F.filter("w", lambda x: x["o"].between(-30, -1))})
+    rows = rows.withColumns({f"post_{n}": F.filter("w", from_ceiling(n)) for n in sorted({spec.post, *EXCURSIONS})} | {"pre_30": F.filter("w", from_floor(-30, -1))})
     total = lambda c, field: F.aggregate(c, F.lit(0.0), lambda s, x: s + x[field])
     full = lambda name, n, c: F.when(F.size(name) == n, c)
 
     def volatility(n: int, inside) -> Column:
-        known = F.filter("steps", lambda x: inside(x) & x["r"].isNotNull())
+        known = F.filter(F.filter("steps", inside), lambda x: x["r"].isNotNull())
         return F.when(F.size(known) == n, F.sqrt(F.aggregate(known, F.lit(0.0), lambda s, x: s + x["r"] * x["r"])))
 
-    pick = lambda field, where: F.get(F.filter("w", where), 0)[field]
+    close_at = lambda place: F.get(F.filter("w", lambda x: x["g"] == place), 0)["c"]
     made = {
-        "n_any": F.size(F.filter("w", lambda x: x["o"] >= -(spec.pre + 1 + spec.lookback))),
-        "n_pre": F.size(F.filter("w", lambda x: x["o"].between(-spec.pre, -1))),
+        "n_any": F.size(F.filter("w", lambda x: x["g"] >= F.col("g0") - (spec.pre + 1 + spec.lookback))),
+        "n_pre": F.size(F.filter("w", from_floor(-spec.pre, -1))),
         "n_post": F.size(f"post_{spec.post}"),
-        "base_us": F.col("base.us"),
+        "base_us": F.col("base.g") * step,
         "baseline_price": F.col("base.c"),
-        "realized_vol_pre_30m": volatility(30, lambda x: x["o"].between(-30, -1)),
+        "realized_vol_pre_30m": volatility(30, from_floor(-30, -1)),
         "volume_pre_30m": full("pre_30", 30, total("pre_30", "v")),
     }
-    # a lambda's second parameter would be the index, so numbers are bound by functions
-    close_at = lambda field, at: pick("c", lambda x: x[field] == at)
-    made |= {f"c_{k}": close_at("p", F.lit(k - 1)) for k in POST_HORIZONS}
-    made |= {f"before_{k}": close_at("o", F.col("base.o") - k) for k in PRE_HORIZONS}
+    made |= {f"c_{k}": close_at(F.col("g1") + k - 1) for k in POST_HORIZONS}
+    made |= {f"before_{k}": close_at(F.col("base.g") - k) for k in PRE_HORIZONS}
     made |= {f"hi_{h}": full(f"post_{h}", h, F.array_max(F.transform(f"post_{h}", lambda x: x["h"]))) for h in EXCURSIONS}
     made |= {f"lo_{h}": full(f"post_{h}", h, F.array_min(F.transform(f"post_{h}", lambda x: x["l"]))) for h in EXCURSIONS}
-    after = lambda h: lambda x: (x["p"] >= 0) & (x["p"] < h)
-    made |= {f"rv_{h}": volatility(h, after(h)) for h in (30, 60)}
+    made |= {f"rv_{h}": volatility(h, from_ceiling(h)) for h in (30, 60)}
     made |= {f"volume_post_{h}m": full(f"post_{h}", h, total(f"post_{h}", "v")) for h in (30, 60)}
     found = rows.select(*r.columns, *[c.alias(n) for n, c in made.items()]).unionByName(r.where("t_us is null"), allowMissingColumns=True)
     has = F.col("base_us").isNotNull()
