@@ -33,17 +33,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nobody has used yet."""
-    folder = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
-    _paths.append(folder)
-    return f"{folder}/{name}"
+    path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}/{name}"
+    _paths.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, paths: Sequence[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p.rpartition("/")[0])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written_so_far() -> int:
+    """How many intermediate tables this process has; a mark for discard."""
+    return len(_paths)
+
+
+def discard(spark: SparkSession, mark: int, keep: Sequence[str] = ()) -> None:
+    """Deletes the intermediate tables written since the mark, but for those with the names in keep. For use where all that comes later only reads those."""
+    gone = [p for p in _paths[mark:] if p.rpartition("/")[2] not in keep]
+    _paths[mark:] = [p for p in _paths[mark:] if p not in gone]
+    _delete(spark, gone)
 
 
 def clean_up(spark: SparkSession) -> int:
     """Deletes the intermediate tables that this process has written so far; their number. Results that are still to be read from them must be written or collected before."""
     n = len(_paths)
-    while _paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    discard(spark, 0)
     return n
 
 

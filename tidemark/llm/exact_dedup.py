@@ -24,7 +24,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, settled, spread_join, text_or_empty
+from .common import discard, pick, settled, spread_join, text_or_empty, written_so_far
 
 SPACES = " \t\n\x0b\x0c\r"
 BLOCK = 2048
@@ -143,8 +143,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with the columns of docs."""
+    """The rows of docs that stay, with the columns of docs. Only the rows and the list of the dropped ones are left in the shared folder."""
+    mark = written_so_far()
     rows, identity = identities(docs, text_col, tuple(docs.columns))
     grouped = _grouped(rows.select("__rid", "__chars", id_col), identity, id_col)
     dropped = settled(grouped.where("__rid <> __best.rid").select("__rid"), "dropped")
+    discard(docs.sparkSession, mark, ("rows", "dropped"))
     return pick(rows, dropped, "__rid", "left_anti").select(*docs.columns)
