@@ -1,4 +1,4 @@
-"""The queries of the ten operators over the tables in TESTDATA.md, and their SQL where SQL can express them."""
+"""The queries of the corpus operators over the tables in TESTDATA.md, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, license_scan, mixing, sharding, toxicity, url_filters, warc
+from . import bpe, exact_dedup, fingerprints, jaccard_join, license_scan, mixing, periodic_runs, quality_rules, sharding, token_alignment, toxicity, url_filters, warc
 from .common import read_table
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -58,6 +58,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(read_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(read_table(spark, sf_dir, "documents"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_report(read_table(spark, sf_dir, "documents"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_report(read_table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1,
     "op2_warc": op2,
@@ -69,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scans": op8,
     "op9_exact_dedup": op9,
     "op10_bpe": op10,
+    "op11_periodic_runs": op11,
+    "op12_quality_rules": op12,
+    "op13_token_alignment": op13,
 }
 
 _OP3 = r"""
@@ -126,4 +141,35 @@ WITH d AS (
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.n) AS text_sha256 FROM d JOIN g USING (n)
 """
 
-ORACLE: dict[str, str] = {"op3_mixing": _OP3, "op5_url_filters": _OP5, "op9_exact_dedup": _OP9}
+_OP12 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), k AS (
+  SELECT r, list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) AS k FROM d WHERE len(w) >= 8
+), e AS (
+  SELECT r, unnest(k) AS k, unnest(range(len(k))) AS i FROM k
+), u AS (
+  SELECT r, i FROM e QUALIFY count(*) OVER (PARTITION BY r, k) > 1
+), c AS (
+  SELECT r, least(8, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 8)) AS n FROM u
+), p AS (
+  SELECT r, sum(n)::BIGINT AS n_repeat_words FROM c GROUP BY r
+), l AS (
+  SELECT r, unnest(string_split(t, chr(10))) AS line FROM d
+), q AS (
+  SELECT r, count(*) AS n_lines, count(line) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) - count(DISTINCT line) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) AS n_dup_lines FROM l GROUP BY r
+), m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    n_dup_lines::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, n_lines, len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) AS n_letter_words,
+    len(regexp_extract_all(t, '[!?]')) AS n_calls, len(regexp_extract_all(t, '\p{L}')) AS n_letters, len(regexp_extract_all(t, '\p{Lu}')) AS n_capitals
+  FROM d JOIN q USING (r) LEFT JOIN p USING (r)
+), b AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_letter_words < 8 * n_words OR 2 * n_capitals > n_letters OR 2 * n_calls > n_words OR 2 * n_dup_lines > n_lines
+    OR 10 * word_chars < 25 * n_words OR word_chars > 15 * n_words) AS kept
+FROM b
+"""
+
+ORACLE: dict[str, str] = {"op3_mixing": _OP3, "op5_url_filters": _OP5, "op9_exact_dedup": _OP9, "op12_quality_rules": _OP12}
