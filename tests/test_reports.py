@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from helpers import BAR, MINUTE, UTC, extended_hours, ny, rows
 from tidemark import cli
-from tidemark.functions import retry
 from tidemark.operators import bars, descriptor, reconcile
 from tidemark.sources import feeds, snapshots
 from tidemark.sources.sessions import session_frame
@@ -122,22 +121,6 @@ def test_release_table(spark):
         reconcile.require_single_family(calendars)
 
 
-def test_redaction():
-    from urllib.parse import quote
-
-    hold = "s3cr3t/value+1"
-    for text in (
-        "GET https://h/x?apikey=abc12345&y=1", "https://h/x?key=abc12345", "u=https%3A%2F%2Fh%2F%3Fapikey%3Dabc12345", 'headers {"APCA-API-SECRET-KEY": "abc12345"}', "Authorization: Bearer abc12345.def", "'x-api-key': 'abc12345'", "bearer abc12345678",
-        "token=abc12345;", "registrationkey: abc12345", quote(quote("https://h?api_key=abc12345")),
-    ):
-        assert "abc12345" not in retry.redacted(text) and retry.MASK in retry.redacted(text), text
-    for layer in (hold, quote(hold, safe=""), quote(quote(hold, safe=""), safe=""), quote(hold, safe="").lower()):
-        out = retry.redacted(f"at {layer} end", [hold])
-        assert layer not in out and out.startswith("at ") and out.endswith(" end")
-    plain = "the monkey has sort_key=5 and key_figure 7 at 100%25 of https://h/a%20b"
-    assert retry.redacted(plain) == plain and retry.redacted(None) == "" and retry.redacted("short=abc", ["abc"]) == "short=abc"
-
-
 def test_raw_rows_and_counts(spark, tmp_path):
     (tmp_path / "c.csv").write_text("﻿name,actual,forecast\n A ,1, \nB,,2\nbroken\n", encoding="utf-8")
     raw = rows(feeds.read_raw_csv(spark, f"{tmp_path}/c.csv"), "pos")

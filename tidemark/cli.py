@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.hashing import content_hash, spec_hash
-from .functions.retry import redacted
+from .functions.secrets import redacted
 from .functions.times import chunks, ny_date
 from .operators import bars as bar_ops
 from .operators import compare, descriptor, reconcile, response

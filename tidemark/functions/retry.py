@@ -1,30 +1,14 @@
-"""Retries and redaction for live sources (plain Python, driver side)."""
+"""Retries for live sources (plain Python, driver side)."""
 
 from __future__ import annotations
 
 import random
-import re
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from typing import TypeVar
-from urllib.parse import unquote, unquote_plus
 
 T = TypeVar("T")
 TRANSIENT = frozenset({429, 500, 502, 503, 504})
-#: What stands in place of a credential, and in place of a text from which one could still be decoded.
-MASK, WITHHELD = "[redacted]", "[withheld: an encoded credential could not be cut out]"
-#: Layers of URL encoding looked through; shorter secrets are not searched for by value.
-LAYERS, LEAST_SECRET = 3, 6
-_FIELD = r"(?:x[_-])?(?:apca[_-])?(?:api|access|refresh|auth|client|secret|registration)?[_-]?(?:key(?:[_-]?id)?|token|secret(?:[_-]?key)?|password|passwd)"
-#: Credentials by their place: headers and schemes, quoted pairs, pairs with = or :, and a bare key in a query string.
-_PLACES = (
-    re.compile(r"(?i)(authorization[\"']?\s*[:=]\s*[\"']?(?:(?:bearer|basic|token)\s+)?)([^\s&'\",;}\])]+)"),
-    re.compile(r"(?i)(\b(?:bearer|basic)\s+)([A-Za-z0-9._~+/=-]{8,})"),
-    re.compile(rf"(?i)([\"']{_FIELD}[\"']\s*:\s*[\"'])([^\"']+)"),
-    re.compile(rf"(?i)(\b(?!key\b){_FIELD}\s*[=:]\s*)([^\s&'\",;}}\])]+)"),
-    re.compile(r"(?i)([?&]key=)([^\s&'\",;}\])]+)"),
-)
-_RUN = re.compile(r"[^\s\"'<>{}\[\]()|`,;]+")
 
 
 class Permanent(RuntimeError):
@@ -49,38 +33,3 @@ def retried(call: Callable[[], tuple[int, T]], attempts: int = 5, base_s: float
             raise why
         sleep(base_s * 2**n * (0.5 + rng.random() / 2))
     raise AssertionError("no attempt")
-
-
-def _masked(text: str, held: list[str]) -> str:
-    for secret in held:
-        text = text.replace(secret, MASK)
-    for place in _PLACES:
-        text = place.sub(lambda m: m[1] + MASK, text)
-    return text
-
-
-def _layers(text: str, decode: Callable[[str], str] = unquote) -> list[str]:
-    out = [text]
-    while len(out) <= LAYERS and (inner := decode(out[-1])) != out[-1]:
-        out.append(inner)
-    return out
-
-
-def redacted(text: object, secrets: Iterable[str] = ()) -> str:
-    """text without credentials: those in named places, and the held secrets wherever they stand, URL-encoded up to LAYERS times too.
-
-    Runs without a credential keep their encoding. If decoding what is left could still give a held secret, encoded runs go, and then the whole text.
-    """
-    held = sorted({s for s in secrets if s and len(s) >= LEAST_SECRET}, key=len, reverse=True)
-    out = _masked("" if text is None else str(text), held)
-
-    def run(m: re.Match[str]) -> str:
-        inner = _layers(m[0])[-1]
-        clean = _masked(inner, held)
-        return m[0] if clean == inner else clean
-
-    out = _RUN.sub(run, out)
-    leaks = lambda t: any(s in x for s in held for decode in (unquote, unquote_plus) for x in _layers(t, decode))
-    if leaks(out):
-        out = _RUN.sub(lambda m: MASK if "%" in m[0] else m[0], out)
-    return WITHHELD if leaks(out) else out
