@@ -101,8 +101,13 @@ def test_registry(spark):
     assert got == {"in": ["pause", "storm"], "touch": [], "other": ["pause"]}
 
 
-def test_long_registries_are_not_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(registry, "MAX_ENTRIES", 1)
-    frame = registry.registry_frame(spark, [registry.parse_entry(entry()), registry.parse_entry(entry(id="b"))])
-    with pytest.raises(registry.RegistryError):
-        registry.entries(frame)
+def test_entries_meet_rows_by_equality(spark):
+    """Days and scopes in place of a nested loop; a pair comes once however many days both touch."""
+    at = lambda d, h=0: dt.datetime(2021, 11, d, h, tzinfo=dt.timezone.utc)
+    from pyspark.sql import functions as F
+
+    parsed = [registry.parse_entry(entry(id=f"e{k}", symbols=who)) | {"start_utc": at(a), "end_utc": at(z)} for k, (who, a, z) in enumerate([(["AAA"], 10, 14), (["AAA", "*"], 12, 20), (["BBB"], 11, 12)])]
+    w = spark.createDataFrame([(0, "AAA", at(9), at(21)), (1, "AAA", at(13), at(13, 1)), (2, "BBB", at(12), at(12)), (3, "BBB", at(11, 23), at(12, 1)), (4, "CCC", at(1), at(2))], "k int, symbol string, a timestamp, b timestamp")
+    pairs = registry.met(w, registry.registry_frame(spark, parsed), F.col("symbol"), F.unix_micros("a"), F.unix_micros("b"), parsed[0]["provider"], parsed[0]["feed"])
+    assert sorted((r["k"], r["x_id"]) for r in rows(pairs)) == [(0, "e0"), (0, "e1"), (1, "e0"), (1, "e1"), (3, "e1"), (3, "e2")]
+    assert "NestedLoop" not in pairs._jdf.queryExecution().toString() and "Cartesian" not in pairs._jdf.queryExecution().toString()

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import present, ratio
 from ..functions.times import MINUTE_US, long
-from ..sources.registry import NOT_EXPECTED, applies, entries
+from ..sources.registry import NOT_EXPECTED, day_index, day_of
 
 PRICES = ("open", "high", "low", "close")
-DAY_US = 24 * 60 * MINUTE_US
 PROVENANCE = ("source", "feed", "feed_scope", "adjustment", "timeframe")
 
 
@@ -91,53 +90,95 @@ def require_provenance(bars: DataFrame, expected: dict[str, str], unlabelled_sou
         raise ValueError(f"rows of another dataset: {wrong}")
 
 
+def _days(sessions: DataFrame, end: str = "close_us") -> DataFrame:
+    """Sessions (session, open_us, close_us) with a row for each UTC day that they touch, two at most: `__day`."""
+    return sessions.where(F.col(end) > F.col("open_us")).withColumn("__day", F.explode(F.sequence(day_of(F.col("open_us")), day_of(F.col(end) - 1))))
+
+
+def _slot(at: Column, step_us: int) -> Column:
+    """The first slot that starts at or after an instant."""
+    return F.ceil((at - F.col("open_us")) / step_us)
+
+
+def _slot_marks(sessions: DataFrame, registry: DataFrame, step_us: int, provider: str, feed: str) -> DataFrame:
+    """(x_scope, session, slot, off, known): slots that start inside an interval without expected bars, or inside a known gap. Entries meet sessions by equality of days."""
+    x = day_index(registry, provider, feed).where(F.col("x_classification").isin(*NOT_EXPECTED) | ((F.col("x_classification") == "provider_gap") & ~F.col("x_retry_appropriate")))
+    both = _days(sessions.select("session", "open_us", "close_us").distinct()).join(x, (F.col("__day") == F.col("x_day")) & (F.col("open_us") < F.col("x_to")) & (F.col("x_from") < F.col("close_us")))
+    both = both.where(F.col("__day") == F.greatest(day_of(F.col("open_us")), day_of(F.col("x_from"))))  # each pair once, on the first day that both touch
+    lo, hi = F.greatest(F.lit(0), _slot(F.col("x_from"), step_us)), F.least(_slot(F.col("close_us"), step_us), _slot(F.col("x_to"), step_us))
+    both = both.select("x_scope", "session", lo.alias("lo"), hi.alias("hi"), F.col("x_classification").isin(*NOT_EXPECTED).alias("off")).where("lo < hi")
+    return both.select("x_scope", "session", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("slot"), "off", (~F.col("off")).alias("known"))
+
+
+def _judged(grid: DataFrame, limits: DataFrame, on: Sequence[str], bars: DataFrame, sessions: DataFrame, by: Sequence[str], step_us: int, min_ratio: float, registry: DataFrame | None, provider: str, feed: str) -> DataFrame:
+    """grid with a verdict on each row. limits: what bounds the due slots (`on`, n_slots, end_us and the grid's other columns); by and session pick a grid row's bars.
+
+    Only slots with a bar or a mark have rows, and counts say the rest: what is neither covered, excluded nor known is unexplained.
+    """
+    inside = (F.col("bar_us") >= F.col("open_us")) & (F.col("bar_us") < F.col("close_us"))
+    spans = _days(sessions.select("session", "open_us", "close_us").distinct())
+    hits = bars.select(*by, "bar_us").withColumn("__day", day_of(F.col("bar_us"))).join(spans, "__day").where(inside)
+    facts = hits.groupBy(*by, "session", F.floor((F.col("bar_us") - F.col("open_us")) / step_us).alias("slot")).agg(F.min("bar_us").alias("at"))
+    off = known = F.lit(False)
+    if registry is not None:
+        marks = _slot_marks(sessions, registry, step_us, provider, feed)
+        who = grid.select(*by, "session").distinct().withColumn("x_scope", F.explode(F.array("symbol", F.lit("*"))))
+        marks = who.join(marks, ["x_scope", "session"]).select(*by, "session", "slot", F.lit(None).cast("long").alias("at"), "off", "known")
+        facts = facts.withColumns({"off": F.lit(False), "known": F.lit(False)}).unionByName(marks).groupBy(*by, "session", "slot").agg(F.min("at").alias("at"), F.bool_or("off").alias("off"), F.bool_or("known").alias("known"))
+        off, known = F.col("off"), F.col("known")
+    rows = facts.join(limits, list(on)).where(F.col("slot") < F.col("n_slots"))
+    hit = F.coalesce(F.col("at") < F.col("end_us"), F.lit(False))
+    said = hit | off | known
+    key = [*by, "session", *(c for c in limits.columns if c not in (*by, "session", "end_us", "in_progress", "n_slots"))]
+    counts = rows.groupBy(*key).agg(
+        F.count_if(off).alias("excluded"), F.count_if(hit & ~off).alias("covered"), F.count_if(~hit & ~off & known).alias("known_missing"), F.bool_or(said & (F.col("slot") == 0)).alias("opened"), F.bool_or(said & (F.col("slot") == F.col("n_slots") - 1)).alias("closed")
+    )
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    out = grid.join(counts, key, "left").withColumns({c: zero(c) for c in ("excluded", "covered", "known_missing")})
+    tradable = F.col("n_slots") - F.col("excluded")
+    judged = tradable - F.col("known_missing")
+    out = out.withColumns({"unexplained": judged - F.col("covered"), "tradable": tradable, "judged": judged, "completeness": F.when(judged > 0, ratio(F.col("covered"), judged)).otherwise(F.lit(1.0))})
+    no = lambda c: ~F.coalesce(F.col(c), F.lit(False)) & ~F.col("in_progress")
+    verdict = (
+        F.when(F.col("in_progress"), "provisional").when(F.col("tradable") == 0, "nothing_due").when((F.col("covered") == 0) & (F.col("unexplained") == F.col("tradable")), "missing").when(F.col("completeness") < min_ratio, "incomplete").otherwise("complete")
+    )
+    edges = {"missing_open_edge": no("opened") & (F.col("n_slots") > 0), "missing_close_edge": no("closed") & (F.col("n_slots") > 1)}
+    return out.withColumns({"verdict": verdict, **edges}).drop("opened", "closed", "end_us")
+
+
+def _due(sessions: DataFrame, as_of_us: Column | None, step_us: int) -> DataFrame:
+    """Sessions begun by the instant, with end_us, in_progress and n_slots: what of them is due."""
+    s = sessions if as_of_us is None else sessions.where(F.col("open_us") <= as_of_us)
+    s = s.withColumn("end_us", F.col("close_us") if as_of_us is None else F.least("close_us", as_of_us)).withColumn("in_progress", F.lit(False) if as_of_us is None else F.col("close_us") > as_of_us)
+    return s.withColumn("n_slots", F.greatest(F.lit(0), F.ceil((F.col("end_us") - F.col("open_us")) / step_us)).cast("long"))
+
+
 def slot_coverage(
-    bars: DataFrame, sessions: DataFrame, by: Sequence[str], step_us: int, as_of_us: int | None = None, min_ratio: float = 0.98, registry: DataFrame | None = None, provider: str = "alpaca", feed: str = "sip"
+    bars: DataFrame, sessions: DataFrame, by: Sequence[str], step_us: int, as_of_us: int | None = None, min_ratio: float = 0.98, registry: DataFrame | None = None, provider: str = "alpaca", feed: str = "sip", groups: DataFrame | None = None
 ) -> DataFrame:
-    """A row for each group and started session, judged slot by slot.
+    """A row for each group (those of the bars, unless `groups` names them) and started session, judged slot by slot.
 
     sessions: session, open_us, close_us. Slot i is [open + i * step, open + (i + 1) * step); the elapsed ones up to as_of are due. Slots that start
     inside an interval without expected bars are excluded, missing ones inside a known gap are known. verdict: provisional, nothing_due, missing,
     incomplete (covered / judged below min_ratio), complete. Sessions don't overlap, and each lies within 24 hours of its opening. So a bar meets its
     session by an equi-join on the UTC days that the session touches, two at most, and then its slot by number.
     """
-    s = sessions if as_of_us is None else sessions.where(F.col("open_us") <= as_of_us)
-    s = s.withColumn("end_us", F.col("close_us") if as_of_us is None else F.least("close_us", F.lit(as_of_us)))
-    s = s.withColumn("in_progress", F.lit(False) if as_of_us is None else F.col("close_us") > as_of_us)
-    s = s.withColumn("n_slots", F.greatest(F.lit(0), F.ceil((F.col("end_us") - F.col("open_us")) / step_us)).cast("long"))
-    inside = (F.col("bar_us") >= F.col("open_us")) & (F.col("bar_us") < F.col("end_us"))
-    day = lambda c: F.floor(F.col(c) / long(DAY_US))
-    spans = s.where("end_us > open_us").select("session", "open_us", "end_us", F.explode(F.sequence(day("open_us"), F.floor((F.col("end_us") - 1) / long(DAY_US)))).alias("__day"))
-    hit = bars.withColumn("__day", day("bar_us")).join(spans, "__day").where(inside).groupBy(*by, "session", F.floor((F.col("bar_us") - F.col("open_us")) / step_us).alias("slot")).agg(F.lit(1).alias("hit"))
+    s = _due(sessions.select("session", "open_us", "close_us"), None if as_of_us is None else long(as_of_us), step_us)
+    limits = s.select("session", "n_slots", "end_us", "in_progress")
     # the result has a row for each group and session: the product is the report itself
-    groups = bars.select(*by).distinct()
-    grid = groups.crossJoin(s).withColumn("slot", F.explode_outer(F.when(F.col("n_slots") > 0, F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1))))
-    rows = grid.join(hit, [*by, "session", "slot"], "left").withColumn("covered", F.coalesce("hit", F.lit(0)) == 1)
-    off = known = F.lit(False)
-    if registry is not None:
-        x = entries(registry)
-        at = F.col("open_us") + F.col("slot") * long(step_us)
-        met = applies(F.col("symbol"), provider, feed) & (at >= F.unix_micros("x_start_utc")) & (at < F.unix_micros("x_end_utc"))
-        off_now = F.col("x_classification").isin(*NOT_EXPECTED)
-        known_now = (F.col("x_classification") == "provider_gap") & ~F.col("x_retry_appropriate")
-        marks = grid.select(*by, "session", "slot", "open_us").join(F.broadcast(x), met).groupBy(*by, "session", "slot").agg(F.bool_or(off_now).alias("off"), F.bool_or(known_now).alias("known"))
-        rows = rows.join(marks, [*by, "session", "slot"], "left")
-        off, known = F.coalesce("off", F.lit(False)), F.coalesce("known", F.lit(False))
-    due = F.col("slot").isNotNull()
-    missing = due & ~F.col("covered") & ~off
-    unexplained = missing & ~known
-    out = rows.groupBy(*by, "session", "n_slots", "in_progress").agg(
-        F.count_if(due & off).alias("excluded"), F.count_if(F.col("covered") & ~off).alias("covered"), F.count_if(missing & known).alias("known_missing"), F.count_if(unexplained).alias("unexplained"),
-        F.bool_or(unexplained & (F.col("slot") == 0)).alias("open_edge"), F.bool_or(unexplained & (F.col("slot") == F.col("n_slots") - 1) & (F.col("n_slots") > 1)).alias("close_edge"),
-    )
-    tradable = F.col("n_slots") - F.col("excluded")
-    judged = tradable - F.col("known_missing")
-    complete = F.when(judged > 0, ratio(F.col("covered"), judged)).otherwise(F.lit(1.0))
-    verdict = (
-        F.when(F.col("in_progress"), "provisional").when(tradable == 0, "nothing_due").when((F.col("covered") == 0) & (F.col("unexplained") == tradable), "missing").when(complete < min_ratio, "incomplete").otherwise("complete")
-    )
-    edge = lambda c: F.coalesce(F.col(c), F.lit(False)) & ~F.col("in_progress")
-    return out.withColumns({"tradable": tradable, "judged": judged, "completeness": complete, "verdict": verdict, "missing_open_edge": edge("open_edge"), "missing_close_edge": edge("close_edge")}).drop("open_edge", "close_edge")
+    grid = (bars.select(*by).distinct() if groups is None else groups.select(*by)).crossJoin(limits)
+    return _judged(grid, limits, ["session"], bars, s, by, step_us, min_ratio, registry, provider, feed)
+
+
+def claimed_sessions(claims: DataFrame, sessions: DataFrame, bars: DataFrame, by: Sequence[str], step_us: int, min_ratio: float = 0.98, registry: DataFrame | None = None, provider: str = "alpaca", feed: str = "sip") -> DataFrame:
+    """slot_coverage for claims, each as of an instant of its own: a row for each claim and session of its days begun by then.
+
+    claims: by, claim, start, end (days), as_of_us. sessions: session (the day), open_us, close_us. Claims meet sessions by their days, and the bars' slots are found once for all claims.
+    """
+    due = claims.select(*by, "claim", "as_of_us", F.explode(F.sequence("start", "end")).alias("session")).join(sessions.select("session", "open_us", "close_us"), "session")
+    grid = _due(due, F.col("as_of_us"), step_us)
+    limits = grid.select(*by, "session", "claim", "n_slots", "end_us", "in_progress")
+    return _judged(limits, limits, [*by, "session"], bars, grid, by, step_us, min_ratio, registry, provider, feed)
 
 
 def gaps(bars: DataFrame, by: Sequence[str], threshold_us: int, us: str = "bar_us") -> DataFrame:
@@ -167,9 +208,7 @@ def out_of_order(bars: DataFrame, by: Sequence[str], pos: str, us: str = "bar_us
 
 def session_gaps(bars: DataFrame, sessions: DataFrame, by: Sequence[str], threshold_us: int) -> DataFrame:
     """by, gaps_in_sessions, longest_gap_us: steps above the threshold between bars of one session."""
-    day = lambda c: F.floor(F.col(c) / long(DAY_US))
-    spans = sessions.select("session", "open_us", "close_us", F.explode(F.sequence(day("open_us"), F.floor((F.col("close_us") - 1) / long(DAY_US)))).alias("__day"))
-    inside = bars.withColumn("__day", day("bar_us")).join(spans, "__day").where((F.col("bar_us") >= F.col("open_us")) & (F.col("bar_us") < F.col("close_us")))
+    inside = bars.withColumn("__day", day_of(F.col("bar_us"))).join(_days(sessions.select("session", "open_us", "close_us")), "__day").where((F.col("bar_us") >= F.col("open_us")) & (F.col("bar_us") < F.col("close_us")))
     found = gaps(inside.select(*by, "session", "bar_us"), [*by, "session"], threshold_us)
     return found.groupBy(*by).agg(F.count("*").alias("gaps_in_sessions"), F.max("gap_us").alias("longest_gap_us"))
 

@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import coalesced_status, ratio
-from ..functions.times import MINUTE_US, NY, long, ny_date, session_state
-from ..sources.registry import NOT_EXPECTED, applies, entries, query_windows
+from ..functions.times import DAY_US, MINUTE_US, NY, long, ny_date, session_state
+from ..sources.registry import NOT_EXPECTED, met, query_windows
 
 METRICS = ("ret", "logret", "high_exc", "low_exc", "mfe", "mae", "range", "rv_abs", "rv_sq", "volume", "volume_rel")
 
@@ -102,9 +102,8 @@ def with_due(probes: DataFrame, registry: DataFrame | None, provider: str, feed:
     """due: false for bars inside intervals in which none is expected."""
     if registry is None:
         return probes.withColumn("due", F.lit(True))
-    x = entries(registry.where(F.col("classification").isin(*NOT_EXPECTED)))
-    inside = applies(F.col("symbol"), provider, feed) & (F.col("bar_us") >= F.unix_micros("x_start_utc")) & (F.col("bar_us") < F.unix_micros("x_end_utc"))
-    hit = probes.select("symbol", "bar_us").distinct().join(F.broadcast(x), inside, "left_semi").withColumn("off", F.lit(True))
+    points, at = probes.select("symbol", "bar_us").distinct(), F.col("bar_us")
+    hit = met(points, registry.where(F.col("classification").isin(*NOT_EXPECTED)), F.col("symbol"), at, at + 1, provider, feed, "left_semi").distinct().withColumn("off", F.lit(True))
     return probes.join(hit, ["symbol", "bar_us"], "left").withColumn("due", ~F.coalesce("off", F.lit(False))).drop("off")
 
 
@@ -157,11 +156,35 @@ def label_counts(start_us: Column, n: Column, open_us: Column, close_us: Column,
     return before(open_us), before(close_us)
 
 
+def range_sums(ranges: DataFrame, bars: DataFrame, key: Sequence[str], from_us: str, to_us: str, step_us: int) -> DataFrame:
+    """(key, m, v) of ranges on the bars' grid that have their first and last bar: the number of bars and the sum of their volumes.
+
+    Bars carry running counts and sums within their UTC day and place on the step's grid, so the windows are a day of a symbol each. A range is cut at midnights, mostly nowhere, and each
+    piece looks up its first and its last bar by equality; a range with a piece that lacks either has no row (it lacks bars), so rows grow with ranges and not with the bars in them.
+    """
+    day = lambda c: F.floor(c / long(DAY_US))
+    run = Window.partitionBy("b_symbol", "b_day", "b_place").orderBy("b_us").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = bars.select(F.col("symbol").alias("b_symbol"), F.col("bar_us").alias("b_us"), day(F.col("bar_us")).alias("b_day"), F.pmod(F.col("bar_us"), long(step_us)).alias("b_place"), F.coalesce("volume", F.lit(0.0)).alias("b_v"))
+    b = b.withColumns({"b_m": F.count("*").over(run), "b_sum": F.sum("b_v").over(run)}).select("b_symbol", "b_us", "b_v", "b_m", "b_sum")
+    last = F.col(to_us) - step_us
+    pieces = ranges.withColumn("__day", F.explode(F.sequence(day(F.col(from_us)), day(last))))
+    low, high = F.col("__day") * long(DAY_US), (F.col("__day") + 1) * long(DAY_US)
+    a = F.greatest(F.col(from_us), low + F.pmod(-(low - F.col(from_us)), long(step_us)))
+    z = F.least(last, F.col(from_us) + F.floor((high - 1 - F.col(from_us)) / long(step_us)) * long(step_us))
+    pieces = pieces.withColumns({"__a": a, "__z": z}).where("__a <= __z")
+    ends = pieces.withColumn("__end", F.explode(F.array(F.struct(F.col("__a").alias("us"), F.lit(-1).alias("sign")), F.struct(F.col("__z").alias("us"), F.lit(1).alias("sign")))))
+    got = ends.join(b, (F.col("symbol") == F.col("b_symbol")) & (F.col("__end.us") == F.col("b_us")), "left")
+    opening = F.col("__end.sign") < 0
+    m = F.when(opening, 1 - F.col("b_m")).otherwise(F.col("b_m"))
+    v = F.when(opening, F.col("b_v") - F.col("b_sum")).otherwise(F.col("b_sum"))
+    return got.groupBy(*key).agg(F.sum(m).alias("m"), F.sum(v).alias("v"), F.count_if(F.col("b_m").isNull()).alias("__lost")).where("__lost = 0").drop("__lost")
+
+
 def volume_baseline(windows: DataFrame, bars: DataFrame, sessions: DataFrame, registry: DataFrame, spec: WindowSpec, provider: str = "alpaca", feed: str = "sip") -> DataFrame:
     """(release_id, symbol, window, volume_rel, volume_rel_status, volume_rel_n_windows).
 
     Candidates are the same wall-clock bars on up to baseline_lookback earlier sessions. Valid ones have the same sequence of session labels, meet no
-    registered exception and have every bar; the latest baseline_sessions of them are averaged. Candidate bars are found by equi-join, like the windows' own.
+    registered exception and have every bar; the latest baseline_sessions of them are averaged. A candidate's sum is two look-ups of running sums, not a row for each of its bars.
     """
     key = ["release_id", "symbol", "window"]
     day = sessions.select("ny_date", F.unix_micros("open").alias("o_us"), F.unix_micros("close").alias("c_us"))
@@ -180,12 +203,10 @@ def volume_baseline(windows: DataFrame, bars: DataFrame, sessions: DataFrame, re
     cand = cand.withColumn("c_start", start).withColumn("c_start_us", F.unix_micros("c_start"))
     pre, reg = label_counts(F.col("c_start_us"), F.col("n"), F.col("o_us"), F.col("c_us"), spec.step_us)
     cand = cand.where((pre == F.col("t_pre")) & (reg == F.col("t_reg"))).withColumn("c_end", F.timestamp_micros(F.col("c_start_us") + F.col("n") * long(spec.step_us)))
-    x = entries(registry)
-    met = applies(F.col("symbol"), provider, feed) & (F.col("c_start") < F.col("x_end_utc")) & (F.col("x_start_utc") < F.col("c_end"))
-    cand = cand.join(F.broadcast(x), met, "left_anti").select(*key, "s_no", "n", "c_start_us")
-    probe = cand.withColumn("b_us", F.explode(F.sequence(F.col("c_start_us"), F.col("c_start_us") + (F.col("n") - 1) * long(spec.step_us), long(spec.step_us))))
-    b = bars.select("symbol", F.col("bar_us").alias("b_us"), F.col("volume").alias("v"))
-    sums = probe.join(b, ["symbol", "b_us"]).groupBy(*key, "s_no", "n").agg(F.count("*").alias("m"), F.sum("v").alias("v")).where("m = n")
+    cand = cand.select(*key, "s_no", "n", "c_start_us", (F.col("c_start_us") + F.col("n") * long(spec.step_us)).alias("c_end_us"))
+    spoilt = met(cand.select(*key, "s_no", "c_start_us", "c_end_us"), registry, F.col("symbol"), F.col("c_start_us"), F.col("c_end_us"), provider, feed, "left_semi").select(*key, "s_no").distinct()
+    cand = cand.join(spoilt, [*key, "s_no"], "left_anti")
+    sums = range_sums(cand, bars, [*key, "s_no", "n"], "c_start_us", "c_end_us", spec.step_us).where("m = n")
     latest = sums.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("s_no")))).where(F.col("k") <= spec.baseline_sessions)
     base = latest.groupBy(*key).agg(F.count("*").alias("volume_rel_n_windows"), F.avg("v").alias("base"))
     out = w.join(base, key, "left")

@@ -743,7 +743,7 @@ _RELEASE_SPEC = windows.WindowSpec(pre=(3, 1), post=(1, 4), step_us=HOUR_US, bas
 x(id, cls, syms, a, b) AS (VALUES ('x1', 'provider_gap', ['click'], TIMESTAMP '2024-01-02 05:00:00', TIMESTAMP '2024-01-02 12:00:00'), ('x2', 'market_wide_halt', ['*'], TIMESTAMP '2024-01-03 06:00:00', TIMESTAMP '2024-01-03 09:00:00'),
   ('x3', 'exchange_closed', ['*'], TIMESTAMP '2024-01-06 05:00:00', TIMESTAMP '2024-01-07 04:59:00'), ('x5', 'legitimate_no_trade_interval', ['signup'], TIMESTAMP '2024-01-08 12:00:00', TIMESTAMP '2024-01-09 02:30:00')),
 s AS (SELECT CAST(d AS DATE) AS d FROM generate_series(DATE '2023-12-01', DATE '2024-03-01', INTERVAL 1 DAY) q(d) WHERE isodow(d) < 6 AND CAST(d AS DATE) NOT IN (DATE '2023-12-25', DATE '2024-01-01', DATE '2024-01-15', DATE '2024-02-19')),
-r AS (SELECT event_id, symbol, t_us, ts, t_us - t_us % {HOUR_US} AS f, CAST(timezone('America/New_York', timezone('UTC', ts)) AS DATE) AS nd FROM t WHERE user_id % 5 = 0),
+r AS (SELECT event_id, symbol, t_us, ts, t_us - t_us % {HOUR_US} AS f, CAST(timezone('America/New_York', timezone('UTC', ts)) AS DATE) AS nd FROM t),
 w AS (SELECT r.*, g.*, make_timestamp(f + (g.first - 1) * {HOUR_US}) AS wa, make_timestamp(f + (g.last + 1) * {HOUR_US}) AS wz FROM r, g),
 m AS (SELECT w.event_id, win, coalesce(string_agg(id, ',' ORDER BY id), '') AS ids, coalesce(bool_or(cls = 'provider_gap'), false) AS gap, coalesce(bool_or(cls = 'market_wide_halt'), false) AS halt, coalesce(bool_or(cls = 'exchange_closed'), false) AS shut
   FROM w LEFT JOIN x ON (list_contains(syms, w.symbol) OR list_contains(syms, '*')) AND w.wa < x.b AND x.a < w.wz GROUP BY ALL),
@@ -757,8 +757,8 @@ z AS (SELECT a.*, m.ids, m.halt, CASE WHEN m.gap THEN 'provider_gap_in_window' W
 SELECT event_id, symbol, win AS "window", status, ids AS exception_ids, n AS n_expected_bars, k AS n_observed_bars, round(CASE WHEN status LIKE 'ok%' THEN cl / nullif(px, 0) - 1 END, 6) AS ret, round(CASE WHEN status LIKE 'ok%' THEN (h - l) / nullif(px, 0) END, 6) AS "range",
   CASE WHEN status LIKE 'ok%' THEN v END AS volume FROM z""")
 def release_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth user's events as releases on hourly bars, against the exchange's sessions and the registry: status, counts and metrics of each window."""
-    t = ticks(spark, sf_dir).where("user_id % 5 = 0").select(F.col("event_id").alias("release_id"), "symbol", F.timestamp_micros("t_us").alias("release_ts"))
+    """All events as releases on hourly bars, against the exchange's sessions and the registry: status, counts and metrics of each window."""
+    t = ticks(spark, sf_dir).select(F.col("event_id").alias("release_id"), "symbol", F.timestamp_micros("t_us").alias("release_ts"))
     b = event_bars(spark, sf_dir).withColumn("timestamp_utc", F.timestamp_micros("bar_us")).drop("bar_us")
     s = sessions.session_frame(spark, dt.date(2023, 12, 1), dt.date(2024, 3, 1))
     w = windows.release_windows(t, b, s, _registry(spark), _RELEASE_SPEC, "2024-01-25")

@@ -14,6 +14,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.times import DAY_US, long
 from ..schema import EXCEPTION, fields
 
 #: Classes, evidence levels, and the classes whose minutes are not expected to have bars.
@@ -27,8 +28,6 @@ TAGS = {
     "legitimate_no_trade_interval": "no_trade_interval_in_window",
     "temporary_fetch_failure": "temporary_fetch_failure_in_window",
 }
-#: Most entries that are sent to every task.
-MAX_ENTRIES = 20_000
 _FIELDS = [name for name, _ in fields(EXCEPTION)]
 
 
@@ -105,36 +104,35 @@ def registry_frame(spark: SparkSession, parsed: Iterable[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(e[n] for n in _FIELDS) for e in parsed], EXCEPTION)
 
 
-def entries(registry: DataFrame) -> DataFrame:
-    """The registry with its columns prefixed x_, for broadcasts: raises beyond MAX_ENTRIES rows."""
-    rows = registry.select(*[F.col(c).alias(f"x_{c}") for c in registry.columns])
-    if len(rows.limit(MAX_ENTRIES + 1).select("x_id").collect()) > MAX_ENTRIES:
-        raise RegistryError(f"more than {MAX_ENTRIES} entries")
-    return rows
+def day_index(registry: DataFrame, provider: str, feed: str) -> DataFrame:
+    """The active entries that speak of provider and feed, columns prefixed x_, cut up for equi-joins: a row for each scope (a symbol, or `*` for entries of all) and UTC day that an entry touches."""
+    x = registry.select(*[F.col(c).alias(f"x_{c}") for c in registry.columns])
+    x = x.where((F.col("x_status") != "retired") & F.col("x_provider").isin("*", provider) & F.col("x_feed").isin("*", feed) & (F.col("x_start_utc") < F.col("x_end_utc")))
+    scopes = F.when(F.array_contains("x_symbols", "*"), F.array(F.lit("*"))).otherwise(F.array_distinct("x_symbols"))
+    x = x.withColumns({"x_from": F.unix_micros("x_start_utc"), "x_to": F.unix_micros("x_end_utc"), "x_scope": F.explode(scopes)})
+    return x.withColumn("x_day", F.explode(F.sequence(day_of(F.col("x_from")), day_of(F.col("x_to") - 1))))
 
 
-def applies(symbol: Column, provider: str, feed: str) -> Column:
-    """The entry (columns prefixed x_) is active and speaks of this symbol, provider and feed."""
-    return (
-        (F.col("x_status") != "retired")
-        & (F.array_contains("x_symbols", symbol) | F.array_contains("x_symbols", F.lit("*")))
-        & F.col("x_provider").isin("*", provider)
-        & F.col("x_feed").isin("*", feed)
-    )
+def day_of(us: Column) -> Column:
+    """The UTC day that an instant in microseconds falls on, by number."""
+    return F.floor(us / long(DAY_US))
 
 
-def overlaps(start_a: Column, end_a: Column, start_b: Column, end_b: Column) -> Column:
-    """Half-open intervals."""
-    return (start_a < end_b) & (start_b < end_a)
+def met(rows: DataFrame, registry: DataFrame, symbol: Column, from_us: Column, to_us: Column, provider: str, feed: str, how: str = "inner") -> DataFrame:
+    """rows joined with the entries that overlap [from_us, to_us), by equality of scope and day; each pair comes once, on the first day that both touch.
 
+    With how="left", rows are repeated for their days and scopes whether they meet an entry or not; with "left_semi" they come at most once for each of these. The planner broadcasts a small registry by its size; a large one is shuffled.
+    """
+    cut = rows.withColumns({"__from": from_us, "__to": to_us}).withColumn("__day", F.explode_outer(F.sequence(day_of(F.col("__from")), day_of(F.greatest(F.col("__to") - 1, F.col("__from"))))))
+    cut = cut.withColumn("__scope", F.explode(F.array(symbol, F.lit("*"))))
+    first = F.greatest(day_of(F.col("__from")), day_of(F.col("x_from")))
+    pair = (F.col("__scope") == F.col("x_scope")) & (F.col("__day") == F.col("x_day")) & (F.col("__from") < F.col("x_to")) & (F.col("x_from") < F.col("__to")) & (F.col("__day") == first)
+    return cut.join(day_index(registry, provider, feed), pair, how).drop("__from", "__to", "__day", "__scope")
 
-def query_windows(windows: DataFrame, registry: DataFrame, key: list[str], start: str, end: str, provider: str = "alpaca", feed: str = "sip", symbol: str = "symbol") -> DataFrame:
-    """For each window: exception_ids, exception_tags (sorted arrays), has_provider_gap, has_market_halt, has_exchange_closed, invalidated.
 
-    The registry has tens of entries, MAX_ENTRIES at most, so the interval condition runs against its broadcast rows.
-    """
-    x = entries(registry)
-    hit = windows.join(F.broadcast(x), applies(F.col(symbol), provider, feed) & overlaps(F.col(start), F.col(end), F.col("x_start_utc"), F.col("x_end_utc")), "left")
+def query_windows(windows: DataFrame, registry: DataFrame, key: list[str], start: str, end: str, provider: str = "alpaca", feed: str = "sip", symbol: str = "symbol") -> DataFrame:
+    """For each window: exception_ids, exception_tags (sorted arrays), has_provider_gap, has_market_halt, has_exchange_closed, invalidated."""
+    hit = met(windows, registry, F.col(symbol), F.unix_micros(start), F.unix_micros(end), provider, feed, "left")
     tag = F.lit(None).cast("string")
     for name, said in TAGS.items():
         tag = F.when(F.col("x_classification") == name, said).otherwise(tag)
@@ -151,6 +149,5 @@ def query_windows(windows: DataFrame, registry: DataFrame, key: list[str], start
 
 def minutes_in(bars: DataFrame, registry: DataFrame, ts: str = "timestamp_utc", provider: str = "alpaca", feed: str = "sip", symbol: str = "symbol") -> DataFrame:
     """The bars that start inside an entry, once for each entry that covers them, with x_id and x_classification."""
-    x = entries(registry)
-    inside = applies(F.col(symbol), provider, feed) & (F.col(ts) >= F.col("x_start_utc")) & (F.col(ts) < F.col("x_end_utc"))
-    return bars.join(F.broadcast(x), inside).select(*[bars[c] for c in bars.columns], "x_id", "x_classification")
+    at = F.unix_micros(ts)
+    return met(bars, registry, F.col(symbol), at, at + 1, provider, feed).select(*bars.columns, "x_id", "x_classification")
