@@ -213,6 +213,7 @@ def plain_alignment(texts):
 def test_alignment(spark, monkeypatch, common, held, cache):
     monkeypatch.setattr(token_alignment, "HELD", held)
     monkeypatch.setattr(token_alignment, "CACHE", cache)
+    monkeypatch.setattr(token_alignment, "TOGETHER", cache * 10)
     rng = random.Random(4)
     texts = [r["text"] for r in read_table(spark, SF, "documents").select("text").limit(120).collect()] + odd_texts()[:12]
     texts += ["".join(rng.choice(" \n\t ab é漢 ▁​'sT1.,😀\r") for _ in range(rng.randint(1, 40))) for _ in range(150)] + ["don't  stop 　x", "a b c", "tail ", "  ", " a", "<|endoftext|> <s> </s> <unk>", "the same", "the same"]

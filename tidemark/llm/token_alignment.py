@@ -1,10 +1,10 @@
 """Cross-tokenizer alignment: two tokenizers over the same bytes, cut into groups where both end a token.
 
-Labels: each byte has a label: none, end of an A token, end of a B token, or both. A regular expression scans the label string for spans
+Labels: each byte has a label: none, end of an A token, end of a B token, or both. A regular expression scans the label string (without its nones, which count for nothing) for spans
 up to each both-label; the counts of end labels in a span are the numbers of A and B tokens of its group. Within a group the tokens that
 overlap are a staircase: each end label other than the first stretch's moves on by one token of A, of B, or of both, so a group of a and b tokens has a + b - 1 links.
 
-Units: texts are aligned by units, which are kept in a cache of bounded size. A unit begins at a space between two other than white-space
+Units: texts are aligned by units, each distinct one once and many at a time, joined by spaces; they are kept in a cache of bounded size. A unit begins at a space between two other than white-space
 characters. A's pattern begins a piece there, and B has no piece with its space sign after another character (checked when it is
 loaded; else a text is one unit), so both tokenizers and hence the labels are cut there in any case.
 
@@ -37,14 +37,14 @@ from .word_arrays import slices
 
 #: Most pairs whose counts are broadcast (12 bytes each).
 COMMON = 1_000_000
-#: Most units in a cache, the longest unit (in characters) that is kept, and most pairs that a task holds before it hands counts on.
-CACHE, CACHE_CHARS, HELD = 200_000, 60, 2_000_000
+#: Units in a cache beyond which only those of the last slice of texts stay, characters of units that are aligned together, and most pairs that a task holds before it hands counts on.
+CACHE, TOGETHER, HELD = 250_000, 1_000_000, 2_000_000
 
 #: Ids of B below this; a pair is one number, A's id times this plus B's.
 WIDTH = 1 << 31
 
 _NONE, _A, _B, _BOTH = range(4)
-_SPAN = re.compile(rb"[^\x03]*\x03")
+_SPAN = re.compile(rb"[\x01\x02]*\x03")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _SPACE_SIGN = "▁"
 
@@ -75,61 +75,79 @@ class Aligner:
         if made != sorted(made) or any(len(b) > 1 for b, i in ids.items() if made and i < made[0]):
             raise ValueError("the ids of A's merged tokens must ascend as its merges do")
         self.a_bytes = {i: b for b, i in ids.items()}
+        self.a_size = np.zeros(max(ids.values()) + 1, np.int64)
+        for b, i in ids.items():
+            self.a_size[i] = len(b)
         self.encode_a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ids, special_tokens={}).encode_ordinary
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE_SIGN, " ").encode() for i, p in enumerate(pieces)]
+        self.b_size = np.array([len(b) for b in self.b_bytes], np.int64)
         self.by_units = not any(_SPACE_SIGN in p.lstrip(_SPACE_SIGN) for p in pieces)
-        self.young: dict[str, Unit | None] = {}
-        self.old: dict[str, Unit | None] = {}
+        self.known: dict[str, Unit | None] = {}
+        #: Numbers of A and B tokens of a span of end labels, by the span.
+        self.sizes: dict[bytes, tuple[int, int]] = {}
 
-    def align(self, text: str) -> Unit | None:
-        """Of space + text as one stretch; None if the bytes differ."""
+    def align(self, parts: list[str]) -> list[Unit | None]:
+        """The units of the parts, which are aligned as one stretch joined by spaces; None where the bytes differ from space + part."""
+        text = " ".join(parts)
         whole = (" " + text).encode("utf-8", "surrogatepass")
         a, b = self.encode_a(" " + text), self.b.encode(text)
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
-            return None
+        if b"".join([self.a_bytes[i] for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
+            half = len(parts) // 2
+            return [*self.align(parts[:half]), *self.align(parts[half:])] if half else [None]
+        a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
         labels = np.zeros(len(whole), np.uint8)
-        labels[np.cumsum([len(x) for x in a_parts]) - 1] |= _A
-        labels[np.cumsum([len(x) for x in b_parts]) - 1] |= _B
-        groups, pairs, i, j = [], [], 0, 0
-        for span in _SPAN.findall(labels.tobytes()):
-            n_a, n_b = span.count(_A) + 1, span.count(_B) + 1
-            groups.append(f"{','.join(map(str, a[i : i + n_a]))}|{','.join(map(str, b[j : j + n_b]))}")
-            x, y = i, j
-            pairs.append(a[x] * WIDTH + b[y])
-            for end in span[:-1].replace(b"\x00", b""):
-                x, y = (x + 1, y) if end == _A else (x, y + 1)
-                pairs.append(a[x] * WIDTH + b[y])
-            i, j = i + n_a, j + n_b
-        return Unit(len(a), len(b), len(groups), ";".join(groups), np.array(pairs, np.int64).tobytes())
-
-    def unit(self, text: str) -> Unit | None:
-        """By way of the cache, which forgets its older half when it is full."""
-        got = self.young.get(text, False)
-        if got is False:
-            got = self.old.get(text, False)
-        if got is False:
-            got = self.align(text)
-            if len(text) > CACHE_CHARS:
-                return got
-        if len(self.young) >= CACHE // 2:
-            self.old, self.young = self.young, {}
-        self.young[text] = got
-        return got
-
-    def units(self, text: str) -> list[Unit] | None:
-        """The units of a text, in order; None if its bytes differ anywhere."""
-        out, young = [], self.young
-        for part in _CUT.split(text) if self.by_units else [text]:
-            got = young.get(part) or self.unit(part)
-            if got is None:
-                return None
-            out.append(got)
-            young = self.young
+        labels[np.cumsum(self.a_size[a_ids]) - 1] |= _A
+        labels[np.cumsum(self.b_size[b_ids]) - 1] |= _B
+        ends = np.flatnonzero(labels)
+        label = labels[ends]
+        # a link for each end label: the A and B tokens that are under way there
+        is_a, is_b = label & _A > 0, label & _B > 0
+        links = a_ids[np.cumsum(is_a) - is_a] * WIDTH + b_ids[np.cumsum(is_b) - is_b]
+        a_text, b_text = list(map(str, a)), list(map(str, b))
+        groups, sizes, i, j = [], self.sizes, 0, 0
+        for span in _SPAN.findall(label.tobytes()):
+            size = sizes.get(span)
+            if size is None:
+                size = span.count(_A) + 1, span.count(_B) + 1
+                if len(span) < 12:
+                    sizes[span] = size
+            x, y = i + size[0], j + size[1]
+            groups.append(f"{','.join(a_text[i:x])}|{','.join(b_text[j:y])}")
+            i, j = x, y
+        stops = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in parts])
+        to = np.searchsorted(ends, stops)  # each part ends at a label that is both
+        before = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[to], prepend=0).tolist()
+        n_a, n_b, n_groups = before(is_a), before(is_b), before(label == _BOTH)
+        out, at, g, raw = [], 0, 0, links.tobytes()
+        for k, stop in enumerate(to.tolist()):
+            out.append(Unit(n_a[k], n_b[k], n_groups[k], ";".join(groups[g : g + n_groups[k]]), raw[8 * at : 8 * stop]))
+            at, g = stop, g + n_groups[k]
         return out
 
+    def parts(self, text: str) -> list[str]:
+        return _CUT.split(text) if self.by_units else [text]
+
+    def units(self, texts: list[list[str]]) -> dict[str, Unit | None]:
+        """The units of all parts of a slice of texts, by way of the cache."""
+        asked = set().union(*texts)
+        new, size = [], 0
+        todo = [p for p in asked if p not in self.known]
+        for part in [p for p in todo if p.strip() != p]:  # white space at an end would run into the space that joins parts
+            self.known[part] = self.align([part])[0]
+        todo = [p for p in todo if p not in self.known]
+        for k, part in enumerate(todo, 1):
+            new.append(part)
+            size += len(part)
+            if size >= TOGETHER or k == len(todo) or not self.by_units:
+                self.known.update(zip(new, self.align(new), strict=True))
+                new, size = [], 0
+        known = self.known
+        if len(known) > CACHE:
+            self.known = {p: known[p] for p in asked} if len(asked) <= CACHE else {}
+        return known
+
 
 _loaded: dict[tuple[str, str], Aligner] = {}
 
@@ -151,9 +169,11 @@ def token_groups(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
         for batch in batches:
             for at, n in slices(batch.column(1)):
                 rows = []
-                for text in batch.column(1).slice(at, n).to_pylist():
-                    units = own.units(text) if text else None
-                    if units is None:
+                texts = [own.parts(text) if text else [] for text in batch.column(1).slice(at, n).to_pylist()]
+                known = own.units(texts)
+                for parts in texts:
+                    units = [known[p] for p in parts]
+                    if not units or None in units:
                         rows.append((0, 0, 0, 0, None, b"", b""))
                         continue
                     n_a, n_b, n_groups, groups, pairs = zip(*units, strict=True)
