@@ -12,6 +12,8 @@ from ..functions.times import MINUTE_US, long
 from ..sources.registry import NOT_EXPECTED, day_index, day_of
 
 PRICES = ("open", "high", "low", "close")
+#: Defects of `integrity` that make rows unusable.
+DEFECTS = ("duplicate_timestamp_count", "misaligned_timestamp_count", "null_or_nonfinite_count", "invalid_ohlc_count", "non_positive_price_count", "negative_volume_count")
 PROVENANCE = ("source", "feed", "feed_scope", "adjustment", "timeframe")
 
 
@@ -47,21 +49,23 @@ def is_naive(bars: DataFrame, ts: str) -> bool:
     return dict(bars.dtypes)[ts] == "timestamp_ntz"
 
 
-def integrity(bars: DataFrame, by: Sequence[str], us: str = "bar_us", minutes: int = 1, volume_factor: float = 10.0) -> DataFrame:
+def integrity(bars: DataFrame, by: Sequence[str], us: str = "bar_us", minutes: int = 1, volume_factor: float | None = 10.0) -> DataFrame:
     """Counts of defects for each group; value checks run on rows with finite values only.
 
-    Duplicates and repeats are counted by (group, start); the volume outliers need the group's exact median of positive volumes first.
+    Duplicates and repeats are counted by (group, start); the volume outliers need the group's exact median of positive volumes first (none are looked for if volume_factor is None).
     """
     ok = finite()
-    positive = bars.where(ok & (F.col("volume") > 0)).groupBy(*by).agg(F.median("volume").alias("__median"))
-    rows = bars.join(positive, list(by), "left").withColumn("__ok", ok)
+    rows = bars.withColumn("__median", F.lit(None).cast("double"))
+    if volume_factor is not None:
+        rows = bars.join(bars.where(ok & (F.col("volume") > 0)).groupBy(*by).agg(F.median("volume").alias("__median")), list(by), "left")
+    rows = rows.withColumn("__ok", ok)
     per_start = rows.groupBy(*by, us).agg(
         F.count("*").alias("n"),
         F.count_if(~F.col("__ok")).alias("nonfinite"),
         F.count_if(F.col("__ok") & bad_ohlc()).alias("ohlc"),
         F.count_if(F.col("__ok") & ((F.col("open") <= 0) | (F.col("high") <= 0) | (F.col("low") <= 0) | (F.col("close") <= 0))).alias("nonpositive"),
         F.count_if(F.col("__ok") & (F.col("volume") < 0)).alias("negative"),
-        F.count_if(F.col("__ok") & (F.col("volume") > F.col("__median") * volume_factor)).alias("suspicious"),
+        F.count_if(F.col("__ok") & (F.col("volume") > F.col("__median") * (volume_factor or 0.0))).alias("suspicious"),
     )
     total = lambda c, name: F.sum(c).alias(name)
     return per_start.groupBy(*by).agg(
@@ -230,7 +234,7 @@ def validation_report(integrity_rows: DataFrame, session_rows: DataFrame, by: Se
         F.max("session").alias("last_session"),
     )
     out = integrity_rows.join(s, list(by), "left")
-    counts = ["duplicate_timestamp_count", "misaligned_timestamp_count", "null_or_nonfinite_count", "invalid_ohlc_count", "non_positive_price_count", "negative_volume_count", "unsorted_rows", "naive_timestamp_count"]
+    counts = [*DEFECTS, "unsorted_rows", "naive_timestamp_count"]
     structural = sum((F.coalesce(F.col(c), F.lit(0)) for c in counts if c in out.columns), F.lit(0))
     n = lambda *names: sum((F.coalesce(F.col(c), F.lit(0)) for c in names), F.lit(0))
     soft = n("sessions_incomplete", "open_edges", "close_edges")
