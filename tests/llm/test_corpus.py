@@ -468,18 +468,36 @@ def test_license_expressions_of_any_length():
     assert license_scan.read_expression(" AND ".join(many)) == (set(many), False)
     rng = random.Random(4)
     for _ in range(3000):
-        tokens = rng.choices(["MIT", "GPL-2.0+", "x-1", "prose", "AND", "or", "WITH", "(", ")"], k=rng.randint(0, 9))
-        want = (set(), None)
-        for n in range(len(tokens), 0, -1):
+        tokens = rng.choices(["MIT", "GPL-2.0+", "x-1", "Some-Terms", "prose", "AND", "or", "WITH", "(", ")"], k=rng.randint(0, 9))
+        want, n = (set(), None), 0
+        for n in range(len(tokens), -1, -1):
             try:
-                if "prose" not in tokens[:n]:
+                if n and "prose" not in tokens[:n]:
                     want = license_scan.evaluate(license_scan.to_postfix(" ".join(tokens[:n])))
                     break
             except ValueError:
                 continue
+        tail = tokens[n : tokens.index("prose", n) if "prose" in tokens[n:] else None]
+        if tail and not (tail == ["or"] and len(tokens) > n + 1):
+            want = want[0] | {t.lower().rstrip("+") for t in tail if t in ("MIT", "GPL-2.0+", "x-1", "Some-Terms")}, False if want[1] is False else None
         assert license_scan.read_expression(" ".join(tokens)) == want, tokens
 
 
+def test_license_expressions_that_are_cut_are_never_permissive(spark):
+    for text, names, holds in [
+        ("MIT AND GFDL-1.3-invariants-only", {"mit", "gfdl-1.3-invariants-only"}, None), ("MIT AND BSD-3-Clause-No-Nuclear-License", {"mit", "bsd-3-clause-no-nuclear-license"}, None), ("Apache-2.0 AND (MIT OR CC-BY-3.0-US)", {"apache-2.0", "mit", "cc-by-3.0-us"}, True),
+        ("Apache-2.0 AND (GPL-3.0 OR CC-BY-3.0-US)", {"apache-2.0", "gpl-3.0", "cc-by-3.0-us"}, None), ("MIT-Festival", {"mit-festival"}, None), ("GPL-3.0-linking-exception", {"gpl-3.0-linking-exception"}, None), ("CC-BY-3.0-US", {"cc-by-3.0-us"}, None),
+        ("MIT AND", {"mit"}, None), ("MIT AND Proprietary", {"mit"}, None), ("MIT AND (ISC OR", {"mit", "isc"}, None), ("MIT Some-Terms", {"mit", "some-terms"}, None), ("GPL-3.0 AND", {"gpl-3.0"}, False), ("MIT WITH Commons-Clause", {"mit", "commons-clause"}, None), ("MIT.", {"mit"}, True),
+        ("MIT and so forth", {"mit"}, True), ("MIT https://example.org/mit-1", {"mit"}, True), ("MIT OR Some-Terms", {"mit", "some-terms"}, True), ("GPL-2.0 AND Some-Terms", {"gpl-2.0", "some-terms"}, False), ("GPL-2.0 WITH Classpath-exception-2.0", {"gpl-2.0"}, False), ("see the file", set(), None),
+    ]:
+        assert license_scan.read_expression(text) == (names, holds), text
+        row = license_scan.scan(f"# SPDX-License-Identifier: {text}", license_scan.automaton())
+        assert names <= set(row["labels"].split(",")) | {""} and row["permissive"] is holds
+    terms = license_scan.Vocabulary.of(spark.createDataFrame([("Éxotic  own licence", "own", 0.5)], "phrase string, label string, sure double"), spark.createDataFrame([("Some-Terms", True), ("MIT", False)], "identifier string, permissive boolean"))
+    (r,) = ran(license_scan.scan_licenses(spark.createDataFrame([(1, "Under the éxotic, OWN licence. boost software license\nSPDX-License-Identifier: Some-Terms".replace("é", "É"))], "doc_id long, text string"), terms=terms))
+    assert r["labels"] == "own,some-terms" and r["permissive"] is True
+
+
 def test_license_tags_are_read_once_each_and_without_prose():
     import time
 

@@ -5,11 +5,14 @@ single spaces, go once through an automaton of all phrases, each with a space on
 wherever its words stand consecutively, whatever is between them, and overlapping places count each.
 
 After an `SPDX-License-Identifier` tag the rest of the line is an expression of identifiers, AND, OR, WITH, `+`
-and brackets. The longest whole expression at its start counts, and prose after it does not: an identifier is one of KNOWN, a
-`LicenseRef-` name, or a name with a version (NAMED). The parser turns it into postfix order and evaluates it twice: which
-identifiers it names, and whether one can comply with it by licenses of PERMISSIVE alone (OR: either side, AND: both, WITH: the
-license before it). A tag without such an expression gives no labels. All tags of a text are read, once each; `permissive` is that
-of all expressions together (each must hold).
+and brackets. The longest whole expression at its start counts, and prose after it does not. An identifier is one of the vocabulary, a
+`LicenseRef-` name, a name with a version (NAMED), or any other token that looks like one (LIKE): unknown ones are labels too. The parser turns the expression into postfix order and evaluates
+it twice: which identifiers it names, and whether one can comply with it by permissive licenses alone (OR: either side, AND: both, WITH: the license before it), where
+unknown identifiers and exceptions leave that open. If what follows the whole expression isn't prose (an operator without a whole operand, an open bracket, one more identifier), a condition
+may be lost: its identifiers are labels, and the answer is never yes. All tags of a text are read, once each; `permissive` is that
+of all expressions together (each must hold): true, false, or null for open and for no expression at all.
+
+Notice phrases and licenses may come as tables (Vocabulary.of), MAX_TERMS rows of each at most.
 
 Null and empty texts have no words, no places, no labels and score 0. Texts are scanned whole, in one pass over their words and one over their
 tags. Repeated rows and null ids are rows like others. Empty tables give empty results. Other columns are ignored.
@@ -17,8 +20,11 @@ tags. Repeated rows and null ids are rows like others. Empty tables give empty r
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
 import ahocorasick
 import pyarrow as pa
@@ -63,10 +69,14 @@ KNOWN = PERMISSIVE | frozenset(
 )
 #: Identifiers by their shape: a reference of one's own, or a name that ends in a version, and perhaps what follows it.
 NAMED = re.compile(r"(documentref-[a-z0-9.\-]+:)?licenseref-[a-z0-9.\-]+|[a-z][a-z0-9.\-]*-v?[0-9]+(\.[0-9]+)*[a-z]?(-only|-or-later|-clause|-clause-patent|-no-copyleft-exception)?|[a-z0-9\-]+-exception(-[0-9.]+)?")
+#: What else looks like an identifier: a word with a hyphen, an underscore or a digit in it.
+LIKE = re.compile(r"(?=.*[-_0-9])[a-z][a-z0-9.\-_]*")
+#: Most rows of a table of phrases or licenses.
+MAX_TERMS = 100_000
 
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 _TAG_LINE = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)", re.IGNORECASE)
-_TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.\-:]+\+?")
+_TOKEN = re.compile(r"\(|\)|[A-Za-z0-9](?:[A-Za-z0-9.\-:_/]*[A-Za-z0-9])?\+?")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -105,35 +115,81 @@ def to_postfix(expression: str) -> list[str]:
     return out + waiting[::-1]
 
 
-def is_identifier(token: str) -> bool:
+@dataclass(frozen=True)
+class Vocabulary:
+    #: Phrase (lower-case words, single spaces) -> label and how sure a place makes us.
+    notices: dict[str, tuple[str, float]] = field(default_factory=lambda: NOTICES)
+    known: frozenset[str] = KNOWN
+    permissive: frozenset[str] = PERMISSIVE
+
+    @staticmethod
+    def of(notices: DataFrame | None = None, licenses: DataFrame | None = None) -> Vocabulary:
+        """notices: phrase, label, sure. licenses: identifier, permissive. Either replaces the built-in ones; raises beyond MAX_TERMS rows."""
+
+        def rows(df: DataFrame) -> list:
+            found = df.limit(MAX_TERMS + 1).collect()
+            if len(found) > MAX_TERMS:
+                raise ValueError(f"more than {MAX_TERMS} terms")
+            return found
+
+        own = Vocabulary()
+        if notices is not None:
+            own = replace(own, notices={" ".join(r["phrase"].encode().translate(_TABLE).decode("utf-8").split()): (r["label"], float(r["sure"])) for r in rows(notices)})
+        if licenses is not None:
+            found = rows(licenses)
+            own = replace(own, known=frozenset(r["identifier"].lower() for r in found), permissive=frozenset(r["identifier"].lower() for r in found if r["permissive"]))
+        return own
+
+
+BUILT_IN = Vocabulary()
+
+
+def is_identifier(token: str, terms: Vocabulary = BUILT_IN) -> bool:
     name = token.lower().rstrip("+")
-    return name in KNOWN or NAMED.fullmatch(name) is not None
+    return name in terms.known or NAMED.fullmatch(name) is not None or LIKE.fullmatch(name) is not None
 
 
-def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
+def complies(name: str, terms: Vocabulary) -> bool | None:
+    """Whether a license is permissive; None if nobody knows it."""
+    return True if name in terms.permissive else False if name in terms.known or NAMED.fullmatch(name) else None
+
+
+def both(a: bool | None, b: bool | None) -> bool | None:
+    return False if a is False or b is False else None if a is None or b is None else True
+
+
+def either(a: bool | None, b: bool | None) -> bool | None:
+    return True if a or b else None if a is None or b is None else False
+
+
+def evaluate(postfix: list[str], terms: Vocabulary = BUILT_IN) -> tuple[set[str], bool | None]:
     """The licenses named, and whether permissive ones suffice."""
-    stack: list[tuple[set[str], bool]] = []
+    stack: list[tuple[set[str], bool | None]] = []
     for token in postfix:
         if token not in _BINDS:
             name = token.rstrip("+")
-            stack.append(({name}, name in PERMISSIVE))
+            stack.append(({name}, complies(name, terms)))
             continue
         (b, b_ok), (a, a_ok) = stack.pop(), stack.pop()
-        if token != "with":
+        if token == "with":
+            # an exception that nobody knows may as well restrict, so it is shown and leaves open what was a yes
+            if any(complies(x, terms) is None for x in b):
+                a, a_ok = a | b, both(a_ok, None)
+        else:
             # the smaller set joins the larger one, so long expressions stay nearly linear
             a, b = (a, b) if len(a) >= len(b) else (b, a)
             a |= b
-            a_ok = a_ok and b_ok if token == "and" else a_ok or b_ok
+            a_ok = both(a_ok, b_ok) if token == "and" else either(a_ok, b_ok)
         stack.append((a, a_ok))
     return stack[0]
 
 
-def whole_prefix(tokens: list[str]) -> int:
+def whole_prefix(tokens: list[str], terms: Vocabulary = BUILT_IN) -> int:
     """How many tokens the longest whole expression at the start has, in one pass: up to the last place with an operand just read and no open bracket."""
     depth, operand_next, whole = 0, True, 0
     for n, token in enumerate((t.lower() for t in tokens), 1):
         operand = token not in _BINDS and token not in "()"
-        if operand_next != (token == "(" or operand) or operand and not is_identifier(token):
+        if operand_next != (token == "(" or operand) or operand and not is_identifier(token, terms):
             break
         if token == "(":
             depth += 1
@@ -148,60 +204,68 @@ def whole_prefix(tokens: list[str]) -> int:
     return whole
 
 
-def read_expression(text: str) -> tuple[set[str], bool | None]:
-    """Whole expressions only, of any length; a broken tail (prose after the expression) is cut off."""
+def read_expression(text: str, terms: Vocabulary = BUILT_IN) -> tuple[set[str], bool | None]:
+    """The whole expression at the start, of any length, and what a tail that is no prose takes from it: the tail's identifiers are named too, and a yes is left open."""
     tokens = _TOKEN.findall(text)
-    n = whole_prefix(tokens)
-    return evaluate(to_postfix(" ".join(tokens[:n]))) if n else (set(), None)
+    n = whole_prefix(tokens, terms)
+    names, holds = evaluate(to_postfix(" ".join(tokens[:n])), terms) if n else (set(), None)
+    tail = [t for t in itertools.takewhile(lambda t: t in "()" or t.lower() in _BINDS or is_identifier(t, terms), tokens[n:])]
+    # a conjunction in small letters before an ordinary word is prose
+    if tail and not (len(tail) == 1 and tail[0] in ("and", "or", "with") and len(tokens) > n + 1):
+        names |= {t.lower().rstrip("+") for t in tail if t not in "()" and t.lower() not in _BINDS}
+        holds = both(holds, None) if n else None
+    return names, holds
 
 
-def automaton() -> ahocorasick.Automaton:
+def automaton(terms: Vocabulary = BUILT_IN) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for phrase in {*BASE, *NOTICES, TAG}:
-        found.add_word(f" {phrase} ", (phrase, len(phrase) + 2))
+    for phrase in {*BASE, *terms.notices, TAG}:
+        # the automaton reads bytes, one letter each
+        key = phrase.encode("utf-8", "surrogatepass").decode("latin-1")
+        found.add_word(f" {key} ", (phrase, len(key) + 2))
     found.make_automaton()
     return found
 
 
-def scan(text: str, phrases: ahocorasick.Automaton) -> dict:
+def scan(text: str, phrases: ahocorasick.Automaton, terms: Vocabulary = BUILT_IN) -> dict:
     words = text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
     line = f" {b' '.join(words).decode('latin-1')} "
-    starts, base, labels, missing, verdict, tagged = [], set(), set(), 1.0, None, False
+    starts, base, labels, missing, verdicts, tagged = [], set(), set(), 1.0, [], False
     for end, (phrase, size) in phrases.iter(line):
         if phrase in BASE:
             starts.append(end + 1 - size)
             base.add(BASE[phrase])
             missing *= 1 - BASE_SURE
-        elif phrase in NOTICES:
-            label, sure = NOTICES[phrase]
+        elif phrase in terms.notices:
+            label, sure = terms.notices[phrase]
             labels.add(label)
             missing *= 1 - sure
         else:
             tagged = True
     for rest in _TAG_LINE.findall(text) if tagged else ():
-        names, holds = read_expression(rest)
+        names, holds = read_expression(rest, terms)
         if names:
             labels |= names
             missing *= 1 - TAG_SURE
-            verdict = holds if verdict is None else verdict and holds
+            verdicts.append(holds)
     first = line.count(" ", 0, min(starts)) if starts else None
     last = line.count(" ", 0, max(starts)) if starts else None
     return {
         "n_words": len(words), "n_base": len(starts), "first_word": first, "last_word": last, "base_labels": ",".join(sorted(base)),
-        "labels": ",".join(sorted(base | labels)), "score": 1 - missing, "permissive": verdict,
+        "labels": ",".join(sorted(base | labels)), "score": 1 - missing, "permissive": functools.reduce(both, verdicts) if verdicts else None,
     }
 
 
 SCHEMA = pa.schema([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("permissive", pa.bool_())])
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row: id, n_words, n_base, first_word, last_word, base_labels, labels, score, permissive (null without an expression)."""
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: Vocabulary = BUILT_IN) -> DataFrame:
+    """A row for each row: id, n_words, n_base, first_word, last_word, base_labels, labels, score, permissive (null where that is open, and without an expression)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = automaton()
+        phrases = automaton(terms)
         for batch in batches:
-            rows = [scan(t or "", phrases) for t in batch.column(1).to_pylist()]
+            rows = [scan(t or "", phrases, terms) for t in batch.column(1).to_pylist()]
             found = pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
             yield pa.RecordBatch.from_arrays([batch.column(0), *found.columns], names=[id_col, *SCHEMA.names])
 
