@@ -800,3 +800,54 @@ def test_empty_tables(spark, none):
         license_scan.scan_licenses(none), bpe.encoded(none, queries.tokenizer_path()), toxicity.toxicity(none, lab), toxicity.without_toxic(none, lab), warc.archived_pages(pages), url_filters.judge_urls(pages),
     ):
         assert df.count() == 0
+
+
+def test_scratch_tables_are_those_of_the_call(spark, docs):
+    from tidemark.llm import common
+
+    with common.Scratch(spark) as own:
+        mine = common.settled(spark.range(3), "mine")
+        with common.Scratch(spark) as inner:
+            kept, gone = common.settled(spark.range(4), "kept"), common.settled(spark.range(5), "gone")
+            inner.discard(("kept",))
+        assert kept.count() == 4
+        with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+            gone.count()
+        other = common.settled(spark.range(6), "other")
+        stays = exact_dedup.deduplicated(docs)
+        assert other.count() == 6 and mine.count() == 3
+        own.discard(("other",))
+        assert other.count() == 6
+    outside = common.settled(spark.range(7), "outside")
+    jaccard_join.one_of_each(docs).collect()
+    assert outside.count() == 7
+    common.drop_table(outside)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+        outside.count()
+    assert stays.columns == docs.columns
+
+
+CLASHES = ("__key", "__range", "__source", "__size", "__taken", "__score", "__rid", "__norm", "__id", "__tie", "c0", "c1", "id", "rep", "component")
+
+
+def test_stages_keep_columns_of_any_name(spark, docs, doc_rows):
+    wide = docs.withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))) for c in CLASHES})
+    lab = spark.createDataFrame([(k, 1, int(k % 7 == 0)) for k in range(1, 30)], "doc_id long, quality int, toxic int")
+    for stage in (lambda d: toxicity.without_toxic(d, lab), exact_dedup.deduplicated, jaccard_join.one_of_each, mixing.mixture):
+        out = stage(wide)
+        found = ran(out)
+        assert out.columns == wide.columns and found
+        assert all(r[c] == f"{c}:{'?' if r['doc_id'] is None else r['doc_id']}" for r in found for c in CLASHES)
+    assert len(ran(mixing.mix_report(wide))) == len(doc_rows)
+
+
+def test_mixture_is_one_under_any_partitioning(spark):
+    rng = random.Random(9)
+    rows = [(7 if k % 2 else None, " ".join(words(rng, 5)), "s", "x" if k % 3 else None) for k in range(200)] + [(k, " ".join(words(rng, 400)), "t", "y") for k in range(20)]
+    rows += rows[:30]
+    seen = set()
+    for n in (1, 3, 7, 12):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(n)
+        seen.add(tuple(sorted(mixing.mixture(df).collect(), key=repr)))
+    assert len(seen) == 1 and 0 < len(seen.pop())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,9 @@ BROADCAST_ROWS = 200_000
 LIGHT = 1000
 
 _own_dir: list[str] = []
+#: Intermediate tables of this process, and those of the innermost Scratch of this thread.
 _paths: list[str] = []
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +38,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nobody has used yet."""
     path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}/{name}"
     _paths.append(path)
+    if (own := _scratch.get()) is not None:
+        own.append(path)
     return path
 
 
@@ -44,23 +49,52 @@ def _delete(spark: SparkSession, paths: Sequence[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written_so_far() -> int:
-    """How many intermediate tables this process has; a mark for discard."""
-    return len(_paths)
+class Scratch:
+    """`with Scratch(spark) as own`: what is settled within, by this thread, is its own. `own.discard(keep)` deletes those tables but for the names in keep; for use where all that comes later only reads those."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
 
-def discard(spark: SparkSession, mark: int, keep: Sequence[str] = ()) -> None:
-    """Deletes the intermediate tables written since the mark, but for those with the names in keep. For use where all that comes later only reads those."""
-    gone = [p for p in _paths[mark:] if p.rpartition("/")[2] not in keep]
-    _paths[mark:] = [p for p in _paths[mark:] if p not in gone]
-    _delete(spark, gone)
+    def __enter__(self) -> Scratch:
+        self.token = _scratch.set(self.paths)
+        return self
+
+    def __exit__(self, *fault: object) -> None:
+        _scratch.reset(self.token)
+        if (outer := _scratch.get()) is not None:
+            outer += self.paths
+
+    def discard(self, keep: Sequence[str] = ()) -> None:
+        gone = [p for p in self.paths if p.rpartition("/")[2] not in keep]
+        self.paths[:] = [p for p in self.paths if p not in gone]
+        _forget(gone)
+        _delete(self.spark, gone)
+
+
+def _forget(gone: Sequence[str]) -> None:
+    _paths[:] = [p for p in _paths if p not in set(gone)]
 
 
 def clean_up(spark: SparkSession) -> int:
     """Deletes the intermediate tables that this process has written so far; their number. Results that are still to be read from them must be written or collected before."""
-    n = len(_paths)
-    discard(spark, 0)
-    return n
+    gone = list(_paths)
+    _forget(gone)
+    _delete(spark, gone)
+    return len(gone)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Deletes the intermediate tables that df reads; for use once what was made of it is settled."""
+    files = df.inputFiles()
+    gone = [p for p in _paths if any(p.split("://")[-1].lstrip("/") in f for f in files)]
+    _forget(gone)
+    _delete(df.sparkSession, gone)
+
+
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1, ... and the new name of each old one: names made up on the way can't clash with them. `.toDF(*docs.columns)` gives the old names back."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:

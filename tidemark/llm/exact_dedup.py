@@ -13,7 +13,7 @@ same pair, and other seeds are taken if there are any. Names that many rows have
 
 Null texts count as empty, and all empty texts are equal. Of equal texts the row with the most code
 points in the original stays, then the smallest id (null ids last), then one of the equal rows. Repeated rows are rows of their own. Empty tables give empty results.
-Other columns of the input are ignored, or kept by `deduplicated`; columns that begin with two underscores are not allowed.
+Other columns of the input are ignored by `exact_dedup` and kept by `deduplicated`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, pick, settled, spread_join, text_or_empty, written_so_far
+from .common import Scratch, pick, plain_names, settled, spread_join, text_or_empty
 
 SPACES = " \t\n\x0b\x0c\r"
 BLOCK = 2048
@@ -144,9 +144,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with the columns of docs. Only the rows and the list of the dropped ones are left in the shared folder."""
-    mark = written_so_far()
-    rows, identity = identities(docs, text_col, tuple(docs.columns))
-    grouped = _grouped(rows.select("__rid", "__chars", id_col), identity, id_col)
-    dropped = settled(grouped.where("__rid <> __best.rid").select("__rid"), "dropped")
-    discard(docs.sparkSession, mark, ("rows", "dropped"))
-    return pick(rows, dropped, "__rid", "left_anti").select(*docs.columns)
+    plain, name = plain_names(docs)
+    with Scratch(docs.sparkSession) as own:
+        rows, identity = identities(plain, name[text_col], tuple(plain.columns))
+        grouped = _grouped(rows.select("__rid", "__chars", name[id_col]), identity, name[id_col])
+        dropped = settled(grouped.where("__rid <> __best.rid").select("__rid"), "dropped")
+        own.discard(("rows", "dropped"))
+    return pick(rows, dropped, "__rid", "left_anti").select(*plain.columns).toDF(*docs.columns)

@@ -8,8 +8,10 @@ is cut exactly, to the word; a target above the source's size repeats whole pass
 Targets: sources in code-point order, null last, weigh `weights`, repeating. They share all
 words; none gets more than MAX_EPOCHS times its size, and what is above is shared by weight among the others.
 
-Null and empty texts have size 0 and nothing is taken of them. Null sources form one source. Documents with
-equal ids are ordered by size. Without words at all, targets are 0. Empty tables give empty results.
+Null and empty texts have size 0 and nothing is taken of them; texts are counted whole. Null sources form one source. Documents with
+equal ids are ordered by size and then by two hashes of all their columns, so rows that tie are the same row and any partitioning gives the same mix; null ids have keys
+from these hashes and are spread like others. Repeated rows are rows like others. Without words at all, targets are 0. Empty tables give empty results. Names made up on the way can't clash with
+other columns in `mixture` and `mix_report`.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import plain_names, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -54,12 +56,14 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS) -> Data
 
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """All columns of docs, with __size, __source_size, __target, __taken."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    every = [F.to_json(c) if t.startswith(("map", "variant")) else F.col(c) for c, t in docs.dtypes]
+    first, second = F.xxhash64(*every), F.xxhash64(F.lit(seed), *every)
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.concat_ws(":", F.lit("null"), first, second))))
     digits = MIN_DIGITS
     n = docs.count()
     while n > RANGE_ROWS * 16**digits:
         digits += 1
-    rows = docs.withColumn("__size", n_words(text_col)).withColumn("__key", key).withColumn("__range", F.substring("__key", 1, digits))
+    rows = docs.withColumn("__size", n_words(text_col)).withColumn("__key", key).withColumns({"__range": F.substring("__key", 1, digits), "__tie": F.struct(first, second)})
     rows = rows.withColumn("__source", F.col(source_col))
     ranges = rows.groupBy("__source", "__range").agg(F.sum("__size").alias("__sum"))
     upto = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -67,23 +71,30 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, seed: str = "mix",
     targets = source_targets(ranges.groupBy("__source").agg(F.sum("__sum").alias("source_size")), weights)
     targets = targets.select(F.col("__source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
     offsets = offsets.join(targets, F.col("__source").eqNullSafe(F.col("__s"))).select(F.col("__source").alias("__s"), F.col("__range").alias("__r"), "__before", "__source_size", "__target")
-    within = Window.partitionBy("__source", "__range").orderBy("__key", "__size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("__source", "__range").orderBy("__key", "__size", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("__upto", F.sum("__size").over(within))
     rows = rows.join(offsets, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
     start, budget, zero = F.col("__before") + F.col("__upto") - F.col("__size"), F.round("__target").cast("long"), F.lit(0).cast("long")
     taken = sum((F.greatest(zero, F.least(F.col("__size"), budget - start - F.col("__source_size") * e)) for e in range(MAX_EPOCHS)), zero)
-    return rows.withColumn("__taken", taken).drop("__key", "__range", "__source", "__upto", "__s", "__r", "__before")
+    return rows.withColumn("__taken", taken).drop("__key", "__range", "__source", "__upto", "__s", "__r", "__before", "__tie")
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """id, size, source_size, target, taken for each row."""
-    return mixed(docs, id_col=id_col, **options).select(
-        id_col, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken")
-    )
+    rows = _plainly_mixed(docs, id_col=id_col, **options)[0]
+    return rows.select(F.col("__id").alias(id_col), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
+
+
+def _plainly_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> tuple[DataFrame, list[str]]:
+    """mixed under names that can't clash, and the names that stand for docs' own columns."""
+    plain, name = plain_names(docs)
+    rows = mixed(plain, id_col=name[id_col], text_col=name[text_col], source_col=name[source_col], **options)
+    return rows.withColumn("__id", F.col(name[id_col])), plain.columns
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of docs as often as they are taken; a part of a pass counts if it is at least half of the document. Documents without words cost no budget and stay once."""
     times = F.when(F.col("__size") > 0, F.floor((F.col("__taken") + F.col("__size") / 2) / F.col("__size"))).otherwise(1).cast("int")
-    rows = mixed(docs, **options).withColumn("__times", times).where("__times > 0")
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__pass")).drop("__pass")
+    rows, own = _plainly_mixed(docs, **options)
+    rows = rows.withColumn("__times", times).where("__times > 0")
+    return rows.select(*own, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__pass")).drop("__pass").toDF(*docs.columns)

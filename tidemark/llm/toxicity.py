@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, text_or_empty
+from .common import plain_names, settled, text_or_empty
 
 MAX_PER_CLASS = 6000
 #: Words of fewer letters are no terms; lengths of stems.
@@ -337,4 +337,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark_col: str = "toxic") -> DataFrame:
     """The rows of docs scored below 0.5, with the columns of docs."""
     model = learn(docs, labels, id_col, text_col, mark_col)
-    return docs.withColumn("__score", scorer(model)(text_or_empty(text_col))).where("__score < 0.5").drop("__score")
+    plain, name = plain_names(docs)
+    return plain.withColumn("__score", scorer(model)(text_or_empty(name[text_col]))).where("__score < 0.5").drop("__score").toDF(*docs.columns)
