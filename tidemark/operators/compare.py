@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import pearson, ratio
 from ..functions.times import ny_date
+from .scans import quantile_columns
 
 FIELDS = ("open", "high", "low", "close")
 
@@ -61,8 +62,16 @@ def coverage(pairs: DataFrame, by: str = "symbol") -> DataFrame:
     )
 
 
-def stats(x: Column) -> list[Column]:
-    return [F.count(x).alias("n"), F.median(x).alias("median"), F.percentile(x, F.lit(0.95)).alias("p95"), F.max(x).alias("max")]
+#: Exact quantiles of the reports.
+SHARES = {"median": 0.5, "p95": 0.95}
+
+
+def _described(rows: DataFrame, by: list[str], measures: dict[str, Column], *more: Column) -> DataFrame:
+    """(by, then n, median, p95 and max of each measure, then more). Quantiles come from one scan of all measures' values, spread over tasks by value."""
+    ends = rows.groupBy(*by).agg(*[f(c).alias(f"{m}_{n}") for m, c in measures.items() for n, f in (("n", F.count), ("max", F.max))], *more)
+    inner = quantile_columns(rows, by, measures, SHARES)
+    out = ends.join(inner, by, "left")
+    return out.select(*by, *[f"{m}_{n}" for m in measures for n in ("n", "median", "p95", "max")], *[c for c in ends.columns[len(by) + 2 * len(measures) :]])
 
 
 def price_stats(pairs: DataFrame, by: str = "symbol", scope: str | None = None) -> DataFrame:
@@ -77,16 +86,14 @@ def price_stats(pairs: DataFrame, by: str = "symbol", scope: str | None = None)
     long = long.withColumn("scope", F.explode(scopes))
     gap = F.abs(F.col("x") - F.col("y"))
     long = long.withColumn("abs_diff", gap).withColumn("rel_diff", ratio(gap, (F.abs("x") + F.abs("y")) / 2))
-    named = lambda c: [x.alias(f"{c}_{n}") for x, n in zip(stats(F.col(c)), ("n", "median", "p95", "max"))]
-    return long.groupBy(by, "field", "scope").agg(*named("abs_diff"), *named("rel_diff"), ratio(F.count_if(F.col("abs_diff") == 0), F.count("*")).alias("exact_equal_fraction"))
+    return _described(long, [by, "field", "scope"], {c: F.col(c) for c in ("abs_diff", "rel_diff")}, ratio(F.count_if(F.col("abs_diff") == 0), F.count("*")).alias("exact_equal_fraction"))
 
 
 def volume_stats(pairs: DataFrame, by: str = "symbol") -> DataFrame:
     both = pairs.where("in_a and in_b")
     a, b = F.col("a_volume"), F.col("b_volume")
     some = F.when(b > 0, ratio(a, b))
-    named = lambda c, p: [x.alias(f"{p}_{n}") for x, n in zip(stats(c), ("n", "median", "p95", "max"))]
-    return both.groupBy(by).agg(*named(F.abs(a - b), "abs_diff"), *named(F.abs(some - 1), "pct_diff"), *named(some, "ratio"), F.sum(a).alias("total_a"), F.sum(b).alias("total_b"))
+    return _described(both, [by], {"abs_diff": F.abs(a - b), "pct_diff": F.abs(some - 1), "ratio": some}, F.sum(a).alias("total_a"), F.sum(b).alias("total_b"))
 
 
 def return_pairs(pairs: DataFrame, step_us: int, by: str = "symbol", us: str = "bar_us", day: Column | None = None) -> DataFrame:

@@ -4,27 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import pearson, ratio
 from ..functions.times import ny_date
+from .scans import average_rank, quantiles, running_total, with_places
 
 
 def described(rows: DataFrame, by: Sequence[str], value: str, where: Column | None = None) -> DataFrame:
     """n, mean, std (n - 1), p05, median, p95, min, max of present values; groups without any have n = 0 and nulls."""
     x = F.col(value) if where is None else F.when(where, F.col(value))
     x = F.when(~F.isnan(x), x)
-    return rows.groupBy(*by).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.percentile(x, F.lit(0.05)).alias("p05"), F.median(x).alias("median"), F.percentile(x, F.lit(0.95)).alias("p95"), F.min(x).alias("min"), F.max(x).alias("max")
-    )
+    found = rows.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    inner = quantiles(rows.select(*by, x.alias("__x")), by, "__x", {"p05": 0.05, "median": 0.5, "p95": 0.95})
+    return _joined(found, inner, by).select(*by, "n", "mean", "std", "p05", "median", "p95", "min", "max")
 
 
-def average_rank(rows: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """Ranks from 1; equal values share the mean of their ranks."""
-    low = F.rank().over(Window.partitionBy(*by).orderBy(value))
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    return rows.withColumn(out, low + (ties - 1) / F.lit(2.0))
+def _joined(groups: DataFrame, more: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A row for each group with more's columns, nulls of the key being a group too."""
+    met = F.lit(True)
+    for k, c in enumerate(by):
+        met = met & F.col(c).eqNullSafe(F.col(f"__k{k}"))
+    return groups.join(more.withColumnsRenamed({c: f"__k{k}" for k, c in enumerate(by)}), met, "left").drop(*[f"__k{k}" for k in range(len(by))])
 
 
 def correlations(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
@@ -38,20 +40,21 @@ def correlations(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFram
 
 def by_sign(rows: DataFrame, by: Sequence[str], sign: str, value: str) -> DataFrame:
     known = rows.where(F.col(sign).isNotNull() & F.col(value).isNotNull())
-    return known.groupBy(*by, sign).agg(F.count("*").alias("n"), F.avg(value).alias("mean_ret"), F.median(value).alias("median_ret"))
+    found = known.groupBy(*by, sign).agg(F.count("*").alias("n"), F.avg(value).alias("mean_ret"))
+    return _joined(found, quantiles(known, [*by, sign], value, {"median_ret": 0.5}), [*by, sign])
 
 
 def tie_safe_bins(rows: DataFrame, by: Sequence[str], value: str, requested: int = 5, out: str = "bin") -> DataFrame:
     """Bins over the distinct values, so ties never part; the first bins take the remainder. Groups with one distinct value have none (null)."""
-    distinct = rows.where(F.col(value).isNotNull()).select(*by, value).distinct()
-    n = F.count("*").over(Window.partitionBy(*by))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1
-    d = distinct.withColumn("__n", n).withColumn("__p", place).withColumn("__k", F.least(F.lit(requested), F.col("__n")))
+    distinct = rows.where(F.col(value).isNotNull()).select(*by, value).distinct().withColumn("__one", F.lit(1))
+    d = running_total(distinct, by, value, "__one", "__p").drop("__one")
+    sizes = d.groupBy(*by).agg(F.count("*").alias("__n"))
+    d = _joined(d, sizes, by).withColumn("__k", F.least(F.lit(requested), F.col("__n")))
     size, more = F.floor(F.col("__n") / F.col("__k")), F.pmod(F.col("__n"), F.col("__k"))
     edge = more * (size + 1)
     bin_ = F.when(F.col("__p") < edge, F.floor(F.col("__p") / (size + 1))).otherwise(more + F.floor((F.col("__p") - edge) / size)) + 1
     d = d.select(*by, value, F.when(F.col("__n") >= 2, bin_.cast("int")).alias(out), F.when(F.col("__n") >= 2, F.col("__k")).otherwise(0).cast("int").alias("actual_bins"), F.col("__n").alias("unique_values"))
-    return rows.join(d, [*by, value])
+    return with_places(rows, d, by, value, {c: F.col(c) for c in (out, "actual_bins", "unique_values")}).where(F.col(value).isNotNull())
 
 
 def bin_table(rows: DataFrame, by: Sequence[str], x: str, y: str, requested: int = 5, skip: Column | None = None) -> DataFrame:

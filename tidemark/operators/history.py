@@ -1,21 +1,18 @@
 """Statistics from strictly earlier history: causal z-scores and expanding means.
 
-History is one window frame per group: RANGE from the start to one microsecond before the row, over integer microseconds, so equal
-instants never see each other. Eligibility sits inside the aggregates, so rows that may not serve as history still get theirs.
+History is a scan in two levels (scans.earlier): states of days are merged along a group, and a window frame from the day's start to one microsecond before the row adds the rest, so equal
+instants never see each other and no task holds a group. Eligibility sits inside the aggregates, so rows that may not serve as history still get theirs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import coalesced_status, ratio
-
-
-def earlier(group: Sequence[str], t_us: str) -> WindowSpec:
-    return Window.partitionBy(*group).orderBy(t_us).rangeBetween(Window.unboundedPreceding, -1)
+from .scans import earlier
 
 
 def raw_surprise(actual: Column, forecast: Column) -> Column:
@@ -46,16 +43,13 @@ def causal_zscore(
     Status: the row's own missing status, event_excluded, insufficient_history, zero_historical_dispersion (std within the tolerance of the
     largest earlier size, at least 1), ok. Rows that have no value or are not usable have no history columns.
     """
-    w = earlier(group, t_us)
     v = F.col(value)
-    in_history = F.when(usable & v.isNotNull() & F.col(t_us).isNotNull(), v)
+    in_history = F.when(usable & v.isNotNull(), v)
     asks = v.isNotNull() & usable & F.col(t_us).isNotNull()
-    stats = events.withColumns({
-        "__n": F.count(in_history).over(w), "__m": F.avg(in_history).over(w), "__s": F.stddev_samp(in_history).over(w), "__x": F.max(F.abs(in_history)).over(w),
-        "__t": F.max(F.when(in_history.isNotNull(), F.col(t_us))).over(w),
-    })
-    enough = F.col("__n") >= min_history
-    flat = F.col("__s").isNull() | F.isnan("__s") | (F.col("__s") <= tolerance * F.greatest(F.lit(1.0), F.col("__x")))
+    stats = earlier(events, group, t_us, {"_": in_history})
+    stats = stats.withColumnsRenamed({f"__{s}": f"__hist_{s}" for s in "nmsxt"})
+    enough = F.col("__hist_n") >= min_history
+    flat = F.col("__hist_s").isNull() | F.isnan("__hist_s") | (F.col("__hist_s") <= tolerance * F.greatest(F.lit(1.0), F.col("__hist_x")))
     status = coalesced_status(
         (v.isNull(), "missing"),
         (~asks, "event_excluded"),
@@ -65,13 +59,13 @@ def causal_zscore(
     )
     own = F.when(v.isNull(), F.coalesce(missing, F.lit("missing_value")) if missing is not None else F.lit("missing_value")).otherwise(status)
     return stats.withColumns({
-        prefix: F.when(own == "ok", ratio(v - F.col("__m"), F.col("__s"))),
+        prefix: F.when(own == "ok", ratio(v - F.col("__hist_m"), F.col("__hist_s"))),
         f"{prefix}_status": own,
-        f"{prefix}_n_history": F.when(asks, F.col("__n")),
-        f"{prefix}_hist_mean": F.when(asks & enough, F.col("__m")),
-        f"{prefix}_hist_std": F.when(asks & enough, F.col("__s")),
-        f"{prefix}_history_through_us": F.when(asks, F.col("__t")),
-    }).drop("__n", "__m", "__s", "__x", "__t")
+        f"{prefix}_n_history": F.when(asks, F.col("__hist_n")),
+        f"{prefix}_hist_mean": F.when(asks & enough, F.col("__hist_m")),
+        f"{prefix}_hist_std": F.when(asks & enough, F.col("__hist_s")),
+        f"{prefix}_history_through_us": F.when(asks, F.col("__hist_t")),
+    }).drop(*[f"__hist_{s}" for s in "nmsxt"])
 
 
 def expanding_baseline(
@@ -79,27 +73,23 @@ def expanding_baseline(
 ) -> DataFrame:
     """For each (name, value column, usable): the mean of the usable values strictly earlier in (group, sign), and what is left of the row's own.
 
-    Excluded or unobserved rows still get their expectation, with status no_observed_response. One window serves all responses.
+    Excluded or unobserved rows still get their expectation, with status no_observed_response. One scan serves all responses.
     """
-    w = earlier([*group, "__sign"], t_us)
     out = rows.withColumn("__sign", F.coalesce(F.col(sign).cast("string"), F.lit("none")))
     known = (F.col("__sign") != "none") & F.col(t_us).isNotNull()
-    over = {}
-    for name, value, usable in responses:
-        past = F.when(usable & F.col(value).isNotNull() & F.col(t_us).isNotNull(), F.col(value))
-        over |= {f"__n_{name}": F.count(past).over(w), f"__m_{name}": F.avg(past).over(w), f"__t_{name}": F.max(F.when(past.isNotNull(), F.col(t_us))).over(w)}
-    out = out.withColumns(over)
+    out = earlier(out, [*group, "__sign"], t_us, {f"__h{k}": F.when(usable, F.col(value)) for k, (_, value, usable) in enumerate(responses)})
+    over = [f"__h{k}_{s}" for k in range(len(responses)) for s in "nmsxt"]
     made = {}
-    for name, value, usable in responses:
-        n = F.col(f"__n_{name}")
+    for k, (name, value, usable) in enumerate(responses):
+        n = F.col(f"__h{k}_n")
         observed = usable & F.col(value).isNotNull()
         status = coalesced_status((~known, "no_surprise_sign"), (n < min_history, "insufficient_history"), (~F.coalesce(observed, F.lit(False)), "no_observed_response"), otherwise="ok")
-        expected = F.when(known & (n >= min_history), F.col(f"__m_{name}"))
+        expected = F.when(known & (n >= min_history), F.col(f"__h{k}_m"))
         made |= {
             f"expected_{name}": expected,
             f"resid_{name}": F.when(status == "ok", F.col(value) - expected),
             f"baseline_{name}_n_history": F.when(known, n),
-            f"baseline_{name}_training_cutoff_us": F.when(known, F.col(f"__t_{name}")),
+            f"baseline_{name}_training_cutoff_us": F.when(known, F.col(f"__h{k}_t")),
             f"baseline_{name}_status": status,
         }
     return out.withColumns(made).drop("__sign", *over)
