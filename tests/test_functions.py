@@ -89,6 +89,50 @@ def test_content_hash_ignores_order_partitions_and_column_order(spark):
     assert h != hashing.content_hash(df.withColumn("v", F.when(F.col("k") == 3, F.col("v") + 1e-12).otherwise(F.col("v"))), ["k"])
 
 
+def test_content_hash_of_many_leaves(spark, monkeypatch):
+    monkeypatch.setattr(hashing, "LEAF_ROWS", 7)
+    monkeypatch.setattr(hashing, "FAN", 4)
+    rows = [(k, None if k % 5 == 0 else k / 3, float("nan") if k % 7 == 0 else -0.0, ["x", None], f"t{k % 9}" if k % 4 else None, dt.datetime(2024, 1, 1, k % 24), k % 2 == 0 if k % 3 else None, dt.date(2024, 1, 1 + k % 28)) for k in range(300)]
+    df = spark.createDataFrame(rows, "k long, v double, z double, a array<string>, s string, t timestamp, b boolean, d date")
+    one = hashing.content_hash(df, ["k"])
+    assert {hashing.content_hash(df.repartition(n).select(*sorted(df.columns, reverse=True)), ["k"]) for n in (1, 3, 8)} == {one}
+    assert hashing.content_hash(df.withColumn("k", F.col("k").cast("double")), ["k"]) == one and hashing.content_hash(df.withColumn("z", F.when(F.isnan("z"), None).otherwise(0.0)), ["k"]) == one
+    for c, other in (("v", F.when(F.col("k") == 7, 1e-300).otherwise(F.col("v"))), ("s", F.coalesce("s", F.lit(""))), ("a", F.array(F.lit("x"), F.lit(""))), ("t", F.col("t").cast("timestamp_ntz")), ("b", F.coalesce("b", F.lit(False))), ("k", F.when(F.col("k") == 9, 1 << 60).otherwise(F.col("k")))):
+        assert hashing.content_hash(df.withColumn(c, other), ["k"]) != one, c
+    assert hashing.content_hash(df.limit(0), ["k"]) != one
+
+
+def test_bar_hash_equals_an_independent_one(spark):
+    """The same bytes made with struct and hashlib, a value at a time."""
+    import collections
+    import hashlib
+    import json
+    import random
+    import struct
+
+    rng = random.Random(4)
+    columns = ["open", "high", "low", "close", "volume"]
+    data = [(s, d * 86_400_000_000 + m * 60_000_000, *(rng.choice([None, float("nan"), -0.0, rng.gauss(0, 1), 5.0]) for _ in columns)) for s in ("A", "B") for d in (-1, 0, 365, 366, 800) for m in range(5)]
+    rng.shuffle(data)
+    days = collections.defaultdict(list)
+    for s, us, *values in data:
+        days[s, us // 86_400_000_000].append((us, *(None if v is None or v != v else v + 0.0 for v in values)))
+    nan = struct.pack("<Q", 0x7FF8000000000000)
+    want, sha = {}, lambda b: hashlib.sha256(b).digest()
+    for s in ("A", "B"):
+        years = collections.defaultdict(list)
+        for (who, day), bars in sorted(days.items()):
+            if who == s:
+                bars.sort()
+                raw = b"".join(json.dumps([c, "f", len(bars)]).encode() + b"\0" + b"".join(nan if b[k] is None else struct.pack("<d", b[k]) for b in bars) for k, c in enumerate(["us", *columns]))
+                years[day // 366].append(f"{day}:{sha(raw.replace(b'[\"us\"', b'[\"bar_us\"')).hex().upper()}")
+        want[s] = sha("\n".join(f"{y}:{sha(chr(10).join(lines).encode()).hex().upper()}" for y, lines in sorted(years.items())).encode()).hex()
+    # microseconds of these days are below 2^53, so they are packed as floats like any whole number
+    df = spark.createDataFrame(data, "symbol string, bar_us long, open double, high double, low double, close double, volume double")
+    for n in (1, 4):
+        assert {r["symbol"]: (r["content_sha256"], r["rows"]) for r in hashing.bar_hash(df.repartition(n), ["symbol"]).collect()} == {s: (h, 25) for s, h in want.items()}
+
+
 def test_canonical():
     assert hashing.canonical(0.1) == "0.10000000000000001" and hashing.canonical(3.0) == 3 and hashing.canonical(float("nan")) is None
     assert hashing.canonical(dt.datetime(2024, 1, 1)).startswith("naive:")

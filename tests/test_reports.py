@@ -4,12 +4,13 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from helpers import BAR, MINUTE, UTC, extended_hours, ny, rows
+from helpers import BAR, MINUTE, UTC, extended_hours, ny, rows, walk
 from tidemark import cli
 from tidemark.operators import bars, descriptor, reconcile
-from tidemark.sources import feeds, snapshots
+from tidemark.sources import feeds, sessions, snapshots
 from tidemark.sources.sessions import session_frame
 from tidemark.store import smallest_reached
 
@@ -133,27 +134,88 @@ def test_raw_rows_and_counts(spark, tmp_path):
 
 
 class Provider:
-    """Three days of bars; a fourth month fails."""
+    """Bars of every session; BBB lacks a day, and March fails."""
 
     def fetch(self, spark, key, start, end):
         if start.month == 3:
             raise ConnectionError("apikey=abc12345 refused")
-        data = [b for k, d in enumerate(DAYS) for b in extended_hours(key, d, k) if start <= d <= end]
+        days = [d for d, _, _ in sessions.sessions(start, end) if not (key == "BBB" and d == dt.date(2023, 1, 12))]
+        data = [b for k, d in enumerate(days) for b in walk(key, ny(d, 9, 30), ny(d, 16), k)]
         return spark.createDataFrame(data, BAR)
 
 
-def test_entry_points(spark, tmp_path, capsys, monkeypatch):
+def test_fetching(spark, tmp_path, capsys, monkeypatch):
     run = lambda *a: cli.main([str(x) for x in a], spark)
-    p = lambda n: f"{tmp_path}/{n}"
     monkeypatch.syspath_prepend(__file__.rsplit("/", 1)[0])
-    source = ("--provider", "test_reports:Provider", "--symbols", "AAA", "--start", "2022-12-01", "--out", p("store"))
-    assert run("fetch-historical-data", *source, "--today", "2023-01-31") == 0
-    stored = spark.read.parquet(p("store/bars"))
-    assert stored.count() == 3 * 960
-    assert run("update-data", *source, "--today", "2023-01-31") == 0 and spark.read.parquet(p("store/bars")).count() == 3 * 960
-    assert run("update-data", *source, "--today", "2023-03-02") == 1 and "abc12345" not in "".join(r["error"] or "" for r in spark.read.parquet(p("store/manifest")).collect())
-    stored = spark.read.parquet(p("store/bars"))
-    stored.select("symbol", *[c for c in stored.columns if c not in ("symbol", "year")]).withColumn("source", F.lit("X")).write.parquet(p("bars"))
+    out = f"file://{tmp_path}/store"
+    source = ("--provider", "test_reports:Provider", "--start", "2023-01-01", "--out", out)
+
+    def statuses():
+        return {(r["key"], r["start"].month): r["status"] for r in cli.current(spark, f"{out}/manifest").collect()}
+
+    assert run("fetch-historical-data", *source, "--symbols", "AAA", "--today", "2023-02-28") == 0
+    assert statuses() == {("AAA", 1): "complete", ("AAA", 2): "provisional"}
+    table = cli.stored_bars(spark, out)
+    n = table.read().count()
+    assert n == 390 * len(sessions.sessions(dt.date(2023, 1, 1), dt.date(2023, 2, 28))) and table.state().version == 1
+    assert run("update-data", *source, "--symbols", "AAA", "--today", "2023-02-28") == 0 and table.state().version == 2 and table.read().count() == n  # only what is provisional is fetched again
+    first = [r for r in cli.current(spark, f"{out}/manifest").collect() if r["start"].month == 1]
+    assert first[0]["status"] == "complete" and first[0]["checksum"] == "2"  # judged again in the rewritten partition
+    assert run("fetch-historical-data", *source, "--symbols", "AAA,BBB", "--today", "2023-03-02") == 1
+    assert statuses() == {("AAA", 1): "complete", ("AAA", 2): "complete", ("AAA", 3): "failed", ("BBB", 1): "failed", ("BBB", 2): "complete", ("BBB", 3): "failed"}
+    errors = {(r["key"], r["start"].month): r["error"] for r in cli.current(spark, f"{out}/manifest").collect()}
+    assert errors["BBB", 1].startswith("1 sessions missing") and "refused" in errors["AAA", 3] and "abc12345" not in errors["AAA", 3]
+    # a month that loses rows loses its claim when its partition is rewritten
+    cut = cli.stored_bars(spark, out)
+    base = cut.state()
+    v, parts = cut._write(table.read().where("symbol = 'AAA' and not timestamp_utc between '2023-01-10' and '2023-01-11'"))
+    cut.commit(base, v, parts, {})
+    assert run("update-data", *source, "--symbols", "AAA", "--today", "2023-02-28") == 1 and statuses()["AAA", 1] == "failed"
+    capsys.readouterr()
+
+
+def test_validation_of_a_span_as_of_an_instant(spark, tmp_path, capsys):
+    run = lambda *a: cli.main(["validate-data", "--bars", f"{tmp_path}/{a[0]}", *a[1:]], spark)
+    days = [dt.date(2023, 1, 3), dt.date(2023, 1, 4)]
+    full = [b for k, d in enumerate(days) for b in walk("AAA", ny(d, 9, 30), ny(d, 16), k)]
+    begun = walk("AAA", ny(dt.date(2023, 1, 5), 9, 30), ny(dt.date(2023, 1, 5), 11, 30), 5)
+    frame = lambda data: spark.createDataFrame(data, BAR).coalesce(1)
+    frame(full + begun).write.parquet(f"{tmp_path}/now")
+    assert run("now", "--as-of", "2023-01-05T11:30:00-05:00") == 0 and run("now") == 1 and run("now", "--end", "2023-01-04") == 0
+    assert run("now", "--start", "2022-12-01", "--end", "2023-01-04") == 1 and run("now", "--end", "2023-01-31", "--as-of", "2023-01-05T11:30:00-05:00") == 0 and run("now", "--end", "2023-01-31") == 1
+    assert run("now", "--end", "2023-01-04", "--symbols", "AAA,BBB") == 1 and run("now", "--start", "2023-02-01", "--end", "2023-01-01") == 2 and run("now", "--as-of", "2023-01-05T11:30:00") == 2
+    frame(full[::-1]).write.parquet(f"{tmp_path}/reversed")
+    assert run("reversed") == 1 and "unsorted_rows" in capsys.readouterr().out
+    frame(full).withColumn("timestamp_utc", F.col("timestamp_utc").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/naive")
+    assert run("naive") == 1
+    capsys.readouterr()
+
+
+def test_provenance_is_checked_in_the_read(spark, tmp_path):
+    day, late = dt.date(2023, 1, 3), dt.date(2023, 6, 1)
+    mine = spark.createDataFrame(walk("AAA", ny(day, 9, 30), ny(day, 10), 1), BAR).withColumns({"source": F.lit("X"), "feed": F.lit("sip"), "year": F.lit(2023)})
+    other = spark.createDataFrame(walk("AAA", ny(late, 9, 30), ny(late, 10), 2), BAR).withColumns({"source": F.lit("Y"), "feed": F.lit(None).cast("string"), "year": F.lit(2023)})
+    mine.write.partitionBy("symbol", "year").parquet(f"{tmp_path}/a")
+    mine.unionByName(other).write.partitionBy("symbol", "year").parquet(f"{tmp_path}/b")
+    seen, want = Observation(), {"source": "X", "feed": "sip"}
+    good = feeds.read_bars(spark, f"{tmp_path}/a", ["AAA"], day, day, want, seen=seen)
+    assert good.count() == 30 and seen.get == {"rows": 30, "source_faults": 0, "feed_faults": 0}
+    foreign = feeds.read_bars(spark, f"{tmp_path}/b", ["AAA"], day, day, want)  # the foreign rows lie outside the clip
+    assert foreign._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    with pytest.raises(Exception, match="another dataset, by source, feed"):
+        foreign.count()
+    assert feeds.read_bars(spark, f"{tmp_path}/b", ["AAA"], day, day).count() == 30
+    with pytest.raises(Exception, match="another dataset"):
+        feeds.read_bars(spark, f"{tmp_path}/a", ["AAA"], day, day, {"adjustment": "raw"}).count()
+    mine.drop("source", "feed").write.partitionBy("symbol", "year").parquet(f"{tmp_path}/old")
+    assert feeds.read_bars(spark, f"{tmp_path}/old", ["AAA"], day, day, want, "X").count() == 30
+
+
+def test_entry_points(spark, tmp_path, capsys):
+    run = lambda *a: cli.main([str(x) for x in a], spark)
+    p = lambda n: f"{tmp_path}/{n}"
+    stored = spark.createDataFrame([b for k, d in enumerate(DAYS) for b in extended_hours("AAA", d, k)], BAR)
+    stored.withColumn("source", F.lit("X")).coalesce(1).write.parquet(p("bars"))
     assert run("build-dataset-descriptor", "--bars", p("bars"), "--out", p("desc"), "--check") == 2
     assert run("build-dataset-descriptor", "--bars", p("bars"), "--out", p("desc")) == 0 and run("build-dataset-descriptor", "--bars", p("bars"), "--out", p("desc"), "--check") == 0
     spark.read.parquet(p("bars")).where("volume > 100").write.parquet(p("fewer"))
@@ -169,8 +231,10 @@ def test_entry_points(spark, tmp_path, capsys, monkeypatch):
     study = ("build-event-response-dataset", "--calendar", p("calendar"), "--symbols", "AAA", "--out", p("study"))
     (tmp_path / "study" / "reports").mkdir(parents=True)
     (tmp_path / "study" / "reports" / "report_old.csv").write_text("x")
+    (tmp_path / "study" / "reports" / "report_others.csv").write_text("x")
+    (tmp_path / "study" / "reports" / "inventory.json").write_text('{"report_old.csv": {}}')
     assert run(*study, "--bars", p("fewer"), "--descriptor", p("desc")) == 1 and run(*study, "--bars", p("bars"), "--descriptor", p("desc")) == 0
     facts = json.loads((tmp_path / "study" / "dataset.json").read_text())
-    assert facts["outputs"]["event_response"]["rows"] == 3 and facts["outputs"]["event_response_windows"]["rows"] == 33 and not (tmp_path / "study" / "reports" / "report_old.csv").exists()
+    assert facts["outputs"]["event_response"]["rows"] == 3 and facts["outputs"]["event_response_windows"]["rows"] == 33 and not (tmp_path / "study" / "reports" / "report_old.csv").exists() and (tmp_path / "study" / "reports" / "report_others.csv").exists()
     assert run("no-such-command") == 2 and run("validate-data") == 2
     capsys.readouterr()

@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import present
@@ -174,16 +174,31 @@ def require_sound(bars: DataFrame) -> DataFrame:
     return bars.withColumn("timestamp_utc", F.when(F.col("fault").isNull(), F.col("timestamp_utc")).otherwise(broken.cast("timestamp"))).drop("fault")
 
 
-def read_bars(spark: SparkSession, root: str, symbols: Sequence[str], first: dt.date, last: dt.date) -> DataFrame:
-    """Stored bars of symbols, partitioned by symbol and New York year: years outside are pruned, the instants clip the rest (both ends inclusive days)."""
+def read_bars(spark: SparkSession, root: str, symbols: Sequence[str], first: dt.date, last: dt.date, expected: dict[str, str] | None = None, unlabelled_source: str | None = None, seen: Observation | None = None) -> DataFrame:
+    """Stored bars of symbols, partitioned by symbol and New York year: years outside are pruned, the instants clip the rest (both ends inclusive days).
+
+    expected: what each row of the files read must carry (source, feed, ...). Rows outside the clip are looked at too, in the same scan: the instant that the clip compares is there only for rows of the
+    dataset, and any other row fails the job. Tables without provenance columns pass only for unlabelled_source. `seen`, if given, has rows and <column>_faults once an action has run.
+    Naive timestamps stay what they are, for the validation to count; the clip takes them for UTC.
+    """
     from ..functions.times import date_window
 
     lo, hi = date_window(first, last)
     b = spark.read.parquet(root)
     years = F.col("year").between(first.year, last.year) if "year" in b.columns else F.lit(True)
-    if dict(b.dtypes)["timestamp_utc"] == "timestamp_ntz":
-        raise ValueError("stored bars have naive timestamps")
-    return b.where(F.col("symbol").isin(*symbols) & years & (F.col("timestamp_utc") >= F.lit(lo)) & (F.col("timestamp_utc") < F.lit(hi)))
+    b = b.where(F.col("symbol").isin(*symbols) & years)
+    kind = dict(b.dtypes)["timestamp_utc"]
+    at = F.col("timestamp_utc")
+    if expected:
+        if unlabelled_source and expected.get("source") == unlabelled_source and not any(c in b.columns for c in ("feed", "feed_scope")):
+            expected = {k: v for k, v in expected.items() if k in b.columns}
+        wrong = {c: ~F.col(c).eqNullSafe(v) if c in b.columns else F.lit(True) for c, v in expected.items()}
+        if seen is not None:
+            b = b.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(w).alias(f"{c}_faults") for c, w in wrong.items()])
+        said = F.concat_ws(", ", *[F.when(w, c) for c, w in wrong.items()])
+        at = F.when(said == "", at).otherwise(F.raise_error(F.concat(F.lit("a row of another dataset, by "), said)).cast(kind))
+    b = b.withColumn("timestamp_utc", at)
+    return b.where((F.col("timestamp_utc") >= F.lit(lo).cast(kind)) & (F.col("timestamp_utc") < F.lit(hi).cast(kind)))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

@@ -79,9 +79,10 @@ def windowed_counts(source: DataFrame, ts: str, late: str, width: str, slide: st
 
 
 def record(manifest_path: str, rows: DataFrame) -> None:
-    """Appends manifest entries; the latest by retrieved_at of (provider, key, start, end) speaks."""
+    """Appends manifest entries; the latest by retrieved_at, then by verified_at, of (provider, key, start, end) speaks."""
     rows.write.mode("append").parquet(manifest_path)
 
 
 def current(spark: SparkSession, manifest_path: str) -> DataFrame:
-    return keep_last(spark.read.parquet(manifest_path), ["provider", "key", "start", "end"], "retrieved_at")
+    entries = spark.read.parquet(manifest_path)
+    return keep_last(entries, ["provider", "key", "start", "end"], "retrieved_at", *(["verified_at"] if "verified_at" in entries.columns else []))
