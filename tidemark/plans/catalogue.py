@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, numbers, times
-from ..operators import bars, compare, dedup, diagnostics, events, history, intervals, reconcile, response, series, windows
-from ..sources import pages, registry, sessions
-from ..streaming import incremental
+from ..operators import bars, claims, compare, dedup, diagnostics, events, history, intervals, reconcile, response, series, windows
+from ..sources import pages, paged, registry, sessions, versions
+from ..store import fresh
+from ..streaming import chunks, incremental
 from .tables import DAY_US, HOUR_US, event_bars, ntz, table, ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -787,3 +788,81 @@ def semantic_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.min("p_size")
     profile = p.groupBy((F.col("p_size") % 8).cast("string").alias("series_id"), F.col("p_brand").alias("event_family")).agg(F.when(size > 1, F.when(size % 2 == 0, "SA").otherwise("NSA")).alias("s_adjustment"))
     return reconcile.semantic_issue(e, families, profile.select("*", *[c.alias(f"s_{n}") for c, n in zip((F.lit("x"), F.lit("x")), ("measure", "scope"))])).select("p_partkey", "semantic_issue")
+
+
+@query(f"""WITH {_T}, {_bars('b', HOUR_US)} SELECT symbol, make_timestamp(bar_us) AS bar_ts, open, high, low, close, volume FROM b
+WHERE symbol IN ('click', 'view', 'error') AND make_timestamp(bar_us) >= TIMESTAMP '2024-01-05 06:00:00' AND make_timestamp(bar_us) < TIMESTAMP '2024-01-20 12:00:00'""")
+def paged_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars recorded as vendor pages of 100, and read back through the data source for some symbols and a span."""
+    b = event_bars(spark, sf_dir).select("symbol", F.timestamp_micros("bar_us").alias("timestamp_utc"), "open", "high", "low", "close", "volume", F.lit(None).cast("double").alias("vwap"), F.lit(None).cast("long").alias("transactions"))
+    path = fresh(spark, "pages")
+    paged.record_pages(b, path, 100)
+    read = paged.paged_bars(spark, ["click", "view", "error", "signup", "purchase"], dt.date(2024, 1, 1), dt.date(2024, 3, 31), path=path)
+    at = lambda text: F.lit(dt.datetime.fromisoformat(text).replace(tzinfo=dt.timezone.utc))
+    read = read.where(F.col("symbol").isin("click", "view", "error") & (F.col("timestamp_utc") >= at("2024-01-05T06:00:00")) & (F.col("timestamp_utc") < at("2024-01-20T12:00:00")))
+    return read.select("symbol", F.col("timestamp_utc").cast("timestamp_ntz").alias("bar_ts"), "open", "high", "low", "close", "volume")
+
+
+@query("""WITH o AS (SELECT o_orderpriority AS priority, o_custkey AS custkey, o_orderkey AS orderkey, o_totalprice::DOUBLE AS price, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS gen FROM orders)
+SELECT priority, custkey, arg_max(orderkey, {'g': gen, 'k': orderkey}) AS orderkey, arg_max(price, {'g': gen, 'k': orderkey}) AS price FROM o GROUP BY ALL""")
+def versioned_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A versioned table after three upserts of orders by status, a version each; a customer's last order of the last batch stays."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"), F.col("o_totalprice").cast("double").alias("price"), "o_orderstatus")
+    kept = versions.VersionedTable(spark, fresh(spark, "orders"), o.drop("o_orderstatus").schema, ["priority"])
+    for status in ("F", "O", "P"):
+        kept.upsert(dedup.keep_last(o.where(F.col("o_orderstatus") == status).drop("o_orderstatus"), ["priority", "custkey"], "orderkey"), ["priority", "custkey"], {"status": status})
+    return kept.read()
+
+
+_CLAIM_STATUS = ("complete", "complete_with_known_gaps", "provisional", "empty")
+
+
+@query(f"""WITH {_T}, {_bars('b', HOUR_US)}, d AS (SELECT DISTINCT CAST(ts AS DATE) AS session FROM t),
+s AS (SELECT session, epoch_us(session::TIMESTAMP) + {9 * HOUR_US} + 1800000000 AS o, epoch_us(session::TIMESTAMP) + {16 * HOUR_US} AS c FROM d),
+k AS (SELECT symbol, w AS start, w + 6 AS fin, epoch_us(w::TIMESTAMP) + {3 * DAY_US + 12 * HOUR_US} + 1800000000 + length(symbol) * {4 * HOUR_US} AS now,
+  ['complete', 'complete_with_known_gaps', 'provisional', 'empty'][1 + (length(symbol) + week(w)) % 4] AS status FROM (SELECT DISTINCT symbol, CAST(date_trunc('week', ts) AS DATE) AS w FROM t)),
+x(cls, syms, a, b) AS (VALUES ('provider_gap', ['click'], TIMESTAMP '2024-01-02 05:00:00', TIMESTAMP '2024-01-02 12:00:00'), ('market_wide_halt', ['*'], TIMESTAMP '2024-01-03 06:00:00', TIMESTAMP '2024-01-03 09:00:00'),
+  ('exchange_closed', ['*'], TIMESTAMP '2024-01-06 05:00:00', TIMESTAMP '2024-01-07 04:59:00'), ('legitimate_no_trade_interval', ['signup'], TIMESTAMP '2024-01-08 12:00:00', TIMESTAMP '2024-01-09 02:30:00')),
+g AS (SELECT k.symbol, k.start, s.session, s.o, least(s.c, k.now) AS e, s.c > k.now AS open_now, greatest(0, ceil((least(s.c, k.now) - s.o) / {HOUR_US}))::BIGINT AS n FROM k JOIN s ON s.session BETWEEN k.start AND k.fin AND s.o <= k.now),
+q AS (SELECT g.*, i FROM g, LATERAL (SELECT unnest(range(0, g.n)) AS i)),
+r AS (SELECT q.*, EXISTS (SELECT 1 FROM b WHERE b.symbol = q.symbol AND b.bar_us >= q.o AND b.bar_us < q.e AND (b.bar_us - q.o) // {HOUR_US} = q.i) AS hit,
+  EXISTS (SELECT 1 FROM x WHERE (list_contains(syms, q.symbol) OR list_contains(syms, '*')) AND cls <> 'provider_gap' AND make_timestamp(q.o + q.i * {HOUR_US}) >= x.a AND make_timestamp(q.o + q.i * {HOUR_US}) < x.b) AS off,
+  EXISTS (SELECT 1 FROM x WHERE (list_contains(syms, q.symbol) OR list_contains(syms, '*')) AND cls = 'provider_gap' AND make_timestamp(q.o + q.i * {HOUR_US}) >= x.a AND make_timestamp(q.o + q.i * {HOUR_US}) < x.b) AS known FROM q),
+v AS (SELECT symbol, start, session, n, open_now, count_if(NOT off) AS tradable, count_if(hit AND NOT off) AS covered, count_if(NOT hit AND NOT off AND known) AS known_missing, count_if(NOT hit AND NOT off AND NOT known) AS un,
+  bool_or(i = 0 AND NOT hit AND NOT off AND NOT known) AS op, bool_or(i = n - 1 AND n > 1 AND NOT hit AND NOT off AND NOT known) AS cl FROM r GROUP BY ALL),
+j AS (SELECT g.symbol, g.start, count(*) AS sessions, coalesce(sum(known_missing), 0) AS gaps, count_if(NOT g.open_now AND tradable > 0 AND covered = 0 AND un = tradable) AS missing,
+  count_if(NOT g.open_now AND tradable > 0 AND NOT (covered = 0 AND un = tradable) AND tradable > known_missing AND covered / (tradable - known_missing) < 0.98) AS incomplete, count_if(NOT g.open_now AND op) AS op, count_if(NOT g.open_now AND cl) AS cl
+  FROM g LEFT JOIN v USING (symbol, start, session) GROUP BY ALL),
+h AS (SELECT k.symbol, k.start, count(*) AS rows_now, count_if(open <= 0 OR high <= 0 OR low <= 0 OR close <= 0) AS bad FROM k JOIN b ON b.symbol = k.symbol AND CAST(make_timestamp(b.bar_us) AS DATE) BETWEEN k.start AND k.fin GROUP BY ALL),
+z AS (SELECT k.symbol, k.start, k.status, coalesce(rows_now, 0)::BIGINT AS stored_rows, coalesce(sessions, 0)::BIGINT AS expected_trading_sessions, coalesce(gaps, 0)::BIGINT AS known_gap_minutes,
+  coalesce(bad, 0) + coalesce(missing, 0) + coalesce(incomplete, 0) + coalesce(op, 0) + coalesce(cl, 0) > 0 AS is_hard_failure FROM k LEFT JOIN j USING (symbol, start) LEFT JOIN h USING (symbol, start))
+SELECT *, CASE WHEN status = 'empty' THEN expected_trading_sessions = 0 AND stored_rows = 0 WHEN stored_rows = 0 OR is_hard_failure THEN false ELSE NOT (status = 'complete' AND known_gap_minutes > 0) END AS stands FROM z""")
+def sibling_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks of each symbol's hourly bars as manifest entries of every status, each judged as of an instant within its week."""
+    t = ticks(spark, sf_dir)
+    days = t.select(F.to_date("ts").alias("session")).distinct().withColumn("d", F.unix_micros(F.col("session").cast("timestamp")))
+    s = days.select("session", (F.col("d") + 9 * HOUR_US + HOUR_US // 2).alias("open_us"), (F.col("d") + 16 * HOUR_US).alias("close_us"))
+    week = t.select("symbol", F.to_date(F.date_trunc("week", "ts")).alias("start")).distinct()
+    now = F.unix_micros(F.col("start").cast("timestamp")) + times.long(3 * DAY_US + 12 * HOUR_US + HOUR_US // 2) + F.length("symbol") * times.long(4 * HOUR_US)
+    status = F.element_at(F.array(*map(F.lit, _CLAIM_STATUS)), F.pmod(F.length("symbol") + F.weekofyear("start"), F.lit(4)) + 1)
+    entries = week.select("symbol", F.col("start").cast("string").alias("claim"), "start", F.date_add("start", 6).alias("end"), status.alias("status"), F.timestamp_micros(now).alias("retrieved_at"))
+    out = claims.revalidated(entries, event_bars(spark, sf_dir), s, step_us=HOUR_US, registry=_registry(spark), day=F.to_date(F.timestamp_micros("bar_us")))
+    return out.select("symbol", "start", "status", "stored_rows", "expected_trading_sessions", "known_gap_minutes", "is_hard_failure", "stands")
+
+
+@query("""WITH a AS (SELECT o_custkey AS key, CAST(date_trunc('month', o_orderdate) AS DATE) AS start, last_day(o_orderdate) AS fin, CAST(o_orderdate AS DATE) + (o_orderkey % 40)::INT AS day, o_orderkey AS k,
+  CASE WHEN o_orderpriority LIKE '1%' THEN 0 ELSE o_orderkey END AS n, o_orderpriority LIKE '2%' AS hard, CASE WHEN o_orderpriority LIKE '3%' THEN 2 ELSE 0 END AS gaps, CASE WHEN o_orderpriority LIKE '4%' AND o_orderstatus = 'F' THEN 'no answer' END AS err FROM orders),
+s AS (SELECT *, CASE WHEN err IS NOT NULL OR hard THEN 'failed' WHEN fin + 5 >= day THEN 'provisional' WHEN n = 0 THEN 'empty' WHEN gaps > 0 THEN 'complete_with_known_gaps' ELSE 'complete' END AS st FROM a),
+b AS (SELECT key, start, arg_max({'st': st, 'fin': fin, 'day': day}, {'d': day, 's': st, 'n': n, 'e': coalesce(err, '')}) AS x FROM s GROUP BY ALL)
+SELECT key, start, CASE WHEN x.st = 'provisional' AND x.fin + 6 <= DATE '1997-01-01' THEN 'overdue' ELSE x.st END AS status, x.day AS retrieved FROM b""")
+def chunk_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as attempts at months of a customer; the states that the stream of attempts ends in."""
+    o, p = table(spark, sf_dir, "orders"), F.col("o_orderpriority")
+    day = F.to_date("o_orderdate")
+    a = o.select(
+        F.lit("p").alias("provider"), F.col("o_custkey").cast("string").alias("key"), F.to_date(F.trunc(day, "MM")).alias("start"), F.last_day(day).alias("end"), F.date_add(day, (F.col("o_orderkey") % 40).cast("int")).cast("timestamp").alias("retrieved_at"),
+        F.when(p.startswith("1"), F.lit(0).cast("long")).otherwise(F.col("o_orderkey")).alias("rows"), p.startswith("2").alias("hard_failure"), F.when(p.startswith("3"), 2).otherwise(0).cast("long").alias("known_gaps"),
+        F.when(p.startswith("4") & (F.col("o_orderstatus") == "F"), "no answer").alias("error"),
+    )
+    out = chunks.chunk_states(a, 5, F.lit("1997-01-01").cast("timestamp"))
+    return out.select(F.col("key").cast("long").alias("key"), "start", "status", F.to_date("retrieved_at").alias("retrieved"))

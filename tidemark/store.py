@@ -23,10 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nobody has used yet."""
+    return f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}/{name}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to a fresh path in the shared folder and read back: computed once, with a short lineage that outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}/{name}"
+    path = fresh(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
