@@ -12,7 +12,7 @@ Nothing is filled: a window's features exist only if its anchor and every expect
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -107,6 +107,18 @@ def with_due(probes: DataFrame, registry: DataFrame | None, provider: str, feed:
     return probes.join(hit, ["symbol", "bar_us"], "left").withColumn("due", ~F.coalesce("off", F.lit(False))).drop("off")
 
 
+def measured_at_starts(releases: DataFrame, bars: DataFrame, key: Sequence[str], spec: WindowSpec, due: Callable[[DataFrame], DataFrame] | None = None, t_us: str = "t_us") -> DataFrame:
+    """measured for releases (key with symbol, t_us), and `start_us`, the release bar's start.
+
+    Windows depend on the symbol and that start alone, so they are spelt out and measured once for all releases that share both (the releases of a bundle, or of a day where bars are
+    days), and a release meets them by equality.
+    """
+    begun = releases.withColumn("start_us", F.col(t_us) - F.pmod(F.col(t_us), long(spec.step_us)))
+    probes = spelt_out(begun.select("symbol", "start_us").distinct(), spec, "start_us")
+    found = measured(probes.withColumn("due", F.lit(True)) if due is None else due(probes), bars, ["symbol", "start_us"])
+    return begun.select(*key, "start_us").join(found, ["symbol", "start_us"])
+
+
 def release_windows(
     releases: DataFrame, bars: DataFrame, sessions: DataFrame, registry: DataFrame, spec: WindowSpec = WindowSpec(), research_end: str = "9999-12-31", provider: str = "alpaca", feed: str = "sip"
 ) -> DataFrame:
@@ -118,7 +130,7 @@ def release_windows(
     key = ["release_id", "symbol"]
     timed = releases.where("release_ts is not null").withColumn("t_us", F.unix_micros("release_ts"))
     b = bars.withColumn("bar_us", F.unix_micros("timestamp_utc"))
-    found = measured(with_due(spelt_out(timed.select(*key, "t_us"), spec), registry, provider, feed), b, key)
+    found = measured_at_starts(timed.select(*key, "t_us"), b, key, spec, lambda probes: with_due(probes, registry, provider, feed))
     grid = timed.select(*key, "release_ts", "t_us").withColumn("w", F.explode(F.array(*[F.struct(F.lit(n).alias("window"), F.lit(a).alias("first"), F.lit(z).alias("last")) for n, _, a, z in spec.offsets()])))
     start = F.col("t_us") - F.pmod(F.col("t_us"), long(spec.step_us))
     grid = grid.select(
@@ -142,9 +154,13 @@ def release_windows(
     rows = rows.withColumn("release_session_state", state).withColumn("status", status).withColumn("release_bar_straddles_release", ~F.col("release_timestamp_minute_aligned"))
     usable = F.col("status").isin("ok", "ok_market_halt")
     rows = rows.withColumns({m: F.when(usable, F.col(m)) for m in METRICS if m != "volume_rel"})
-    rel = volume_baseline(rows.where(usable).select(*key, "window", "first_due_us", "last_due_us", "n_due", "volume"), b, sessions, registry, spec, provider, feed)
-    rows = rows.join(rel, [*key, "window"], "left")
-    rows = rows.drop("span_end", "s_date", "s_open", "s_close", "has_exchange_closed", "invalidated", "first_due_us", "last_due_us", "n_due", "complete", "release_ts")
+    # as the windows themselves, their baselines are those of the symbol and the start
+    shared = rows.where(usable).select(F.col("start_us").alias("release_id"), "symbol", "window", "first_due_us", "last_due_us", "n_due", "volume").dropDuplicates(["release_id", "symbol", "window"])
+    rel = volume_baseline(shared, b, sessions, registry, spec, provider, feed).withColumnRenamed("release_id", "start_us")
+    rel = rel.withColumnsRenamed({c: f"__{c}" for c in ("volume_rel", "volume_rel_status", "volume_rel_n_windows")})
+    rows = rows.join(rel, ["start_us", "symbol", "window"], "left")
+    rows = rows.withColumns({c: F.when(usable, F.col(f"__{c}")) for c in ("volume_rel", "volume_rel_status", "volume_rel_n_windows")}).drop("__volume_rel", "__volume_rel_status", "__volume_rel_n_windows")
+    rows = rows.drop("span_end", "s_date", "s_open", "s_close", "has_exchange_closed", "invalidated", "first_due_us", "last_due_us", "n_due", "complete", "release_ts", "start_us")
     untimed = releases.where("release_ts is null").select("release_id", "symbol", F.explode(F.array(*[F.struct(F.lit(n).alias("window"), F.lit(s).alias("side"), F.lit(k).alias("minutes")) for n, s, k in spec.all()])).alias("w"))
     untimed = untimed.select("release_id", "symbol", "w.*", F.lit("no_release_time").alias("status"))
     return rows.unionByName(untimed, allowMissingColumns=True)

@@ -156,8 +156,7 @@ FROM m""")
 def window_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a release on its own symbol's daily bars."""
     t = ticks(spark, sf_dir).select("event_id", "symbol", "t_us")
-    probes = windows.spelt_out(t, _SPEC).withColumn("due", F.lit(True))
-    m = windows.measured(probes, event_bars(spark, sf_dir, DAY_US), ["event_id", "symbol"])
+    m = windows.measured_at_starts(t, event_bars(spark, sf_dir, DAY_US), ["event_id", "symbol"], _SPEC)
     m = m.withColumn("status", F.when(F.col("complete"), "ok").otherwise("insufficient_market_window"))
     m = m.select("event_id", "symbol", "window", "n_expected_bars", "n_observed_bars", "status", "ret", "high_exc", "low_exc", "mfe", "mae", "range", "rv_abs", "rv_sq", "volume")
     return rounded(rounded(m, "ret", "high_exc", "low_exc", "mfe", "mae", "range"), "rv_abs", "rv_sq", digits=5)
