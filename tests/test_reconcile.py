@@ -90,3 +90,13 @@ def test_prior_periods(spark):
     v = spark.createDataFrame([("CPI", p0, dt.date(2025, 8, 12), 0.2), ("CPI", p0, DAY, 0.31)], "event_family string, period date, vintage_date date, value double")
     y = rows(reconcile.prior_validation(x, v))[0]
     assert (y["previous_validation_status"], y["revised_previous_validation_status"]) == ("exact_match", "rounding_match") and y["official_prior_period_revision"] == pytest.approx(0.11)
+
+
+def test_rows_of_a_date_without_periods_are_a_star(spark):
+    """200 rows of one family and date, and neighbours: links in proportion to rows, and the same releases as all pairs give."""
+    day = dt.date(2023, 5, 10)
+    data = [(k, "F", None, day) for k in range(200)] + [(300, "F", dt.date(2023, 4, 1), day + dt.timedelta(1)), (301, "F", None, day + dt.timedelta(2)), (302, "F", None, day + dt.timedelta(4)), (303, "G", None, day), (304, "F", None, None)]
+    df = spark.createDataFrame(data, "row_id long, event_family string, period date, date date")
+    assert reconcile.compatibility_edges(df).count() < 3 * len(data)
+    got = {r["row_id"]: r["release_no"] for r in reconcile.matched_releases(df).collect()}
+    assert {got[k] for k in [*range(200), 300, 301]} == {0} and (got[302], got[303], got[304]) == (302, 303, 304)

@@ -114,6 +114,12 @@ def test_release_table(spark):
     assert first["release_actual_match_status"] == "ROUNDING_MATCH" and first["trusted_release_timestamp_basis"] == "CALENDAR_A"
     assert (second["previous_release_date"], second["previous_official"], second["previous_validation_status"]) == (dt.date(2023, 2, 14), 0.52, "rounding_match")
     assert third["actual_value"] is None and last["trusted_release_timestamp_utc"] is None and last["trusted_release_timestamp_basis"] is None
+    assert third["notes"].startswith("several rows of one calendar") and last["notes"] == "the only time is a server time of a zone that nobody has validated" and first["sources_present"] == "A+B+OFFICIAL" and first["a_minus_b"] == 0.0
+    assert (first["a_actual_match_status"], second["b_actual_match_status"], first["official_vintage_lag_days"]) == ("rounding_match", "value_mismatch", 0)
+    rich = calendars.withColumns({"source_url": F.concat(F.lit("u"), F.col("row_id").cast("string")), "actual_raw_text": F.lit("0.5%")})
+    mixed = official.unionByName(spark.createDataFrame([("F", period(5), dt.date(2023, 2, 20), 1.0, "THOUSANDS")], official.schema))
+    one = rows(reconcile.release_table(rich, mixed, "2023-02-01", "2023-03-31"))[0]
+    assert (one["a_source_url"], one["b_source_url"], one["a_actual_raw_text"], one["official_unit"]) == ("u1", "u2", "0.5%", "PERCENT")  # another vintage's unit doesn't matter
     trusted = rows(reconcile.release_table(calendars, official, "2023-02-01", "2023-03-31", timezone_trusted=True))
     assert {r["release_no"]: r["trusted_release_timestamp_basis"] for r in trusted}[7] == "CALENDAR_B_VALIDATED_ZONE"
     assert rows(reconcile.undated(calendars, "2023-02-01", "2023-03-31")) == [{"source": "B", "n": 1}]

@@ -231,15 +231,20 @@ def validation_report(integrity_rows: DataFrame, session_rows: DataFrame, by: Se
         F.sum("excluded").alias("excluded_regular_minutes"), F.sum("known_missing").alias("known_gap_minutes"), F.sum("unexplained").alias("unexplained_missing_minutes"), F.sum("covered").alias("covered_minutes"),
         F.count_if("missing_open_edge").alias("open_edges"), F.count_if("missing_close_edge").alias("close_edges"), F.min("completeness").alias("least_completeness"), dates(v == "missing").alias("missing_sessions"),
         dates(v == "incomplete").alias("incomplete_sessions"), dates(F.col("missing_open_edge")).alias("sessions_missing_open_edge"), dates(F.col("missing_close_edge")).alias("sessions_missing_close_edge"), F.min("session").alias("first_session"),
-        F.max("session").alias("last_session"),
+        F.max("session").alias("last_session"), dates(F.col("known_missing") > 0).alias("known_gap_sessions"), dates(v == "provisional").alias("provisional_sessions"),
     )
     out = integrity_rows.join(s, list(by), "left")
     counts = [*DEFECTS, "unsorted_rows", "naive_timestamp_count"]
     structural = sum((F.coalesce(F.col(c), F.lit(0)) for c in counts if c in out.columns), F.lit(0))
     n = lambda *names: sum((F.coalesce(F.col(c), F.lit(0)) for c in names), F.lit(0))
     soft = n("sessions_incomplete", "open_edges", "close_edges")
+    first = lambda c: F.date_format(F.element_at(c, 1), "yyyy-MM-dd")
+    lists = (("sessions_missing", "sessions have no rows", "missing_sessions"), ("sessions_incomplete", "sessions are incomplete", "incomplete_sessions"), ("open_edges", "sessions lack their opening minute", "sessions_missing_open_edge"), ("close_edges", "sessions lack their closing minute", "sessions_missing_close_edge"))
+    said = [F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.concat(F.col(c).cast("string"), F.lit(" rows: " + c.removesuffix("_count").replace("_", " ")))) for c in counts if c in out.columns]
+    said += [F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {text} (first: "), first(days), F.lit(")"))) for c, text, days in lists]
+    said += [F.when(F.coalesce("known_gap_minutes", F.lit(0)) > 0, F.concat(F.col("known_gap_minutes").cast("string"), F.lit(" missing minutes are registered gaps (first: "), first("known_gap_sessions"), F.lit(")")))]
     return out.withColumns({
-        "coverage_ratio": ratio(F.col("covered_minutes"), F.col("expected_regular_minutes")), "bar_density": F.lit("sparse" if sparse else "dense"),
+        "issues": F.array_join(F.array_compact(F.array(*said)), "; "), "coverage_ratio": ratio(F.col("covered_minutes"), F.col("expected_regular_minutes")), "bar_density": F.lit("sparse" if sparse else "dense"),
         "is_hard_failure": (structural > 0) | (n("sessions_missing") > 0) | (F.lit(False) if sparse else soft > 0),
         "is_clean": (structural == 0) & (n("sessions_missing", "known_gap_minutes") + soft == 0),
     })

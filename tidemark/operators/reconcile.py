@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import coalesced_status, compare_displayed, decimals, half_up
+from ..functions.numbers import coalesced_status, compare_displayed, decimals, half_up, official_status
 from ..functions.times import NY, prior_month
 from ..store import smallest_reached
 
@@ -52,15 +52,16 @@ def compatible(a: str, b: str, days: int = 1) -> Column:
 
 
 def compatibility_edges(rows: DataFrame, days: int = 1) -> DataFrame:
-    """(a, b) with a < b: pairs of row_ids of a family that are compatible. Equi-joins only: on the period, and on the date shifted by each allowed difference.
+    """(a, b) with a < b: pairs of row_ids of a family that are compatible and connect all that are. Equi-joins only: on the period, and on the date shifted by each allowed difference.
 
     rows: row_id (long), event_family, period, date. Rows of one period are linked to its smallest row, which is compatible with all of them, so a period's rows give a star and not all pairs.
+    Rows of one date without a period are compatible too: the smallest of them stands for the others, and every row near in time meets only it.
     """
     star = rows.where("period is not null").groupBy("event_family", "period").agg(F.min("row_id").alias("a"))
     by_period = rows.join(star, ["event_family", "period"]).select("a", F.col("row_id").alias("b"))
-    shifted = rows.where("date is not null").withColumn("k", F.explode(F.sequence(F.lit(-days), F.lit(days)))).select("event_family", F.date_add("date", F.col("k")).alias("date"), F.col("row_id").alias("a"), F.col("period").alias("a_period"))
-    right = rows.select("event_family", "date", F.col("row_id").alias("b"), F.col("period").alias("b_period"))
-    by_date = shifted.join(right, ["event_family", "date"]).where("a_period is null or b_period is null").select("a", "b")
+    lone = rows.where("period is null and date is not null").groupBy("event_family", "date").agg(F.min("row_id").alias("a"))
+    near = rows.where("date is not null").withColumn("k", F.explode(F.sequence(F.lit(-days), F.lit(days)))).select("event_family", F.date_add("date", F.col("k")).alias("date"), F.col("row_id").alias("b"))
+    by_date = near.join(lone, ["event_family", "date"]).select("a", "b")
     both = by_period.unionByName(by_date).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return both.where("a < b").distinct()
 
@@ -211,11 +212,33 @@ def semantic_issue(events: DataFrame, families: DataFrame, series: DataFrame) ->
     return e.withColumn("semantic_issue", F.when(found != "", found)).drop("label", "adjustment", "measure", "scope", "s_adjustment", "s_measure", "s_scope")
 
 
+#: Columns of a calendar row that the table hands on, if they are there.
+CARRIED = (
+    "event_id", "indicator", "source_event_id", "source_url", "source_timestamp", "source_timezone", "timestamp_quality", "importance", "provider_forecast", "actual_raw_text", "provider_forecast_raw_text", "previous_raw_text",
+    "raw_artifact_checksum", "retrieval_timestamp_utc",
+)
+
+
+def _notes(ambiguous: Column, lag: Column, timezone_trusted: bool) -> Column:
+    """What a reader of a row should know, in words; empty if there is nothing."""
+    said = [
+        (ambiguous, F.concat(F.lit("several rows of one calendar may be this release: "), F.col("n_a").cast("string"), F.lit(" of A, "), F.col("n_b").cast("string"), F.lit(" of B; none is compared"))),
+        (F.col("period").isNull(), F.lit("no reference period is known, so there is no official vintage to compare with")),
+        (F.col("a_ts").isNull() & F.col("b_ts").isNotNull() & F.lit(not timezone_trusted), F.lit("the only time is a server time of a zone that nobody has validated")),
+        (F.col("timestamp_delta_seconds") > 60, F.concat(F.lit("the calendars' times differ by "), F.round("timestamp_delta_seconds").cast("long").cast("string"), F.lit(" s"))),
+        (F.col("vintage_code") == "LOOKAHEAD_REJECTED", F.lit("official values exist only from later than the release may have seen")),
+        (F.col("vintage_code") == "AMBIGUOUS", F.lit("the official source has several values of the release's first vintage")),
+        (lag > 0, F.concat(F.lit("the official vintage is dated "), lag.cast("string"), F.lit(" days after the release"))),
+        (F.col("semantic_issue").isNotNull(), F.concat(F.lit("the label or the official series means something else: "), F.col("semantic_issue"))),
+    ]
+    return F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), text) for c, text in said])), "; ")
+
+
 def release_table(calendars: DataFrame, official: DataFrame, start: str, end: str, max_lag_days: int = 3, timezone_trusted: bool = False, days: int = 1) -> DataFrame:
     """The reconciliation: a row for each release that the calendars A and B know in [start, end], in time order.
 
     calendars: row_id (long, unique), source (A has instants, B server times), event_family, release_bundle, reference_period, release_timestamp_utc, converted_utc (B's
-    server time by the candidate zone), actual, actual_unit, previous, revised_previous, semantic_issue. official: event_family, period, vintage_date, value, unit; it enriches
+    server time by the candidate zone), actual, actual_unit, previous, revised_previous, semantic_issue, and any of CARRIED, which each side's row hands on as a_ and b_ columns. official: event_family, period, vintage_date, value, unit; it enriches
     releases by (family, period) and never makes one. Components with two rows of a source are AMBIGUOUS_CANDIDATES and compared with nothing.
     trusted_release_timestamp_utc is A's instant, else B's converted one if the zone is trusted.
     """
@@ -224,7 +247,7 @@ def release_table(calendars: DataFrame, official: DataFrame, start: str, end: st
     inside = dated.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     m = matched_releases(inside.withColumnRenamed("reference_period", "period"), days)
     is_a = F.col("source") == "A"
-    fields = ("actual", "actual_unit", "release_timestamp_utc", "converted_utc", "previous", "revised_previous")
+    fields = ("actual", "actual_unit", "release_timestamp_utc", "converted_utc", "previous", "revised_previous", *(c for c in CARRIED if c in calendars.columns))
     sides = [F.max_by(f, F.when(c, F.lit(1))).alias(f"{s}_{f}") for s, c in (("a", is_a), ("b", ~is_a)) for f in fields]
     r = m.groupBy("release_no", "event_family").agg(
         F.count_if(is_a).alias("n_a"), F.count_if(~is_a).alias("n_b"), F.max("period").alias("period"), F.min("date").alias("release_date"), F.max("release_bundle").alias("release_bundle"), F.max("semantic_issue").alias("semantic_issue"), *sides,
@@ -240,14 +263,22 @@ def release_table(calendars: DataFrame, official: DataFrame, start: str, end: st
     v = official.select("event_family", "period", "vintage_date", "value")
     r = release_vintage(r, v, ["event_family", "period"], "release_date", "vintage_date", "value", max_lag_days)
     r = r.withColumnsRenamed({"vintage_code": "release_vintage_code", "vintage_value": "official_value", "vintage_date": "official_vintage_date"})
-    units = official.groupBy("event_family").agg(F.max("unit").alias("official_unit"))
-    r = r.join(units, "event_family", "left").withColumn("previous", F.coalesce("a_previous", "b_previous")).withColumn("revised_previous", F.coalesce("a_revised_previous", "b_revised_previous"))
+    # the unit is that of the vintage itself; one that was told in two units has none
+    told = official.groupBy("event_family", "period", F.col("vintage_date").alias("official_vintage_date")).agg(F.when(F.count_distinct("unit") == 1, F.max("unit")).otherwise("UNKNOWN").alias("official_unit"))
+    r = r.join(told, ["event_family", "period", "official_vintage_date"], "left").withColumn("previous", F.coalesce("a_previous", "b_previous")).withColumn("revised_previous", F.coalesce("a_revised_previous", "b_revised_previous"))
     r = reconciled(prior_validation(r, v, max_lag_days).withColumnRenamed("release_vintage_code", "vintage_code"))
     status = F.when(ambiguous, "AMBIGUOUS_CANDIDATES").otherwise(F.col("source_match_status"))
     trusted = F.coalesce("a_ts", "b_ts") if timezone_trusted else F.col("a_ts")
     basis = F.when(F.col("a_ts").isNotNull(), "CALENDAR_A").when(trusted.isNotNull(), "CALENDAR_B_VALIDATED_ZONE")
     key = F.concat_ws(":", "event_family", F.coalesce(F.date_format("period", "yyyy-MM"), F.lit("unknown-period")))
-    out = r.withColumns({"source_match_status": status, "trusted_release_timestamp_utc": trusted, "trusted_release_timestamp_basis": basis, "canonical_event_id": key})
+    made = {"source_match_status": status, "trusted_release_timestamp_utc": trusted, "trusted_release_timestamp_basis": basis, "canonical_event_id": key}
+    made |= {"a_rows": F.col("n_a"), "b_rows": F.col("n_b"), "sources_present": F.array_join(F.array_compact(F.array(F.when(F.col("n_a") > 0, "A"), F.when(F.col("n_b") > 0, "B"), F.when(F.col("official_value").isNotNull(), "OFFICIAL"))), "+")}
+    made |= {"release_timestamp_ny": F.from_utc_timestamp(trusted, NY), "a_minus_b": F.when(F.col("a_unit") == F.col("b_unit"), F.col("a_actual") - F.col("b_actual")), "b_minus_official": F.when(F.col("b_unit") == F.col("official_unit"), F.col("b_actual") - F.col("official_value"))}
+    for side in "ab":
+        made[f"{side}_actual_match_status"] = official_status(F.col("official_value"), F.col(f"{side}_actual"), F.col("official_unit"), F.col(f"{side}_unit"))
+    lag = F.datediff("official_vintage_date", "release_date")
+    made |= {"official_vintage_lag_days": lag, "notes": _notes(ambiguous, lag, timezone_trusted)}
+    out = r.withColumns(made)
     return out.orderBy(F.coalesce(F.date_format("trusted_release_timestamp_utc", "yyyy-MM-dd'T'HH:mm:ss"), F.col("release_date").cast("string"), F.lit("9999")), "event_family", "release_no")
 
 
