@@ -30,9 +30,9 @@ from .common import settled, spread_join, text_or_empty
 
 BITS = 128
 CHUNK = 30_000
-RADIUS = 20
+RADIUS = 24
 #: Flipped bits that a table allows at most: more make fewer tables and fewer candidates, and more changes of a query's blocks.
-FLIPS = 2
+FLIPS = 3
 #: A block stands in chunks if more than a LIGHT-th of the rows, and more than LIGHT rows, have it.
 LIGHT = 2000
 #: Ranges of ids for each shuffle partition, and the most of them; beyond that ranges grow and their windows spill.
