@@ -851,3 +851,12 @@ def test_mixture_is_one_under_any_partitioning(spark):
         df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(n)
         seen.add(tuple(sorted(mixing.mixture(df).collect(), key=repr)))
     assert len(seen) == 1 and 0 < len(seen.pop())
+
+
+def test_urls_are_matched_in_slices(spark, monkeypatch):
+    rows = [(k, f"http://h{k % 17}.example.com/p{k % 5}/x") for k in range(200)]
+    rules = [url_filters.Rule("block", f"h{k}.example.com", f"/p{k % 5}") for k in range(17)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(2)
+    whole = sorted(map(tuple, url_filters.judge_urls(pages, rules).collect()))
+    monkeypatch.setattr(url_filters, "CELLS", 9)
+    assert sorted(map(tuple, url_filters.judge_urls(pages, rules).collect())) == whole and len(whole) == 200

@@ -46,6 +46,8 @@ class Rule:
 
 #: Most rows of a table of rules or globs; more raise an error.
 MAX_RULES = 20_000
+#: Most 64-bit words of the states of the urls that are matched at once.
+CELLS = 1_000_000
 #: The rules that the query applies, and globs for urls that no rule fits; the last one that fits decides.
 RULES = (
     Rule("allow", "com", "/"),
@@ -187,7 +189,9 @@ def judge_urls(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_rule, by_glob = WildcardAutomaton([*map(symbols_of_rule, rules)]), WildcardAutomaton([*map(symbols_of_glob, globs)])
-        for batch in batches:
+        # states are urls times words, and hits urls times patterns: so many urls at a time keep both within bounds for any number of rules
+        at_once = max(1, CELLS // max(by_rule.words, by_glob.words, (len(rules) + len(globs)) // 8))
+        for batch in (b.slice(at, at_once) for b in batches for at in range(0, b.num_rows, at_once)):
             parts = [host_and_path(u) for u in batch.column(1).to_pylist()]
             hit = by_rule.match([symbols(as_bytes(h), as_bytes(p)) for h, p in parts])
             first = [next((i for i in longest_first if row[i]), None) if row.any() else None for row in hit]
