@@ -11,6 +11,7 @@ import importlib
 import json
 import sys
 from collections.abc import Callable, Sequence
+from dataclasses import asdict, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -24,6 +25,7 @@ from .operators import compare, descriptor, reconcile, response
 from .operators.claims import after_rewrite, chunk_facts, fetched_status
 from .operators.intervals import verified
 from .plans.event_study import StudySpec, report, study
+from .plans.spec_files import SpecError, load_labels, load_spec
 from .schema import BAR_RAW, MANIFEST, conform
 from .sources import pages, registry, sessions, snapshots
 from .sources.feeds import as_of, import_counts
@@ -153,7 +155,7 @@ def _reports(tables: dict[str, DataFrame], folder: Path) -> dict[str, dict]:
     return out
 
 
-@command(need("calendar"), need("bars"), need("symbols"), need("out"), need("registry", default=None), need("descriptor", default=None), need("official", default=None), need("research-end", default="2026-09-30"))
+@command(need("calendar"), need("bars"), need("symbols"), need("out"), need("registry", default=None), need("descriptor", default=None), need("official", default=None), need("research-end", default=None), need("spec", default=None))
 def build_event_response_dataset(spark: SparkSession, a: argparse.Namespace) -> int:
     """The study's tables, hashed before writing and after reading back; reports; a JSON of all inputs and outputs."""
     bars, symbols = spark.read.parquet(a.bars), [s.strip() for s in a.symbols.split(",") if s.strip()]
@@ -166,7 +168,12 @@ def build_event_response_dataset(spark: SparkSession, a: argparse.Namespace) ->
             told(error="the bars are not those of the descriptor", differences=[r.asDict() for r in found])
             return 1
         identity = descriptor.fingerprint_of(committed)
-    spec = StudySpec(research_end=a.research_end)
+    try:
+        spec = load_spec(spark, a.spec) if a.spec else StudySpec()
+    except SpecError as fault:
+        raise Bad(str(fault)) from None
+    if a.research_end:
+        spec = replace(spec, research_end=a.research_end)
     events, wide, windows = study(spark.read.parquet(a.calendar), bars, _sessions(spark, bars, 120), entries, symbols, spec, spark.read.parquet(a.official) if a.official else None)
     outputs = {}
     for name, df, key in (("event_response", wide, ["event_id", "symbol"]), ("event_response_windows", windows, ["release_id", "symbol", "window"])):
@@ -179,7 +186,7 @@ def build_event_response_dataset(spark: SparkSession, a: argparse.Namespace) ->
     if a.official:
         tables["official"] = reconcile.official_summary(wide.dropDuplicates(["event_id"]))
     inventory = _reports(tables, Path(a.out) / "reports")
-    facts = {"market_fingerprint": identity, "registry_sha256": entries_hash, "spec_sha256": spec_hash({"research_end": a.research_end, "families": sorted(spec.families)}), "outputs": outputs, "reports": inventory}
+    facts = {"market_fingerprint": identity, "registry_sha256": entries_hash, "spec_sha256": spec_hash(asdict(spec)), "outputs": outputs, "reports": inventory}
     (Path(a.out) / "dataset.json").write_text(json.dumps(facts, indent=1, sort_keys=True, default=str))
     told(**{n: o["rows"] for n, o in outputs.items()})
     return 0
@@ -265,7 +272,10 @@ def compare_market_providers(spark: SparkSession, a: argparse.Namespace) -> int:
 @command(need("pages"), need("mapping"), need("year", type=int), need("out"), need("currency", default="USD"), need("zone", default=None))
 def import_forex_factory(spark: SparkSession, a: argparse.Namespace) -> int:
     """Saved calendar pages (page_id, html) as events; 1 if no page gives a row."""
-    mapping = spark.read.parquet(a.mapping)
+    try:
+        mapping = load_labels(spark, a.mapping).withColumnRenamed("label_key", "name") if a.mapping.endswith((".json", ".yaml", ".yml")) else spark.read.parquet(a.mapping)
+    except SpecError as fault:
+        raise Bad(str(fault)) from None
     rows = pages.calendar(spark.read.parquet(a.pages))
     pages.event_rows(rows, mapping, a.year, a.currency, a.zone).write.mode("overwrite").parquet(a.out)
     counts = import_counts(rows, mapping).first().asDict()
