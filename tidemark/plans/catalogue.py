@@ -865,3 +865,28 @@ def chunk_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = chunks.chunk_states(a, 5, F.lit("1997-01-01").cast("timestamp"))
     return out.select(F.col("key").cast("long").alias("key"), "start", "status", F.to_date("retrieved_at").alias("retrieved"))
+
+
+@query(f"""WITH {_T}, {_bars('b0', HOUR_US)}, b AS (SELECT *, CASE WHEN bar_us - lag(bar_us) OVER w = {HOUR_US} THEN ln(close / nullif(lag(close) OVER w, 0)) END AS r FROM b0 WINDOW w AS (PARTITION BY symbol ORDER BY bar_us)),
+r AS (SELECT event_id, symbol, CASE WHEN event_id % 2 = 0 THEN t_us - t_us % {HOUR_US} ELSE t_us END AS t FROM t), p AS (SELECT *, t - t % {HOUR_US} AS lo, CASE WHEN t % {HOUR_US} = 0 THEN t ELSE t - t % {HOUR_US} + {HOUR_US} END AS hi FROM r),
+j AS (SELECT p.event_id, (b.bar_us - p.lo) // {HOUR_US} AS o, (b.bar_us - p.hi) // {HOUR_US} AS q, b.* EXCLUDE (symbol) FROM p JOIN b ON b.symbol = p.symbol AND b.bar_us >= p.lo - {36 * HOUR_US} AND b.bar_us < p.hi + {60 * HOUR_US}),
+a AS (SELECT event_id, count_if(o BETWEEN -30 AND -1) AS n_pre, count_if(q BETWEEN 0 AND 59) AS n_post, arg_max(CASE WHEN o BETWEEN -5 AND -1 THEN close END, CASE WHEN o BETWEEN -5 AND -1 THEN o END) AS px,
+  max(CASE WHEN q = 14 THEN close END) AS c15, max(CASE WHEN q = 29 THEN close END) AS c30, max(CASE WHEN q = 59 THEN close END) AS c60, count_if(q BETWEEN 0 AND 29) AS n30, max(CASE WHEN q BETWEEN 0 AND 29 THEN high END) AS h30, min(CASE WHEN q BETWEEN 0 AND 29 THEN low END) AS l30,
+  sum(CASE WHEN o BETWEEN -30 AND -1 THEN volume END) AS v_pre, sum(CASE WHEN q BETWEEN 0 AND 29 THEN volume END) AS v_post, count(CASE WHEN o BETWEEN -30 AND -1 THEN r END) AS k_pre, sum(CASE WHEN o BETWEEN -30 AND -1 THEN r * r END) AS s_pre,
+  count(CASE WHEN q BETWEEN 0 AND 29 THEN r END) AS k_post, sum(CASE WHEN q BETWEEN 0 AND 29 THEN r * r END) AS s_post FROM j GROUP BY event_id),
+z AS (SELECT p.event_id, p.symbol, p.lo = p.hi AS aligned, a.* EXCLUDE (event_id, v_pre, v_post), CASE WHEN n_pre = 30 AND px IS NOT NULL THEN v_pre END AS v_pre, CASE WHEN n30 = 30 AND px IS NOT NULL THEN v_post END AS v_post FROM p LEFT JOIN a USING (event_id)),
+y AS (SELECT *, CASE WHEN px IS NOT NULL THEN CASE WHEN v_pre IS NULL THEN 'PRE_VOLUME_MISSING' WHEN v_post IS NULL THEN 'POST_VOLUME_MISSING' WHEN v_pre = 0 THEN 'PRE_VOLUME_ZERO' ELSE 'OK' END END AS st FROM z)
+SELECT event_id, symbol, aligned AS timestamp_minute_aligned, round(c15 / nullif(px, 0) - 1, 6) AS ret_post_15m, round(c30 / nullif(px, 0) - 1, 6) AS ret_post_30m, round(c60 / nullif(px, 0) - 1, 6) AS ret_post_60m, round(CASE WHEN n30 = 30 THEN h30 / nullif(px, 0) - 1 END, 6) AS max_up_30m,
+  round(CASE WHEN n30 = 30 THEN l30 / nullif(px, 0) - 1 END, 6) AS max_down_30m, round(CASE WHEN px IS NOT NULL AND k_pre = 30 THEN sqrt(s_pre) END, 5) AS realized_vol_pre_30m, round(CASE WHEN px IS NOT NULL AND aligned AND k_post = 30 THEN sqrt(s_post) END, 5) AS realized_vol_post_30m,
+  v_pre AS volume_pre_30m, v_post AS volume_post_30m, st AS volume_ratio_30m_status, round(CASE WHEN st = 'OK' THEN v_post / v_pre END, 6) AS volume_ratio_30m, 30 - n_pre AS missing_pre_bars, 60 - n_post AS missing_post_bars FROM y""")
+def response_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longer horizons, excursions, volatility and volume ratios of the feature layer; every other release is on the hour."""
+    us = F.when(F.col("event_id") % 2 == 0, F.col("t_us") - F.pmod("t_us", F.lit(HOUR_US))).otherwise(F.col("t_us"))
+    t = ticks(spark, sf_dir).select(F.col("event_id").alias("release_id"), "symbol", F.timestamp_micros(us).alias("release_ts"))
+    b = event_bars(spark, sf_dir).withColumn("timestamp_utc", F.timestamp_micros("bar_us"))
+    m = response.market_response(t, b, response.ResponseSpec(step_us=HOUR_US))
+    m = m.select(
+        F.col("release_id").alias("event_id"), "symbol", "timestamp_minute_aligned", "ret_post_15m", "ret_post_30m", "ret_post_60m", "max_up_30m", "max_down_30m", "realized_vol_pre_30m", "realized_vol_post_30m", "volume_pre_30m", "volume_post_30m", "volume_ratio_30m_status",
+        "volume_ratio_30m", F.col("missing_pre_bars").cast("long").alias("missing_pre_bars"), F.col("missing_post_bars").cast("long").alias("missing_post_bars"),
+    )
+    return rounded(rounded(m, "ret_post_15m", "ret_post_30m", "ret_post_60m", "max_up_30m", "max_down_30m", "volume_ratio_30m"), "realized_vol_pre_30m", "realized_vol_post_30m", digits=5)
