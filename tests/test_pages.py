@@ -111,3 +111,15 @@ def test_entries_meet_rows_by_equality(spark):
     pairs = registry.met(w, registry.registry_frame(spark, parsed), F.col("symbol"), F.unix_micros("a"), F.unix_micros("b"), parsed[0]["provider"], parsed[0]["feed"])
     assert sorted((r["k"], r["x_id"]) for r in rows(pairs)) == [(0, "e0"), (0, "e1"), (1, "e0"), (1, "e1"), (3, "e1"), (3, "e2")]
     assert "NestedLoop" not in pairs._jdf.queryExecution().toString() and "Cartesian" not in pairs._jdf.queryExecution().toString()
+
+
+def test_a_page_in_parts_is_read_as_one(spark):
+    row = lambda date, time, name: f'<tr><td class="calendar__date">{date}</td><td class="calendar__time">{time}</td><td class="calendar__event">{name}</td></tr>'
+    table = [row("", "", "early"), row("Mon", "8:00", "a"), row("", "", "b"), row("", "9:00", "c"), row("", "", ""), row("", "", "d"), row("Tue", "", "e"), row("", "", "f"), row("", "7:00", "g"), row("Mon", "", "h")]
+    whole = spark.createDataFrame([(1, "".join(table)), (2, row("Wed", "1:00", "x"))], "page_id long, html string")
+    expected = sorted(map(tuple, pages.calendar_rows(whole).collect()))
+    assert len(expected) == 9
+    for size in (1, 2, 3, 7):
+        cut = [(1, k, "".join(table[k : k + size])) for k in range(0, len(table), size)] + [(2, 5, row("Wed", "1:00", "x"))]
+        got = pages.calendar_rows(spark.createDataFrame(cut, "page_id long, part long, html string").repartition(3), part_col="part")
+        assert sorted(map(tuple, got.collect())) == expected

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import parse_value
 from ..functions.times import long, prior_month, time_of_day
+from ..store import written
 
 #: Marks in the classes of an impact's span, in the order in which they are looked for, and what they say.
 IMPACTS = (("red", "HIGH"), ("ora", "MEDIUM"), ("yel", "LOW"), ("gra", "NONE"), ("grey", "NONE"))
@@ -24,6 +25,8 @@ _STATES = re.compile(r"calendarComponentStates\[\s*\d+\s*\]\s*=\s*\{\s*days\s*:\
 _ZONE = re.compile(r"timezone_?name[\"']?\s*[:=]\s*[\"']([A-Za-z_]+/[A-Za-z_/+\-0-9]+)[\"']", re.IGNORECASE)
 #: Bytes of a page in which its charset is declared.
 HEAD = 2048
+#: Table rows that a Python worker holds before it hands them on, about (whole pages or parts).
+HELD_ROWS = 5000
 
 
 class _Charset(HTMLParser):
@@ -108,19 +111,24 @@ def table_rows(html: str) -> list[tuple[list[str], list[str], list[str], str]]:
     return [(*map(list, zip(*r)), a) for r, a in zip(p.rows, p.attrs) if r]
 
 
-def scan_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """id, row_no, cells, classes, spans, attrs of every table row of every page."""
-    kind = pages.schema[id_col].dataType.simpleString()
+def scan_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", part_col: str | None = None) -> DataFrame:
+    """id, (part,) row_no, cells, classes, spans, attrs of every table row of every page, or of every part of a page. row_no counts within a page or part."""
+    keys = [id_col, *([part_col] if part_col else [])]
+    names = [*keys, "row_no", "cells", "classes", "spans", "attrs"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for key, html in zip(frame["__id"], frame["__html"]):
-                out += [(key, n, *row) for n, row in enumerate(table_rows(html or ""))]
-            yield pd.DataFrame(out, columns=[id_col, "row_no", "cells", "classes", "spans", "attrs"])
+            for *key, html in frame.itertuples(index=False, name=None):
+                out += [(*key, n, *row) for n, row in enumerate(table_rows(html or ""))]
+                if len(out) >= HELD_ROWS:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
 
-    rows = pages.select(F.col(id_col).alias("__id"), F.col(html_col).alias("__html"))
-    return rows.mapInPandas(run, f"`{id_col}` {kind}, row_no int, cells array<string>, classes array<string>, spans array<string>, attrs string")
+    rows = pages.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(html_col).alias("__html"))
+    kinds = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.mapInPandas(run, f"{kinds}, row_no int, cells array<string>, classes array<string>, spans array<string>, attrs string")
 
 
 def page_facts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -155,19 +163,34 @@ def _cell(name: str) -> Column:
     return F.get("cells", _place(name))
 
 
-def calendar_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def calendar_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", part_col: str | None = None) -> DataFrame:
     """The calendar table: id, row_no, day_text, time_text, currency, impact, name, actual, forecast, previous.
 
-    Dates and times stand once and hold until the next; rows before any date are dropped. Carrying down is last(ignore nulls) within a page.
+    Dates and times stand once and hold until the next; rows before any date are dropped. Carrying down is last(ignore nulls) within a page. A page that is too large for one value comes in parts
+    (part_col: their order; each with whole table rows): row_no counts on from part to part, and dates and times hold on, so a page of any size spreads over tasks.
     """
-    rows = scan_tables(pages, id_col, html_col)
+    rows = scan_tables(pages, id_col, html_col, part_col)
     texts = {n: F.nullif(F.trim(_cell(c)), F.lit("")) for n, c in (("day_text", "date"), ("time_text", "time"), ("currency", "currency"), ("name", "event"), ("actual", "actual"), ("forecast", "forecast"), ("previous", "previous"))}
-    rows = rows.withColumns(texts).withColumn("impact", impact(F.get("spans", _place("impact"))))
-    before = Window.partitionBy(id_col).orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    day = F.last("day_text", ignorenulls=True).over(before)
-    rows = rows.withColumn("__day", day)
-    same_day = Window.partitionBy(id_col, "__day").orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("time_text", F.last("time_text", ignorenulls=True).over(same_day)).withColumn("day_text", F.col("__day"))
+    rows = rows.withColumns(texts).withColumn("impact", impact(F.get("spans", _place("impact")))).drop("cells", "classes", "spans", "attrs")
+    keys = [id_col, *([part_col] if part_col else [])]
+    upto = lambda *by: Window.partitionBy(*by).orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if part_col:
+        rows = written(rows, "parts")
+        # what the parts before leave behind: a row for each part
+        ahead = lambda *by: Window.partitionBy(*by).orderBy(part_col).rowsBetween(Window.unboundedPreceding, -1)
+        ends = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max_by("day_text", F.when(F.col("day_text").isNotNull(), F.col("row_no"))).alias("day"))
+        ends = ends.select(*keys, F.coalesce(F.sum("n").over(ahead(id_col)), F.lit(0)).cast("int").alias("__rows"), F.last("day", ignorenulls=True).over(ahead(id_col)).alias("__held"))
+        rows = rows.join(ends, keys).withColumn("__day", F.coalesce(F.last("day_text", ignorenulls=True).over(upto(*keys)), "__held"))
+        ends = rows.groupBy(*keys, "__day").agg(F.max_by("time_text", F.when(F.col("time_text").isNotNull(), F.col("row_no"))).alias("time"))
+        ends = ends.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__day").alias("__d"), F.last("time", ignorenulls=True).over(ahead(id_col, "__day")).alias("__time"))
+        same = F.col("__day") == F.col("__d")
+        for i, k in enumerate(keys):
+            same = same & (F.col(k) == F.col(f"__k{i}"))
+        rows = rows.join(ends, same, "left").withColumn("time_text", F.coalesce(F.last("time_text", ignorenulls=True).over(upto(*keys, "__day")), "__time")).withColumn("row_no", F.col("row_no") + F.col("__rows"))
+    else:
+        rows = rows.withColumn("__day", F.last("day_text", ignorenulls=True).over(upto(id_col)))
+        rows = rows.withColumn("time_text", F.last("time_text", ignorenulls=True).over(upto(id_col, "__day")))
+    rows = rows.withColumn("day_text", F.col("__day"))
     return rows.where("day_text is not null and name is not null").select(id_col, "row_no", "day_text", "time_text", "currency", "impact", "name", "actual", "forecast", "previous")
 
 
