@@ -71,3 +71,17 @@ def test_asof_excludes_equal_and_keeps_unmatched(spark):
     r = rows(asof_backward(left, right, ["k"], "t", "u", 3, 10, ["v"]), "t")
     assert [(x["u"], x["v"], x["extra"]) for x in r] == [(90, 2.0, None), (None, None, "x")]
     assert asof_backward(left.where(F.lit(False)), right, ["k"], "t", "u", 3, 10, ["v"]).count() == 0
+
+
+def test_releases_of_one_place_are_measured_once(spark):
+    rel = spark.createDataFrame([(f"r{i}", "QQQ", T + dt.timedelta(seconds=i % 60)) for i in range(300)] + [("n", None, T), ("u", "QQQ", None)], "release_id string, symbol string, release_ts timestamp")
+    out = market_response(rel, spark.createDataFrame(bars(), BAR))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [symbol" in plan and "low" in plan.split("Aggregate [symbol")[1].split("]")[0]
+    got = {r["release_id"]: r for r in rows(out)}
+    assert len(got) == 302 and all(got[f"r{i}"]["release_ts"].second == i % 60 for i in range(300))
+    alone = {s: run(spark, t=T + dt.timedelta(seconds=s)) for s in (0, 12)}
+    for i in range(300):
+        a, b = dict(got[f"r{i}"]), dict(alone[12 if i % 60 else 0])
+        assert {k: v for k, v in a.items() if k not in ("release_id", "release_ts")} == {k: v for k, v in b.items() if k not in ("release_id", "release_ts")}
+    assert got["n"]["market_window_status"] == "MISSING_MARKET_DATA" and got["u"]["market_window_status"] == "NO_TRUSTED_EVENT_TIMESTAMP"

@@ -1,8 +1,8 @@
 """The feature layer's market response: an as-of baseline bar, post and pre returns, excursions, volatility, volumes.
 
 Time is cut into buckets as wide as the whole span that a release may need, from the earliest possible baseline to the last post bar. Each bucket's
-bars, with those of the next, are packed into one array, so a release meets all its bars by one equi-join on (symbol, bucket) and its features are
-array expressions: no row stands for an offset, and nothing is grouped by release. The baseline is the latest bar within the lookback before the release, and pre
+bars, with those of the next, are packed into one array. Releases are brought to their places on the grid (the steps at or before and at or after them), which are few however many releases there
+are: a place meets all its bars by one equi-join on (symbol, bucket), its features are array expressions, and releases take them by an equi-join on the place. No row stands for an offset. The baseline is the latest bar within the lookback before the release, and pre
 returns are measured from it.
 """
 
@@ -62,14 +62,16 @@ def market_response(releases: DataFrame, bars: DataFrame, spec: ResponseSpec = R
     b = bars.where(F.pmod(us, step) == 0).select(F.col("symbol").alias("b_symbol"), bar.alias("bar"), F.floor(us / width).alias("bucket"))
     # a bucket has as many bars as fit in two widths
     packs = b.withColumn("b_bucket", F.explode(F.array("bucket", F.col("bucket") - 1))).groupBy("b_symbol", "b_bucket").agg(F.array_sort(F.collect_list("bar")).alias("bars"))
-    timed = r.where("t_us is not null").withColumn("bucket", F.floor((F.col("low") - long(reach * spec.step_us)) / width))
-    # the arrays cost more than the releases' few bytes: spread over as many tasks as shuffles have, whatever files they come from
-    timed = timed.repartition(int(releases.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    # releases between the same two places see the same bars: these are measured once
+    place = ["symbol", "low", "high"]
+    timed = r.where("t_us is not null").select(*place).distinct().withColumn("bucket", F.floor((F.col("low") - long(reach * spec.step_us)) / width))
+    # the arrays cost more than the places' few bytes: spread over as many tasks as shuffles have
+    timed = timed.repartition(int(releases.sparkSession.conf.get("spark.sql.shuffle.partitions")), *place)
     rows = timed.join(packs, (F.col("symbol") == F.col("b_symbol")) & (F.col("bucket") == F.col("b_bucket")), "left")
     # the floor's place, and the ceiling's, which is the same or the next
     rows = rows.withColumn("g0", F.call_function("div", F.col("low"), step)).withColumn("g1", F.call_function("div", F.col("high"), step))
     near = F.filter("bars", lambda x: (x["g"] >= F.col("g0") - reach) & (x["g"] < F.col("g1") + spec.post))
-    rows = rows.select(*r.columns, "g0", "g1", F.coalesce(near, F.array()).alias("w"))
+    rows = rows.select(*place, "g0", "g1", F.coalesce(near, F.array()).alias("w"))
     from_floor = lambda first, last: lambda x: x["g"].between(F.col("g0") + first, F.col("g0") + last)
     from_ceiling = lambda n: lambda x: (x["g"] >= F.col("g1")) & (x["g"] < F.col("g1") + n)
     at = lambda i: F.get("w", i)
@@ -100,7 +102,11 @@ def market_response(releases: DataFrame, bars: DataFrame, spec: ResponseSpec = R
     made |= {f"lo_{h}": full(f"post_{h}", h, F.array_min(F.transform(f"post_{h}", lambda x: x["l"]))) for h in EXCURSIONS}
     made |= {f"rv_{h}": volatility(h, from_ceiling(h)) for h in (30, 60)}
     made |= {f"volume_post_{h}m": full(f"post_{h}", h, total(f"post_{h}", "v")) for h in (30, 60)}
-    found = rows.select(*r.columns, *[c.alias(n) for n, c in made.items()]).unionByName(r.where("t_us is null"), allowMissingColumns=True)
+    measured = rows.select(*[F.col(c).alias(f"__{c}") for c in place], *[c.alias(n) for n, c in made.items()])
+    same = F.lit(True)
+    for c in place:
+        same = same & (F.col(c) == F.col(f"__{c}"))
+    found = r.join(measured, same, "left")
     has = F.col("base_us").isNotNull()
     with_base = lambda c: F.when(has, c)
     seen = F.coalesce(F.col("n_any"), F.lit(0)) > 0
