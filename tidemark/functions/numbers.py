@@ -32,17 +32,16 @@ def parse_value(text: Column) -> Column:
 def decimals(x: Column) -> Column:
     """Digits after the point in the shortest decimal form."""
     d = F.abs(x).cast("string").cast("decimal(38,18)")
-    tail = F.regexp_replace(F.split(d.cast("string"), r"\.")[1], "0+$", "")
-    return F.length(tail)
+    return F.length(F.rtrim(F.split_part(d.cast("string"), F.lit("."), F.lit(2)), F.lit("0")))
 
 
 def half_up(x: Column, digits: Column) -> Column:
-    """Decimal rounding, halves away from zero, at 0 to 9 digits."""
+    """Decimal rounding, halves away from zero, at 0 to 9 digits. Cases with few digits come first, as each case asks for digits anew; callers make these a column of their own."""
     d = x.cast("string").cast("decimal(38,18)")
-    out = F.round(d, 0).cast("double")
+    out = F.when(digits == 0, F.round(d, 0).cast("double"))
     for k in range(1, 10):
-        out = F.when(digits == k, F.round(d, k).cast("double")).otherwise(out)
-    return out
+        out = out.when(digits == k, F.round(d, k).cast("double"))
+    return out.otherwise(F.round(d, 0).cast("double"))
 
 
 def compare_displayed(shown: Column, official: Column, min_digits: int = 1) -> Column:

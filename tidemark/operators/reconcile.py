@@ -113,15 +113,19 @@ def reconciled(rows: DataFrame, display_decimals: dict[str, int] | None = None,
     least = F.lit(0)
     for unit, n in shown.items():
         least = F.when(F.col("official_unit") == unit, n).otherwise(least)
-    actual, unit = F.coalesce("a_actual", "b_actual"), F.when(F.col("a_actual").isNotNull(), F.col("a_unit")).otherwise(F.col("b_unit"))
-    digits = F.greatest(least, decimals(actual))
-    official = F.col("official_value")
-    comparable = (unit == F.col("official_unit")) & (unit != "UNKNOWN")
-    rounded = half_up(official, digits)
-    outcome = (
+    # what others ask for several times is a column, which is made once for a row; within expressions it would be made as often as it is asked for
+    unit = F.when(F.col("a_actual").isNotNull(), F.col("a_unit")).otherwise(F.col("b_unit"))
+    rows = rows.withColumns({"actual_value": F.coalesce("a_actual", "b_actual"), "__least": least, "__unit": unit})
+    actual, official = F.col("actual_value"), F.col("official_value")
+    rows = rows.withColumn("comparison_decimals", F.greatest("__least", decimals(actual)))
+    comparable = (F.col("__unit") == F.col("official_unit")) & (F.col("__unit") != "UNKNOWN")
+    rounded = half_up(official, F.col("comparison_decimals"))
+    made = (
         F.when(official.isNull(), "NO_OFFICIAL_VINTAGE").when(actual.isNull(), "NO_ACTUAL").when(~F.coalesce(comparable, F.lit(False)), "UNIT_UNKNOWN")
         .when(F.abs(actual - official) <= 1e-9, "EXACT_MATCH").when(F.abs(actual - rounded) <= 1e-9, "ROUNDING_MATCH").otherwise("VALUE_MISMATCH")
     )
+    rows = rows.withColumn("release_actual_match_status", made).drop("__least", "__unit")
+    outcome = F.col("release_actual_match_status")
     gap_s = F.abs(F.unix_micros("a_ts") - F.unix_micros("b_ts")) / 1e6
     flags = {
         "SEMANTIC_MISMATCH": F.col("semantic_issue").isNotNull(),
@@ -137,7 +141,7 @@ def reconciled(rows: DataFrame, display_decimals: dict[str, int] | None = None,
     held = {k: F.coalesce(c, F.lit(False)) for k, c in flags.items()}
     issues = F.array_join(F.filter(F.array(*[F.when(c, k) for k, c in held.items()]), lambda x: x.isNotNull()), " | ")
     return rows.withColumns({
-        "actual_value": actual, "comparison_decimals": digits, "release_actual_match_status": outcome, "actual_minus_official": actual - official, "timestamp_delta_seconds": gap_s,
+        "actual_minus_official": actual - official, "timestamp_delta_seconds": gap_s,
         "source_match_status": coalesced_status(*[(c, k) for k, c in held.items()], otherwise="MATCH"), "issues": issues,
     })
 
