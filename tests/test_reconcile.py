@@ -110,3 +110,13 @@ def test_digits_and_rounding_are_made_once_for_a_row(spark):
     # each reading of a shortest decimal form is such a cast; in status and issues together there were hundreds
     assert out.select("source_match_status", "issues")._jdf.queryExecution().optimizedPlan().toString().count("decimal(38,18)") < 60
     assert [(x["comparison_decimals"], x["release_actual_match_status"]) for x in out.orderBy("a_actual").collect()] == [(1, "EXACT_MATCH"), (2, "ROUNDING_MATCH"), (1, "ROUNDING_MATCH")]
+
+
+def test_tasks_grow_with_the_vintages(spark, monkeypatch):
+    monkeypatch.setattr(reconcile, "TASK_ROWS", 10)
+    v = spark.range(200).selectExpr("id % 50 as k", "date_add(date'2024-01-01', cast(id div 50 as int)) as d", "cast(id as double) as x")
+    r = spark.range(60).selectExpr("id as k", "date'2024-01-02' as released")
+    out = reconcile.release_vintage(r, v, ["k"], "released", "d", "x", 3)
+    assert out.rdd.getNumPartitions() == 20
+    got = {x["k"]: (x["vintage_code"], x["vintage_value"]) for x in out.collect()}
+    assert got == {k: ("OK", 50.0 + k) if k < 50 else ("NONE", None) for k in range(60)}

@@ -17,6 +17,10 @@ from ..functions.times import NY, prior_month
 from ..store import smallest_reached
 
 
+#: Vintages that `release_vintage` gives to one task, about.
+TASK_ROWS = 500_000
+
+
 def release_vintage(rows: DataFrame, vintages: DataFrame, keys: Sequence[str], release: str, vintage: str, value: str, max_lag_days: int = 3) -> DataFrame:
     """rows with the as-of value that was public at, or right after, the release: vintage_code, vintage_value, vintage_date.
 
@@ -27,7 +31,10 @@ def release_vintage(rows: DataFrame, vintages: DataFrame, keys: Sequence[str], r
     on = F.lit(True)
     for k in keys:
         on = on & (F.col(k) == F.col(f"__{k}"))
-    j = rows.withColumn("__id", F.xxhash64(*rows.columns)).join(v, on, "left")
+    # what a task sorts stays as it is when there are more vintages: their number, not the session's, decides the number of tasks
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-v.count() // TASK_ROWS))
+    v = v.repartition(parts, *[f"__{k}" for k in keys])
+    j = rows.withColumn("__id", F.xxhash64(*rows.columns)).repartition(parts, *keys).join(v, on, "left")
     day, latest = F.col(release), F.date_add(F.col(release), max_lag_days)
     eligible = F.col("__v").between(day, latest)
     first = F.min(F.when(eligible, F.col("__v"))).over(Window.partitionBy("__id", *rows.columns))
