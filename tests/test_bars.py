@@ -1,10 +1,13 @@
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import ny, rows
 from tidemark.operators import bars, compare
+from tidemark.plans import catalogue
 from tidemark.sources.sessions import session_frame
 
 MIN = 60_000_000
@@ -87,3 +90,37 @@ def test_required_offsets(spark):
     rel = spark.createDataFrame([("r", "QQQ", t), ("s", "QQQ", t + 15_000_000)], "id string, symbol string, t_us long")
     got = {r["id"]: r["missing"] for r in rows(bars.missing_offsets(rel, session_bars(spark, lambda k: k != 32), ["id"], [-1, 0, 1, 2, 5], MIN))}
     assert got == {"r": [2], "s": [1]}
+
+
+def test_prices_of_zero_and_flat_columns_as_sql_has_them(spark, tmp_path):
+    """Logarithms of 0 are infinite and correlations with them, or of what does not vary, NaN: not left out, as Spark's nulls would be."""
+    duckdb = pytest.importorskip("duckdb")
+    rng, start, events = random.Random(11), dt.datetime(2024, 1, 1), []
+    for hour in range(8 * 24):
+        for symbol in ("walk", "zero", "below", "flat"):
+            for user in (0, 1):
+                # user 1 has the close of each hour; hour 95 is a day's last
+                price, k = round(rng.uniform(20, 90), 2), rng.randrange(90)
+                if user == 1 and hour in (70, 71, 95):
+                    price = {"zero": 0.0, "below": -3.0}.get(symbol, price)
+                if symbol == "flat":
+                    price, k = 5.0, 7
+                events.append((len(events), start + dt.timedelta(hours=hour, minutes=30 * user + rng.randrange(30)), user, symbol, price, f'{{"k": {k}}}'))
+    events += [(len(events) + i, start + dt.timedelta(minutes=i), i, "pair", 3.0 + i, f'{{"k": {5 - i}}}') for i in range(2)]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    db.executemany("INSERT INTO events VALUES (?, ?, ?, ?, ?, ?)", events)
+    db.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    shown = {}
+    for name, key in {"cross_provider_corr": 1, "rank_corr": 1, "window_returns": 3, "response_features": 1}.items():
+        found = catalogue.QUERIES[name](spark, str(tmp_path))
+        sql = db.execute("SELECT " + ", ".join(f'"{c}"' for c in found.columns) + f" FROM ({catalogue.ORACLE[name]})").fetchall()
+        by_key = lambda rs: {tuple(r)[:key]: tuple(r)[key:] for r in rs}
+        a, b = by_key(found.collect()), by_key(sql)
+        assert a.keys() == b.keys()
+        for k in a:
+            assert a[k] == pytest.approx(b[k], abs=2e-6, nan_ok=True), (name, k)
+        shown[name] = b
+    assert math.isfinite(shown["cross_provider_corr"]["walk",][1]) and all(math.isnan(shown["cross_provider_corr"][s,][1]) for s in ("zero", "below", "flat"))
+    assert math.isnan(shown["rank_corr"]["flat",][2]) and shown["rank_corr"]["pair",][2] == -1
+    assert all(any(math.inf in r for r in shown[q].values()) for q in ("window_returns", "response_features"))

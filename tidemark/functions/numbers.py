@@ -77,11 +77,22 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def pearson(x: str, y: str) -> Column:
-    """Correlation over rows where both are present; null instead of an error for constant columns."""
+def float_ratio(a: Column, b: Column) -> Column:
+    """a / b as floats have it: infinite, or NaN for 0 / 0, where b is 0."""
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(ratio(a, b))
+
+
+def ln(x: Column) -> Column:
+    """Natural logarithm as floats have it: -inf of 0 and NaN below, where Spark's is null. Null stays null."""
+    return F.coalesce(F.ln(x), F.when(x == 0, float("-inf")).when(x < 0, float("nan")))
+
+
+def pearson(x: str, y: str, flat: float | None = None) -> Column:
+    """Correlation over rows where both are present; `flat` instead of an error for constant columns, null without rows. NaN if a value is not finite."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    covariance = F.covar_pop(a, b)
+    return F.when(covariance.isNotNull(), F.coalesce(F.try_divide(covariance, F.stddev_pop(a) * F.stddev_pop(b)), F.lit(flat)))
 
 
 def coalesced_status(*cases: tuple[Column, str], otherwise: str) -> Column:

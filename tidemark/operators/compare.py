@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import pearson, ratio
+from ..functions.numbers import float_ratio, ln, pearson, ratio
 from ..functions.times import ny_date
 from .scans import quantile_columns
 
@@ -97,20 +97,20 @@ def volume_stats(pairs: DataFrame, by: str = "symbol") -> DataFrame:
 
 
 def return_pairs(pairs: DataFrame, step_us: int, by: str = "symbol", us: str = "bar_us", day: Column | None = None) -> DataFrame:
-    """Log returns of both sides between bars that both have exactly one step apart, on the same day."""
+    """Log returns of both sides between bars that both have exactly one step apart, on the same day; -inf to a price of 0, inf from it."""
     both = pairs.where("in_a and in_b").withColumn("__day", ny_date(F.timestamp_micros(us)) if day is None else day)
     w = Window.partitionBy(by, "__day").orderBy(us)
     follows = F.lag(us).over(w) == F.col(us) - step_us
-    r = lambda c: F.when(follows, F.ln(ratio(F.col(c), F.lag(c).over(w))))
+    r = lambda c: F.when(follows, ln(float_ratio(F.col(c), F.lag(c).over(w))))
     out = both.withColumns({"r_a": r("a_close"), "r_b": r("b_close"), "__follows": follows})
     if "regular" in both.columns:
         out = out.withColumn("regular_return", F.col("regular") & F.lag("regular").over(w))
     return out.where("__follows").drop("__follows", "__day")
 
 
-def return_correlation(returns: DataFrame, by: str = "symbol") -> DataFrame:
-    """n and Pearson correlation; null below three pairs or without variation."""
-    return returns.groupBy(by).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, pearson("r_a", "r_b")).alias("corr"))
+def return_correlation(returns: DataFrame, by: str = "symbol", flat: float | None = None) -> DataFrame:
+    """n and Pearson correlation; null below three pairs, `flat` without variation, NaN if a return is not finite."""
+    return returns.groupBy(by).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, pearson("r_a", "r_b", flat)).alias("corr"))
 
 
 def largest_differences(pairs: DataFrame, k: int = 10, us: str = "bar_us") -> DataFrame:

@@ -29,13 +29,14 @@ def _joined(groups: DataFrame, more: DataFrame, by: Sequence[str]) -> DataFrame:
     return groups.join(more.withColumnsRenamed({c: f"__k{k}" for k, c in enumerate(by)}), met, "left").drop(*[f"__k{k}" for k in range(len(by))])
 
 
-def correlations(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """n, distinct x, Pearson and Spearman (Pearson of average ranks) over rows with both; null below three rows or without variation."""
+def correlations(rows: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3, flat: float | None = None) -> DataFrame:
+    """n, distinct x, Pearson and Spearman (Pearson of average ranks) over rows with both; null below `least` rows, `flat` without variation."""
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     both = average_rank(average_rank(both, by, x, "__rx"), by, y, "__ry")
     out = both.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(x).alias("ux"), F.count_distinct(y).alias("uy"), pearson(x, y).alias("p"), pearson("__rx", "__ry").alias("s"))
-    valid = (F.col("n") >= 3) & (F.col("ux") > 1) & (F.col("uy") > 1)
-    return out.select(*by, "n", F.col("ux").alias("unique_x"), F.when(valid, F.col("p")).alias("pearson"), F.when(valid, F.col("s")).alias("spearman"))
+    varied = (F.col("ux") > 1) & (F.col("uy") > 1)
+    valid = lambda c: F.when(F.col("n") >= least, F.when(varied, F.col(c)).otherwise(F.lit(flat)))
+    return out.select(*by, "n", F.col("ux").alias("unique_x"), valid("p").alias("pearson"), valid("s").alias("spearman"))
 
 
 def by_sign(rows: DataFrame, by: Sequence[str], sign: str, value: str) -> DataFrame:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import coalesced_status, direction, ratio
+from ..functions.numbers import coalesced_status, direction, ln, ratio
 from ..functions.times import MINUTE_US, long
 
 POST_HORIZONS, PRE_HORIZONS, EXCURSIONS = (1, 5, 15, 30, 60), (5, 30), (5, 30, 60)
@@ -75,7 +75,7 @@ def market_response(releases: DataFrame, bars: DataFrame, spec: ResponseSpec = R
     from_floor = lambda first, last: lambda x: x["g"].between(F.col("g0") + first, F.col("g0") + last)
     from_ceiling = lambda n: lambda x: (x["g"] >= F.col("g1")) & (x["g"] < F.col("g1") + n)
     at = lambda i: F.get("w", i)
-    steps = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(at(i)["g"].alias("g"), F.when(at(i - 1)["g"] == at(i)["g"] - 1, F.ln(ratio(at(i)["c"], at(i - 1)["c"]))).alias("r")))
+    steps = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(at(i)["g"].alias("g"), F.when(at(i - 1)["g"] == at(i)["g"] - 1, ln(ratio(at(i)["c"], at(i - 1)["c"]))).alias("r")))
     before = F.filter("w", from_floor(-spec.lookback, -1))
     rows = rows.withColumn("steps", F.when(F.size("w") > 0, steps)).withColumn("base", F.element_at(F.when(F.size(before) > 0, before), -1))
     rows = rows.withColumns({f"post_{n}": F.filter("w", from_ceiling(n)) for n in sorted({spec.post, *EXCURSIONS})} | {"pre_30": F.filter("w", from_floor(-30, -1))})

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import coalesced_status, ratio
+from ..functions.numbers import coalesced_status, ln, ratio
 from ..functions.times import DAY_US, MINUTE_US, NY, long, ny_date, session_state
 from ..sources.registry import NOT_EXPECTED, met, query_windows
 
@@ -64,7 +64,7 @@ def measured(probes: DataFrame, bars: DataFrame, key: Sequence[str], symbol: str
     keys = [*key, "window", "side", "minutes"]
     inside = F.col("due") | F.col("is_anchor")
     before = F.lag("close").over(Window.partitionBy(*keys).orderBy("offset"))
-    rows = rows.where(inside).withColumn("r", F.when(~F.col("is_anchor"), F.ln(ratio(F.col("close"), before))))
+    rows = rows.where(inside).withColumn("r", F.when(~F.col("is_anchor"), ln(ratio(F.col("close"), before))))
     bar = lambda c: F.when(~F.col("is_anchor"), c)
     seen = F.col("b_us").isNotNull()
     out = rows.groupBy(*keys).agg(
