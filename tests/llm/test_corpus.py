@@ -579,6 +579,41 @@ def test_bpe_of_random_merges(tmp_path):
             assert list(memoryview(ours.encode(text)).cast("I")) == theirs.encode(text, add_special_tokens=False).ids, (k, text)
 
 
+def test_bpe_encodes_pieces_together_as_one_at_a_time(tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    for name, value in (("SLICE", 300), ("TOGETHER", 7), ("DECODED", 5), ("CACHE", 40), ("LONG", 12), ("_FIT_BITS", 3)):
+        monkeypatch.setattr(bpe, name, value)
+    for k in range(12):
+        path = str(tmp_path / f"{k}.json")
+        small_bpe(path, rng, rng.randint(1, 40))
+        theirs, ours = Tokenizer.from_file(path), bpe.BytePairs(path)
+        texts = ["".join(rng.choices("aaabbbcc ü\x00", k=rng.choice([0, 1, 5, 30, 200]))) for _ in range(60)]
+        for text, got in zip(texts, ours.encode_all(texts), strict=True):
+            want = theirs.encode(text, add_special_tokens=False).ids
+            assert list(memoryview(got).cast("I")) == want and ours.decode(got) == theirs.decode(want, skip_special_tokens=False), (k, text)
+        pieces = ["".join(rng.choices("abc\x00", k=rng.randint(1, 12))).encode() for _ in range(50)]
+        assert [list(memoryview(x).cast("I")) for x in ours.encode_pieces(pieces)] == [ours.encode_piece(p) for p in pieces]
+
+
+def test_bpe_new_pieces_cost_little_more_than_the_split():
+    import time
+
+    b, rng = bpe.BytePairs(queries.tokenizer_path()), random.Random(10)
+    parts = ["th", "he", "in", "er", "an", "tion", "ouer", "ich", "que", "éa", "ß", "ble"]
+    texts = [" ".join("".join(rng.choices(parts, k=rng.randint(3, 7))) for _ in range(60_000)) for _ in range(3)]
+    b.encode(texts[0][:1000])
+    ratios = []
+    for text in texts:
+        began = time.process_time()
+        b.split.findall(text)
+        split = time.process_time()
+        b.encode(text)
+        ratios.append((time.process_time() - split) / (split - began))
+    assert min(ratios) < 18, ratios
+
+
 def test_suffix_automaton_lists_all_strings_that_end_at_a_place():
     rng = random.Random(8)
     for _ in range(100):
@@ -600,6 +635,16 @@ def test_unsupported_tokenizers_are_refused(tmp_path):
             bpe.BytePairs(str(tmp_path / "y.json"))
 
 
+def test_a_tokenizer_without_some_byte_is_refused(tmp_path):
+    import json
+
+    spec = small_bpe(str(tmp_path / "x.json"), random.Random(1), 3)
+    del spec["model"]["vocab"]["~"]
+    (tmp_path / "y.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        bpe.BytePairs(str(tmp_path / "y.json"))
+
+
 def test_url_filters(spark):
     def plain(url):
         if url is None or "://" not in url:

@@ -10,8 +10,9 @@ both, latest first, no pair across the border may have a merge of its own that c
 merging never makes (their own bytes merge into something else) are not in the automaton; the same test tells them, from the parts upwards.
 
 Pieces are cut as the tokenizer file says: strings of added tokens first, then the byte-level pattern. Files with settings that this
-module doesn't follow (normalizers, other pre-tokenizers, dropout, unknown tokens, affixes) are refused. Encoded pieces are kept in
-a cache of bounded size, which changes no result. Null and empty texts have no ids and the digests of empty strings. Texts are encoded whole; repeated rows and
+module doesn't follow (normalizers, other pre-tokenizers, dropout, unknown tokens, affixes, bytes without a token) are refused. The distinct pieces of a slice of
+texts are encoded together in arrays, a prefix that they share once, and those longer than LONG bytes one at a time. Encoded pieces and tried pairs are kept in
+caches of bounded size, which change no result. Null and empty texts have no ids and the digests of empty strings. Texts are encoded whole; repeated rows and
 null ids are rows like others. Empty tables give empty results; other columns of the input are ignored.
 """
 
@@ -20,8 +21,9 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,8 +31,12 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the byte-level pattern of the tokenizers library.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Most pieces in a cache; and the longest piece, in bytes, that is kept.
-CACHE, CACHE_BYTES = 300_000, 64
+#: Pieces in a cache beyond which the older half goes; and the longest that are kept, and encoded with others, in bytes.
+CACHE, LONG = 300_000, 64
+#: Characters of texts beyond which a slice ends, pieces that are encoded together, and ids that are decoded together.
+SLICE, TOGETHER, DECODED = 2_000_000, 32_768, 100_000
+#: Tried pairs are kept in so many places, by the upper bits of a product with an odd number.
+_FIT_BITS, _ODD = 21, np.uint64(0x9E3779B97F4A7C15)
 _NEVER = 1 << 60
 
 
@@ -141,6 +147,8 @@ class BytePairs:
         model = spec["model"]
         self.added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         self.id_of = {raw(s): i for s, i in model["vocab"].items() if s not in self.added}
+        if sum(len(b) == 1 for b in self.id_of) < 256:
+            raise ValueError("tokenizer settings that are not supported: bytes without a token")
         self.bytes_of = {i: b for b, i in self.id_of.items()} | {i: s.encode() for s, i in self.added.items()}
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
@@ -158,8 +166,27 @@ class BytePairs:
         self.split = regex.compile(PATTERN)
         self.split_added = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.fits: dict[int, bool] = {}
+        self.special = {s: i.to_bytes(4, "little") for s, i in self.added.items()}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self._arrays()
+
+    def _arrays(self) -> None:
+        """The automaton, merges, parts and tokens as arrays; sorted keys end with one that nothing is equal to."""
+        find, n = self.find, max(self.bytes_of) + 1
+        self.length, self.link, self.mark, self.up = (np.array(x, np.int64) for x in (find.length, find.link, find.mark, find.up))
+        go = np.array(sorted(find.go.items()), np.int64).reshape(-1, 2)
+        self.go_key, self.go_to = np.append(go[:, 0], _NEVER), go[:, 1]
+        ranks = np.array(sorted((left << 32 | right, k) for (left, right), k in self.rank.items()), np.int64).reshape(-1, 2)
+        self.rank_key, self.rank_of = np.append(ranks[:, 0], _NEVER), np.append(ranks[:, 1], _NEVER)
+        self.part_rank, self.part_left, self.part_right = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for i, part in self.parts.items():
+            self.part_rank[i], self.part_left[i], self.part_right[i] = part
+        #: Twice the pair's key, and 1 more if it fits.
+        self.tried = np.full(1 << _FIT_BITS, -1, np.int64)
+        tokens = [self.bytes_of.get(i, b"") for i in range(n)]
+        self.token_bytes, self.token_size = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(b) for b in tokens], np.int64)
+        self.token_at = np.cumsum(self.token_size) - self.token_size
 
     def compatible(self, left: int, right: int, own: int | None = None) -> bool:
         """Undoes the merges of both tokens, latest first; `undone` is the rank of the merge undone last. own: the rank of the merge of both, which is no fault."""
@@ -206,39 +233,143 @@ class BytePairs:
             n -= size[n]
         return ids[::-1]
 
-    def packed(self, piece: str) -> bytes:
-        """A piece's ids as little-endian 32-bit integers, by way of the cache."""
-        got = self.young.get(piece)
-        if got is not None:
-            return got
-        got = self.old.get(piece)
-        if got is None:
-            raw = piece.encode("utf-8", "surrogatepass")
-            ids = self.encode_piece(raw)
-            got = b"".join([i.to_bytes(4, "little") for i in ids])
-            if len(raw) > CACHE_BYTES:
-                return got
-        if len(self.young) >= CACHE // 2:
-            self.old, self.young = self.young, {}
-        self.young[piece] = got
-        return got
-
-    def encode(self, text: str) -> bytes:
+    def _compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """`compatible` of many pairs."""
+        fit, undone, at = np.ones(len(left), bool), np.full(len(left), _NEVER), np.arange(len(left))
+        while len(at):
+            key = left << 32 | right
+            found = np.searchsorted(self.rank_key, key)
+            bad = (self.rank_key[found] == key) & (self.rank_of[found] < undone)
+            fit[at[bad]] = False
+            l_rank, r_rank = self.part_rank[left], self.part_rank[right]
+            on = np.flatnonzero(~bad & (np.maximum(l_rank, r_rank) >= 0))
+            at, left, right, l_rank, r_rank = at[on], left[on], right[on], l_rank[on], r_rank[on]
+            by_left = l_rank > r_rank
+            undone = np.where(by_left, l_rank, r_rank + 1)
+            left, right = np.where(by_left, self.part_right[left], left), np.where(by_left, right, self.part_left[right])
+        return fit
+
+    def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """`_compatible` by way of the pairs that have been tried."""
+        key = left << 32 | right
+        place = (key.view(np.uint64) * _ODD >> np.uint64(64 - _FIT_BITS)).view(np.int64)
+        got = self.tried[place]
+        new = np.flatnonzero(got >> 1 != key)
+        if len(new):
+            pairs, which = np.unique(key[new], return_inverse=True)
+            got[new] = (pairs << 1 | self._compatible(pairs >> 32, pairs & 0xFFFFFFFF))[which]
+            self.tried[place[new]] = got[new]
+        return got & 1 > 0
+
+    def _advance(self, state: np.ndarray, size: np.ndarray, byte: np.ndarray) -> None:
+        """Moves states, and the lengths of their matches, on by a byte each."""
+        at = np.arange(len(state))
+        while len(at):
+            key = state[at] << 8 | byte[at]
+            place = np.searchsorted(self.go_key, key)
+            found = self.go_key[place] == key
+            state[at[found]] = self.go_to[place[found]]
+            size[at[found]] += 1
+            at = at[~found]
+            state[at] = self.link[state[at]]
+            size[at] = self.length[state[at]]
+
+    def encode_pieces(self, pieces: Sequence[bytes]) -> list[bytes]:
+        """`encode_piece` of sorted pieces that are not empty, their ids packed as little-endian 32-bit integers."""
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        n, most = len(pieces), int(lengths.max())
+        text = np.array(pieces, f"S{most}").view(np.uint8).reshape(n, most)
+        # bytes that a piece shares with the piece before: what ends within them is known from there
+        same = text[1:] == text[:-1]
+        shared = np.where(same.all(axis=1), most, same.argmin(axis=1)) if n > 1 else np.zeros(0, np.int64)
+        shared = np.concatenate([[0], np.minimum(shared, np.minimum(lengths[1:], lengths[:-1]))])
+        text = np.ascontiguousarray(text.T)
+        last, step = np.zeros((most + 1, n), np.int64), np.zeros((most + 1, n), np.int64)
+        state, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for end in range(1, most + 1):
+            going = np.flatnonzero(lengths >= end)
+            first = shared[going] < end
+            own = going[first]
+            to, matched = state[own], size[own]
+            self._advance(to, matched, text[end - 1, own].astype(np.int64))
+            here = np.where((matched == self.length[to]) & (self.mark[to] >= 0), to, self.up[to])
+            at = own
+            while len(at):
+                token, length = self.mark[here], self.length[here]
+                fit = length == end
+                inner = np.flatnonzero(~fit)
+                fit[inner] = self._fit(last[end - length[inner], at[inner]], token[inner])
+                last[end, at[fit]], step[end, at[fit]] = token[fit], length[fit]
+                at, here = at[~fit], self.up[here[~fit]]
+            by = np.cumsum(first) - 1
+            state[going], size[going], last[end, going], step[end, going] = to[by], matched[by], last[end, own][by], step[end, own][by]
+        # back from the ends: ids in the last columns of a row each
+        ids, n_ids, left, at, column = np.zeros((n, most), "<u4"), np.zeros(n, np.int64), lengths.copy(), np.arange(n), most
+        while len(at):
+            column -= 1
+            ids[at, column] = last[left[at], at]
+            n_ids[at] += 1
+            left[at] -= step[left[at], at]
+            at = at[left[at] > 0]
+        packed = ids[np.arange(most) >= most - n_ids[:, None]].tobytes()
+        stops = (4 * np.cumsum(n_ids)).tolist()
+        return [packed[a:b] for a, b in zip([0, *stops], stops)]
+
+    def pieces(self, text: str) -> list[str]:
+        """A text's pieces. Strings of added tokens are pieces of their own; no other piece is equal to one, as that would have been cut out."""
         if self.split_added is None or not any(s in text for s in self.added):
-            return self._encode(text)
+            return self.split.findall(text)
         out, at = [], 0
         for m in self.split_added.finditer(text):
-            out += [self._encode(text[at : m.start()]), self.added[m[0]].to_bytes(4, "little")]
+            out += [*self.split.findall(text[at : m.start()]), m[0]]
             at = m.end()
-        return b"".join([*out, self._encode(text[at:])])
+        return out + self.split.findall(text[at:])
+
+    def _packed(self, texts: list[list[str]]) -> list[bytes]:
+        """The packed ids of a slice of texts, given in pieces, by way of the cache."""
+        known, new = self.young, []
+        for piece in set().union(*texts).difference(known):
+            got = self.old.get(piece) or self.special.get(piece)
+            if got is None:
+                new.append(piece)
+            else:
+                known[piece] = got
+        new.sort()  # by code points, thus their bytes too
+        pairs = [(piece, piece.encode("utf-8", "surrogatepass")) for piece in new]
+        short, long = [x for x in pairs if len(x[1]) <= LONG], [x for x in pairs if len(x[1]) > LONG]
+        known.update((piece, np.array(self.encode_piece(raw), "<u4").tobytes()) for piece, raw in long)
+        for k in range(0, len(short), TOGETHER):
+            pieces, raws = zip(*short[k : k + TOGETHER])
+            known.update(zip(pieces, self.encode_pieces(raws), strict=True))
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in texts]
+        for piece, _ in long:
+            del known[piece]
+        if len(known) >= CACHE // 2:
+            self.old, self.young = known, {}
+        return out
+
+    def encode_all(self, texts: Iterable[str]) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit integers."""
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(self.pieces(text))
+            size += len(text)
+            if size >= SLICE:
+                out += self._packed(held)
+                held, size = [], 0
+        return out + self._packed(held)
 
-    def _encode(self, text: str) -> bytes:
-        young, packed = self.young, self.packed
-        return b"".join([young.get(p) or packed(p) for p in self.split.findall(text)])
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
-        table = self.bytes_of
-        return b"".join([table[i] for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
+        every, out = np.frombuffer(ids, "<u4"), []
+        for k in range(0, len(every), DECODED):
+            part = every[k : k + DECODED]
+            sizes = self.token_size[part]
+            stops = np.cumsum(sizes)
+            out.append(self.token_bytes[np.repeat(self.token_at[part] - stops + sizes, sizes) + np.arange(stops[-1])].tobytes())
+        return b"".join(out).decode("utf-8", "replace")
 
 
 _loaded: dict[str, BytePairs] = {}
@@ -260,7 +391,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, with_ids: bool = True, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(tokenizer_path)
         for batch in batches:
-            ids = [bpe.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
+            ids = bpe.encode_all(t or "" for t in batch.column(1).to_pylist())
             columns = [
                 batch.column(0),
                 pa.array([len(x) // 4 for x in ids], pa.int64()),
