@@ -34,9 +34,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Pieces in a cache beyond which the older half goes; and the longest that are kept, and encoded with others, in bytes.
 CACHE, LONG = 300_000, 64
 #: Characters of texts beyond which a slice ends, pieces that are encoded together, and ids that are decoded together.
-SLICE, TOGETHER, DECODED = 2_000_000, 32_768, 100_000
+SLICE, TOGETHER, DECODED = 1_000_000, 16_384, 100_000
 #: Tried pairs are kept in so many places, by the upper bits of a product with an odd number.
-_FIT_BITS, _ODD = 21, np.uint64(0x9E3779B97F4A7C15)
+_FIT_BITS, _ODD = 20, np.uint64(0x9E3779B97F4A7C15)
 _NEVER = 1 << 60
 
 
@@ -284,7 +284,7 @@ class BytePairs:
         shared = np.where(same.all(axis=1), most, same.argmin(axis=1)) if n > 1 else np.zeros(0, np.int64)
         shared = np.concatenate([[0], np.minimum(shared, np.minimum(lengths[1:], lengths[:-1]))])
         text = np.ascontiguousarray(text.T)
-        last, step = np.zeros((most + 1, n), np.int64), np.zeros((most + 1, n), np.int64)
+        last, step = np.zeros((most + 1, n), np.int32), np.zeros((most + 1, n), np.int32)
         state, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for end in range(1, most + 1):
             going = np.flatnonzero(lengths >= end)
@@ -298,7 +298,7 @@ class BytePairs:
                 token, length = self.mark[here], self.length[here]
                 fit = length == end
                 inner = np.flatnonzero(~fit)
-                fit[inner] = self._fit(last[end - length[inner], at[inner]], token[inner])
+                fit[inner] = self._fit(last[end - length[inner], at[inner]].astype(np.int64), token[inner])
                 last[end, at[fit]], step[end, at[fit]] = token[fit], length[fit]
                 at, here = at[~fit], self.up[here[~fit]]
             by = np.cumsum(first) - 1
