@@ -3,11 +3,12 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from conftest import SCHEMA
 from test_corpus import brute_components, words
 
-from tidemark.llm import common, exact_dedup, jaccard_join
+from tidemark.llm import bpe, common, exact_dedup, jaccard_join, queries
 
 
 def shuffle_bytes(spark):
@@ -58,3 +59,13 @@ def test_exact_dedup_leaves_no_copy_of_rows_with_ids_of_their_own(spark, doc_row
             best[key] = order, r
     width = len(rows[0]) if unique else 2  # rows with equal ids and texts may differ in what follows
     assert sorted(repr(tuple(r)[:width]) for r in made.collect()) == sorted(repr(r[:width]) for _, r in best.values())
+
+
+def test_bpe_hands_on_a_batch_in_parts(spark, monkeypatch):
+    frame = spark.createDataFrame([(k, " ".join(words(random.Random(k), k % 40))) for k in range(95)] + [(None, None)], "doc_id long, text string").coalesce(1)
+    plain, made = bpe.encoded(frame, queries.tokenizer_path()).collect(), []
+    monkeypatch.setattr(bpe, "ROWS", 10, raising=False)
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, run, schema: made.append(run) or self)
+    bpe.encoded(frame, queries.tokenizer_path())
+    out = list(made[0](iter([pa.RecordBatch.from_arrays([pa.array([r[c] for r in frame.collect()], t) for c, t in (("doc_id", pa.int64()), ("text", pa.string()))], names=["doc_id", "text"])])))
+    assert [b.num_rows for b in out] == [10] * 9 + [6] and [tuple(r.values()) for b in out for r in b.to_pylist()] == [tuple(r) for r in plain]

@@ -35,6 +35,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 CACHE, LONG = 300_000, 64
 #: Characters of texts beyond which a slice ends, pieces that are encoded together, and ids that are decoded together.
 SLICE, TOGETHER, DECODED = 1_000_000, 16_384, 100_000
+#: Rows of a batch that are encoded, and handed on, at once: a whole batch's texts and ids, in Python and in the JVM, take memory of executors that others need too.
+ROWS = 1000
 #: Tried pairs are kept in so many places, by the upper bits of a product with an odd number.
 _FIT_BITS, _ODD = 20, np.uint64(0x9E3779B97F4A7C15)
 _NEVER = 1 << 60
@@ -390,7 +392,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, with_ids: bool = True, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(tokenizer_path)
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             ids = bpe.encode_all(t or "" for t in batch.column(1).to_pylist())
             columns = [
                 batch.column(0),
